@@ -35,9 +35,9 @@ WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(
 bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda t: t <> '') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win
         FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM bw WHERE len(w) > 0)),
-at AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win
+dwin AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
-hits AS (SELECT doc_id, at.n, k, item_id FROM at JOIN win ON at.n = win.n AND at.win = win.win),
+hits AS (SELECT doc_id, dwin.n, k, item_id FROM dwin JOIN win ON dwin.n = win.n AND dwin.win = win.win),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hits GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
