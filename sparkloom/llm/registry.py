@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by positive-unlabelled learning."""
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), quality.by_crc)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word windows of benchmark items."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -27,7 +32,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_decontaminate": op6_decontaminate}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of every document, and a digest of the secrets in text order."""
+    found = secrets.findings(_table(spark, sf_dir, "documents"))
+    tokens = F.transform("found", lambda f: f["token"])
+    return found.select("doc_id", "n_candidates", F.size("found").cast("long").alias("n_secrets"), F.sha2(F.array_join(tokens, "\n"), 256).alias("secrets_sha256"))
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
+    "op6_decontaminate": op6_decontaminate,
+    "op9_secrets": op9_secrets,
+}
 
 ORACLE_SQL = {
     "op6_decontaminate": r"""
