@@ -33,7 +33,8 @@ DICTIONARY = (
     "home local share include python java script module package version example sample placeholder password token secret change here "
     "form access store account public private static final void return import function object array number"
 ).split()
-CANDIDATE = rf"(?<=(?i:{SECRET_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;]{{6,}}|[A-Za-z0-9_+/\-]{{16,}}={{0,2}}"
+#: The first look back is cheap and fails at nearly every place; the second one tries all names.
+CANDIDATE = rf"(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{SECRET_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;]{{6,}}|[A-Za-z0-9_+/\-]{{16,}}={{0,2}}"
 PREFIXES = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(live|test)_|AIza|eyJ|SG\.|npm_|pypi-|hf_)"
 PLACEHOLDER = r"(?i)(example|x{4,}|your|change_?me|dummy|placeholder|redacted|12345|abcdef|\*{3,}|\$\{|%s|\{\{)"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
