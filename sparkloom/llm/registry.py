@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets, simhash
+from . import decontaminate, pieces, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and whether they decode to its text."""
+    return pieces.tokenised(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), MODEL)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates and secrets of every document, and a digest of the secrets in text order."""
     found = secrets.findings(_table(spark, sf_dir, "documents"))
@@ -43,6 +53,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op7_pieces": op7_pieces,
     "op9_secrets": op9_secrets,
 }
 
