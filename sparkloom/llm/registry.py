@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, quality, secrets, simhash, warc
+from . import decontaminate, langid, pieces, quality, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by Kneser-Ney character models."""
+    return langid.identified(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by positive-unlabelled learning."""
     return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), quality.by_crc)
@@ -56,6 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_langid": op4_langid,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_pieces": op7_pieces,
