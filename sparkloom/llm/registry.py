@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pieces, quality, secrets, simhash, topk, warc, wrappers
+from . import decontaminate, langid, pieces, quality, quotes, secrets, simhash, topk, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenised(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), MODEL)
 
 
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with what it replies to, in reply order."""
+    return quotes.ordered(quotes.conversations(_table(spark, sf_dir, "conversations")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates and secrets of every document, and a digest of the secrets in text order."""
     found = secrets.findings(_table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_pieces": op7_pieces,
+    "op8_quotes": op8_quotes,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
 }
