@@ -1,4 +1,6 @@
 """All queries of the library outside the llm subpackage, with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import q_chunking  # noqa: F401
+from .plans.catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
