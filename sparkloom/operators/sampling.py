@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 MODULUS = 4294967296
 
 
@@ -32,16 +34,16 @@ def spread(n: int, k: int) -> list[int]:
     return sorted(chosen)
 
 
-def smart(rows: DataFrame, by: str, order: str, k: int = 10) -> DataFrame:
-    """A spread sample of each group's ordered rows.
+def smart(rows: DataFrame, by: str, order: str, k: int = 10, width: int = 1_000_000) -> DataFrame:
+    """A spread sample of each group's rows in the order of a whole-number column.
 
-    Positions come from the group's size alone; rows keep one number each.
+    Positions come from the group's size alone; ranks go by ranges of ``width``.
     """
     sizes = rows.groupBy(by).agg(F.count("*").alias("_n"))
     positions = F.pandas_udf(lambda n: pd.Series([spread(int(x), k) for x in n]), "array<int>")
     wanted = sizes.select(by, F.explode(positions("_n")).alias("_at"))
-    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
-    return numbered.join(wanted, [by, "_at"], "left_semi").drop("_at")
+    numbered = ranked(rows, [F.col(by)], F.floor(F.col(order) / width), [order]).withColumn("_at", (F.col("_rank") - 1).cast("int"))
+    return numbered.join(wanted, [by, "_at"], "left_semi").drop("_at", "_rank", "_total")
 
 
 def positional(rows: DataFrame, by: str, order: str, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -81,21 +83,15 @@ def diverse(rows: DataFrame, by: str, key: str, content: str, k: int, candidates
 def split(rows: DataFrame, key: str, test: float = 0.2, val: float = 0.1, by: str | None = None, seed: int = 42) -> DataFrame:
     """``rows`` with split train, val or test, exact shares overall or per stratum.
 
-    The rank in hash order is found by buckets of the hash: counts per bucket are
-    summed up to offsets, and ranks within a bucket are added, so no task sorts all.
+    Ranks go by buckets of the hash, so that no task sorts a whole stratum.
     """
     if not 0 <= test < 1 or not 0 <= val < 1 or test + val >= 1:
         raise ValueError("shares must be at least 0 and leave some for training")
-    group = [F.col(by).alias("_g")] if by else [F.lit(0).alias("_g")]
-    staged = rows.select("*", *group, hashed(key, seed).alias("_h")).withColumn("_b", F.floor(F.col("_h") / (MODULUS // 1024)).cast("int"))
-    counts = staged.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_g", "_b", before.alias("_before"), F.sum("_n").over(Window.partitionBy("_g")).alias("_total"))
-    within = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", key))
-    ranked = staged.withColumn("_w", within).join(offsets, ["_g", "_b"]).withColumn("_rank", F.col("_before") + F.col("_w"))
+    h = hashed(key, seed)
+    rows = ranked(rows, [F.col(by)] if by else [], F.floor(h / (MODULUS // 1024)).cast("int"), [h, key])
     n_test, n_val = F.floor(F.col("_total") * test), F.floor(F.col("_total") * val)
     name = F.when(F.col("_rank") <= n_test, "test").when(F.col("_rank") <= n_test + n_val, "val").otherwise("train")
-    return ranked.withColumn("split", name).drop("_g", "_h", "_b", "_before", "_total", "_w", "_rank")
+    return rows.withColumn("split", name).drop("_rank", "_total")
 
 
 def folds(rows: DataFrame, key: str, k: int = 5, group: str | None = None, seed: int = 42) -> DataFrame:
@@ -110,11 +106,10 @@ def adversarial(rows: DataFrame, key: str, share: float = 0.1, seed: int = 7) ->
     return rows.orderBy(hashed(key, seed), key).limit(n).withColumns({"is_adversarial": F.lit(True), "original_index": F.col(key), "adversarial_type": F.lit("paraphrase")})
 
 
-def batches(rows: DataFrame, sampled: DataFrame, key: str, size: int) -> DataFrame:
-    """What is not in the sample, dealt into batches of ``size`` in key order of ranges."""
-    rest = rows.join(sampled.select(key).distinct(), key, "left_anti")
-    number = F.floor((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1) / size).cast("int")
-    return rest.select(key).withColumn("batch", number)
+def batches(rows: DataFrame, sampled: DataFrame, key: str, size: int, width: int = 1_000_000) -> DataFrame:
+    """What is not in the sample, dealt into batches of ``size`` in the order of a whole-number key."""
+    rest = rows.join(sampled.select(key).distinct(), key, "left_anti").select(key)
+    return ranked(rest, [], F.floor(F.col(key) / width), [key]).select(key, F.floor((F.col("_rank") - 1) / size).cast("int").alias("batch"))
 
 
 def evaluation_bundle(rows: DataFrame, key: str, k: int = 5, test: float = 0.2, val: float = 0.1, by: str | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of the library outside the llm subpackage, with their oracle SQL."""
 
-from .plans import q_chunking, q_evaluation, q_quality, q_results, q_trees  # noqa: F401
+from .plans import q_chunking, q_evaluation, q_quality, q_results, q_streams, q_trees  # noqa: F401
 from .plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
