@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import packed, with_text
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SHARD = 1_000_000  # words that one index holds
@@ -303,12 +305,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` without the characters of hit spans; documents left without words go."""
-    hit = with_hits(docs, benchmark, width)
+    hit = with_hits(packed(docs, "text"), benchmark, width)
     spans, text = F.col("_hits.spans"), F.col("text").cast("string")
     start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("e"))
     step = lambda a, x: F.struct(F.concat(a["t"], F.substring(text, (a["e"] + 1).cast("int"), F.greatest(F.lit(0), (x["cs"] - a["e"]).cast("int")))).alias("t"), F.greatest(a["e"], x["ce"]).alias("e"))
     rest = F.aggregate(spans, start, step, lambda a: F.concat(a["t"], F.substring(text, (a["e"] + 1).cast("int"), F.length(text))))
-    left = hit.where((F.size(spans) == 0) | (covered(spans) < F.col("_hits.n_words"))).withColumn("text", F.when(F.size(spans) == 0, F.col("text")).otherwise(rest))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.size(spans) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    left = hit.where((F.size(spans) == 0) | (covered(spans) < F.col("_hits.n_words"))).withColumn("rest", F.when(F.size(spans) > 0, rest))
+    return with_text(left, docs, F.size(spans) > 0, F.col("rest"))

@@ -28,6 +28,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import packed
+
 REMEMBERED = 250_000  # cuts in a task's table
 CUT = 48  # characters of a cut that is remembered
 RESULT = "struct<ids:array<int>,round_trip:boolean>"
@@ -178,6 +180,6 @@ def encoded(model_path: str) -> Column:
 
 def tokenised(docs: DataFrame, model_path: str) -> DataFrame:
     """``docs`` with ids, n_ids and round_trip instead of text."""
-    out = docs.withColumn("_e", encoded(model_path))
-    rest = [F.col(c) for c in docs.columns if c not in ("text", "ids", "n_ids", "round_trip")]
+    out = packed(docs, "text").withColumn("_e", encoded(model_path))
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "ids", "n_ids", "round_trip")]
     return out.select(*rest, F.size("_e.ids").cast("long").alias("n_ids"), F.col("_e.ids").alias("ids"), F.col("_e.round_trip").alias("round_trip"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod
+from .shared import crc_mod, packed, unpacked
 
 CHUNK = 1 << 20
 RATIOS = 13
@@ -191,4 +191,4 @@ def by_crc() -> Column:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``docs`` without those that score below ``threshold``."""
     model = train(docs, labels, by_crc)
-    return docs.withColumn("_score", score_column(model)).where(F.col("_score") >= threshold).select(*docs.columns)
+    return unpacked(packed(docs, "text").withColumn("score", score_column(model)).where(F.col("score") >= threshold), docs.columns)

@@ -21,6 +21,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import packed, with_text
+
 # Names that stand before a secret, names that stand before a harmless token.
 SECRET_NAMES = "password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|auth"
 HARMLESS_NAMES = "commit|revision|sha1|sha256|sha512|sha|md5|crc|checksum|digest|hash|uuid|guid|etag|integrity|blob|tree|parent|build|version|id|ref|isbn|serial|example|sample|base64"
@@ -163,11 +165,9 @@ def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def masked(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every secret replaced by a mark; n_chars follows the text."""
-    out = scanned(docs)
+    out = scanned(packed(docs, "text"))
     hit = F.exists("_found", lambda f: f["score"] >= threshold)
     shown = F.concat(F.transform("_found", lambda f: F.when(f["score"] >= threshold, MARK).otherwise(f["token"])), F.array(F.lit("")))
     text = F.array_join(F.flatten(F.zip_with("_pieces", shown, lambda p, s: F.array(p, s))), "")
-    out = out.withColumn("_hit", hit).withColumn("text", F.when(F.col("_hit"), text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = out.withColumn("_hit", hit).withColumn("_text", F.when(F.col("_hit"), text))
+    return with_text(out, docs, F.col("_hit"), F.col("_text"))

@@ -47,6 +47,24 @@ def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The whole row as struct ``row`` beside some of its columns, so that no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of packed rows again, some replaced."""
+    return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in columns])
+
+
+def with_text(rows: DataFrame, docs: DataFrame, changed: Column, text: Column) -> DataFrame:
+    """Packed rows with another text where ``changed``; n_chars, if there, follows."""
+    new = {"text": F.when(changed, text).otherwise(F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return unpacked(rows, docs.columns, **new)
+
+
 def texts(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id as long and the text, whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts, written
+from .shared import packed, texts, unpacked, written
 
 CHUNK = 1 << 20  # bytes of text that are split into words at a time
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -246,7 +246,7 @@ def deduplicated(docs: DataFrame, errors: int = 3) -> DataFrame:
 
     Rows that repeat a kept doc_id are one document and stay once.
     """
-    keep = near_duplicates(docs, errors).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    unique = named.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return unique.unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = near_duplicates(docs, errors).where("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
+    rows = packed(docs, "doc_id")
+    unique = rows.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id").cast("long") == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
+    return unpacked(unique.unionByName(rows.where(F.col("doc_id").isNull())), docs.columns)
