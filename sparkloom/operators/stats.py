@@ -79,9 +79,9 @@ def moving_average(events: DataFrame, by: str, order: list[str], value: str, alp
     """
     last = F.row_number().over(Window.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])) - 1
     n = F.count("*").over(Window.partitionBy(by))
-    rows = events.select(by, F.col(value).alias("v"), last.alias("k"), n.alias("n"))
-    weight = F.when(F.col("k") == F.col("n") - 1, F.pow(F.lit(1 - alpha), F.col("k"))).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("k")))
-    return rows.groupBy(by).agg(F.sum(F.col("v") * weight).alias("ema"))
+    rows = events.select(by, F.col(value).alias("_v"), last.alias("_k"), n.alias("_n"))
+    weight = F.when(F.col("_k") == F.col("_n") - 1, F.pow(F.lit(1 - alpha), F.col("_k"))).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("_k")))
+    return rows.groupBy(by).agg(F.sum(F.col("_v") * weight).alias("ema"))
 
 
 def operation_metrics(ops: DataFrame, op: str, value: str, failed: Column) -> DataFrame:
