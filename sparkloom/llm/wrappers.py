@@ -10,9 +10,9 @@ sidebars, notices, adverts, forms, comments and lists of links are not; if the
 wrapper has articles, only what they hold is. A page is then matched against its
 host's wrapper and the text at content elements is taken, block by block.
 
-Pages of a host share few expressions: only distinct ones are shuffled, with their
-host and a salt, and folded in two steps, so that a host with most of the pages is
-no large group. Wrappers meet the pages in a join that Spark broadcasts if the
+Pages of a host share few expressions: only distinct ones are shuffled, and a host
+with more than about ``FOLDED`` of them is folded in parts, then the parts' results
+again, so that a host with most of the pages is no large group. Wrappers meet the pages in a join that Spark broadcasts if the
 written wrappers are small enough and else splits where a host is hot.
 
 Null html is empty and gives empty text; a null url or one without a host belongs
@@ -52,7 +52,7 @@ NOT_CONTENT_NAMES = frozenset(
 )
 MASTHEADS = frozenset("header masthead topbar".split())
 DEEPEST = 150
-SALTS = 64
+FOLDED = 500  # expressions of a host that one task folds
 
 
 class Element:
@@ -273,13 +273,10 @@ def _expressions(pages: pd.Series) -> pd.Series:
     return pd.Series([json.dumps(expression(parse(p)), separators=(",", ":"), ensure_ascii=False) for p in pages])
 
 
-def _folded(keys: list[str]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        every = sorted(set(rows["wrapper"]))
-        whole = merge(*(json.loads(w) for w in every))
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "wrapper": [json.dumps(whole, separators=(",", ":"), ensure_ascii=False)]})
-
-    return run
+def _folded(rows: pd.DataFrame) -> pd.DataFrame:
+    """One expression for those of a host, or of a part of them."""
+    whole = merge(*(json.loads(w) for w in sorted(set(rows["wrapper"]))))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(whole, separators=(",", ":"), ensure_ascii=False)]})
 
 
 def _extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -301,17 +298,21 @@ def host(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html").cast("string").alias("html"), found.alias("host"))
 
 
-def infer(pages: DataFrame) -> DataFrame:
+def infer(pages: DataFrame, folded: int = FOLDED) -> DataFrame:
     """host and wrapper, from all pages with a host column."""
-    distinct = pages.select("host", F.pandas_udf(_expressions, "string")("html").alias("wrapper")).distinct()
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
-    partial = salted.groupBy("host", "salt").applyInPandas(_folded(["host", "salt"]), "host string, salt int, wrapper string")
-    return partial.groupBy("host").applyInPandas(_folded(["host"]), "host string, wrapper string")
+    rows = written(pages.select("host", F.pandas_udf(_expressions, "string")("html").alias("wrapper")).distinct())
+    while True:
+        most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        parts = max(1, -(-most // folded))
+        salted = rows.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(parts)).cast("int"))
+        rows = written(salted.groupBy("host", "part").applyInPandas(_folded, "host string, wrapper string"))
+        if parts == 1:
+            return rows
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = host(pages)
-    wrappers = written(infer(rows))
+    wrappers = infer(rows)
     text = F.pandas_udf(_extracted, "string")("html", "wrapper")
     return rows.join(wrappers, "host").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -98,6 +98,16 @@ def test_wrapper_alignment():
     assert wrappers.merge(a, b) == wrappers.merge(wrappers.merge(a, b), b)
 
 
+def test_wrappers_folded_in_parts(spark):
+    """A host whose expressions are folded part by part gives the same texts."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("url", F.lit("http://one.org/"))
+    rows = wrappers.host(pages)
+    whole, parts = (wrappers.infer(rows, n).collect() for n in (500, 2))
+    assert len(whole) == len(parts) == 1
+    a, b = (wrappers.mark(wrappers.json.loads(w[0].wrapper)) for w in (whole, parts))
+    assert all(wrappers.extract(r.html, a) == wrappers.extract(r.html, b) for r in rows.collect())
+
+
 def test_main_text_of_pages(spark):
     """The pages' articles, by a plain reading of their known shape."""
     import html
@@ -162,6 +172,7 @@ def test_near_duplicates_edges(spark):
     assert got[0] == got[1] == got[2] == 0 and got[3] == got[4] == 3 and got[9] == got[5] == 5 and got[None] is None
     kept = simhash.deduplicated(docs.union(docs.where("doc_id = 5")))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 5, 6, 7, 8]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, salts=2).collect()} == got
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
