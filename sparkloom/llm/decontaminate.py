@@ -277,7 +277,7 @@ def blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str |
     return [[(r.item, r.text) for r in own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 50_000_000) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 4_000_000) -> DataFrame:
     """``docs`` with _hits: n_words, spans (of words and characters, in order) and items."""
     found = [_hits(items, width)(F.col("text").cast("string")) for items in blocks(benchmark, block_chars)]
     names = [f"_hits{k}" for k in range(len(found))]
