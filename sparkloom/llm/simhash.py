@@ -4,6 +4,8 @@ Fingerprints of 64 bits over 3-word shingles; two link if at most ``errors`` bit
 differ; classes are the connected components of the links.
 
 * The distinct fingerprints, not the documents, are joined: copies share one.
+  Documents get their class by fingerprint and a salt, so that a fingerprint with
+  most of the documents is spread over ``salts`` tasks.
 * Two fingerprints with at most 3 differing bits agree on one of any 4 disjoint
   groups of bits. Each fingerprint goes into one bucket per group. A bucket with
   more than ``bucket_rows`` fingerprints is dealt again by 4 groups of its free
@@ -229,11 +231,13 @@ def components(fps: DataFrame, errors: int = 3, bucket_rows: int = 2000, levels:
     return fps.join(label, "fp", "left").select("fp", F.coalesce("label", "first").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, errors: int = 3, bucket_rows: int = 2000) -> DataFrame:
+def near_duplicates(docs: DataFrame, errors: int = 3, bucket_rows: int = 2000, salts: int = 256) -> DataFrame:
     """doc_id, fp and component_id of every document."""
-    own = written(fingerprints(docs))
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    return own.join(components(fps, errors, bucket_rows), "fp").select("doc_id", "fp", "component_id")
+    own = written(fingerprints(docs)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    heads = own.groupBy("fp", "salt").agg(F.min("doc_id").alias("first"))
+    found = components(heads.groupBy("fp").agg(F.min("first").alias("first")), errors, bucket_rows)
+    parts = heads.select("fp", "salt").join(found, "fp")
+    return own.join(parts, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str) -> Column:
