@@ -267,7 +267,7 @@ def _hits(items: list[tuple[str, str | None]], width: int):
         for texts in batches:
             yield shard_hits([t if isinstance(t, str) else None for t in texts], w)
 
-    return hits
+    return hits.asNondeterministic()  # or a filter on the hits would search every text again
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str | None]]]:

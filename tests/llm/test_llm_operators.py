@@ -256,6 +256,11 @@ def plain_hits(docs, items):
     return out
 
 
+def test_decontamination_searches_once(spark):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert decontaminate.decontaminated(docs, items)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("block_chars", [50_000_000, 60])
 def test_contamination(spark, monkeypatch, block_chars):
     monkeypatch.setattr(decontaminate, "SHARD", 200)
