@@ -232,12 +232,14 @@ def mark(wrapper: list) -> list:
 
     articles = holds(wrapper)
 
+    def dissolved(parts: list) -> list:
+        return [d for c in parts for d in (dissolved(c[2]) if c[0] == "()" else [c])]
+
     def walk(p: list, inside: bool) -> list:
         inside = inside or is_article(p[0])
         if p[0] not in ("", "#", "()") and (not_content(p[0], inside) or (not inside and p[0].split(".")[0] in ("ul", "ol", "div", "table", "p", "section") and only_links(p))):
             return [p[0], False, []]
-        parts = [d for c in p[2] for d in (c[2] if c[0] == "()" else [c])]
-        return [p[0], inside or not articles, [walk(c, inside) for c in parts if c[0] != "#"]]
+        return [p[0], inside or not articles, [walk(c, inside) for c in dissolved(p[2]) if c[0] != "#"]]
 
     return walk(wrapper, False)
 

@@ -108,6 +108,19 @@ def test_wrappers_folded_in_parts(spark):
     assert all(wrappers.extract(r.html, a) == wrappers.extract(r.html, b) for r in rows.collect())
 
 
+def test_groups_inside_groups():
+    """Every word of parts that fold to a group inside a group is there."""
+    paragraph = "<p>" + "w0 <a>w1</a> w2 <a>w3</a> w4 <em>w5</em> " * 2 + "</p>"
+    rows = ("<h2>w6</h2><p>w7</p>" * 2 + "<ul><li>w8</li></ul>") * 2
+    one = lambda h: wrappers.expression(wrappers.parse(h))
+    depth = lambda p: (p[0] == "()") + max(map(depth, p[2]), default=0)
+    for body in (paragraph, rows, paragraph + rows):
+        page = f"<article>{body}</article>"
+        whole = wrappers.merge(one(page), one(page.replace("</article>", "<div>w9</div></article>")))
+        assert depth(whole) > 1
+        assert re.findall(r"w\d", wrappers.extract(page, wrappers.mark(whole))) == re.findall(r"w\d", page)
+
+
 def test_main_text_of_pages(spark):
     """The pages' articles, by a plain reading of their known shape."""
     import html
