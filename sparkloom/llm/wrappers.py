@@ -6,9 +6,9 @@ elements, become a repeated group, and text becomes a slot. The expressions of a
 host are aligned one after another: what matches is merged, what one of them lacks
 becomes optional, what one repeats becomes repeated. The result is the host's
 wrapper. Its elements are marked once as content or not: menus, headers, footers,
-sidebars, notices, adverts, forms, comments and lists of links are not; if the
-wrapper has articles, only what they hold is. A page is then matched against its
-host's wrapper and the text at content elements is taken, block by block.
+sidebars, notices, adverts, forms, comments and lists of links are not. A page is
+then matched against its host's wrapper and the text at content elements is taken,
+block by block; if elements matched in the page are articles, only what they hold is.
 
 Pages of a host share few expressions: only distinct ones are shuffled, and a host
 with more than about ``FOLDED`` of them is folded in parts, then the parts' results
@@ -225,12 +225,7 @@ def only_links(part: list) -> bool:
 
 
 def mark(wrapper: list) -> list:
-    """[label, content?, parts] of a wrapper, groups dissolved: what a page is matched against."""
-
-    def holds(p: list) -> bool:
-        return not not_content(p[0], True) and (is_article(p[0]) or any(map(holds, p[2])))
-
-    articles = holds(wrapper)
+    """[label, content?, parts, in an article?] of a wrapper, groups dissolved: what a page is matched against."""
 
     def dissolved(parts: list) -> list:
         return [d for c in parts for d in (dissolved(c[2]) if c[0] == "()" else [c])]
@@ -238,27 +233,29 @@ def mark(wrapper: list) -> list:
     def walk(p: list, inside: bool) -> list:
         inside = inside or is_article(p[0])
         if p[0] not in ("", "#", "()") and (not_content(p[0], inside) or (not inside and p[0].split(".")[0] in ("ul", "ol", "div", "table", "p", "section") and only_links(p))):
-            return [p[0], False, []]
-        return [p[0], inside or not articles, [walk(c, inside) for c in dissolved(p[2]) if c[0] != "#"]]
+            return [p[0], False, [], inside]
+        return [p[0], True, [walk(c, inside) for c in dissolved(p[2]) if c[0] != "#"], inside]
 
     return walk(wrapper, False)
 
 
 def extract(page: str | None, marked: list) -> str:
-    """The text of a page at the content elements of its wrapper."""
-    blocks: list[list[str]] = [[]]
+    """The text of a page at the content elements of its wrapper, of articles only if the page has one."""
+    blocks: list[list[tuple[bool, str]]] = [[]]  # in an article?, text
+    articles = False
 
     def walk(e: Element, own: list) -> None:
+        nonlocal articles
         at, parts = 0, own[2]
+        articles = articles or own[3]
         for c in e.children:
             if isinstance(c, str):
-                if own[1]:
-                    blocks[-1].append(c)
+                blocks[-1].append((own[3], c))
                 continue
             if c.tag == "br" or c.tag in ("td", "th"):
-                blocks[-1].append(" ")
+                blocks[-1].append((own[3], " "))
             found = next((k for k in (*range(at, len(parts)), *range(at)) if parts[k][0] == c.label), None)
-            if found is None or (not parts[found][1] and not parts[found][2]):
+            if found is None or not parts[found][1]:
                 continue
             at = found
             if c.tag in BLOCKS:
@@ -268,7 +265,8 @@ def extract(page: str | None, marked: list) -> str:
                 blocks.append([])
 
     walk(parse(page), marked)
-    return "\n".join(t for t in (" ".join("".join(b).split()) for b in blocks) if t)
+    kept = ("".join(t for inside, t in b if inside or not articles) for b in blocks)
+    return "\n".join(t for t in (" ".join(k.split()) for k in kept) if t)
 
 
 def _expressions(pages: pd.Series) -> pd.Series:

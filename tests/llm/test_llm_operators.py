@@ -121,6 +121,15 @@ def test_groups_inside_groups():
         assert re.findall(r"w\d", wrappers.extract(page, wrappers.mark(whole))) == re.findall(r"w\d", page)
 
 
+def test_main_text_of_two_layouts(spark):
+    """A host's pages without an article keep their text beside those with one."""
+    nav = "<nav><a href=/>n1</a><a href=/>n2</a></nav>"
+    article, plain = f"<body>{nav}<div>x</div><article><p>one</p></article></body>", f"<body>{nav}<div><p>two</p>three</div></body>"
+    rows = [(k, u, h) for k, (u, h) in enumerate([("http://a.org/1", article), ("http://a.org/2", plain), (None, article), (None, plain), ("no host", plain)])]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "one", 1: "two\nthree", 2: "one", 3: "two\nthree", 4: "two\nthree"}
+
+
 def test_main_text_of_pages(spark):
     """The pages' articles, by a plain reading of their known shape."""
     import html
