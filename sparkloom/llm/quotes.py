@@ -34,7 +34,6 @@ from .shared import written
 QUOTE = re.compile(r"^\s{0,3}((?:>[ \t]?)+)(.*)$")
 # What mail programs write before a quote.
 ATTRIBUTION = re.compile(r"^\s*(?:On\b.{0,200}\bwrote|Am\b.{0,200}\bschrieb\b.{0,100}|Le\b.{0,200}\ba écrit|El\b.{0,200}\bescribió)\s*:\s*$")
-LEAST_LINE = 8  # characters that a line must have to be a passage of its own
 PARSED = "own string, passages array<string>, quotes array<struct<level:int,passage:string>>"
 
 
@@ -49,9 +48,7 @@ def passages(lines: list[str]) -> list[str]:
     for line in [*lines, ""]:
         if line.strip():
             paragraph.append(line)
-            one = normalised([line])
-            if len(one) >= LEAST_LINE:
-                found[one] = None
+            found[normalised([line])] = None
         elif paragraph:
             found[normalised(paragraph)] = None
             paragraph = []

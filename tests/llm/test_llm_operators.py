@@ -382,6 +382,13 @@ def test_quotes_link(spark):
     assert all(place[(r.conv_id, r.parent_turn)] < place[(r.conv_id, r.turn)] for r in got if r.parent_turn is not None)
 
 
+def test_quotes_of_short_lines(spark):
+    """A quoted line links whatever its length."""
+    rows = [(1, 0, "u", "first of all"), (1, 1, "u", "> first of all\nAgreed.\nbut there is more to say"), (1, 2, "u", "> Agreed.\nfine"), (1, 3, "u", "x\nand the rest"), (1, 4, "u", ">  X\nyes")]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.parent_turn, r.root_turn, r.depth) for r in got} == {0: (None, 0, 0), 1: (0, 0, 1), 2: (1, 0, 2), 3: (None, 3, 0), 4: (3, 3, 1)}
+
+
 def test_quotes_long_chain(spark):
     rows = [(1, k, "u", (f"> message number {k - 1} says\n" if k else "") + f"message number {k} says") for k in range(40)]
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
