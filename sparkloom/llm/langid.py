@@ -13,9 +13,10 @@ cross-entropy is above what ``reject`` of the language's texts have; temperature
 and limits come from at most ``calibration`` labelled texts, those with the
 smallest hashes of doc_id. Counts see every labelled text.
 
-The models go to the tasks in a broadcast of checked size: if the highest order has
-more than ``max_ngrams`` n-grams, those counted least go, a count at a time, as with
-the usual frequency cut-off of such models.
+No n-gram is dropped. The models go to the tasks in a broadcast if the highest order
+has at most ``max_ngrams`` n-grams. Above that they stay tables: the distinct n-grams
+of the texts are joined to each order's shares and weights, and their costs to the
+counts of n-grams by text. Both ways give the same figures.
 
 Null texts and texts without letters are ``und`` with score 0, as is everything if
 there is no labelled text. Repeated rows count and come out once each.
@@ -189,35 +190,110 @@ class Models:
         n = len(texts)
         if not self.languages:
             return pd.DataFrame({"lang_pred": [UND] * n, "score": np.zeros(n), "entropy": np.full(n, np.nan), "rejected": [True] * n})
-        h, size = self.entropies(texts)
-        best = h.argmin(1)
-        z = -(h - h.min(1, keepdims=True)) * np.minimum(size, 200)[:, None] * self.temperature
-        score = 1 / np.exp(z).sum(1)
-        none = size == 0
-        lang = np.where(none, UND, np.array(self.languages, object)[best])
-        lowest = h[np.arange(n), best]
-        return pd.DataFrame({"lang_pred": lang, "score": np.where(none, 0.0, score), "entropy": np.where(none, np.nan, lowest), "rejected": none | (lowest > self.limits[best])})
-
-
-def fit(train: DataFrame, max_ngrams: int = 3_000_000, calibration: int = 2000, reject: float = 0.995) -> Models:
-    """Models from ``train`` (doc_id, lang, text)."""
+        return decided(self.languages, self.temperature, self.limits, *self.entropies(texts))
+
+
+def decided(languages: list[str], temperature: np.ndarray, limits: np.ndarray, h: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+    """lang_pred, score, entropy and rejected from entropies by text and language."""
+    best = h.argmin(1)
+    z = -(h - h.min(1, keepdims=True)) * np.minimum(size, 200)[:, None] * temperature
+    score = 1 / np.exp(z).sum(1)
+    none = size == 0
+    lang = np.where(none, UND, np.array(languages, object)[best])
+    lowest = h[np.arange(len(h)), best]
+    return pd.DataFrame({"lang_pred": lang, "score": np.where(none, 0.0, score), "entropy": np.where(none, np.nan, lowest), "rejected": none | (lowest > limits[best])})
+
+
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of n-grams per text, of parts of a text at a time."""
+    for b in batches:
+        for row, text in zip(b["row"], b["text"], strict=True):
+            for part in parts(letters(text)):
+                grams, n = np.unique(part, return_counts=True)
+                yield pd.DataFrame({"row": row, "gram": grams.view(np.int64), "n": n})
+
+
+class Tables:
+    """The models as tables, for more n-grams than a broadcast may have."""
+
+    def __init__(self, found: DataFrame):
+        """found: lang, gram and n, each lang and gram once."""
+        two, one = (1 << 2 * BITS) - 1, ONE
+        self.languages = sorted(r.lang for r in found.select("lang").distinct().collect())
+        bi = written(found.groupBy("lang", F.col("gram").bitwiseAND(F.lit(two)).alias("gram")).agg(F.count("*").alias("n")))  # continuation counts
+        uni = written(bi.groupBy("lang", F.col("gram").bitwiseAND(F.lit(one)).alias("gram")).agg(F.count("*").alias("n")))
+        p1, w1 = self._level(uni, F.lit(0).cast("long"))
+        free = {r.lang: r.weight for r in w1.collect()}
+        vocabulary = max(1, uni.select("gram").distinct().count())
+        self.base = [free[x] / (vocabulary + 1) for x in self.languages]
+        (p2, w2), (p3, w3) = (self._level(t, F.shiftright("gram", BITS)) for t in (bi, found))
+        wide = lambda t, key, value: written(t.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", value))).alias("by")))  # noqa: E731  a row per language at most
+        self.shares = [wide(p, "gram", "share") for p in (p1, p2, p3)]
+        self.weights = [wide(w, "context", "weight") for w in (w2, w3)]
+        self.temperature = np.array(1.0)
+        self.limits = np.full(len(self.languages), np.inf)
+
+    @staticmethod
+    def _level(table: DataFrame, context: Column) -> tuple[DataFrame, DataFrame]:
+        """Discounted shares of n-grams in their contexts, and the weight each context leaves."""
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = table.groupBy("lang").agg(F.greatest(F.lit(0.1), ones / F.greatest(F.lit(1).cast("long"), ones + 2 * twos)).alias("d"))
+        rows = table.withColumn("context", context)
+        left = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(F.broadcast(discount), "lang")
+        left = written(left.withColumn("weight", F.col("d") * F.col("kinds") / F.col("total")))
+        shares = rows.join(left, ["lang", "context"]).select("lang", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share"))
+        return shares, left.select("lang", "context", "weight")
+
+    def scored(self, texts: DataFrame) -> DataFrame:
+        """row, h (cross-entropy by language) and size of the texts (row, text) that have letters."""
+        two, one = (1 << 2 * BITS) - 1, ONE
+        own = written(texts.select("row", "text").mapInPandas(_grams, "row long, gram long, n long"))
+        cost = own.select("gram").distinct()
+        cost = cost.select("gram", F.col("gram").bitwiseAND(F.lit(one)).alias("k1"), F.col("gram").bitwiseAND(F.lit(two)).alias("k2"), F.shiftright("gram", BITS).alias("c3"))
+        cost = cost.withColumn("c2", F.shiftright("k2", BITS))
+        for key, name, table in (("k1", "p1", self.shares[0]), ("k2", "p2", self.shares[1]), ("gram", "p3", self.shares[2]), ("c2", "w2", self.weights[0]), ("c3", "w3", self.weights[1])):
+            cost = cost.join(table.toDF(key, name), key, "left")
+        value = lambda name, lang, none: F.coalesce(F.try_element_at(F.col(name), F.lit(lang)), F.lit(none))
+        bits = []
+        for lang, base in zip(self.languages, self.base, strict=True):
+            p = F.lit(base) + value("p1", lang, 0.0)
+            for order in "23":
+                p = p * value(f"w{order}", lang, 1.0) + value(f"p{order}", lang, 0.0)
+            bits.append(-F.log2(F.greatest(p, F.lit(1e-30))))
+        rows = own.join(cost.select("gram", F.array(*bits).alias("cost")), "gram")
+        size = F.sum("n") + 1  # a text of letters has one trigram less than characters
+        h = F.array(*[F.sum(F.col("n") * F.col("cost")[k]) / size for k in range(len(bits))])
+        return rows.groupBy("row").agg(h.alias("h"), size.cast("double").alias("size"))
+
+    def entropies(self, texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """As of ``Models``, of ``n`` texts numbered by ``row``."""
+        h, size = np.zeros((n, len(self.languages))), np.zeros(n)
+        for r in self.scored(texts).collect():
+            h[r.row], size[r.row] = r.h, r.size
+        return h, size
+
+
+def fit(train: DataFrame, max_ngrams: int = 3_000_000, calibration: int = 2000, reject: float = 0.995) -> Models | Tables:
+    """Models from ``train`` (doc_id, lang, text); tables if there are more than ``max_ngrams`` n-grams."""
     found = written(counts(train.select("lang", "text")))
-    least, size = 1, found.count()
-    while size > max_ngrams:  # a frequency cut-off, as is usual for such models
-        least += 1
-        size = found.where(F.col("n") >= least).count()
-    rows = found.where(F.col("n") >= least).toPandas()  # at most max_ngrams rows
-    languages = sorted(rows["lang"].unique())
-    per = []
-    for lang in languages:
-        own = rows[rows["lang"] == lang]
-        grams = own["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(grams)
-        per.append((grams[order], own["n"].to_numpy()[order]))
-    models = Models(languages, per)
     sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration).toPandas()
+    if found.count() > max_ngrams:
+        models = Tables(found)
+        languages = models.languages
+        measured = lambda: models.entropies(train.sparkSession.createDataFrame(list(enumerate(sample["text"])), "row long, text string"), len(sample))
+    else:
+        rows = found.toPandas()
+        languages = sorted(rows["lang"].unique())
+        per = []
+        for lang in languages:
+            own = rows[rows["lang"] == lang]
+            grams = own["gram"].to_numpy().view(np.uint64)
+            order = np.argsort(grams)
+            per.append((grams[order], own["n"].to_numpy()[order]))
+        models = Models(languages, per)
+        measured = lambda: models.entropies(list(sample["text"]))
     if len(sample) and languages:
-        h, size = models.entropies(list(sample["text"]))
+        h, size = measured()
         at = np.array([languages.index(x) if x in languages else -1 for x in sample["lang"]])
         ok = (at >= 0) & (size > 0)
         h, size, at = h[ok], size[ok], at[ok]
@@ -231,8 +307,10 @@ def fit(train: DataFrame, max_ngrams: int = 3_000_000, calibration: int = 2000,
     return models
 
 
-def predictions(docs: DataFrame, models: Models) -> DataFrame:
+def predictions(docs: DataFrame, models: Models | Tables) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy and rejected of every document."""
+    if isinstance(models, Tables):
+        return _joined(docs, models)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
@@ -242,6 +320,21 @@ def predictions(docs: DataFrame, models: Models) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), by_crc().alias("held_out"), predict(F.col("text").cast("string")).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def _joined(docs: DataFrame, models: Tables) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), by_crc().alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    languages, temperature, limits = models.languages, models.temperature, models.limits
+
+    @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
+    def decide(h: pd.Series, size: pd.Series) -> pd.DataFrame:
+        return decided(languages, temperature, limits, np.stack(h.to_list()) if len(h) else np.zeros((0, len(languages))), size.to_numpy())
+
+    none = F.array(*[F.lit(0.0)] * len(languages))
+    found = rows.drop("text").join(models.scored(rows), "row", "left")
+    found = found.select("doc_id", "held_out", decide(F.coalesce("h", none), F.coalesce("size", F.lit(0.0))).alias("p"))
+    return found.select("doc_id", "held_out", "p.*")
+
+
 def by_crc() -> Column:
     """Held out: crc32 of the id as text leaves 2 modulo 4."""
     return crc_mod("doc_id", 4) == 2

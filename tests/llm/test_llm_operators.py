@@ -217,6 +217,20 @@ def test_langid_edges(spark):
     assert langid.identified(docs.limit(0)).count() == 0
 
 
+def test_langid_tables_give_what_models_give(spark):
+    """With more n-grams than a broadcast may have nothing is dropped."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").unionByName(documents(spark, EDGE).select(F.lit(None).cast("long").alias("doc_id"), "lang", "text"))
+    train = docs.where(~langid.by_crc() & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    got = []
+    for most in (3_000_000, 100):
+        rows = langid.predictions(docs, langid.fit(train, max_ngrams=most)).collect()
+        key = lambda r: (r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score, np.nan_to_num(r.entropy or 0))
+        got.append(sorted(rows, key=key))
+    a, b = got
+    assert len(a) == len(b) == docs.count() and [r[:3] + r[5:] for r in a] == [r[:3] + r[5:] for r in b]
+    assert np.allclose([[r.score, r.entropy or 0] for r in a], [[r.score, r.entropy or 0] for r in b], rtol=1e-6, atol=1e-9, equal_nan=True)
+
+
 def test_langid_probabilities_sum_to_one():
     texts = ["the cat and the hat", "then that"]
     grams, n = np.unique(np.concatenate([langid.trigrams(langid.letters(t)) for t in texts]), return_counts=True)
