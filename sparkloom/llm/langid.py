@@ -2,19 +2,21 @@
 
 One interpolated Kneser-Ney model of order 3 per language, over lower-case texts
 whose runs of other characters than letters are one space. Counts of n-grams come
-from all labelled texts: tasks count their batches, Spark sums. An n-gram is a
-number of its characters' code points (21 bits each), so that each order is one
-sorted array with a column of values per language; lookups are binary searches for
-the distinct n-grams of a batch of texts.
+from all labelled texts: tasks count their batches, Spark sums. Each order is an
+array of sorted hashes of its n-grams (the hash of 3 characters of 21 bits can be
+undone, so none collide), with the languages that have the n-gram and their values,
+as many as there are; lookups are binary searches for the distinct n-grams of a
+batch of texts.
 
 A text gets the language with the lowest cross-entropy per character. Posteriors
 are calibrated with one temperature, and a text can be rejected whose best
 cross-entropy is above what ``reject`` of the language's texts have; temperature
 and limits come from at most ``calibration`` labelled texts, those with the
-smallest hashes of doc_id. Counts see every labelled text.
+smallest hashes of doc_id (a null doc_id is none of them; of repeated ids one row
+is). Counts see every labelled text.
 
 No n-gram is dropped. The models go to the tasks in a broadcast if the highest order
-has at most ``max_ngrams`` n-grams. Above that they stay tables: the distinct n-grams
+has at most ``max_ngrams`` rows of language and n-gram. Above that they stay tables: the distinct n-grams
 of the texts are joined to each order's shares and weights, and their costs to the
 counts of n-grams by text. Both ways give the same figures.
 
@@ -37,6 +39,8 @@ from .shared import crc_mod, written
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BITS = 21
 ONE = (1 << BITS) - 1
+# Odd factors of a well-known 64-bit finaliser.
+HASH_FACTORS = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 PART = 1 << 20  # characters that are counted or scored at a time
 UND = "und"
 
@@ -85,35 +89,52 @@ def counts(train: DataFrame) -> DataFrame:
     return train.mapInPandas(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def mixed(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of n-grams. Each step can be undone, so that no two n-grams share one."""
+    h = grams.astype(np.uint64)
+    for factor in HASH_FACTORS:
+        h = (h ^ (h >> np.uint64(33))) * factor
+    return h ^ (h >> np.uint64(33))
+
+
+class HashArray:
+    """Values by n-gram and language: sorted hashes, and for each the languages that have it."""
+
+    def __init__(self, per_language: list[tuple[np.ndarray, np.ndarray]]):
+        """per_language: n-grams and their values."""
+        key = np.concatenate([np.empty(0, np.uint64), *[mixed(k) for k, _ in per_language]])
+        value = np.concatenate([np.empty(0), *[v for _, v in per_language]])
+        lang = np.repeat(np.arange(len(per_language), dtype=np.int32), [len(k) for k, _ in per_language])
+        order = np.lexsort((lang, key))
+        self.keys, start = np.unique(key[order], return_index=True)
+        self.ends = np.append(start, len(order))
+        self.lang, self.value = lang[order], value[order]
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the n-grams, language, value) of all that are there."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0)
+        hashes = mixed(grams)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        own = np.flatnonzero(self.keys[at] == hashes)
+        low, n = self.ends[at[own]], self.ends[at[own] + 1] - self.ends[at[own]]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return np.repeat(own, n), self.lang[place], self.value[place]
+
+
 class Models:
-    """Sorted n-gram arrays with a column per language."""
+    """A hash array of shares for each order, and of the weights that contexts leave."""
 
-    def __init__(self, languages: list[str], rows: list[tuple[np.ndarray, np.ndarray]], cut: list[tuple[np.ndarray, np.ndarray]] | None = None):
-        """rows: per language the sorted trigrams and their counts; cut: those that are kept."""
+    def __init__(self, languages: list[str], rows: list[tuple[np.ndarray, np.ndarray]]):
+        """rows: the trigrams of each language and their counts."""
         self.languages = languages
         per = [self._model(g, n) for g, n in rows]
         vocabulary = max(1, len(np.unique(np.concatenate([p[0] for p in per])))) if per else 1
-        n = len(languages)
-        self.base = np.zeros(n)  # probability of a character never seen
-        tables: list[list] = [[], [], []]
-        for k, (u, pu, b, pb, cb, t, pt, ct, free) in enumerate(per):
-            self.base[k] = free / (vocabulary + 1)
-            for table, row in zip(tables, ((u, pu), (b, pb), (t, pt)), strict=True):
-                table.append((k, *row))
-            tables[1].append((n + k, *cb))
-            tables[2].append((n + k, *ct))
-        self.keys, self.values = [], []
-        for order, table in enumerate(tables):
-            keys = np.unique(np.concatenate([x[1] for x in table])) if table else np.empty(0, np.uint64)
-            values = np.zeros((len(keys), n * (2 if order else 1)))
-            if order:
-                values[:, n:] = 1.0
-            for k, own, value in table:
-                values[np.searchsorted(keys, own), k] = value
-            self.keys.append(keys)
-            self.values.append(values)
+        self.base = np.array([p[-1] / (vocabulary + 1) for p in per])  # probability of a character never seen
+        self.shares = [HashArray([(p[k], p[k + 1]) for p in per]) for k in (0, 2, 5)]
+        self.weights = [HashArray([p[k] for p in per]) for k in (4, 7)]
         self.temperature = np.array(1.0)
-        self.limits = np.full(n, np.inf)
+        self.limits = np.full(len(languages), np.inf)
 
     @staticmethod
     def _model(grams: np.ndarray, n: np.ndarray):
@@ -136,25 +157,17 @@ class Models:
         pu, _, wu = level(uni, cu_count.astype(float), np.zeros(len(uni), np.uint64))
         return uni, pu, bi, pb, (cb, wb), grams, pt, (ct, wt), float(wu[0]) if len(wu) else 1.0
 
-    def _find(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.keys[order]
-        if not len(own):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        return at, own[at] == keys
-
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
         """log2 of the probability of the last character of each trigram, by language."""
-        n, two, one = len(self.languages), np.uint64((1 << 2 * BITS) - 1), np.uint64(ONE)
-        bi, uni = grams & two, grams & one
+        bi, uni = grams & np.uint64((1 << 2 * BITS) - 1), grams & np.uint64(ONE)
         p = np.tile(self.base, (len(grams), 1))
-        at, ok = self._find(0, uni)
-        p[ok] += self.values[0][at[ok]]
-        for order, keys, context in ((1, bi, bi >> np.uint64(BITS)), (2, grams, grams >> np.uint64(BITS))):
-            at, ok = self._find(order, context)
-            p[ok] *= self.values[order][at[ok], n:]
-            at, ok = self._find(order, keys)
-            p[ok] += self.values[order][at[ok], :n]
+        row, lang, share = self.shares[0].find(uni)
+        p[row, lang] += share
+        for order, keys in ((1, bi), (2, grams)):
+            row, lang, weight = self.weights[order - 1].find(keys >> np.uint64(BITS))
+            p[row, lang] *= weight
+            row, lang, share = self.shares[order].find(keys)
+            p[row, lang] += share
         return np.log2(np.maximum(p, 1e-30))
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,45 +278,53 @@ class Tables:
         h = F.array(*[F.sum(F.col("n") * F.col("cost")[k]) / size for k in range(len(bits))])
         return rows.groupBy("row").agg(h.alias("h"), size.cast("double").alias("size"))
 
-    def entropies(self, texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """As of ``Models``, of ``n`` texts numbered by ``row``."""
-        h, size = np.zeros((n, len(self.languages))), np.zeros(n)
-        for r in self.scored(texts).collect():
-            h[r.row], size[r.row] = r.h, r.size
-        return h, size
+
+def calibrate(models: Models | Tables, train: DataFrame, calibration: int, reject: float) -> None:
+    """Temperature and limits from at most ``calibration`` labelled texts.
+
+    Their ids are chosen first; then texts are read, and only their entropies, a few
+    numbers each, reach the driver.
+    """
+    known = train.where("doc_id IS NOT NULL")
+    ids = known.groupBy("doc_id").agg(F.lit(1)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration)
+    sample = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.*")
+    if isinstance(models, Tables):
+        found = sample.join(models.scored(sample.select(F.col("doc_id").alias("row"), "text")), F.col("row") == F.col("doc_id")).select("doc_id", "lang", "h", "size")
+    else:
+        shared = train.sparkSession.sparkContext.broadcast(models)
+
+        @F.pandas_udf("h array<double>, size double")
+        def entropies(texts: pd.Series) -> pd.DataFrame:
+            h, size = shared.value.entropies(list(texts))
+            return pd.DataFrame({"h": list(h), "size": size})
+
+        found = sample.select("doc_id", "lang", entropies("text").alias("e")).select("doc_id", "lang", "e.*")
+    rows = found.where("size > 0").toPandas().sort_values("doc_id")
+    if not len(rows):
+        return
+    h, size, at = np.stack(rows["h"]), rows["size"].to_numpy(), np.array([models.languages.index(x) for x in rows["lang"]])
+    z = -(h - h.min(1, keepdims=True)) * np.minimum(size, 200)[:, None]
+    loss = lambda t: (np.log(np.exp(z * t).sum(1)) - (z * t)[np.arange(len(at)), at]).mean()
+    models.temperature = np.array(min((0.01 * 1.5**k for k in range(12)), key=loss))
+    for k in range(len(models.languages)):
+        if (at == k).sum() >= 20:
+            models.limits[k] = np.quantile(h[at == k, k], reject)
 
 
 def fit(train: DataFrame, max_ngrams: int = 3_000_000, calibration: int = 2000, reject: float = 0.995) -> Models | Tables:
     """Models from ``train`` (doc_id, lang, text); tables if there are more than ``max_ngrams`` n-grams."""
     found = written(counts(train.select("lang", "text")))
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration).toPandas()
     if found.count() > max_ngrams:
         models = Tables(found)
-        languages = models.languages
-        measured = lambda: models.entropies(train.sparkSession.createDataFrame(list(enumerate(sample["text"])), "row long, text string"), len(sample))
     else:
         rows = found.toPandas()
-        languages = sorted(rows["lang"].unique())
-        per = []
+        languages, per = sorted(rows["lang"].unique()), []
         for lang in languages:
-            own = rows[rows["lang"] == lang]
-            grams = own["gram"].to_numpy().view(np.uint64)
-            order = np.argsort(grams)
-            per.append((grams[order], own["n"].to_numpy()[order]))
+            own = rows[rows["lang"] == lang].sort_values("gram")
+            per.append((own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()))
         models = Models(languages, per)
-        measured = lambda: models.entropies(list(sample["text"]))
-    if len(sample) and languages:
-        h, size = measured()
-        at = np.array([languages.index(x) if x in languages else -1 for x in sample["lang"]])
-        ok = (at >= 0) & (size > 0)
-        h, size, at = h[ok], size[ok], at[ok]
-        if len(at):
-            z = -(h - h.min(1, keepdims=True)) * np.minimum(size, 200)[:, None]
-            loss = lambda t: (np.log(np.exp(z * t).sum(1)) - (z * t)[np.arange(len(at)), at]).mean()
-            models.temperature = np.array(min((0.01 * 1.5**k for k in range(12)), key=loss))
-            for k in range(len(languages)):
-                if (at == k).sum() >= 20:
-                    models.limits[k] = np.quantile(h[at == k, k], reject)
+    if models.languages:
+        calibrate(models, train, calibration, reject)
     return models
 
 

@@ -15,10 +15,12 @@ _FALLBACK: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which the cluster's machines share.
 
-    Only where that setting is missing, as in local tests, a temporary folder stands in.
+    Where that setting is missing a temporary folder stands in, in local sessions only.
     """
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _FALLBACK:
             _FALLBACK.append(tempfile.mkdtemp(prefix="sparkloom-"))
             atexit.register(_drop, _FALLBACK[0])
@@ -63,8 +65,3 @@ def with_text(rows: DataFrame, docs: DataFrame, changed: Column, text: Column) -
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
     return unpacked(rows, docs.columns, **new)
-
-
-def texts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id as long and the text, whatever other columns there are."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))

@@ -1,7 +1,7 @@
 """SimHash near-duplicate detection by a binary trie self-join (operator 3).
 
-Fingerprints of 64 bits over 3-word shingles; two link if at most ``errors`` bits
-differ; classes are the connected components of the links.
+``near_duplicates``: fingerprints of 64 bits over 3-word shingles; two link if at most
+``errors`` bits differ; classes are the connected components of the links.
 
 * The distinct fingerprints, not the documents, are joined: copies share one.
   Documents get their class by fingerprint and a salt, so that a fingerprint with
@@ -14,18 +14,38 @@ differ; classes are the connected components of the links.
 * In a bucket, pairs of trie nodes are walked together, differing bits add up and
   a pair of nodes is left as soon as they pass ``errors``. A bucket emits each
   fingerprint with its class there, never the pairs.
-* Classes of buckets are joined by passing on the smallest document id, from
-  fingerprints to bucket classes and back, until nothing changes. A key has at
-  most ``bucket_rows`` or ``4**levels`` rows there, hence no hot key.
+* Classes of buckets are joined by the smallest document id, from fingerprints to
+  bucket classes and back; labels of labels are followed too (pointer doubling), so
+  that a chain of n links takes about log2(n) rounds. A key has at most
+  ``bucket_rows`` or ``4**levels`` rows there.
 
 Nulls and texts without words have fingerprint zero and link like others. A null
 doc_id takes no part in the minimum; a class of nulls only has a null id.
 Repeated rows come out once each. An empty table gives no rows.
+
+``deduplicated``: documents whose sets of five-word shingles have a Jaccard similarity
+of ``similarity`` or more are near copies; one of each class of them stays.
+
+* Fingerprints have 128 bits here, over distinct shingles. Documents with the same
+  words are one node, with the smallest doc_id.
+* A pair of similarity s differs in about acos(2s/(1+s))/pi of the bits. A node goes
+  into one bucket for each of some sets of bits, drawn once; how many sets of how many
+  bits follows from the number of nodes, so that a bucket of unlike nodes has about 64
+  and that a pair just at ``similarity`` shares one with probability ``recall``; more
+  similar pairs do with more. In a bucket the trie walk leaves pairs of more than
+  ``errors`` differing bits. A bucket of more than ``bucket_rows`` nodes is cut into
+  blocks, and each two blocks meet in a task of their own, so no pair is left out.
+* Only nodes with a partner in their bucket meet their shingles (32 bits each), and
+  only once. A task then checks the pairs by exact Jaccard similarity, nearest first
+  and none whose nodes have already been joined, and emits classes, never pairs.
+
+There, null and wordless texts are copies of each other; fewer than five words are
+one shingle. Rows with a null doc_id stay. Rows that repeat a doc_id are one document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,12 +53,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import packed, texts, unpacked, written
+from .shared import packed, unpacked, written
 
 CHUNK = 1 << 20  # bytes of text that are split into words at a time
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 BATCH = 60_000  # fingerprints whose buckets are walked together
+PAIRS = 4000  # pairs that are checked before labels are looked at again; nodes with shingles that are held together
+LEAVES = 64  # pairs of rows that are compared without going deeper
 
 
 def word_chunks(data: bytes) -> Iterator[list[bytes]]:
@@ -76,15 +98,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(sum(1 << k for k in np.nonzero(2 * ones > total)[0].tolist()))
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+def _fingerprints(batch: pd.Series) -> pd.Series:
+    return pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, a signed long with the fingerprint's bits."""
-    return texts(docs).mapInPandas(_fingerprints, "doc_id long, fp long")
+    """doc_id and fp, a signed long with the fingerprint's bits. Ids stay in Spark: a null beside them changes none."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(_fingerprints, "long")(F.col("text").cast("string")).alias("fp"))
 
 
 def parts(errors: int, levels: int) -> list[list[int]]:
@@ -123,27 +143,30 @@ def buckets(fps: DataFrame, errors: int, bucket_rows: int, levels: int) -> list[
 def trie_pairs(fp: np.ndarray, group: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one group with at most ``errors`` differing bits; rows are sorted by group, fp.
 
-    A trie node is a range of the sorted rows. All pairs of nodes of a depth are
-    walked at once; small pairs are compared at their leaves.
+    fp has a column for every 64 bits. A trie node is a range of the sorted rows. All
+    pairs of nodes of a depth are walked at once; small pairs are compared at their leaves.
     """
+    fp = fp.reshape(len(fp), -1)
+    deepest = 64 * fp.shape[1]
     edge = np.flatnonzero(np.diff(group)) + 1
     lo, hi = np.concatenate(([0], edge)), np.concatenate((edge, [len(fp)]))
     keep = hi - lo > 1
     a0, a1 = lo[keep], hi[keep]
-    b0, b1, e = a0, a1, np.zeros(len(a0), np.int8)
+    b0, b1, e = a0, a1, np.zeros(len(a0), np.int16)
     left, right = [], []
-    for depth in range(65):
+    for depth in range(deepest + 1):
         na, nb = a1 - a0, b1 - b0
-        small = (na * nb <= 64) if depth < 64 else np.ones(len(na), bool)
+        small = (na * nb <= LEAVES) if depth < deepest else np.ones(len(na), bool)
         if small.any():
             i, j = _expand(a0[small], na[small], b0[small], nb[small])
-            near = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= errors)
+            near = (i < j) & (distance(fp[i], fp[j]) <= errors)
             left.append(i[near])
             right.append(j[near])
         a0, a1, b0, b1, e = (x[~small] for x in (a0, a1, b0, b1, e))
         if not len(a0):
             break
-        ones = np.concatenate(([0], np.cumsum((fp >> np.uint64(63 - depth)) & np.uint64(1)))).astype(np.int64)
+        bit = (fp[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
+        ones = np.concatenate(([0], np.cumsum(bit))).astype(np.int64)
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         own = a0 == b0  # a node with itself: its two mixed pairs are the same
         nodes = [(a0, am, b0, bm, e), (am, a1, bm, b1, e), (a0, am, bm, b1, e + 1)]
@@ -156,6 +179,11 @@ def trie_pairs(fp: np.ndarray, group: np.ndarray, errors: int) -> tuple[np.ndarr
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit columns."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 def _expand(a0, na, b0, nb):
     """All index pairs of ranges (a0, na) with (b0, nb)."""
     size = na * nb
@@ -181,35 +209,58 @@ def classes(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _bucket_classes(errors: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows arrive sorted by key; whole buckets are walked, many at once."""
+def _whole_buckets(run: Callable[[pd.DataFrame], pd.DataFrame], least: int):
+    """For rows sorted by key: whole buckets go to ``run``, at least ``least`` rows at once."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         rows = 0
         for b in batches:
             held.append(b)
             rows += len(b)
-            if rows >= BATCH:
+            if rows >= least:
                 all_ = pd.concat(held)
                 cut = int(np.searchsorted(all_["key"].to_numpy(), all_["key"].iloc[-1]))
                 if cut:
-                    yield _walk(all_.iloc[:cut], errors)
+                    yield run(all_.iloc[:cut])
                 held = [all_.iloc[cut:]]
                 rows = len(held[0])
         if rows:
-            yield _walk(pd.concat(held), errors)
+            yield run(pd.concat(held))
 
-    return run
+    return walk
 
 
-def _walk(rows: pd.DataFrame, errors: int) -> pd.DataFrame:
-    fp, key = rows["fp"].to_numpy().view(np.uint64), rows["key"].to_numpy()
-    order = np.lexsort((fp, key))
-    fp, key = fp[order], key[order]
-    i, j = trie_pairs(fp, key, errors)
-    root = classes(len(fp), i, j)
-    linked = np.unique(np.concatenate((i, j)))
-    return pd.DataFrame({"fp": fp[linked].view(np.int64), "key": key[linked], "root": fp[root[linked]].view(np.int64)})
+def _bucket_classes(errors: int):
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        fp, key = rows["fp"].to_numpy().view(np.uint64), rows["key"].to_numpy()
+        order = np.lexsort((fp, key))
+        fp, key = fp[order], key[order]
+        i, j = trie_pairs(fp, key, errors)
+        root = classes(len(fp), i, j)
+        linked = np.unique(np.concatenate((i, j)))
+        return pd.DataFrame({"fp": fp[linked].view(np.int64), "key": key[linked], "root": fp[root[linked]].view(np.int64)})
+
+    return _whole_buckets(walk, BATCH)
+
+
+def joined(members: DataFrame) -> DataFrame:
+    """node and label: the smallest node reachable; members: node and class, nodes of any type that has an order.
+
+    Every round a node, and the label it has, take the smallest label of the node's
+    classes; then a label is replaced by its own label.
+    """
+    label = written(members.select("node").distinct().withColumn("label", F.col("node")))
+    while True:
+        low = members.join(label, "node").groupBy("class").agg(F.min("label").alias("low"))
+        near = members.join(low, "class").groupBy("node").agg(F.min("low").alias("low")).join(label, "node")
+        hooks = near.select(F.explode(F.array(F.struct(F.col("node"), F.col("low")), F.struct(F.col("label").alias("node"), F.col("low")))).alias("h")).select("h.*")
+        hooked = written(hooks.groupBy("node").agg(F.min("low").alias("low")).join(label, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")))
+        upper = hooked.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        label = written(hooked.join(upper, "label").select("node", F.col("top").alias("label"), (F.col("top") < F.col("was")).alias("moved")))
+        if label.where("moved").isEmpty():
+            return label.select("node", "label")
+        label = label.select("node", "label")
 
 
 def components(fps: DataFrame, errors: int = 3, bucket_rows: int = 2000, levels: int = 5) -> DataFrame:
@@ -218,17 +269,11 @@ def components(fps: DataFrame, errors: int = 3, bucket_rows: int = 2000, levels:
     for rows in buckets(fps, errors, bucket_rows, levels):
         found = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_classes(errors), "fp long, key long, root long")
         members = found if members is None else members.unionByName(found)
-    members = written(members.select("fp", F.xxhash64("key", "root").alias("class")))
-    label = written(members.select("fp").distinct().join(fps, "fp").select("fp", F.col("first").alias("label")))
-    while True:
-        low = members.join(label, "fp").groupBy("class").agg(F.min("label").alias("low"))
-        new = members.join(low, "class").groupBy("fp").agg(F.min("low").alias("low"))
-        label = written(new.join(label, "fp").select("fp", F.least("label", "low").alias("label"), (F.coalesce(F.col("low") < F.col("label"), F.col("label").isNull() & F.col("low").isNotNull())).alias("moved")))
-        moved = not label.where("moved").isEmpty()
-        label = label.select("fp", "label")
-        if not moved:
-            break
-    return fps.join(label, "fp", "left").select("fp", F.coalesce("label", "first").alias("component_id"))
+    members = members.select("fp", F.xxhash64("key", "root").alias("class")).join(fps, "fp")
+    # fingerprints of null ids only come last and have no id
+    node = F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("id"), F.col("fp").alias("fp"))
+    label = joined(written(members.select(node.alias("node"), "class"))).select("node.fp", F.col("label.id").alias("component_id"))
+    return fps.join(label, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, errors: int = 3, bucket_rows: int = 2000, salts: int = 256) -> DataFrame:
@@ -245,12 +290,151 @@ def hex16(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def deduplicated(docs: DataFrame, errors: int = 3) -> DataFrame:
-    """One document of each class, that with the smallest doc_id; rows with a null doc_id stay.
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct shingles of a whole text as rows of two 64-bit hashes."""
+    hashed, out, tail = xxhash.xxh3_128_digest, [], []
+    for words in word_chunks(text.encode("utf-8", "replace").translate(LOWER) if text else b""):
+        words = tail + words
+        n = len(words) - width + 1
+        if n > 0:
+            joined_, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            out.append(b"".join([hashed(joined_[a:b]) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)]))
+        tail = words[max(0, n) :]
+    if not out and tail:
+        out.append(hashed(b" ".join(tail)))
+    h = np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+    return h[np.unique(h[:, 0], return_index=True)[1]]
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two numbers: those that are set in over half the shingles."""
+    ones = np.zeros(128, np.int64)
+    for k, column in enumerate(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 16).T):
+        ones[8 * k : 8 * k + 8] = np.bincount(column, minlength=256) @ BITS
+    high, low = (int(sum(1 << k for k in np.nonzero(2 * half > len(h))[0].tolist())) for half in (ones[:64], ones[64:]))
+    return high, low
+
+
+def _nodes(width: int):
+    @F.pandas_udf("high long, low long, same long")
+    def nodes(texts: pd.Series) -> pd.DataFrame:
+        rows = np.zeros((len(texts), 3), np.uint64)
+        for k, text in enumerate(texts):
+            h = shingles(text, width)
+            if len(h):
+                same = xxhash.xxh64()
+                for words in word_chunks(text.encode("utf-8", "replace").translate(LOWER)):
+                    same.update(b" ".join(words) + b" ")
+                rows[k] = (*wide_fingerprint(h), same.intdigest())
+        return pd.DataFrame(rows.view(np.int64), columns=["high", "low", "same"])
+
+    return nodes
+
+
+def _sets(width: int):
+    @F.pandas_udf("binary")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, width)[:, 0].astype(np.uint32)).tobytes() for t in texts], dtype=object)
+
+    return sets
+
+
+def banding(nodes: int, similarity: float, recall: float, seed: int = 3) -> list[tuple[int, int]]:
+    """The sets of bits on which buckets agree, as masks of the two halves."""
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = max(8, int(np.ceil(np.log2(max(1, nodes) / 64))))
+    bands = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits))))
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(bands):
+        mask = sum(1 << int(b) for b in rng.choice(128, min(bits, 128), replace=False))
+        out.append((_signed(mask >> 64), _signed(mask & ((1 << 64) - 1))))
+    return out
+
+
+def near_buckets(nodes: DataFrame, masks: list[tuple[int, int]], bucket_rows: int) -> DataFrame:
+    """key, id, high and low: nodes by bucket, and by two blocks of it where it is large."""
+    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, (a, b) in enumerate(masks)])
+    key = F.explode(F.transform(bands, lambda m: F.xxhash64(m["k"], F.col("high").bitwiseAND(m["a"]), F.col("low").bitwiseAND(m["b"]))))
+    rows = nodes.select("id", "high", "low", key.alias("key"))
+    large = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).alias("blocks")))
+    if large.isEmpty():
+        return rows.select("key", "id", "high", "low")
+    rows = rows.join(large, "key", "left")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    tiles = F.when(F.col("blocks").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(block, o), F.greatest(block, o)))).otherwise(F.array("key"))
+    return rows.select(F.explode(tiles).alias("key"), "id", "high", "low")
+
+
+def _partnered(errors: int):
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows that have a partner within the error budget in their bucket."""
+        fp, key, id_ = rows[["high", "low"]].to_numpy().view(np.uint64), rows["key"].to_numpy(), rows["id"].to_numpy()
+        order = np.lexsort((fp[:, 1], fp[:, 0], key))
+        own = order[np.unique(np.concatenate(trie_pairs(fp[order], key[order], errors)))]
+        return pd.DataFrame({"key": key[own], "id": id_[own], "high": fp[own, 0].view(np.int64), "low": fp[own, 1].view(np.int64)})
+
+    return _whole_buckets(walk, BATCH)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    n = len(a) + len(b)
+    if not len(a) or not len(b) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (n - common)
+
+
+def _verified(errors: int, similarity: float):
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        """Classes of each bucket's pairs that are alike, nearest pairs first, none whose nodes are joined already."""
+        fp, key, id_ = rows[["high", "low"]].to_numpy().view(np.uint64), rows["key"].to_numpy(), rows["id"].to_numpy()
+        order = np.lexsort((fp[:, 1], fp[:, 0], key))
+        fp, key, id_ = fp[order], key[order], id_[order]
+        sets = [np.frombuffer(x, np.uint32) for x in rows["shingles"].to_numpy()[order]]
+        i, j = trie_pairs(fp, key, errors)
+        near = np.argsort(distance(fp[i], fp[j]), kind="stable")
+        i, j = i[near], j[near]
+        label, hit = np.arange(len(fp)), np.zeros(len(fp), bool)
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            open_ = label[a] != label[b]
+            left, right = [], []
+            for x, y in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+                if label[x] != label[y] and alike(sets[x], sets[y], similarity):
+                    label[label == max(label[x], label[y])] = min(label[x], label[y])
+                    left.append(x)
+                    right.append(y)
+            hit[left], hit[right] = True, True
+        return pd.DataFrame({"node": id_[hit], "key": key[hit], "root": id_[label[hit]]})
+
+    return _whole_buckets(walk, PAIRS)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 28, recall: float = 0.95, bucket_rows: int = 2000) -> DataFrame:
+    """node and label of documents that stand for all with the same words, and have near copies: doc_id, and the smallest of the class."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nodes = written(rows.select("doc_id", _nodes(words)("text").alias("n")).select("doc_id", "n.*").groupBy("high", "low", "same").agg(F.min("doc_id").alias("id")))
+    found = near_buckets(nodes, banding(nodes.count(), similarity, recall), bucket_rows)
+    found = written(found.repartition("key").sortWithinPartitions("key").mapInPandas(_partnered(errors), "key long, id long, high long, low long"))
+    sets = rows.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = written(sets.select(F.col("doc_id").alias("id"), _sets(words)("text").alias("shingles")))
+    found = found.join(sets, "id").repartition("key").sortWithinPartitions("key")
+    found = found.mapInPandas(_verified(errors, similarity), "node long, key long, root long")
+    members = written(found.select("node", F.xxhash64("key", "root").alias("class")))
+    return nodes.select(F.col("id").alias("node")).distinct().join(joined(members), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each class of near copies, that with the smallest doc_id; rows with a null doc_id stay.
 
     Rows that repeat a kept doc_id are one document and stay once.
     """
-    keep = near_duplicates(docs, errors).where("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
+    keep = near_copies(docs, words, similarity).where("node = label").select(F.col("node").alias("keep"))
     rows = packed(docs, "doc_id")
     unique = rows.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id").cast("long") == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
     return unpacked(unique.unionByName(rows.where(F.col("doc_id").isNull())), docs.columns)

@@ -198,6 +198,72 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_ids_beside_a_null_stay_exact(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big, prose(30)), (None, prose(30)), (big + 1, prose(30))], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect()} == {big, None, big + 1}
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {big, None, big + 1}
+
+
+def test_chain_of_fingerprints(spark):
+    """A chain of 40 fingerprints, each 3 bits from the next only, is one class."""
+    random.seed(40)
+    chain, links = [0], iter(random.sample(range(64), 60))
+    for k in range(1, 21):
+        chain.append(chain[-1] | sum(1 << next(links) for _ in range(3)))
+    links = iter(random.sample(range(64), 57))
+    for _ in range(19):
+        chain.append(chain[-1] ^ sum(1 << next(links) for _ in range(3)))
+    ids = random.sample(range(1000), len(chain))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for f, k in zip(chain, ids)], "fp long, first long")
+    assert len(set(chain)) == 40 and {r.component_id for r in simhash.components(df).collect()} == {min(ids)}
+
+
+def plain_sets(text, width=5):
+    words = (text or "").split()
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def plain_near_classes(rows, similarity=0.8):
+    """The smallest id reachable over pairs of at least this Jaccard similarity."""
+    ids = sorted(rows)
+    sets, label = {d: plain_sets(rows[d]) for d in ids}, {d: d for d in ids}
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if label[a] != label[b] and (x == y or (min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y))):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {d: new if v == old else v for d, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("bucket_rows", [2000, 10])
+def test_near_copies(spark, bucket_rows):
+    """Pairs at every similarity: all of 0.9 and more are found, hardly one of 0.8 is lost, none below links."""
+    random.seed(8)
+    vocabulary = ["".join(random.choices("abcdefgh", k=5)) for _ in range(3000)]
+    rows = {}
+    for k in range(120):
+        base = random.choices(vocabulary, k=random.randint(60, 200))
+        rows[3 * k] = " ".join(base)
+        for n in (1, 2):
+            copy = list(base)
+            for _ in range(random.randint(1, 6)):
+                copy[random.randrange(len(copy))] = random.choice(vocabulary)
+            rows[3 * k + n] = " ".join(copy)
+    rows |= {1000: None, 1001: "", 1002: " \n", 1003: "a b", 1004: "A  b", 1005: "a b c d e"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = plain_near_classes(rows)
+    got = {d: d for d in rows} | {r.node: r.label for r in simhash.near_copies(docs, bucket_rows=bucket_rows).collect()}
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    assert kept == {d for d in rows if got[d] == d and d not in (1001, 1002, 1004)}
+    pure = [d for d in rows if d < 1000]
+    assert all(want[got[d]] == want[d] for d in pure), "only pairs that are alike link"
+    lost = [d for d in pure if got[d] != want[d]]
+    assert len(lost) <= 0.05 * sum(want[d] != d for d in pure)
+
+
 # -- 4 ------------------------------------------------------------------------------
 
 
@@ -241,6 +307,62 @@ def test_langid_probabilities_sum_to_one():
     assert abs(p.sum() - 1) < 1e-9
 
 
+class PlainKneserNey:
+    """Counts in dictionaries and the textbook recursion, for one language."""
+
+    def __init__(self, texts):
+        self.n = [{}, {}, {}]
+        for t in texts:
+            if t := langid.letters(t):
+                t = " " + t
+                for k in range(len(t) - 2):
+                    self.n[2][t[k : k + 3]] = self.n[2].get(t[k : k + 3], 0) + 1
+        for order in (1, 0):
+            for gram in self.n[order + 1]:
+                self.n[order][gram[1:]] = self.n[order].get(gram[1:], 0) + 1
+
+    def share(self, order, gram):
+        counts = self.n[order]
+        ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+        d = max(0.1, ones / max(1, ones + 2 * twos))
+        own = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        return (max(counts.get(gram, 0) - d, 0) / sum(own), d * len(own) / sum(own)) if own else (0.0, 1.0)
+
+    def probability(self, gram, vocabulary):
+        p = 1 / (vocabulary + 1)
+        for order in range(3):
+            share, left = self.share(order, gram[2 - order :])
+            p = share + left * p
+        return p
+
+
+def test_langid_against_plain_kneser_ney():
+    random.seed(12)
+    texts = {k: ["".join(random.choices(letters, k=random.randint(1, 80))) for _ in range(12)] for k, letters in (("a", "abcd é"), ("b", "bcdef g"), ("c", "xyz中文"))}
+    rows = [tuple(np.unique(np.concatenate([langid.trigrams(langid.letters(t)) for t in own if langid.letters(t)]), return_counts=True)) for own in texts.values()]
+    models, plain = langid.Models(list(texts), rows), [PlainKneserNey(t) for t in texts.values()]
+    vocabulary = len({c for m in plain for c in m.n[0]})
+    for t in ["abc dé f", "xyz 中 q", "zzz", "gggg abcd", *texts["b"][:3]]:
+        t = langid.letters(t)
+        if not t:
+            continue
+        want = [[np.log2(m.probability((" " + t)[k : k + 3], vocabulary)) for m in plain] for k in range(len(t) - 1)]
+        assert np.allclose(models.log_probability(langid.trigrams(t)), want)
+
+
+def test_langid_hashes_can_be_undone():
+    grams = np.arange(200_000, dtype=np.uint64) * np.uint64(1 << 40) + np.arange(200_000, dtype=np.uint64)
+    assert len(np.unique(langid.mixed(grams))) == len(grams)
+
+
+def test_langid_calibration_reads_few_rows_to_the_driver(spark):
+    """Texts of the calibration don't reach the driver: its rows hold numbers."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    train = docs.where(~langid.by_crc() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    m = langid.fit(train, calibration=50)
+    assert m.temperature > 0 and langid.fit(train.unionByName(train), calibration=50).temperature == m.temperature
+
+
 def test_langid_parts(monkeypatch):
     text = langid.letters(prose(50))
     whole = langid.trigrams(text)
@@ -479,8 +601,7 @@ def test_pipeline_against_brute_force(spark):
     assert kept == scored
     rows = {r.doc_id: r.text for r in first.collect()}
     second = {r.doc_id for r in P.near_duplicates(spark, first, SF).collect()}
-    classes = brute_classes_of({d: plain_fingerprint(t) for d, t in rows.items()})
-    assert second == set(classes.values())
+    assert second == set(plain_near_classes(rows).values())
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     third = {r.doc_id: r.text for r in P.decontamination(spark, first.where(F.col("doc_id").isin(*second)), SF).collect()}
     hits = plain_hits([(d, rows[d]) for d in second], items)
@@ -488,15 +609,3 @@ def test_pipeline_against_brute_force(spark):
     assert {d for d, t in third.items() if t != rows[d]} == {d for d in third if hits[d][1]}
     whole = P.run(spark, SF)
     assert {r.doc_id for r in whole.collect()} == set(third) and whole.where("NOT round_trip").count() == 0
-
-
-def brute_classes_of(fps):
-    label = {d: d for d in fps}
-    changed = True
-    while changed:
-        changed = False
-        for d, f in fps.items():
-            low = min(label[e] for e, g in fps.items() if (f ^ g).bit_count() <= 3)
-            if low < label[d]:
-                label[d], changed = low, True
-    return label
