@@ -6,7 +6,8 @@ Null texts count as empty. Python's notion of a word character is Unicode's, hen
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,9 +28,14 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, wherever ``f`` uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def words(c: Column) -> Column:
     """Parts between white space."""
-    return F.filter(F.split(text(c), r"\s+"), lambda t: t != "")
+    return F.regexp_extract_all(text(c), F.lit(r"\S+"), F.lit(0))
 
 
 def tokens(c: Column) -> Column:
@@ -39,18 +45,14 @@ def tokens(c: Column) -> Column:
 
 def sentence_count(c: Column) -> Column:
     """Parts between runs of ``.!?`` that are not blank."""
-    return F.size(F.filter(F.split(F.trim(text(c)), "[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != ""))
-
-
-def syllables_of(word: Column) -> Column:
-    """Vowel groups of a lower-case word, one less for a final e, at least one; none without word characters."""
-    w = F.regexp_replace(word, r"(?U)[^\w]", "")
-    n = F.regexp_count(w, F.lit("[aeiouy]+"))
-    return F.when(w == "", 0).otherwise(F.greatest(F.lit(1), n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0)))
+    return F.regexp_count(text(c), F.lit(r"[^.!?\s][^.!?]*"))
 
 
 def syllable_count(c: Column) -> Column:
-    return F.aggregate(tokens(c), F.lit(0), lambda a, w: a + syllables_of(w))
+    """Vowel groups of all lower-case words, one less for a word's final e, at least one a word; none without word characters."""
+    t = F.regexp_replace(F.lower(text(c)), r"(?U)[^\w \t\n\x0B\f\r]+", "")
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    return count("[aeiouy]+") + count(r"(?<!\S)[^aeiouy\s]++(?!\S)") - count(r"[aeiouy][^aeiouy\s]\S*+(?<=e)")
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -68,7 +70,7 @@ def complexity(c: Column) -> Column:
     """Word length, share of distinct words and sentence length as 0 to 1; null without words."""
     w = words(c)
     n = F.size(w)
-    length = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / n
+    length = F.length(F.regexp_replace(text(c), r"\s+", "")) / n
     distinct = F.size(F.array_distinct(w)) / n
     per_sentence = n / F.greatest(F.lit(1), sentence_count(c))
     score = (length - 4) / F.lit(6.0) * F.lit(0.4) + distinct * F.lit(0.3) + (per_sentence - 10) / F.lit(20.0) * F.lit(0.3)
@@ -110,14 +112,14 @@ def top_frequency(w: Column) -> Column:
         run = F.when(a["last"] == x, a["run"] + 1).otherwise(1)
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["top"], run).alias("top"))
 
-    return F.aggregate(F.array_sort(w), start, step)["top"]
+    return F.aggregate(F.sort_array(w), start, step)["top"]
 
 
 def information_density(c: Column, terms: Sequence[str] = DENSITY_TERMS) -> Column:
     """Length, distinct words, concentration and terms as one score; 0 for blank texts."""
     w = words(c)
     n = F.size(w)
-    known = F.size(F.filter(w, lambda x: F.lower(x).isin(*terms)))
+    known = F.regexp_count(F.lower(text(c)), F.lit(rf"(?<!\S)(?:{'|'.join(map(re.escape, terms))})(?!\S)"))
     score = (
         F.least(F.lit(1.0), F.length(text(c)) / 1000) * F.lit(0.3)
         + F.size(F.array_distinct(w)) / n * F.lit(0.3)

@@ -7,9 +7,11 @@ document (``cross_file``) needs rows in order.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,13 +72,63 @@ class Token:
         _sizes(self.size, self.overlap)
 
     def column(self, c: Column) -> Column:
-        w = X.words(c)
-        return F.transform(windows(F.size(w), self.size, self.overlap), lambda s: F.array_join(F.slice(w, s + 1, F.lit(self.size)), " "))
+        return X.bound(X.words(c), lambda w: F.transform(windows(F.size(w), self.size, self.overlap), lambda s: F.array_join(F.slice(w, s + 1, F.lit(self.size)), " ")))
 
     def unfinished(self, last: Column) -> Column:
         return F.size(X.words(last)) < F.lit(0.8) * self.size
 
 
+@dataclass(frozen=True)
+class Bpe:
+    """Windows of tokens of a byte-level vocabulary: a file of ranks and the pattern that splits texts.
+
+    Each window is decoded by itself, so that one which ends inside a character has a
+    replacement there, as usual for token chunks. None for blank texts.
+    """
+
+    ranks: str
+    pattern: str
+    size: int = 512
+    overlap: int = 0
+
+    def __post_init__(self):
+        _sizes(self.size, self.overlap)
+
+    def column(self, c: Column) -> Column:
+        self._content  # noqa: B018  read here, not in the tasks
+        return F.pandas_udf(self._cut, "array<string>")(X.text(c))
+
+    def _encoding(self):
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self._content.splitlines())}
+        return tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def _content(self) -> bytes:
+        """The vocabulary as read on the driver; it goes to the tasks with the function."""
+        with open(self.ranks, "rb") as f:
+            return f.read()
+
+    def _cut(self, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoding = self._encoding()
+        for texts in batches:
+            out = []
+            for t in texts:
+                ids = encoding.encode_ordinary(t) if t.strip() else []
+                out.append([encoding.decode(ids[k : k + self.size]) for k in range(0, len(ids), self.size - self.overlap)])
+            yield pd.Series(out, dtype=object)
+
+    def unfinished(self, last: Column) -> Column:
+        size = F.pandas_udf(self._count, "int")(last)
+        return size < F.lit(0.8) * self.size
+
+    def _count(self, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoding = self._encoding()
+        for texts in batches:
+            yield pd.Series([len(encoding.encode_ordinary(t or "")) for t in texts], dtype="int32")
+
+
 @dataclass(frozen=True)
 class Delimiter:
     """Parts between literal delimiters, trimmed, blanks dropped."""
@@ -164,7 +216,7 @@ class Headings:
         return (F.length(last) < 200) | ~last.rlike(r'[.!?"]\s*$')
 
 
-Strategy = Character | Token | Delimiter | Schema | Headings
+Strategy = Character | Token | Bpe | Delimiter | Schema | Headings
 
 
 def chunk(docs: DataFrame, strategy: Strategy, content: str = "text", max_bytes: int | None = MAX_BYTES) -> DataFrame:

@@ -7,6 +7,9 @@ that breaks ties in time.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,41 +88,78 @@ def parse_answer(answer: Column, task: str) -> Column:
     return out
 
 
+# The text columns of benchmark tasks, and the split that is evaluated.
+TASK_COLUMNS = {
+    "cola": ("sentence",), "sst2": ("sentence",), "mrpc": ("sentence1", "sentence2"), "qqp": ("question1", "question2"),
+    "mnli": ("premise", "hypothesis"), "qnli": ("question", "sentence"), "rte": ("sentence1", "sentence2"), "wnli": ("sentence1", "sentence2"),
+}
+TASK_SPLIT = {"mnli": "validation_matched"}
+
+
+def task_inputs(rows: DataFrame, task: str) -> DataFrame:
+    """text and label of a task's rows; pairs are joined by [SEP]."""
+    return rows.select(F.concat_ws(" [SEP] ", *TASK_COLUMNS[task]).alias("text"), F.col("label"))
+
+
+def task_scores(pairs: DataFrame) -> DataFrame:
+    """task, n, accuracy, f1 and Matthews' correlation of 0/1 predictions, all from one aggregate; other classes count for accuracy only."""
+    p, y = F.col("prediction"), F.col("label")
+    cells = {"tp": (p == 1) & (y == 1), "fp": (p == 1) & (y == 0), "fn": (p == 0) & (y == 1), "tn": (p == 0) & (y == 0)}
+    out = pairs.groupBy("task").agg(F.count("*").alias("n"), F.avg((p == y).cast("double")).alias("accuracy"), *[F.count_if(c).alias(k) for k, c in cells.items()])
+    f1 = _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    return out.select("task", "n", "accuracy", f1.alias("f1"), matthews().alias("mcc"))
+
+
+def merged_metrics(results: DataFrame) -> DataFrame:
+    """benchmark, task, metric and value of several results: of one metric the last written."""
+    return results.groupBy("benchmark", "task", "metric").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+
+
 # -- generation -------------------------------------------------------------------
 
 
-def ngrams(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda k: F.array_join(F.slice(w, k, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+OVERLAP = "struct<matches:long,in_prediction:long,in_reference:long>"
+
+
+def _overlap(a: list[str], b: list[str], n: int) -> tuple[int, int, int]:
+    first, second = (Counter(zip(*(w[k:] for k in range(n)), strict=False)) for w in (a, b))
+    return sum(min(c, second[g]) for g, c in first.items()), max(0, len(a) - n + 1), max(0, len(b) - n + 1)
+
+
+def overlaps(prediction: Column, reference: Column, orders: Sequence[int]) -> Column:
+    """Per order n: matches, in_prediction and in_reference of n-grams of lower-case words.
+
+    A match counts as often as both texts have it. All is counted in the row: no shuffle.
+    """
 
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = ((WORD.findall(x), WORD.findall(y)) for x, y in zip(a, b, strict=True))
+        return pd.Series([[dict(zip(("matches", "in_prediction", "in_reference"), _overlap(x, y, n), strict=True)) for n in orders] for x, y in pairs], dtype=object)
 
-def clipped(pairs: DataFrame, n: int, key: str) -> DataFrame:
-    """key, matches, in_prediction and in_reference of n-grams; a match counts as often as both have it."""
-    side = lambda c: pairs.select(key, F.explode(ngrams(X.tokens(F.col(c)), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias(c))
-    both = side("prediction").join(side("reference"), [key, "g"])
-    matches = both.groupBy(key).agg(F.sum(F.least("prediction", "reference")).alias("matches"))
-    sizes = pairs.select(key, *[F.greatest(F.lit(0), F.size(X.tokens(F.col(c))) - n + 1).alias(f"in_{c}") for c in ("prediction", "reference")])
-    return sizes.join(matches, key, "left").select(key, F.coalesce("matches", F.lit(0)).alias("matches"), "in_prediction", "in_reference")
+    return F.pandas_udf(count, f"array<{OVERLAP}>")(F.lower(X.text(prediction)), F.lower(X.text(reference)))
 
 
-def bleu(pairs: DataFrame, key: str, most: int = 4) -> DataFrame:
+def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     """Corpus BLEU over words: clipped precisions up to ``most`` and the brevity penalty."""
-    out = None
-    for n in range(1, most + 1):
-        one = clipped(pairs, n, key).agg((F.sum("matches") / F.nullif(F.sum("in_prediction"), F.lit(0))).alias(f"p{n}"))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    sizes = pairs.agg(F.sum(F.size(X.tokens(F.col("prediction")))).alias("c"), F.sum(F.size(X.tokens(F.col("reference")))).alias("r"))
-    out = out.crossJoin(sizes)
+    rows = pairs.select(overlaps(F.col("prediction"), F.col("reference"), range(1, most + 1)).alias("o"))
+    total = lambda name, k: F.sum(F.col("o")[k][name])
+    out = rows.agg(*[(total("matches", n - 1) / F.nullif(total("in_prediction", n - 1), F.lit(0))).alias(f"p{n}") for n in range(1, most + 1)], total("in_prediction", 0).alias("c"), total("in_reference", 0).alias("r"))
     penalty = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("c")))
     logs = sum((F.log(F.col(f"p{n}")) for n in range(2, most + 1)), F.log(F.col("p1")))
-    zero = F.least(*[F.coalesce(F.col(f"p{n}"), F.lit(0.0)) for n in range(1, most + 1)]) == 0
+    zero = F.least(*[F.coalesce(F.col(f"p{n}"), F.lit(0.0)) for n in range(1, most + 1)]) == 0 if most > 1 else F.coalesce("p1", F.lit(0.0)) == 0
     return out.withColumn("brevity", penalty).withColumn("bleu", F.when(zero, 0.0).otherwise(F.col("brevity") * F.exp(logs / most))).drop("c", "r")
 
 
-def rouge(pairs: DataFrame, key: str, n: int) -> DataFrame:
-    """Mean precision, recall and F of shared n-grams."""
-    p, r = _ratio(F.col("matches"), F.col("in_prediction")), _ratio(F.col("matches"), F.col("in_reference"))
-    rows = clipped(pairs, n, key).select(p.alias("p"), r.alias("r"), _ratio(2 * p * r, p + r).alias("f"))
-    return rows.agg(*[F.avg(c).alias(f"rouge{n}_{c}") for c in ("p", "r", "f")])
+def rouge(pairs: DataFrame, *orders: int) -> DataFrame:
+    """Mean precision, recall and F of shared n-grams, for each order."""
+    rows = pairs.select(overlaps(F.col("prediction"), F.col("reference"), orders).alias("o"))
+    means = []
+    for k, n in enumerate(orders):
+        o = F.col("o")[k]
+        p, r = _ratio(o["matches"], o["in_prediction"]), _ratio(o["matches"], o["in_reference"])
+        means += [F.avg(c).alias(f"rouge{n}_{name}") for name, c in (("p", p), ("r", r), ("f", _ratio(2 * p * r, p + r)))]
+    return rows.agg(*means)
 
 
 def lcs(a: list[str], b: list[str]) -> int:

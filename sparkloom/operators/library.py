@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -84,6 +84,33 @@ def create_version(versions: DataFrame, entries: DataFrame, project_id: int, nam
     return versions.unionByName(row, allowMissingColumns=True)
 
 
+def record_incremental(versions: DataFrame, changes: DataFrame, new: DataFrame, project_id: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """versions and changes after new entries came to a dataset: its next patch version, and what was added.
+
+    A dataset without a version is an error of the job that reads the result.
+    """
+    own = versions.where((F.col("project_id") == project_id) & (F.col("dataset_name") == name))
+    last = own.agg(F.max(F.struct(number().alias("v"), "version_id", "total_entries")).alias("x"), F.max("version_id").alias("m"))
+    added = new.agg(F.count("*").alias("added"))
+    v = F.col("x.v")
+    known = F.when(F.col("x").isNull(), F.raise_error(F.lit(f"no version of {name}"))).otherwise(v["patch"] + 1)
+    top = versions.agg((F.coalesce(F.max("version_id"), F.lit(0)) + 1).alias("version_id"))
+    row = last.crossJoin(added).crossJoin(top).select(  # one row each
+        F.col("version_id"), F.lit(project_id).alias("project_id"), F.lit(name).alias("dataset_name"), v["major"].alias("major"), v["minor"].alias("minor"), known.alias("patch"),
+        (F.col("x.total_entries") + F.col("added")).alias("total_entries"), "added",
+    )
+    kinds = dict(versions.dtypes)
+    made = row.select(*[F.col(c).cast(kinds[c]).alias(c) for c in row.columns if c in kinds])
+    change = row.select(F.col("version_id").cast(dict(changes.dtypes)["version_id"]).alias("version_id"), F.concat(F.lit("incremental: added "), F.col("added").cast("string"), F.lit(" entries")).alias("change"))
+    return versions.unionByName(made, allowMissingColumns=True), changes.unionByName(change, allowMissingColumns=True)
+
+
+def schema_problems(df: DataFrame, wanted: Mapping[str, str]) -> list[str]:
+    """What a result file's columns lack of the wanted names and types, before anything is read."""
+    kinds = dict(df.dtypes)
+    return [f"no column {c}" if c not in kinds else f"{c} is {kinds[c]}, not {t}" for c, t in wanted.items() if kinds.get(c) != t]
+
+
 def history(versions: DataFrame, changes: DataFrame) -> DataFrame:
     """Versions of each dataset in order with their changes as one text."""
     own = changes.groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_list("change")), ",").alias("changes"))

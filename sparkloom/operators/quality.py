@@ -7,7 +7,7 @@ features, with partial aggregation before the shuffle, and one row as result.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ DEMOGRAPHIC = {
 }
 CENTRES = {"easy": 80.0, "intermediate": 45.0, "hard": 15.0}
 THRESHOLDS = {"diversity": 0.6, "bias": 0.3, "difficulty": 0.7, "consistency": 0.8}
-TILE = 256
+TILE = 1024
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     ids: dict[str, int] = {}
     coded = [np.array([ids.setdefault(x, len(ids)) for x in w], np.int64) for w in rows["w"]]
     first, second = (np.flatnonzero(rows["block"].to_numpy() == b) for b in (rows["a"].iloc[0], rows["b"].iloc[0]))
-    size = np.array([len(c) for c in coded])
+    size, times = np.array([len(c) for c in coded]), rows["times"].to_numpy().astype(float)
     shared = np.zeros((len(first), len(second)))
     for low in range(0, max(len(ids), 1), 8192):  # parts of the vocabulary
         x, y = (np.zeros((len(part), 8192), np.float32) for part in (first, second))
@@ -134,22 +134,27 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
         shared += x @ y.T
     every = size[first][:, None] + size[second][None, :] - shared
     similar = np.where(every == 0, 1.0, shared / np.maximum(every, 1))
-    same = rows["a"].iloc[0] == rows["b"].iloc[0]
-    use = np.triu(np.ones_like(similar, bool), 1) if same else np.ones_like(similar, bool)
-    return pd.DataFrame({"category": [rows["category"].iloc[0]], "total": [float(similar[use].sum())], "pairs": [int(use.sum())]})
+    pairs = times[first][:, None] * times[second][None, :]
+    if rows["a"].iloc[0] == rows["b"].iloc[0]:
+        pairs = np.triu(pairs, 1) + np.diag(times[first] * (times[first] - 1) / 2)
+    return pd.DataFrame({"category": [rows["category"].iloc[0]], "total": [float((similar * pairs).sum())], "pairs": [int(pairs.sum())]})
 
 
 def cross_consistency(entries: DataFrame, tile: int = TILE) -> DataFrame:
     """category, n_pairs, mean_jaccard and consistency of the answers of each category.
 
-    Pairs are never rows: the answers of a category are cut into blocks of about
-    ``tile`` and a task sums the similarities of two blocks.
+    Answers of the same words are one row with their number. Pairs are never rows: the
+    rest of a category is cut into blocks of about ``tile`` by a hash of the words, the
+    same on every try of a task, and a task sums the similarities of two blocks. The
+    mean over all pairs needs every pair compared: a category of n different answers
+    takes n squared comparisons and sends each answer to n / ``tile`` tasks.
     """
-    rows = entries.where(F.trim(X.text(F.col("answer"))) != "").select(category(entries, "general").alias("category"), F.array_distinct(X.tokens(F.col("answer"))).alias("w"), F.xxhash64("answer", F.monotonically_increasing_id()).alias("h"))
+    own = entries.where(F.trim(X.text(F.col("answer"))) != "").select(category(entries, "general").alias("category"), F.array_sort(F.array_distinct(X.tokens(F.col("answer")))).alias("w"))
+    rows = own.groupBy("category", "w").agg(F.count("*").alias("times")).withColumn("h", F.xxhash64("w"))
     sizes = rows.groupBy("category").agg(F.count("*").alias("n"), (F.floor(F.count("*") / tile) + 1).cast("int").alias("blocks"))
     rows = rows.join(sizes, "category").withColumn("block", F.pmod("h", "blocks").cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.select("category", "w", "block", others.alias("o")).select("category", "w", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
+    dealt = rows.select("category", "w", "times", "block", others.alias("o")).select("category", "w", "times", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
     sums = dealt.groupBy("category", "a", "b").applyInPandas(_tile, "category string, total double, pairs long")
     found = sizes.join(sums.groupBy("category").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs")), "category")
     mean = F.col("mean_jaccard")
@@ -174,14 +179,30 @@ def consistency(entries: DataFrame, config: Config = Config()) -> DataFrame:
     return out.withColumn("score", F.when(F.size(positive) == 0, 0.0).otherwise(score))
 
 
+#: Metrics of a report by name: functions of entries and a config that give one row with a score.
+METRICS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {"diversity": diversity, "bias": bias, "difficulty": difficulty, "consistency": consistency}
+
+
+def register_metric(name: str, metric: Callable[[DataFrame, Config], DataFrame]) -> None:
+    """A metric that reports have from now on; its threshold and weight are 0.5 and 1 unless a config names them."""
+    METRICS[name] = metric
+
+
+def issues(found: DataFrame) -> DataFrame:
+    """metric and issue of a report's metrics that did not pass."""
+    how = F.when(F.col("metric") == "bias", "above").otherwise("below")
+    text = F.format_string("%s score %.3f is %s the threshold %.2f", "metric", "score", how, "threshold")
+    return found.where(~F.col("passed")).select("metric", text.alias("issue"))
+
+
 def report(entries: DataFrame, config: Config = Config()) -> DataFrame:
     """metric, score, threshold, passed, overall and adjusted of the four metrics.
 
     overall averages bias as it is; adjusted takes one minus bias. Lower bias passes.
     """
     long = None
-    for name, metric in (("diversity", diversity), ("bias", bias), ("difficulty", difficulty), ("consistency", consistency)):
-        one = metric(entries, config).select(F.lit(name).alias("metric"), F.col("score"), F.lit(config.thresholds[name]).alias("threshold"), F.lit(config.weights[name]).alias("weight"))
+    for name, metric in METRICS.items():
+        one = metric(entries, config).select(F.lit(name).alias("metric"), F.col("score"), F.lit(config.thresholds.get(name, 0.5)).alias("threshold"), F.lit(config.weights.get(name, 1.0)).alias("weight"))
         long = one if long is None else long.unionByName(one)
     lower = F.col("metric") == "bias"
     long = long.withColumn("passed", F.when(lower, F.col("score") <= F.col("threshold")).otherwise(F.col("score") >= F.col("threshold")))

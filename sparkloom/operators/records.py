@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 VERSION = ["major", "minor", "patch"]
 
 
@@ -129,34 +131,48 @@ def answer_stats(pairs: DataFrame) -> DataFrame:
 # -- metadata of documents --------------------------------------------------------
 
 
-def _first(c: Column, *patterns: str, least: int = 1, most: int = 10**9) -> Column:
-    found = [F.trim(F.regexp_extract(c, p, 1)) for p in patterns]
+# Patterns of titles, authors, dates and keywords, in the order in which they are tried.
+TITLE = (r"^#\s+(.+)$", r"^(.+)\n={3,}", r"^(.+)\n-{3,}", r"Title:\s*(.+)$")
+AUTHOR = (r"Author:\s*(.+)$", r"By:\s*(.+)$", r"Written by:\s*(.+)$", r"^(.+)\n.*(?:author|by|written)")
+DATE = (r"Date:\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"Published:\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})", r"(\d{4}-\d{2}-\d{2})")
+KEYWORDS, HEADING, BOLD = r"Keywords?:\s*(.+)$", r"^#{1,3}\s+(.+)$", r"\*\*(.+?)\*\*"
+ANY_CASE = "(?dim)"  # lines end at a line feed
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _first(c: Column, *patterns: str, clean: str = "", least: int = 1, most: int = 10**9) -> Column:
+    """The first pattern's first match of fitting length, trimmed and without what ``clean`` matches."""
+    found = [_stripped(F.regexp_extract(c, ANY_CASE + p, 1)) for p in patterns]
+    if clean:
+        found = [_stripped(F.regexp_replace(x, clean, "")) for x in found]
     return F.coalesce(*[F.when(F.length(x).between(least, most), x) for x in found])
 
 
 def title(c: Column, file_name: Column) -> Column:
-    """A named or marked title of more than five characters, else the file name in title case."""
-    stem = F.regexp_replace(F.regexp_replace(file_name, r"^.*/|\.[^.]*$", ""), "[_-]+", " ")
-    return F.coalesce(_first(c, r"(?im)^title:\s*(.+)$", r"(?m)^#\s+(.+)$", r"(?m)^([A-Z][^.!?\n]{5,100})$", r"(?is)<title>(.*?)</title>", least=6), F.initcap(stem))
+    """A marked title of more than five characters, else the file name in title case."""
+    stem = F.regexp_replace(F.regexp_replace(file_name, r"^.*/|\.[^.]*$", ""), "[_-]", " ")
+    return F.coalesce(_first(c, *TITLE, least=6), F.initcap(stem))
 
 
 def author(c: Column) -> Column:
-    found = _first(c, r"(?im)^authors?:\s*(.+)$", r"(?im)^by:?\s+(.+)$", r"(?im)^written by:?\s*(.+)$", r"(?im)^creator:\s*(.+)$")
-    clean = F.trim(F.regexp_replace(found, r"(?U)[^\w\s,-]", ""))
-    return F.when(F.length(clean).between(3, 99), clean)
+    return _first(c, *AUTHOR, clean=r"(?U)[^\w\s,-]", least=3, most=99)
 
 
 def published(c: Column) -> Column:
-    return _first(c, r"(?im)^(?:publication )?date:\s*(\S+)", r"(?i)published:?\s*(\d{1,2}/\d{1,2}/\d{2,4})", r"\b(\d{4}-\d{2}-\d{2})\b", r"\b(\d{1,2}/\d{1,2}/\d{4})\b")
+    return _first(c, *DATE)
 
 
 def keywords(c: Column, top: int = 10) -> Column:
-    """Named keywords, else headings and bold words; each once in any case."""
-    named = F.regexp_extract(c, r"(?im)^keywords?:\s*(.+)$", 1)
-    marked = F.concat(F.regexp_extract_all(c, F.lit(r"(?m)^#+\s+(.+)$"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"\*\*(.+?)\*\*"), F.lit(1)))
-    found = F.filter(F.transform(F.when(named != "", F.split(named, "[;,]")).otherwise(marked), lambda k: F.trim(k)), lambda k: k != "")
-    once = F.aggregate(found, F.array().cast("array<string>"), lambda a, k: F.when(F.exists(a, lambda x: F.lower(x) == F.lower(k)), a).otherwise(F.array_append(a, k)))
-    return F.slice(once, 1, top)
+    """Named keywords, else headings and bold words of more than three characters; of more than two, each once in any case."""
+    parts = lambda found: F.filter(F.transform(found, _stripped), lambda k: k != "")
+    named = parts(F.split(F.regexp_extract(c, ANY_CASE + KEYWORDS, 1), "[;,]"))
+    marked = F.filter(parts(F.concat(F.regexp_extract_all(c, F.lit("(?dm)" + HEADING), F.lit(1)), F.regexp_extract_all(c, F.lit("(?d)" + BOLD), F.lit(1)))), lambda k: F.length(k) > 3)
+    found = F.filter(F.when(F.size(named) > 0, named).otherwise(marked), lambda k: F.length(k) > 2)
+    once = lambda f: F.filter(f, lambda k, i: F.array_position(F.transform(f, F.lower), F.lower(k)) == i + 1)
+    return F.slice(bound(found, once), 1, top)
 
 
 def summary(c: Column) -> Column:

@@ -46,26 +46,33 @@ def smart(rows: DataFrame, by: str, order: str, k: int = 10, width: int = 1_000_
     return numbered.join(wanted, [by, "_at"], "left_semi").drop("_at", "_rank", "_total")
 
 
-def positional(rows: DataFrame, by: str, order: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """k / 3 rows each of the first 20, middle 60 and last 20 percent of each group."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    n = F.count("*").over(Window.partitionBy(by))
-    staged = rows.withColumn("stratum", F.when(at < n * 0.2, "begin").when(at < n * 0.8, "middle").otherwise("end"))
+def positional(rows: DataFrame, by: str, order: str, key: str, k: int, seed: int = 42, width: int = 1_000_000) -> DataFrame:
+    """k / 3 rows each of the first 20, middle 60 and last 20 percent of each group, in the order of a whole-number column.
+
+    Positions go by ranges of ``width``; the choice within a stratum is a top-k, which Spark cuts before it shuffles.
+    """
+    numbered = ranked(rows, [F.col(by)], F.floor(F.col(order) / width), [order])
+    at, n = F.col("_rank") - 1, F.col("_total")
+    staged = numbered.withColumn("stratum", F.when(at < n * 0.2, "begin").when(at < n * 0.8, "middle").otherwise("end")).drop("_rank", "_total")
     rank = F.row_number().over(Window.partitionBy(by, "stratum").orderBy(hashed(key, seed), key))
     return staged.withColumn("_r", rank).where(F.col("_r") <= k // 3).drop("_r")
 
 
 def diverse(rows: DataFrame, by: str, key: str, content: str, k: int, candidates: int = 50, seed: int = 42) -> DataFrame:
-    """by and key of up to k rows per group that are least alike, chosen one after another.
+    """by, key and pick (from 1) of up to k rows per group that are least alike, chosen one after another.
 
-    The choice is among each group's first ``candidates`` rows in hash order, as
-    defined, so that a group is bounded before it meets a task.
+    The first is the first in hash order, each next one that with the least highest
+    similarity to those before, ties to hash order. The choice is among each group's
+    first ``candidates`` rows in hash order, as defined: a top-k over keys alone, whose
+    texts are joined then. Repeated keys are rows of their own.
     """
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(hashed(key, seed), key))).where(F.col("_r") <= candidates)
+    order = [hashed(key, seed), F.col(key)]
+    first = rows.select(by, key).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= candidates)
+    first = rows.select(by, key, content).join(first.select(by, key).distinct(), [by, key], "left_semi")
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_r")
+        g = g.assign(_h=(g[key] + seed) * 2654435761 % MODULUS).sort_values(["_h", key]).head(candidates)
         words = [set((t or "").lower().split()) for t in g[content]]
         chosen = [0]
         near = [len(words[0] & w) / len(words[0] | w) if words[0] | w else 1.0 for w in words]
@@ -77,7 +84,21 @@ def diverse(rows: DataFrame, by: str, key: str, content: str, k: int, candidates
         out["pick"] = range(1, len(out) + 1)
         return out
 
-    return first.select(by, key, content, "_r").groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, {key} {kind[key]}, pick int")
+    return first.groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, {key} {kind[key]}, pick int")
+
+
+def combined(chosen: Sequence[DataFrame], everyone: DataFrame, by: str, key: str, k: int, seed: int = 42) -> DataFrame:
+    """by and key of the union of several samples, each row once, cut or filled up to ``k`` a group in hash order.
+
+    Filling takes rows that no sample has.
+    """
+    own = chosen[0].select(by, key)
+    for more in chosen[1:]:
+        own = own.unionByName(more.select(by, key))
+    own = own.distinct().withColumn("_first", F.lit(0))
+    rest = everyone.select(by, key).distinct().join(own, [by, key], "left_anti").withColumn("_first", F.lit(1))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_first", hashed(key, seed), key))
+    return own.unionByName(rest).withColumn("_r", rank).where(F.col("_r") <= k).select(by, key)
 
 
 def split(rows: DataFrame, key: str, test: float = 0.2, val: float = 0.1, by: str | None = None, seed: int = 42) -> DataFrame:
@@ -101,9 +122,11 @@ def folds(rows: DataFrame, key: str, k: int = 5, group: str | None = None, seed:
 
 
 def adversarial(rows: DataFrame, key: str, share: float = 0.1, seed: int = 7) -> DataFrame:
-    """The share of rows first in hash order, tagged for a model to rewrite."""
-    n = int(rows.count() * share)
-    return rows.orderBy(hashed(key, seed), key).limit(n).withColumns({"is_adversarial": F.lit(True), "original_index": F.col(key), "adversarial_type": F.lit("paraphrase")})
+    """The share of rows first in hash order, tagged for a model to rewrite; ranks go by buckets of the hash."""
+    h = hashed(key, seed)
+    found = ranked(rows, [], F.floor(h / (MODULUS // 1024)).cast("int"), [h, key])
+    found = found.where(F.col("_rank") <= F.floor(F.col("_total") * share)).drop("_rank", "_total")
+    return found.withColumns({"is_adversarial": F.lit(True), "original_index": F.col(key), "adversarial_type": F.lit("paraphrase")})
 
 
 def batches(rows: DataFrame, sampled: DataFrame, key: str, size: int, width: int = 1_000_000) -> DataFrame:

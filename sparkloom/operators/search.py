@@ -6,16 +6,16 @@ are a sort with offset and limit, which Spark runs as a top-k; ties go to the id
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import like_escaped, tokens
 
 # Words an index leaves out.
-STOP_WORDS = "the a an and or but in on at to for of with by is are was were be been this that".split()
+STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was will with".split()
 
 
 def _like(c: Column, term: str) -> Column:
@@ -91,6 +91,31 @@ def category_index(results: DataFrame, categories: Sequence[str], chunk_id, date
     return by.union(chunk).distinct().join(dated, "id", "left_semi")
 
 
+def validated(metadata: Column) -> Column:
+    """Whether JSON metadata says ``is_validated``; missing is no."""
+    return F.coalesce(F.get_json_object(metadata, "$.is_validated") == "true", F.lit(False))
+
+
+def index_rows(results: DataFrame) -> DataFrame:
+    """kind, term and id of an index by category, by chunk and by time."""
+    by = lambda kind, term: results.select(F.lit(kind).alias("kind"), term.alias("term"), "id")
+    rows = by("category", F.explode("categories")).unionByName(by("chunk", F.col("chunk_id").cast("string")))
+    return rows.unionByName(by("time", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+
+
+def updated_index(index: DataFrame, results: DataFrame) -> DataFrame:
+    """An index with new results merged in, each entry once; a reader sorts by term."""
+    return index.unionByName(index_rows(results)).distinct()
+
+
+def pages(results: DataFrame, size: int = 100) -> Iterator[list[Row]]:
+    """Results in id order, a page at a time as a caller asks: each page starts after the last one's end."""
+    last = None
+    while rows := (results if last is None else results.where(F.col("id") > last)).orderBy("id").limit(size).collect():
+        yield rows
+        last = rows[-1]["id"]
+
+
 def expired(results: DataFrame, now, days: int = 30) -> Column:
     """Whether a result is older than ``days``."""
     return F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)) > F.col("created_at")

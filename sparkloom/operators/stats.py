@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def overall(results: DataFrame) -> DataFrame:
     """Counts, distinct jobs and chunks, confidence and times; one row even for none."""
@@ -58,29 +60,29 @@ def merged(parts: DataFrame) -> DataFrame:
 
 
 def time_chunks(results: DataFrame, rows: int = 100) -> DataFrame:
-    """chunk_name, part, n and min_ts: hours of results in parts of ``rows``."""
+    """chunk_name, part, n and min_ts: hours of results in parts of ``rows``; ranks go by seconds, so that a busy hour is many tasks' work."""
     hour = F.date_format("created_at", "yyyyMMdd_HH")
-    ordered = Window.partitionBy("hour").orderBy("created_at", "id")
-    rows_ = results.select(hour.alias("hour"), "created_at", "id").withColumn("part", F.floor((F.row_number().over(ordered) - 1) / rows))
-    return rows_.groupBy(F.col("hour").alias("chunk_name"), "part").agg(F.count("*").alias("n"), F.min("created_at").alias("min_ts"))
+    own = results.select(hour.alias("hour"), "created_at", "id")
+    numbered = ranked(own, [F.col("hour")], F.unix_timestamp(F.col("created_at").cast("timestamp")), ["created_at", "id"]).withColumn("part", F.floor((F.col("_rank") - 1) / rows))
+    return numbered.groupBy(F.col("hour").alias("chunk_name"), "part").agg(F.count("*").alias("n"), F.min("created_at").alias("min_ts"))
 
 
-def size_chunks(results: DataFrame, by: str, rows: int = 100) -> DataFrame:
-    """chunk_name size_chunk_i per group, in id order, ``rows`` each."""
-    ordered = Window.partitionBy(by).orderBy("id")
-    numbered = results.select(by, "id", "confidence").withColumn("i", F.floor((F.row_number().over(ordered) - 1) / rows))
+def size_chunks(results: DataFrame, by: str, rows: int = 100, width: int = 100_000) -> DataFrame:
+    """chunk_name size_chunk_i per group, in id order, ``rows`` each; ranks go by ranges of ``width`` ids."""
+    numbered = ranked(results.select(by, "id", "confidence"), [F.col(by)], F.floor(F.col("id") / width), ["id"]).withColumn("i", F.floor((F.col("_rank") - 1) / rows))
     return numbered.groupBy(by, F.concat(F.lit("size_chunk_"), F.col("i").cast("string")).alias("chunk_name")).agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"), F.min("id").alias("first_id"))
 
 
 def moving_average(events: DataFrame, by: str, order: list[str], value: str, alpha: float = 0.1) -> DataFrame:
     """The exponential moving average at the end of each group's ordered values.
 
-    Weights depend on the rank from the end only, so it is a sum over ranks: no array is built.
+    Weights depend on the rank from the end only, so it is a sum over ranks: no array
+    is built. ``order`` begins with a time; ranks go by its hours.
     """
-    last = F.row_number().over(Window.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])) - 1
-    n = F.count("*").over(Window.partitionBy(by))
-    rows = events.select(by, F.col(value).alias("_v"), last.alias("_k"), n.alias("_n"))
-    weight = F.when(F.col("_k") == F.col("_n") - 1, F.pow(F.lit(1 - alpha), F.col("_k"))).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("_k")))
+    bucket = F.floor(F.unix_timestamp(F.col(order[0]).cast("timestamp")) / 3600)
+    rows = ranked(events.select(by, *order, F.col(value).alias("_v")), [F.col(by)], bucket, list(order))
+    last = F.col("_total") - F.col("_rank")
+    weight = F.pow(F.lit(1 - alpha), last) * F.when(F.col("_rank") == 1, 1.0).otherwise(alpha)
     return rows.groupBy(by).agg(F.sum(F.col("_v") * weight).alias("ema"))
 
 

@@ -66,14 +66,17 @@ def chunk_token_ws(spark, d):
     return out.withColumn("n_tokens", F.size(X.words(F.col("chunk"))))
 
 
-@query("chunk_schema_any", chunks_sql(
+SCHEMA = chunks_sql(
     f"list_filter(list_transform(string_split(regexp_replace(text, '([.]\\n)', '\\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')",
-    "doc_id, CAST(k AS INT) AS chunk_index, parts[k] AS chunk"))
+    "doc_id, CAST(k AS INT) AS chunk_index, parts[k] AS chunk")
+
+
+@query("chunk_schema_any", SCHEMA)
 def chunk_schema_any(spark, d):
     return C.chunk(table(spark, d, "documents").select("doc_id", "text"), C.Schema((C.Rule("pattern", "[.]\\n"),)))
 
 
-@query("chunk_schema_all")
+@query("chunk_schema_all", SCHEMA)
 def chunk_schema_all(spark, d):
     """Cuts only where a full stop at a line's end and a line end agree."""
     return C.chunk(table(spark, d, "documents").select("doc_id", "text"), C.Schema((C.Rule("pattern", "[.]\\n"), C.Rule("delimiter", "\n")), "all"))
@@ -87,7 +90,13 @@ def chunk_sliding_dedup(spark, d):
     return C.sliding(view(spark, d, "v_files"), C.Delimiter("\n")).withColumn("first_file", F.col("first_file").cast("long"))
 
 
-@query("chunk_cross_file")
+@query("chunk_cross_file", """WITH o AS (SELECT document_id, list(main_content ORDER BY file_seq) AS x FROM v_files GROUP BY document_id),
+f AS (SELECT document_id, list_reduce(x, lambda a, t: list_transform([CASE WHEN a.carry = '' OR regexp_matches(a.carry, '\\s$') OR regexp_matches(t, '^\\s') THEN a.carry || t ELSE a.carry || ' ' || t END], lambda own:
+ list_transform([CASE WHEN regexp_matches(own, '\\S') THEN list_transform(range(0, length(own), 1000), lambda i: substring(own, i + 1, 1000)) ELSE [] END], lambda c:
+ {'carry': CASE WHEN len(c) > 0 AND length(c[-1]) < 800 THEN c[-1] ELSE '' END, 'chunks': list_concat(a.chunks, CASE WHEN len(c) > 0 AND length(c[-1]) < 800 THEN c[:len(c) - 1] ELSE c END)})[1])[1],
+ {'carry': '', 'chunks': []::VARCHAR[]}) AS r FROM o),
+c AS (SELECT document_id, CASE WHEN r.carry <> '' THEN list_append(r.chunks, r.carry) ELSE r.chunks END AS c FROM f)
+SELECT document_id, CAST(k AS INT) AS chunk_index, c[k] AS chunk FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM c)""")
 def chunk_cross_file(spark, d):
     return C.cross_file(view(spark, d, "v_files"), 1000)
 

@@ -51,11 +51,13 @@ def pairs(spark, d):
     return view(spark, d, "v_qa").select("qa_id", F.col("answer").alias("prediction"), F.col("question").alias("reference"))
 
 
-@query("bleu_ws", f"""WITH {TK}, {grams(1)}, {grams(2)},
-p AS (SELECT (SELECT sum(m)::DOUBLE / sum(np) FROM z1) AS p1, (SELECT sum(m)::DOUBLE / sum(np) FROM z2) AS p2, (SELECT sum(np) FROM z1)::DOUBLE AS c, (SELECT sum(nr) FROM z1)::DOUBLE AS r)
-SELECT round(p1, 6) AS p1, round(p2, 6) AS p2, round(CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END, 6) AS brevity, round(CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END * exp((ln(p1) + ln(p2)) / 2), 6) AS bleu FROM p""")
+@query("bleu_ws", f"""WITH {TK}, {', '.join(grams(n) for n in (1, 2, 3, 4))},
+p AS (SELECT {', '.join(f"(SELECT sum(m)::DOUBLE / sum(np) FROM z{n}) AS p{n}" for n in (1, 2, 3, 4))}, (SELECT sum(np) FROM z1)::DOUBLE AS c, (SELECT sum(nr) FROM z1)::DOUBLE AS r),
+b AS (SELECT *, CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END AS brevity FROM p)
+SELECT {', '.join(f"round(p{n}, 6) AS p{n}" for n in (1, 2, 3, 4))}, round(brevity, 6) AS brevity,
+ round(CASE WHEN least(p1, p2, p3, p4) = 0 THEN 0 ELSE brevity * exp((ln(greatest(p1, 1e-300)) + ln(greatest(p2, 1e-300)) + ln(greatest(p3, 1e-300)) + ln(greatest(p4, 1e-300))) / 4) END, 6) AS bleu FROM b""")
 def bleu_ws(spark, d):
-    return r6(E.bleu(pairs(spark, d), "qa_id", 2))
+    return r6(E.bleu(pairs(spark, d)))
 
 
 @query("rouge12", f"""WITH {TK}, {grams(1)}, {grams(2)},
@@ -63,7 +65,7 @@ f AS (SELECT n, CASE WHEN np > 0 THEN m::DOUBLE / np ELSE 0 END AS p, CASE WHEN
 h AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM f)
 SELECT {', '.join(f"round(avg({c}) FILTER (n = {n}), 6) AS rouge{n}_{c}" for n in (1, 2) for c in 'prf')} FROM h""")
 def rouge12(spark, d):
-    return r6(E.rouge(pairs(spark, d), "qa_id", 1).crossJoin(E.rouge(pairs(spark, d), "qa_id", 2)))  # one row each
+    return r6(E.rouge(pairs(spark, d), 1, 2))
 
 
 @query("rouge_l")

@@ -57,20 +57,20 @@ def model_replies(spark, d):
     return M.apply(table(spark, d, "benchmark"), F.col("text")).select("item_id", "reply")
 
 
-@query("json_entries", "SELECT 'a' || doc_id AS entry FROM labels WHERE doc_id < 50 UNION ALL SELECT 'b' || doc_id FROM labels WHERE doc_id < 50")
+@query("json_entries", "SELECT 'a' || doc_id AS entry FROM labels UNION ALL SELECT 'b' || doc_id FROM labels")
 def json_entries(spark, d):
     """Two entries per text: a list, or lines with trailing commas."""
     i = F.col("doc_id").cast("string")
     objects = [F.concat(F.lit('{"v":"' + x), i, F.lit('"}')) for x in "ab"]
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), objects[0], F.lit(","), objects[1], F.lit("]"))).otherwise(F.concat(objects[0], F.lit(",\n"), objects[1], F.lit(",\n")))
-    return I.entries(table(spark, d, "labels").where("doc_id < 50").select(text.alias("text"))).select(F.get_json_object("entry", "$.v").alias("entry"))
+    return I.entries(table(spark, d, "labels").select(text.alias("text"))).select(F.get_json_object("entry", "$.v").alias("entry"))
 
 
-@query("chunk_shapes", "SELECT doc_id, CAST(k AS INT) AS ord, 'c' || k AS chunk FROM labels, (SELECT unnest([0, 1]) AS k) WHERE doc_id < 60")
+@query("chunk_shapes", "SELECT doc_id, CAST(k AS INT) AS ord, 'c' || k AS chunk FROM labels, (SELECT unnest([0, 1]) AS k)")
 def chunk_shapes(spark, d):
     """Chunk files as a list or as an object with chunks."""
     text = F.when(F.col("doc_id") % 2 == 0, '["c0", "c1"]').otherwise('{"chunks": ["c0", "c1"]}')
-    return I.chunks_of(table(spark, d, "labels").where("doc_id < 60").select("doc_id", text.alias("text")))
+    return I.chunks_of(table(spark, d, "labels").select("doc_id", text.alias("text")))
 
 
 @query("json_rows", "SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"quality\":' || quality || ',\"toxic\":' || toxic || '}' AS line FROM labels")

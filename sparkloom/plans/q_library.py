@@ -20,10 +20,10 @@ def listing_page(spark, d):
     return L.page_listing(rows, [F.col("version_id").desc()], 2, 20).select("version_id", "dataset_name")
 
 
-@query("category_texts", """WITH e AS (SELECT source AS category, unnest(list_filter(regexp_split_to_array(substring(text, 1, 100), '\\s+'), lambda t: t <> '')) AS t FROM documents)
+@query("category_texts", """WITH e AS (SELECT source AS category, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS t FROM documents)
 SELECT category, count(*) AS n, count(DISTINCT t) AS n_distinct, min(t) AS first, max(t) AS last FROM e GROUP BY category""")
 def category_texts(spark, d):
-    words = F.split(F.substring("text", 1, 100), r"\s+")
+    words = F.split("text", r"\s+")
     return L.category_texts(table(spark, d, "documents").select(F.create_map("source", words).alias("entities")), "entities")
 
 
@@ -106,9 +106,9 @@ def project_from_path(spark, d):
     return table(spark, d, "documents").select("doc_id", L.project_of(path).alias("project"))
 
 
-@query("first_chunks", "SELECT source, string_agg(left(text, 20), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 10 GROUP BY source")
+@query("first_chunks", "SELECT source, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 10 GROUP BY source")
 def first_chunks(spark, d):
-    return L.first_chunks(table(spark, d, "documents").select("source", "doc_id", F.left("text", F.lit(20)).alias("c")), "source", "doc_id", "c")
+    return L.first_chunks(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text")
 
 
 @query("masked_logs", "SELECT doc_id, 'user=' || doc_id || ' token=*** end' AS line FROM labels")

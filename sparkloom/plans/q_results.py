@@ -70,7 +70,9 @@ def retention_time(spark, d):
     return r6(S.retention(view(spark, d, R), "2024-02-01", 20))
 
 
-@query("retention_budget")
+@query("retention_budget", f"""WITH o AS (SELECT job_id, list(struct_pack(id := id, n := length(extracted_data) + 100) ORDER BY created_at, id) AS x FROM {R} GROUP BY job_id),
+f AS (SELECT job_id, list_reduce(x, lambda a, y: {{'used': CASE WHEN a.used + y.n <= 20000 THEN a.used + y.n ELSE a.used END, 'kept': list_append(a.kept, {{'id': y.id, 'kept': a.used + y.n <= 20000}})}}, {{'used': CAST(0 AS BIGINT), 'kept': []::STRUCT(id BIGINT, kept BOOLEAN)[]}}) AS r FROM o)
+SELECT job_id, k.id AS id, k.kept AS kept FROM (SELECT job_id, unnest(r.kept) AS k FROM f)""")
 def retention_budget(spark, d):
     return S.budget_oldest_first(view(spark, d, R), 20_000)
 
@@ -159,10 +161,10 @@ def join_anti_cascade(spark, d):
     return results.join(results.where("project_id = 2").select("job_id").distinct(), "job_id", "left_anti").select("id", "chunk_id")
 
 
-@query("join_lookup_fallback", "SELECT l_orderkey, l_linenumber, coalesce(p_name, CAST(l_partkey AS VARCHAR)) AS part FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 25) ON l_partkey = p_partkey WHERE l_orderkey < 100")
+@query("join_lookup_fallback", "SELECT l_orderkey, l_linenumber, coalesce(p_name, CAST(l_partkey AS VARCHAR)) AS part FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 25) ON l_partkey = p_partkey")
 def join_lookup_fallback(spark, d):
     parts = table(spark, d, "part").where("p_size < 25").select("p_partkey", "p_name")
-    lines = table(spark, d, "lineitem").where("l_orderkey < 100").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.col("l_partkey").cast("string")).alias("part"))
 
 

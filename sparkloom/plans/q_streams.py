@@ -33,7 +33,13 @@ def stream_dedup(spark, d):
     return S.drained(S.unique(once.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))), "append").select("event_id")
 
 
-@query("stream_job_states")
+MOVES = "CASE a.status WHEN '' THEN ['pending', 'scheduled', 'running'] WHEN 'pending' THEN ['scheduled', 'running', 'cancelled'] WHEN 'scheduled' THEN ['running', 'cancelled'] WHEN 'running' THEN ['completed', 'failed', 'cancelled'] WHEN 'failed' THEN ['retrying', 'pending', 'running'] WHEN 'retrying' THEN ['running', 'failed', 'cancelled'] ELSE [] END"
+
+
+@query("stream_job_states", f"""WITH o AS (SELECT job_id, list(status ORDER BY ts, event_id) AS x FROM v_job_events GROUP BY job_id),
+f AS (SELECT job_id, list_reduce(x, lambda a, s: CASE WHEN list_contains({MOVES}, s) THEN {{'status': s, 'accepted': a.accepted + 1, 'refused': a.refused}} ELSE {{'status': a.status, 'accepted': a.accepted, 'refused': a.refused + 1}} END,
+ {{'status': '', 'accepted': CAST(0 AS BIGINT), 'refused': CAST(0 AS BIGINT)}}) AS r FROM o)
+SELECT job_id, nullif(r.status, '') AS status, r.accepted AS accepted, r.refused AS refused FROM f""")
 def stream_job_states(spark, d):
     status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("cancelled")
     jobs = events(spark, d).select("event_id", F.col("user_id").alias("job_id"), "ts", status.alias("status"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..operators import records as R
 from ..operators import sampling as S
 from ..operators import taxonomy as X
@@ -230,13 +231,13 @@ def rate_limit_window(spark, d):
 # A few templates, as rows.
 TEMPLATES = "(1, CAST(NULL AS {s}), 'What links {source} and {target}?', '{source} goes with {target}.'), (2, 'PROMO', 'Who offers {source}?', '{target}.'), (3, 'ECONOMY', 'Is {source} cheap?', 'Ask {target}.'), (4, NULL, 'Name a use of {source}.', 'See {target}.')"
 EXPANDED = f"""t(template_id, category, q, a) AS (VALUES {TEMPLATES.replace('{s}', 'VARCHAR')}),
-x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY template_id) AS k FROM v_relationships JOIN t ON category IS NULL OR category = source_category WHERE l_orderkey <= 2000),
+x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY template_id) AS k FROM v_relationships JOIN t ON category IS NULL OR category = source_category),
 e AS (SELECT l_orderkey, l_linenumber, template_id, replace(replace(q, '{{source}}', source_entity), '{{target}}', target_entity) AS question, replace(replace(a, '{{source}}', source_entity), '{{target}}', target_entity) AS answer, confidence FROM x WHERE k <= 2)"""
 
 
 def expanded(spark, d):
     templates = spark.sql(f"SELECT * FROM VALUES {TEMPLATES.replace('{s}', 'STRING')} AS t(template_id, category, question, answer)")
-    return R.expand_templates(view(spark, d, "v_relationships").where("l_orderkey <= 2000"), templates, 2)
+    return R.expand_templates(view(spark, d, "v_relationships"), templates, 2)
 
 
 @query("qa_templates", f"WITH {EXPANDED} SELECT l_orderkey, l_linenumber, template_id, question, answer, confidence FROM e")
@@ -261,16 +262,35 @@ def page_metadata(spark, d):
     return pages.where(F.length(found) >= 6).select("page_id", found.alias("title"), F.nullif(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), F.lit("")).alias("host"))
 
 
-@query("document_metadata")
+def first_sql(patterns, condition, other="NULL", clean=None):
+    """The first pattern's first match for which the condition holds, trimmed."""
+    trim = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    found = [trim("regexp_extract(text, '(?im)" + p + "', 1)") for p in patterns]
+    if clean:
+        found = [trim(f"regexp_replace({x}, '{clean}', '', 'g')") for x in found]
+    return "coalesce(" + ", ".join(f"CASE WHEN {condition.format(x)} THEN {x} END" for x in found) + f", {other})"
+
+
+KEYS = "list_filter(list_transform({0}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+METADATA = f"""WITH k AS (SELECT *, {KEYS.format("regexp_split_to_array(regexp_extract(text, '(?im)" + R.KEYWORDS + "', 1), '[;,]')")} AS named,
+ list_filter({KEYS.format("list_concat(regexp_extract_all(text, '(?m)" + R.HEADING + "', 1), regexp_extract_all(text, '" + R.BOLD + "', 1))")}, lambda x: length(x) > 3) AS marked FROM documents),
+f AS (SELECT *, list_filter(CASE WHEN len(named) > 0 THEN named ELSE marked END, lambda x: length(x) > 2) AS found,
+ list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) > 10 AND NOT starts_with(x, '#')) AS parts FROM k),
+g AS (SELECT *, array_to_string(parts[1:3], '. ') || '.' AS whole FROM f)
+SELECT doc_id, lang, n_chars, {first_sql(R.TITLE, "length({0}) > 5", "'Doc ' || doc_id")} AS title, {first_sql(R.AUTHOR, "length({0}) BETWEEN 3 AND 99", clean="[^\\p{L}\\p{N}_\\s,-]")} AS author,
+ {first_sql(R.DATE, "length({0}) > 0")} AS date, array_to_string((list_filter(found, lambda x, i: list_position(list_transform(found, lambda y: lower(y)), lower(x)) = i))[1:10], '|') AS keywords,
+ CASE WHEN len(parts) = 0 THEN '' WHEN length(whole) > 200 THEN left(whole, 197) || '...' ELSE whole END AS summary, source AS origin FROM g"""
+
+
+@query("document_metadata", METADATA)
 def document_metadata(spark, d):
     """Metadata of every text by patterns; files are named after their source."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.concat_ws("/", F.lit("data"), "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
-    return R.metadata(docs, "text", "path").drop("text", "path")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text", F.concat_ws("/", F.lit("data"), "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return R.metadata(docs, "text", "path").drop("text", "path").withColumn("keywords", F.array_join("keywords", "|"))
 
 
-@query("entity_filter", f"SELECT doc_id, array_to_string(list_filter({w('substring(text, 1, 200)')}, lambda x: length(x) > 6), ' ') AS entities FROM documents WHERE lower(trim(lang)) NOT IN ('none', 'null', 'false', '0', '')")
+@query("entity_filter", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({w('text')}, lambda x: length(x) > 6))), ' ') AS entities FROM documents WHERE lower(trim(lang)) NOT IN ('none', 'null', 'false', '0', '')")
 def entity_filter(spark, d):
+    """Words of more than six characters, each once."""
     docs = table(spark, d, "documents").where(R.relevant(F.col("lang")))
-    words = F.filter(F.split(F.substring("text", 1, 200), r"\s+"), lambda x: x != "")
-    kept = R.cleaned_entities(F.transform(words, lambda x, k: F.concat(x, F.lit(""), F.lit(""))), 6)
-    return docs.select("doc_id", F.array_join(F.filter(words, lambda x: F.array_contains(kept, x)), " ").alias("entities"))
+    return docs.select("doc_id", F.array_join(F.array_sort(R.cleaned_entities(words(F.col("text")), 6)), " ").alias("entities"))

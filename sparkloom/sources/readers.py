@@ -93,6 +93,31 @@ def project_chunks(chunks: DataFrame, docs: DataFrame, project, most: int | None
     return found if most is None else found.limit(most)
 
 
+def first_match(spark: SparkSession, pattern: str) -> DataFrame:
+    """path and value of the first file, in order of paths, that a glob names."""
+    files = spark.read.option("wholetext", "true").text(pattern).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.join(F.broadcast(files.agg(F.min("path").alias("path"))), "path")  # one row
+
+
+def directory_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """directory, files, mb and avg_kb of what lies below a path; sizes come from the listing, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    own = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory"), "length")
+    return own.groupBy("directory").agg(F.count("*").alias("files"), (F.sum("length") / 1048576).alias("mb"), (F.avg("length") / 1024).alias("avg_kb"))
+
+
+def task_split(spark: SparkSession, path: str, task: str) -> DataFrame:
+    """text and label of a benchmark task's validation split, from Parquet or JSON lines at ``path``/task/split.*"""
+    from ..operators.evaluation import TASK_COLUMNS, TASK_SPLIT, task_inputs
+
+    if task not in TASK_COLUMNS:
+        raise ValueError(f"unknown task {task}")
+    where = f"{path}/{task}/{TASK_SPLIT.get(task, 'validation')}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}.parquet")
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return task_inputs(spark.read.parquet(f"{where}.parquet") if there else spark.read.json(f"{where}.jsonl"), task)
+
+
 def is_text_document(first_page) -> object:
     """Whether a document's first page has enough text not to be a scan."""
     return F.length(first_page) > 500

@@ -209,9 +209,9 @@ def test_models_retry_and_fall_back(spark, docs):
 
 
 def test_metadata(spark):
-    docs = spark.createDataFrame([("Title: A long title\nAuthor: Jane Doe!\nDate: 2024-01-02\nKeywords: a, B; b, c\nSource: Journal\nFirst sentence is long. Second one too.", "x/y/my_file.txt"), (None, None)], "text string, path string")
+    docs = spark.createDataFrame([("Title: A long title\nAuthor: Jane Doe!\nDate: 2024-01-02\nKeywords: red, Blue; blue, green, ab\nSource: Journal\nFirst sentence is long. Second one too.", "x/y/my_file.txt"), (None, None)], "text string, path string")
     got = R.metadata(docs, "text", "path").collect()
-    assert (got[0].title, got[0].author, got[0].date, got[0].keywords, got[0].origin) == ("A long title", "Jane Doe", "2024-01-02", ["a", "B", "c"], "Journal")
+    assert (got[0].title, got[0].author, got[0].date, got[0].keywords, got[0].origin) == ("A long title", "Jane Doe", "2024-01-02", ["red", "Blue", "green"], "Journal")
     assert got[1].author is None and got[1].keywords == []
 
 
@@ -232,3 +232,83 @@ def test_files_round_trip(spark, docs, tmp_path):
 def test_report_text(spark):
     report = Q.report(spark.createDataFrame([("What?", "This.", "a")], QA))
     assert writers.quality_text(report).startswith("Overall score") and "| bias |" in writers.quality_text(report, "markdown")
+
+
+# -- round 2 -------------------------------------------------------------------------
+
+
+def test_bpe_chunks_against_the_encoder(spark):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", " \n", "One short text.", "word é 😀 " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got: dict = {}
+    for r in C.chunk(df, C.Bpe(path, P.PATTERN, 16, 4)).orderBy("k", "chunk_index").collect():
+        got.setdefault(r.k, []).append(r.chunk)
+    ids = own.encode_ordinary(texts[4])
+    assert got == {3: [texts[3]], 4: [own.decode(ids[k : k + 16]) for k in range(0, len(ids), 12)]}
+
+
+def test_syllables_word_by_word(spark):
+    """The count over a whole text is that of its words one by one."""
+    import re
+
+    def one(w):
+        w = re.sub(r"[^\w]", "", w)
+        n = len(re.findall("[aeiouy]+", w))
+        return max(1, n - (w.endswith("e") and n > 1)) if w else 0
+
+    texts = ["The eye of an able tree, co-operate! -- brrr a-e _e_ 12 ñandú straße", "", None, "e ee eve evenee shhh", "d'accord l'été naïve x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(X.syllable_count(F.col("t"))).collect()]
+    assert got == [sum(one(w) for w in re.split(r"[ \t\n\x0b\f\r]+", (t or "").lower()) if w) for t in texts]
+
+
+def test_pages_and_schema_and_files(spark, tmp_path):
+    from sparkloom.operators import library, search
+    from sparkloom.sources import readers
+
+    df = spark.range(25).withColumnRenamed("id", "id")
+    assert [len(p) for p in search.pages(df, 10)] == [10, 10, 5] and list(search.pages(df.limit(0))) == []
+    assert library.schema_problems(df, {"id": "bigint", "x": "string"}) == ["no column x"] and library.schema_problems(df, {"id": "string"}) == ["id is bigint, not string"]
+    for d, name, text in (("a", "extraction_7_x.json", "one"), ("a", "extraction_7_y.json", "two!"), ("b", "z.txt", "three")):
+        (tmp_path / d).mkdir(exist_ok=True)
+        (tmp_path / d / name).write_text(text)
+    assert [r.value for r in readers.first_match(spark, f"file://{tmp_path}/a/extraction_7_*.json").collect()] == ["one"]
+    stats = {r.directory[-1]: (r.files, round(r.avg_kb * 1024, 3)) for r in readers.directory_statistics(spark, f"file://{tmp_path}").collect()}
+    assert stats == {"a": (2, 3.5), "b": (1, 5.0)}
+    spark.createDataFrame([("p", "h", 1)], "premise string, hypothesis string, label int").write.json(f"file://{tmp_path}/mnli/validation_matched.jsonl")
+    spark.createDataFrame([("s", 0)], "sentence string, label int").write.parquet(f"file://{tmp_path}/cola/validation.parquet")
+    assert [tuple(r) for r in readers.task_split(spark, f"file://{tmp_path}", "mnli").collect()] == [("p [SEP] h", 1)]
+    assert [tuple(r) for r in readers.task_split(spark, f"file://{tmp_path}", "cola").collect()] == [("s", 0)]
+
+
+def test_metadata_by_fixed_patterns(spark):
+    from sparkloom.operators import records
+
+    text = "A long heading\n=====\nby: Jane D. Doe\nDate: 3/4/2021 or 2020-01-02\n#### four\n### Third one\n**Bold it** **no**\nkeyword: ;"
+    rows = [("A/b_c-d.txt", text), ("x.md", "short\n---\nKeywords: b, B; cc, Data, data"), (None, None)]
+    got = records.metadata(spark.createDataFrame(rows, "p string, t string"), "t", "p").collect()
+    assert (got[0].title, got[0].author, got[0].date, got[0]["keywords"]) == ("A long heading", "Jane D Doe", "3/4/2021", ["Third one", "Bold it"])
+    assert (got[1].title, got[1].author, got[1].date, got[1]["keywords"]) == ("X", None, None, ["Data"])
+    assert (got[2].title, got[2].author, got[2]["keywords"]) == ("", None, [])
+
+
+def test_registered_metric(spark):
+    from sparkloom.operators import quality
+
+    entries = spark.createDataFrame([("q one", "a two", "c")], "question string, answer string, category string")
+    quality.register_metric("length", lambda e, c: e.agg((F.count("*") * 0.25).alias("score")))
+    try:
+        rows = {r.metric: r for r in quality.report(entries).collect()}
+        assert rows["length"].score == 0.25 and not rows["length"].passed
+        assert "length score 0.250 is below the threshold 0.50" in {r.issue for r in quality.issues(quality.report(entries)).collect()}
+    finally:
+        del quality.METRICS["length"]
