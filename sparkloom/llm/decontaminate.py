@@ -8,8 +8,12 @@ Burrows-Wheeler transform goes into a wavelet matrix, all benchmark windows of a
 length are searched backwards at once, and the occurrences are located by walking
 to sampled suffix positions. Their spans are merged per document.
 
-The benchmark goes to the tasks in blocks of at most ``block_chars`` characters,
-one column of hits per block, so that no block grows with the benchmark.
+The benchmark's windows are built by tasks, in blocks of about ``block_chars``
+characters, and written to the shared folder. The driver passes the written blocks on
+to a broadcast, one after another and unread; a broadcast has at most ``pass_bytes``
+of them. One function searches a text for all blocks of a broadcast. A benchmark of
+more bytes takes more passes, each one more column of hits: neither the driver nor a
+task ever holds more than a pass.
 
 Null or wordless documents have no words and no hits; null or wordless items have
 no windows; an item with a null id is known by the empty text; items of one id
@@ -18,15 +22,18 @@ count once; repeated rows come out once each; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import packed, with_text
+from .shared import packed, with_text, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -61,6 +68,15 @@ class Windows:
             by.setdefault(len(window), []).append((window, sorted(owners)))
         self.by = {n: (np.array([w for w, _ in x], np.int64), [o for _, o in x]) for n, x in by.items()}
 
+    def packed(self) -> bytes:
+        return pickle.dumps(vars(self))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Windows:
+        w = cls([], 1)
+        vars(w).update(pickle.loads(data))
+        return w
+
     def known(self, pair: np.ndarray) -> np.ndarray:
         """Which of the coded pairs of neighbours some item has."""
         if not len(self.pairs):
@@ -232,54 +248,73 @@ def _with_chars(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int,
     return [(s, e, at[s][0], at[e - 1][1]) for s, e in spans]
 
 
-def shard_hits(texts: list[str | None], w: Windows) -> pd.DataFrame:
+def shard_hits(texts: list[str | None], blocks: list[Windows]) -> pd.DataFrame:
     """Hits of every text of a shard; more than SHARD words that could be hit make more indexes."""
-    n_words, spans, items = [], [[] for _ in texts], [[] for _ in texts]
-    runs: list[tuple[int, int, np.ndarray]] = []
-    held, get = 0, w.ids.get
+    n_words, spans, items = [], [[] for _ in texts], [set() for _ in texts]
+    runs: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in blocks]
+    held = [0] * len(blocks)
 
-    def flush():
-        for row, found, names in _search(runs, w):
-            spans[row] = _with_chars(texts[row], found)
-            items[row] = sorted(names)
+    def flush(k: int) -> None:
+        for row, found, names in _search(runs[k], blocks[k]):
+            spans[row] += _with_chars(texts[row], found)
+            items[row] |= names
+        runs[k], held[k] = [], 0
 
     for row, text in enumerate(texts):
         found = words_of(text)
         n_words.append(len(found))
-        if not w.by:
-            continue
-        ids = np.fromiter((get(x, 0) for x in found), np.int64, len(found))
-        for s, e in _kept(ids, w).tolist():
-            runs.append((row, s, ids[s:e]))
-            held += e - s + 1
-        if held >= SHARD:
-            flush()
-            runs, held = [], 0
-    if runs:
-        flush()
-    return pd.DataFrame({"n_words": n_words, "spans": [[dict(zip(("s", "e", "cs", "ce"), x, strict=True)) for x in y] for y in spans], "items": items})
-
-
-def _hits(items: list[tuple[str, str | None]], width: int):
+        for k, w in enumerate(blocks):
+            ids = np.fromiter(map(w.ids.get, found, repeat(0)), np.int64, len(found))
+            for s, e in _kept(ids, w).tolist():
+                runs[k].append((row, s, ids[s:e]))
+                held[k] += e - s + 1
+            if held[k] >= SHARD:
+                flush(k)
+    for k in range(len(blocks)):
+        if runs[k]:
+            flush(k)
+    return pd.DataFrame({"n_words": n_words, "spans": [[dict(zip(("s", "e", "cs", "ce"), x, strict=True)) for x in sorted(y)] for y in spans], "items": [sorted(x) for x in items]})
+
+
+def _hits(shared: Broadcast):
     @F.pandas_udf(HITS)
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        w = Windows(items, width)
+        blocks = [Windows.unpacked(b) for b in shared.value]
         for texts in batches:
-            yield shard_hits([t if isinstance(t, str) else None for t in texts], w)
+            yield shard_hits([t if isinstance(t, str) else None for t in texts], blocks)
 
     return hits.asNondeterministic()  # or a filter on the hits would search every text again
 
 
-def blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str | None]]]:
-    """Items as (id as text, text) in blocks of about ``block_chars`` characters."""
+def blocks(benchmark: DataFrame, width: int, block_chars: int) -> DataFrame:
+    """A written row per block of items: its windows, ready to be searched for."""
     own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     n = 1 + int(own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // block_chars
-    return [[(r.item, r.text) for r in own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["item", "text"])  # the same on every try of a task
+        w = Windows(list(zip(rows["item"], rows["text"], strict=True)), width)
+        return pd.DataFrame({"windows": [w.packed()] if w.by else []})
+
+    return written(own.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).groupBy("block").applyInPandas(build, "windows binary"))
+
+
+def passes(written_blocks: DataFrame, pass_bytes: int) -> Iterator[Broadcast]:
+    """Broadcasts of blocks, of at most ``pass_bytes`` or one block each; one of none for an empty benchmark."""
+    context, held, size, sent = written_blocks.sparkSession.sparkContext, [], 0, False
+    for row in written_blocks.toLocalIterator():
+        if held and size + len(row.windows) > pass_bytes:
+            yield context.broadcast(held)
+            held, size, sent = [], 0, True
+        held.append(bytes(row.windows))
+        size += len(row.windows)
+    if held or not sent:
+        yield context.broadcast(held)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 4_000_000) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 4_000_000, pass_bytes: int = 64_000_000) -> DataFrame:
     """``docs`` with _hits: n_words, spans (of words and characters, in order) and items."""
-    found = [_hits(items, width)(F.col("text").cast("string")) for items in blocks(benchmark, block_chars)]
+    found = [_hits(shared)(F.col("text").cast("string")) for shared in passes(blocks(benchmark, width, block_chars), pass_bytes)]
     names = [f"_hits{k}" for k in range(len(found))]
     out = docs.withColumns(dict(zip(names, found, strict=True)))
     merged = F.struct(

@@ -419,15 +419,16 @@ def test_decontamination_searches_once(spark):
     assert decontaminate.decontaminated(docs, items)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
-@pytest.mark.parametrize("block_chars", [50_000_000, 60])
-def test_contamination(spark, monkeypatch, block_chars):
+@pytest.mark.parametrize(("block_chars", "pass_bytes"), [(50_000_000, 10**9), (60, 10**9), (60, 2500)])
+def test_contamination(spark, monkeypatch, block_chars, pass_bytes):
     monkeypatch.setattr(decontaminate, "SHARD", 200)
     random.seed(block_chars)
     items = [(k, prose(random.randint(1, 25))) for k in range(12)] + [(90, None), (91, " ! "), (92, WORDS[0]), (3, prose(12))]
     texts = [*EDGE, *(f"{prose(20)}. {t.title() if t else ''}, {prose(15)}" for _, t in items), *[prose(300) for _ in range(5)], items[2][1] * 3]
     docs = documents(spark, texts, _hits=7, _hits0=8, items="c")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate.with_hits, "__defaults__", (10, block_chars))
+    monkeypatch.setattr(decontaminate.with_hits, "__defaults__", (10, block_chars, pass_bytes))
+    assert (len(list(decontaminate.passes(decontaminate.blocks(bench, 10, block_chars), pass_bytes))) > 1) == (pass_bytes == 2500)
     got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
     assert got == plain_hits(list(enumerate(texts)), items)
 
