@@ -14,6 +14,17 @@ broadcasts that table if its written size allows and splits a hot digest if not.
 Null html is the empty payload. A null page_id is never the smallest while another
 is not null, and makes all records responses if there is no other. Rows repeating
 the smallest page_id and its payload are all responses. Empty tables give no rows.
+
+``read_archives`` takes archives of any writer, gzip files of one member or many.
+Responses, resources and revisits are rows; other records (warcinfo, request,
+metadata, conversion, continuation) are passed over. A response that is no HTTP
+message is all payload. A digest that is missing or no SHA-1 is computed from the
+payload; one that does not fit its payload is an error. Revisits are resolved by
+WARC-Refers-To, else by digest. ``deduplicate`` writes such archives anew: only
+headers are joined and shuffled before it writes, revisits point at the fresh record of
+their original, and one whose original is in no archive stays as it is, with a fresh
+header. A file is one row when read, so files are kept to about ``file_bytes`` of payload by
+the mean size of a record. Files written here have one gzip member each.
 """
 
 from __future__ import annotations
@@ -31,7 +42,7 @@ from .shared import shared_dir, written
 
 END = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string"
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_id string"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -43,49 +54,59 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), DIGITS, BASE32)
 
 
-def marked(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, bytes, digest and first: the page_id of the response, null if it is its own."""
+def marked(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, float]:
+    """page_id, url, html, bytes, digest, own_id and first_id, the record id of the response (null if it is its own); and the mean of bytes."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html").cast("binary"))})
-    shared = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = written(shared.where("n > 1 AND first IS NOT NULL").select("digest", "first"))
+    heads = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    heads = written(heads)
+    mean = heads.agg((F.sum(F.col("bytes") * F.col("n")) / F.sum("n")).alias("m")).first().m or 0.0
+    shared = heads.where((F.col("bytes") >= min_bytes) & (F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
     own = F.col("first").eqNullSafe(F.col("page_id"))
-    return rows.join(shared, "digest", "left").withColumn("first", F.when(own, None).otherwise(F.col("first")))
+    linked = rows.join(shared, "digest", "left")
+    ids = {"own_id": record_id(F.col("page_id").cast("string"), F.col("digest")), "first_id": F.when(F.col("first").isNotNull() & ~own, record_id(F.col("first").cast("string"), F.col("digest")))}
+    return linked.withColumns(ids).drop("first"), mean
 
 
-def _record_id(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws(":", page_id.cast("string"), digest))
+def record_id(name: Column, digest: Column) -> Column:
+    h = F.md5(F.concat_ws(":", name, digest))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def record(rows: DataFrame) -> Column:
+def record() -> Column:
     """The WARC record of a marked row, without its last line end."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
-    revisit = F.col("first").isNotNull()
+    revisit = F.col("first_id").isNotNull()
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "%0A")
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
+        line("WARC-Record-ID", F.col("own_id")),
         line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Target-URI", url),
         F.coalesce(line("WARC-Page-ID", F.col("page_id").cast("string")), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first"), F.col("digest"))))).otherwise(""),
+        F.coalesce(line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.col("first_id")))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"), block, F.lit("\r\n"),
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 20_000) -> None:
+def write_records(rows: DataFrame, path: str, mean: float, records_per_file: int = 20_000, file_bytes: int = 256_000_000) -> None:
+    """Archives of marked rows; ``mean`` bytes of payload to a record."""
+    most = max(1, min(records_per_file, int(file_bytes / max(mean, 1.0))))
+    out = rows.select(record().alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip")
+    out.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(path)
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 20_000, file_bytes: int = 256_000_000) -> None:
     """Deduplicated archives of page rows (page_id, url, html) below ``path``."""
-    rows = marked(pages, min_bytes)
-    out = rows.select(record(rows).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip")
-    out.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path)
+    rows, mean = marked(pages, min_bytes)
+    write_records(rows, path, mean, records_per_file, file_bytes)
 
 
 class Inflated:
@@ -133,30 +154,45 @@ def records(data: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
     while (head := stream.until(END + END)) is not None:
         lines = head.decode("utf-8", "replace").strip("\r\n").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        yield headers, stream.take(int(headers["content-length"]))
+        yield headers, stream.take(int(headers.get("content-length", 0)))
         stream.take(4)
 
 
+def read_record(headers: dict[str, str], block: bytes) -> tuple | None:
+    """page_id, url, bytes, digest, type, record id, what it refers to, and payload; None for records that are passed over."""
+    kind = headers.get("warc-type", "").lower()
+    if kind not in ("response", "resource", "revisit"):
+        return None
+    http, payload = b"", block
+    if block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(END + END)
+    told = headers.get("warc-payload-digest") or (headers.get("warc-block-digest") if kind == "resource" else None)
+    told = told[5:].upper() if told and told.lower().startswith("sha1:") else None
+    if kind == "revisit":
+        sizes = [x.split(b":", 1)[1].strip() for x in http.split(END) if x.lower().startswith(b"content-length:")]
+        n, digest, payload = (int(sizes[0]) if sizes and sizes[0].isdigit() else None), told, b""
+    else:
+        n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if told and len(told) == 32 and told != digest:
+            raise ValueError(f"damaged payload of {headers.get('warc-record-id')}")
+    page = headers.get("warc-page-id", "")
+    return int(page) if page.lstrip("-").isdigit() else None, headers.get("warc-target-uri"), n, digest, kind, headers.get("warc-record-id"), headers.get("warc-refers-to"), payload
+
+
 def _parsed(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        size = 0
         for b in batches:
             for content in b.column("content"):
                 for headers, block in records(memoryview(content.as_buffer())):
-                    http, _, payload = block.partition(END + END)
-                    kind = headers["warc-type"]
-                    if kind == "response":
-                        n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if headers["warc-payload-digest"] != f"sha1:{digest}":
-                            raise ValueError(f"damaged payload of {headers['warc-record-id']}")
-                    else:
-                        n = next(int(x.split(b":")[1]) for x in http.split(END) if x.lower().startswith(b"content-length"))
-                        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                    page = headers.get("warc-page-id")
-                    rows.append((int(page) if page else None, headers.get("warc-target-uri"), n, digest, kind, *([payload] if with_payload else [])))
-                    if len(rows) >= 2000:
+                    if (row := read_record(headers, block)) is None:
+                        continue
+                    rows.append(row if with_payload else row[:-1])
+                    size += len(block) if with_payload else 0
+                    if len(rows) >= 2000 or size > 1 << 26:
                         yield _batch(rows, with_payload)
-                        rows = []
+                        rows, size = [], 0
         if rows:
             yield _batch(rows, with_payload)
 
@@ -164,32 +200,52 @@ def _parsed(with_payload: bool):
 
 
 def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_payload
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type"] + ["payload"] * with_payload
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()] + [pa.binary()] * with_payload
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_id"] + ["payload"] * with_payload
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives below ``path``; payloads of revisits are empty."""
+    """One row per response, resource and revisit of the archives below ``path``; payloads of revisits are empty."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_parsed(with_payload), READ + (", payload binary" if with_payload else ""))
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Records with refers_to: for revisits the page_id of the response with their digest."""
+    """Records with refers_to: for revisits the page_id of the response they refer to, by record id, else by digest."""
     revisit = F.col("record_type") == "revisit"
-    first = found.where(~revisit).join(found.where(revisit).select("payload_digest").distinct(), "payload_digest", "left_semi")
-    first = first.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"))
-    linked = found.where(revisit).join(first, "payload_digest", "left").select(*found.columns, "refers_to")
-    return found.where(~revisit).withColumn("refers_to", F.lit(None).cast("long")).unionByName(linked)
+    asked, own = found.where(revisit), found.where(~revisit)
+    out = asked
+    for key, told in (("record_id", "refers_to_id"), ("payload_digest", "payload_digest")):
+        first = own.join(asked.select(F.col(told).alias(key)).distinct(), key, "left_semi").groupBy(F.col(key).alias(told)).agg(F.min("page_id").alias(f"_{key}"))
+        out = out.join(first, told, "left")
+    linked = out.select(*found.columns, F.coalesce("_record_id", "_payload_digest").alias("refers_to"))
+    return own.withColumn("refers_to", F.lit(None).cast("long")).unionByName(linked)
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> None:
-    """Archives of any records again, deduplicated and with fresh headers, as UTF-8 pages."""
-    rows = read_archives(spark, source, with_payload=True)
-    digests = rows.where("record_type = 'response'").select("payload_digest", F.col("payload").cast("string").alias("html")).dropDuplicates(["payload_digest"])
-    full = rows.join(digests, "payload_digest").select("page_id", "url", "html")
-    write_archives(full, target, min_bytes)
+    """Archives of any records again, deduplicated and with fresh headers."""
+    rows = written(read_archives(spark, source, with_payload=True))
+    heads = rows.drop("payload", "url")
+    full, asked = heads.where("record_type <> 'revisit'"), heads.where("record_type = 'revisit'")
+    # a revisit without a digest has that of the record it refers to
+    by_id = full.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("payload_digest").alias("_digest"), F.min("payload_bytes").alias("_bytes"))
+    asked = asked.where("record_id IS NOT NULL").join(by_id, "refers_to_id", "left").groupBy("record_id").agg(F.min(F.coalesce("payload_digest", "_digest")).alias("told"), F.min(F.coalesce("payload_bytes", "_bytes", F.lit(0))).alias("told_bytes"))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("nameless"), "page_id", "record_id")).alias("first")
+    first = full.groupBy(F.col("payload_digest").alias("digest")).agg(least, F.first("payload_bytes").alias("_n"))
+    first = written(first.select("digest", "_n", F.col("first.record_id").alias("first_record")))
+    mean = full.agg(F.avg("payload_bytes").alias("m")).first().m or 0.0
+    again = F.col("record_type") == "revisit"
+    joined = rows.join(written(asked), "record_id", "left").withColumn("digest", F.when(again, F.coalesce("payload_digest", "told")).otherwise(F.col("payload_digest"))).join(first, "digest", "left")
+    fresh = lambda c: record_id(F.concat(F.lit("again:"), c), F.col("digest"))
+    known = F.col("first_record").isNotNull()
+    same = ~F.col("first_record").eqNullSafe(F.col("record_id")) & known & (F.col("_n") >= min_bytes)
+    target_id = F.when(again, F.when(known, fresh(F.col("first_record"))).otherwise(F.coalesce("refers_to_id", F.lit("<urn:uuid:00000000-0000-0000-0000-000000000000>")))).when(same, fresh(F.col("first_record")))
+    out = joined.select(
+        "page_id", "url", F.col("payload").cast("string").alias("html"), F.coalesce("payload_bytes", "told_bytes", "_n", F.lit(0)).alias("bytes"), "digest",
+        fresh(F.coalesce("record_id", F.lit(""))).alias("own_id"), target_id.alias("first_id"),
+    )
+    write_records(out, target, mean)
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

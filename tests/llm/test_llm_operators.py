@@ -584,6 +584,40 @@ def test_warc(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def warc_record(kind, headers, block):
+    head = "".join(f"{k}: {v}\r\n" for k, v in {"WARC-Type": kind, **headers, "Content-Length": len(block)}.items())
+    return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Other records are passed over, digests computed, revisits resolved by id or digest, orphans kept."""
+    import gzip
+
+    digest = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n"
+    parts = [
+        warc_record("warcinfo", {"WARC-Record-ID": "<i>"}, b"software: x\r\n"), warc_record("request", {"WARC-Record-ID": "<q>"}, b"GET / HTTP/1.1\r\n\r\n"),
+        warc_record("response", {"WARC-Record-ID": "<a>", "WARC-Target-URI": "http://a"}, http + b"\xffabc"),
+        warc_record("response", {"WARC-Record-ID": "<b>", "WARC-Payload-Digest": "md5:00"}, http + b"\xffabc"),
+        warc_record("resource", {"WARC-Record-ID": "<r>"}, b"plain"), warc_record("metadata", {}, b""),
+        warc_record("revisit", {"WARC-Record-ID": "<v>", "WARC-Refers-To": "<b>"}, b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        warc_record("revisit", {"WARC-Record-ID": "<w>", "WARC-Payload-Digest": "sha1:" + digest(b"plain")}, b""),
+        warc_record("revisit", {"WARC-Record-ID": "<o>", "WARC-Payload-Digest": "sha1:" + digest(b"gone"), "WARC-Refers-To": "<far>"}, http),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    found = {r.record_id: r for r in warc.read_archives(spark, source, with_payload=True).collect()}
+    assert set(found) == {"<a>", "<b>", "<r>", "<v>", "<w>", "<o>"} and bytes(found["<a>"].payload) == b"\xffabc" and found["<b>"].payload_digest == digest(b"\xffabc")
+    warc.deduplicate(spark, source, target)
+    again = warc.read_archives(spark, target, with_payload=True).collect()
+    kinds = sorted((r.record_type, r.payload_digest, bytes(r.payload)) for r in again)
+    assert kinds == sorted([("response", digest(b"\xffabc"), b"\xffabc"), ("revisit", digest(b"\xffabc"), b""), ("response", digest(b"plain"), b"plain"), ("revisit", digest(b"\xffabc"), b""), ("revisit", digest(b"plain"), b""), ("revisit", digest(b"gone"), b"")])
+    ids = {r.record_id: r.payload_digest for r in again if r.record_type == "response"}
+    assert all(ids.get(r.refers_to_id, r.payload_digest) == r.payload_digest for r in again if r.record_type == "revisit")
+    assert {r.refers_to_id for r in again if r.payload_digest == digest(b"gone")} == {"<far>"} and sum(r.refers_to_id in ids for r in again) == 3
+
+
 # -- all ----------------------------------------------------------------------------
 
 
