@@ -5,19 +5,30 @@ regular expression: neighbouring equal elements, or equal rows of up to three
 elements, become a repeated group, and text becomes a slot. The expressions of a
 host are aligned one after another: what matches is merged, what one of them lacks
 becomes optional, what one repeats becomes repeated. The result is the host's
-wrapper. Its elements are marked once as content or not: menus, headers, footers,
-sidebars, notices, adverts, forms, comments and lists of links are not. A page is
-then matched against its host's wrapper and the text at content elements is taken,
-block by block; if elements matched in the page are articles, only what they hold is.
-
-Pages of a host share few expressions: only distinct ones are shuffled, and a host
-with more than about ``FOLDED`` of them is folded in parts, then the parts' results
-again, so that a host with most of the pages is no large group. Wrappers meet the pages in a join that Spark broadcasts if the
-written wrappers are small enough and else splits where a host is hot.
+wrapper. Every page is then matched against its host's wrapper, and the strings at
+each of the wrapper's places are aligned too: a place where pages differ is a slot of
+changing text, one where all pages agree is template.
+
+What an element is decides first: menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, comments and lists of links are no content, told by tags, roles and
+whole class names or ids, and never for headings. Weak names (share, social, related,
+widget) count only for elements without paragraphs. Of the rest, text that ``SURE`` or
+more different pages of a host share at one place is template too, if other places
+change; headings are not. Text is taken block by block; if elements matched in the
+page are articles, only what they hold is. Pages of a host with fewer different pages,
+or copies of one page, keep all their text.
+
+Pages of a host share few expressions: only distinct ones are shuffled. A host with
+more than ``FOLDED`` of them is folded in parts, then the parts' results again: the
+parts follow from the host's own expressions alone, so that no host changes another.
+Strings are compared by the least and greatest hash at a place, an aggregate that tasks
+begin before anything is shuffled. Wrappers meet the pages in a join that Spark
+broadcasts if the written wrappers are small enough and else splits where a host is hot.
 
 Null html is empty and gives empty text; a null url or one without a host belongs
 to the host ''. White space is Unicode's. Repeated rows come out once each; no text
-is cut. Elements nested deeper than 150 count as children of the 150th.
+is cut. Unclosed elements end with what holds them. Elements nested deeper than
+``DEEPEST`` follow the one at that depth, still as menus and the like if they lie in one.
 """
 
 from __future__ import annotations
@@ -25,6 +36,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,25 +46,36 @@ from pyspark.sql import functions as F
 from .shared import written
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|</?[a-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<",
     re.S | re.I,
 )
 TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 # Kinds of elements, and names that mark elements which are not content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+FOREIGN = frozenset("svg math".split())  # what may close itself
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NOT_CONTENT = frozenset("head nav footer aside form button dialog menu noscript".split())
+NOT_CONTENT = frozenset("head nav footer aside form button dialog menu noscript template select svg math object canvas".split())
 NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 NOT_CONTENT_NAMES = frozenset(
     "nav navbar navigation menu menubar footer sidebar aside notice notices cookie cookies consent gdpr banner advert adverts advertisement ad ads adsense sponsor sponsored promo "
-    "comment comments respond disqus share sharing social related breadcrumb breadcrumbs newsletter subscribe popup modal overlay login signup pagination pager widget".split()
+    "comment comments respond disqus breadcrumb breadcrumbs newsletter subscribe popup modal overlay login signup pagination pager".split()
 )
+WEAK_NAMES = frozenset("share sharing social related widget widgets".split())
+PLACES = frozenset("area articles bar bars block box button buttons container content form group holder icons inner item items left link links list outer panel posts right section slot stories thread top wrap wrapper".split())
+LAYOUTS = frozenset("has hide no with without".split())
 MASTHEADS = frozenset("header masthead topbar".split())
-DEEPEST = 150
+DEEPEST = 1000
 FOLDED = 500  # expressions of a host that one task folds
+SURE = 3  # different pages that must agree on a text before it is template
+
+def deep() -> None:
+    """Room for functions that call themselves once for each level of a page."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
+
 
 
 class Element:
@@ -63,14 +86,15 @@ class Element:
 
 
 def label_of(token: str, tag: str) -> str:
-    """The tag with what tells its part in a page: class, id and role, without numbers."""
+    """The tag with what tells its part in a page: classes, id and role, without numbers."""
     if len(token) <= len(tag) + 2:
         return tag
     parts = []
     for m in ATTRIBUTE.finditer(token, len(tag) + 1):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            parts += [x for x in re.split(r"[^a-z]+", value) if x]
+            own = (re.sub("[^a-z]+", "-", x).strip("-") for x in value.split())
+            parts += [x if name == "class" else f"#{x}" for x in own if x]
         elif name == "role":
             parts.append("@" + value.strip())
         elif (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (name == "aria-hidden" and value == "true") or (name == "hidden" and value not in ("false", "until-found")):
@@ -113,8 +137,13 @@ def parse(page: str | None) -> Element:
             if tag == "tr" and stack[-1].tag == "tr":
                 stack.pop()
         e = Element(tag, label_of(token, tag))
-        stack[-1].children.append(e)
-        if tag not in VOID and not token.endswith("/>") and len(stack) < DEEPEST:
+        if len(stack) < DEEPEST:
+            stack[-1].children.append(e)
+        else:
+            if any("@hidden" in x.label or not_content(x.label, True) for x in stack[DEEPEST:]):
+                e.label += ".@hidden"
+            stack[DEEPEST - 1].children.append(e)
+        if tag not in VOID and not (token.endswith("/>") and (tag in FOREIGN or any(x.tag in FOREIGN for x in stack))):
             stack.append(e)
     return root
 
@@ -199,14 +228,23 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
+def named(label: str, names: frozenset[str]) -> bool:
+    """Whether a class or the id says so: as a whole, by its last word, or by its first before a word for a place."""
+    for n in label.split(".")[1:]:
+        words = n.lstrip("#").split("-")
+        if words[0] not in LAYOUTS and (words[-1] in names or (words[0] in names and words[-1] in PLACES)):
+            return True
+    return False
+
+
 def not_content(label: str, inside: bool) -> bool:
     """Whether an element of this label is none of a page's content; inside: of an article."""
     tag, *names = label.split(".")
     if tag in NOT_CONTENT or "@hidden" in names or any(n[0] == "@" and n[1:] in NOT_CONTENT_ROLES for n in names):
         return True
-    if not inside and (tag == "header" or not MASTHEADS.isdisjoint(names)):
+    if not inside and (tag == "header" or named(label, MASTHEADS)) and tag not in HEADINGS:
         return True
-    return not NOT_CONTENT_NAMES.isdisjoint(names) and tag not in ("html", "body", "article", "main")
+    return tag not in HEADINGS and tag not in ("html", "body", "article", "main") and named(label, NOT_CONTENT_NAMES)
 
 
 def is_article(label: str) -> bool:
@@ -224,62 +262,106 @@ def only_links(part: list) -> bool:
     return bool(found) and all(k for k, _ in found) and (len(found) > 1 or any(m for _, m in found))
 
 
+def has_paragraphs(part: list) -> bool:
+    return part[0].split(".")[0] == "p" or any(map(has_paragraphs, part[2]))
+
+
 def mark(wrapper: list) -> list:
-    """[label, content?, parts, in an article?] of a wrapper, groups dissolved: what a page is matched against."""
+    """[label, content?, parts, in an article?, place] of a wrapper, groups dissolved: what a page is matched against."""
+    places = iter(range(1 << 62))
 
     def dissolved(parts: list) -> list:
         return [d for c in parts for d in (dissolved(c[2]) if c[0] == "()" else [c])]
 
     def walk(p: list, inside: bool) -> list:
-        inside = inside or is_article(p[0])
-        if p[0] not in ("", "#", "()") and (not_content(p[0], inside) or (not inside and p[0].split(".")[0] in ("ul", "ol", "div", "table", "p", "section") and only_links(p))):
-            return [p[0], False, [], inside]
-        return [p[0], True, [walk(c, inside) for c in dissolved(p[2]) if c[0] != "#"], inside]
+        inside, place = inside or is_article(p[0]), next(places)
+        tag = p[0].split(".")[0]
+        if p[0] not in ("", "#", "()") and (
+            not_content(p[0], inside)
+            or (tag not in HEADINGS and tag not in ("html", "body", "article", "main") and named(p[0], WEAK_NAMES) and not has_paragraphs(p))
+            or (not inside and tag in ("ul", "ol", "div", "table", "p", "section") and only_links(p))
+        ):
+            return [p[0], False, [], inside, place]
+        return [p[0], True, [walk(c, inside) for c in dissolved(p[2]) if c[0] != "#"], inside, place]
 
     return walk(wrapper, False)
 
 
-def extract(page: str | None, marked: list) -> str:
-    """The text of a page at the content elements of its wrapper, of articles only if the page has one."""
-    blocks: list[list[tuple[bool, str]]] = [[]]  # in an article?, text
-    articles = False
+def matched(page: str | None, marked: list) -> tuple[list[int], list[int], list[str]]:
+    """The texts of a page at its wrapper's content places, in order: their places, blocks and strings.
 
-    def walk(e: Element, own: list) -> None:
-        nonlocal articles
+    A place is negative in headings, which are never template. Of a page that has an
+    article, only texts in articles.
+    """
+    places: list[int] = []
+    blocks: list[int] = []
+    texts: list[str] = []
+    within: list[bool] = []
+    block, articles = 0, False
+
+    def walk(e: Element, own: list, heading: bool) -> None:
+        nonlocal articles, block
         at, parts = 0, own[2]
         articles = articles or own[3]
+        heading = heading or e.tag in HEADINGS
+
+        def said(text: str) -> None:
+            places.append(~own[4] if heading else own[4])
+            blocks.append(block)
+            texts.append(text)
+            within.append(own[3])
+
         for c in e.children:
             if isinstance(c, str):
-                blocks[-1].append((own[3], c))
+                said(c)
                 continue
             if c.tag == "br" or c.tag in ("td", "th"):
-                blocks[-1].append((own[3], " "))
+                said(" ")
             found = next((k for k in (*range(at, len(parts)), *range(at)) if parts[k][0] == c.label), None)
             if found is None or not parts[found][1]:
                 continue
             at = found
-            if c.tag in BLOCKS:
-                blocks.append([])
-            walk(c, parts[found])
-            if c.tag in BLOCKS:
-                blocks.append([])
+            block += c.tag in BLOCKS
+            walk(c, parts[found], heading)
+            block += c.tag in BLOCKS
 
-    walk(parse(page), marked)
-    kept = ("".join(t for inside, t in b if inside or not articles) for b in blocks)
-    return "\n".join(t for t in (" ".join(k.split()) for k in kept) if t)
+    walk(parse(page), marked, False)
+    keep = [k for k in range(len(texts)) if within[k] or not articles]
+    return [places[k] for k in keep], [blocks[k] for k in keep], [texts[k] for k in keep]
+
+
+def assembled(places, blocks, texts, template=()) -> str:
+    """Blocks of text, one to a line, without what stands at places of the template."""
+    gone, lines = set(template), {}
+    for place, block, text in zip(places, blocks, texts, strict=True):
+        if place not in gone or text == " ":
+            lines.setdefault(block, []).append(text)
+    joined = (" ".join("".join(x).split()) for x in lines.values())
+    return "\n".join(t for t in joined if t)
+
+
+def extract(page: str | None, marked: list) -> str:
+    """The text of a page at the content places of its wrapper."""
+    return assembled(*matched(page, marked))
 
 
 def _expressions(pages: pd.Series) -> pd.Series:
+    deep()
     return pd.Series([json.dumps(expression(parse(p)), separators=(",", ":"), ensure_ascii=False) for p in pages])
 
 
 def _folded(rows: pd.DataFrame) -> pd.DataFrame:
     """One expression for those of a host, or of a part of them."""
+    deep()
     whole = merge(*(json.loads(w) for w in sorted(set(rows["wrapper"]))))
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(whole, separators=(",", ":"), ensure_ascii=False)]})
 
 
-def _extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+PARTS = "places array<int>, blocks array<int>, texts array<string>"
+
+
+def _matched(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    deep()
     known: dict[str, list] = {}
     for pages, wrappers in batches:
         out = []
@@ -288,8 +370,13 @@ def _extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
                 if len(known) >= 5000:
                     known.clear()
                 known[wrapper] = mark(json.loads(wrapper))
-            out.append(extract(page, known[wrapper]))
-        yield pd.Series(out, dtype=object)
+            out.append(matched(page, known[wrapper]))
+        yield pd.DataFrame(out, columns=["places", "blocks", "texts"])
+
+
+def _assembled(places: pd.Series, blocks: pd.Series, texts: pd.Series, template: pd.Series) -> pd.Series:
+    rows = zip(places, blocks, texts, template, strict=True)
+    return pd.Series([assembled(p.tolist(), b.tolist(), t, () if g is None else g.tolist()) for p, b, t, g in rows], dtype=object)
 
 
 def host(pages: DataFrame) -> DataFrame:
@@ -302,17 +389,32 @@ def infer(pages: DataFrame, folded: int = FOLDED) -> DataFrame:
     """host and wrapper, from all pages with a host column."""
     rows = written(pages.select("host", F.pandas_udf(_expressions, "string")("html").alias("wrapper")).distinct())
     while True:
-        most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
-        parts = max(1, -(-most // folded))
-        salted = rows.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(parts)).cast("int"))
+        sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / folded).alias("parts"))
+        salted = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.col("parts")).cast("int"))
         rows = written(salted.groupBy("host", "part").applyInPandas(_folded, "host string, wrapper string"))
-        if parts == 1:
+        if rows.groupBy("host").count().where("count > 1").isEmpty():
             return rows
 
 
+def templates(found: DataFrame, sure: int = SURE) -> DataFrame:
+    """host and template: the places where at least ``sure`` different pages all have the same text, while they differ at others.
+
+    found: host, page (a hash of the html), places, blocks and texts.
+    """
+    strings = F.arrays_zip("places", "texts")
+    said = F.explode(F.filter(strings, lambda x: (x["places"] >= 0) & (F.trim(x["texts"]) != ""))).alias("x")
+    rows = found.select("host", "page", said).select("host", "page", F.col("x.places").alias("place"), F.xxhash64(F.trim(F.regexp_replace("x.texts", r"\s+", " "))).alias("h"))
+    places = rows.groupBy("host", "place").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page", 0.01).alias("pages"))
+    same = F.col("low") == F.col("high")
+    return places.groupBy("host").agg(F.collect_list(F.when(same & (F.col("pages") >= sure), F.col("place"))).alias("template"), F.bool_or(~same).alias("changes")).where("changes AND size(template) > 0").select("host", "template")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = host(pages)
     wrappers = infer(rows)
-    text = F.pandas_udf(_extracted, "string")("html", "wrapper")
-    return rows.join(wrappers, "host").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    found = rows.join(wrappers, "host").select("page_id", "url", "host", F.xxhash64("html").alias("page"), F.pandas_udf(_matched, PARTS)("html", "wrapper").alias("p"))
+    found = written(found.select("page_id", "url", "host", "page", "p.*"))
+    text = F.pandas_udf(_assembled, "string")("places", "blocks", "texts", "template")
+    out = found.join(written(templates(found)), "host", "left")
+    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -130,6 +130,48 @@ def test_main_text_of_two_layouts(spark):
     assert got == {0: "one", 1: "two\nthree", 2: "one", 3: "two\nthree", 4: "two\nthree"}
 
 
+def main_texts(spark, *bodies, host="http://a.org/"):
+    pages = [(k, f"{host}{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return [r.text for r in sorted(wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())]
+
+
+def test_headings_and_sections_are_not_judged_by_parts_of_names(spark):
+    body = '<article><h1>Life</h1><h2 id="related-work">Related work</h2><p>one</p><section class="social-history"><p>two</p></section><div class="with-sidebar"><p>three</p></div></article>'
+    assert main_texts(spark, body) == ["Life\nRelated work\none\ntwo\nthree"]
+    dropped = '<article><p>one</p><div class="share-box">share</div><div class="advert"><p>buy</p></div><ul class="related-posts"><li><a>x</a></ul><section id="comments"><p>me too</p></section></article>'
+    assert main_texts(spark, dropped) == ["one"]
+
+
+def test_text_that_all_pages_share_is_template(spark):
+    """The same words at one place of three different pages are template; where a page differs they are content."""
+    page = lambda k, meta: f"<article><h2>Notes</h2><div class=x>{meta}</div><p>text {k}</p><p>more {k}</p></article>"
+    assert main_texts(spark, *[page(k, "Posted in: News") for k in range(4)]) == [f"Notes\ntext {k}\nmore {k}" for k in range(4)]
+    assert main_texts(spark, *[page(k, f"Posted in: {k % 2}") for k in range(4)]) == [f"Notes\nPosted in: {k % 2}\ntext {k}\nmore {k}" for k in range(4)]
+    same = [page(1, "Posted in: News")] * 5  # copies of one page tell nothing
+    assert main_texts(spark, *same) == ["Notes\nPosted in: News\ntext 1\nmore 1"] * 5
+
+
+def test_elements_that_close_themselves_or_never(spark):
+    for odd in ('<svg viewBox="0 0 1 1"/>', "<svg><path d='x'/></svg>", "<svg><path d='x'>", "<object data=x>", "<canvas>", "<canvas></canvas>"):
+        assert main_texts(spark, f"<article><p>one {odd}</p><p>two</p></article>") == ["one\ntwo"], odd
+    assert main_texts(spark, "<article><p>one<script>if (a<b) '</p>'</script></p><p>two<style>p{}</style></p></article>") == ["one\ntwo"]
+
+
+def test_a_host_does_not_change_another(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    rows = wrappers.host(pages)
+    alone = wrappers.infer(rows, 3).collect()
+    big = spark.createDataFrame([(f"<div class='{'abcdefghij'[k]}'><p>{k}</p></div>" * (k + 1),) for k in range(10)], "html string").select(F.lit(None).cast("long").alias("page_id"), F.lit("http://huge.org/").alias("url"), "html")
+    beside = wrappers.infer(wrappers.host(pages.unionByName(big)), 3).where("host <> 'huge.org'").collect()
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, beside))
+
+
+def test_deep_menus_are_menus(spark):
+    deep = "<div>" * (wrappers.DEEPEST + 50)
+    got = main_texts(spark, f"<p>one</p>{deep}<nav><div><p>menu</p></div></nav><p>two</p>")
+    assert got == ["one\ntwo"]
+
+
 def test_main_text_of_pages(spark):
     """The pages' articles, by a plain reading of their known shape."""
     import html
