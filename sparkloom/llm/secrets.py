@@ -7,11 +7,20 @@ removes false positives: hashes of commits, UUIDs, paths, identifiers, words.
 
 The main path is one projection of Spark functions: a text is split at its
 candidates, the neighbours are the pieces around each, features are a struct and
-the forest is an expression over it. No shuffle, no Python. The forest itself is
-fitted by Spark's MLlib on ``labelled_findings``, a table of fixed size.
+the forest is an expression over it. No Python; the only shuffle before it is that of
+word counts, from which the ``words`` most frequent words of all texts become the
+dictionary, beside a fixed list of words of code and paths. The forest is fitted by
+Spark's MLlib on a table of labelled findings (before, token, after, label) that a
+caller passes in; without one a made-up table of fixed size stands in. A fitted model
+can be passed on instead, with the dictionary it was fitted with.
+
+A candidate is what follows a secret's name and a sign, 6 characters at least, or 16
+characters at least of letters, digits and ``_+/-``; shorter strings are no findings.
+Features see the ``NEAR`` characters on either side of it and all of itself.
 
 Null and empty texts have no candidates; a text without secrets stays the very
-same; repeated rows come out once each; columns beside text are left alone.
+same; repeated rows come out once each; columns beside text are left alone. An empty
+table has an empty dictionary. Findings all of one label make a forest that gives it.
 """
 
 from __future__ import annotations
@@ -44,9 +53,18 @@ NEAR = 48  # characters of the text before and after a candidate that features l
 MARK = "[SECRET]"
 
 
-def features(token: Column, left: Column, right: Column) -> dict[str, Column]:
-    """Numbers about a candidate and the text around it."""
+def dictionary(docs: DataFrame, words: int = 2000) -> list[str]:
+    """The most frequent words of 3 to 20 letters of whole texts, at most ``words``, ties in their order."""
+    runs = F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"(?<![\p{L}0-9_])\p{L}{3,20}(?![\p{L}0-9_])"), F.lit(0)))
+    counts = docs.select(runs.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return sorted(r.w for r in counts.orderBy(F.col("n").desc(), "w").limit(words).collect())
+
+
+def features(token: Column, left: Column, right: Column, known: list[str] = ()) -> dict[str, Column]:
+    """Numbers about a candidate and the text around it; known: words of the dictionary."""
     n = F.length(token).cast("double")
+    parts = F.transform(F.regexp_extract_all(token, F.lit(r"\p{Lu}?\p{Ll}+|\p{Lu}+"), F.lit(0)), F.lower)
+    covered = F.aggregate(F.filter(parts, lambda w: w.isin(*known)), F.lit(0), lambda a, w: a + F.length(w)) if known else F.lit(0)
     share = lambda pattern: F.regexp_count(token, F.lit(pattern)) / n
     flag = lambda c: c.cast("double")
     words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
@@ -61,6 +79,7 @@ def features(token: Column, left: Column, right: Column) -> dict[str, Column]:
         "vowels": share("[aeiouyAEIOUY]"),
         "clusters": share(r"(?i)[bcdfghjklmnpqrstvwxz]{4}"),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(token), words, "")) / n,
+        "known": covered / n,
         "hex": flag(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "uuid": flag(token.rlike(UUID)),
         "prefix": flag(token.rlike(PREFIXES)),
@@ -121,14 +140,20 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     return spark.range(0, rows, 1, 2).select(F.element_at(cases, at.cast("int")).alias("x")).select("x.*")
 
 
-def fit(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) -> RandomForestClassificationModel:
+def fit(findings: DataFrame, known: list[str] = (), trees: int = 24, depth: int = 7, seed: int = 11) -> RandomForestClassificationModel:
     """A forest from labelled findings (before, token, after, label)."""
-    columns = features(F.col("token"), F.col("before"), F.col("after"))
+    columns = features(F.col("token"), F.col("before"), F.col("after"), known)
     rows = findings.select("label", *[c.alias(k) for k, c in columns.items()])
     rows = VectorAssembler(inputCols=list(columns), outputCol="x").transform(rows).select("label", "x")
     return RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=trees, maxDepth=depth, minInstancesPerNode=4, seed=seed).fit(rows)
 
 
+def judged(rows: DataFrame, model: RandomForestClassificationModel, known: list[str] = ()) -> DataFrame:
+    """``rows`` of findings (before, token, after) with the model's score."""
+    columns = features(F.col("token"), F.col("before"), F.col("after"), known)
+    return rows.withColumn("_x", F.struct(*[c.alias(k) for k, c in columns.items()])).withColumn("score", forest(model, F.col("_x"), list(columns))).drop("_x")
+
+
 def forest(model: RandomForestClassificationModel, x: Column, names: list[str]) -> Column:
     """The share of trees that vote for a secret, as one expression over the struct ``x``."""
 
@@ -145,27 +170,30 @@ def forest(model: RandomForestClassificationModel, x: Column, names: list[str])
     return total / len(trees)
 
 
-def scanned(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def scanned(docs: DataFrame, findings: DataFrame | None = None, model: tuple[RandomForestClassificationModel, list[str]] | None = None) -> DataFrame:
     """``docs`` with _pieces (text between candidates) and _found: token and score of each candidate."""
-    model = fit(labelled_findings(docs.sparkSession) if findings is None else findings)
+    if model is None:
+        known = dictionary(docs)
+        model = fit(labelled_findings(docs.sparkSession) if findings is None else findings, known), known
+    trees, known = model
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.withColumn("_tokens", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).withColumn("_pieces", F.when(F.size("_tokens") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
     around = lambda t, k: (F.right(F.element_at("_pieces", k + 1), F.lit(NEAR)), F.left(F.element_at("_pieces", k + 2), F.lit(NEAR)))
     given = split.withColumn("_around", F.transform("_tokens", lambda t, k: F.struct(t.alias("token"), around(t, k)[0].alias("before"), around(t, k)[1].alias("after"))))
     names = list(features(F.lit(""), F.lit(""), F.lit("")))
-    measured = given.withColumn("_x", F.transform("_around", lambda a: F.struct(a["token"].alias("token"), *[c.alias(n) for n, c in features(a["token"], a["before"], a["after"]).items()])))
-    return measured.withColumn("_found", F.transform("_x", lambda a: F.struct(a["token"].alias("token"), forest(model, a, names).alias("score")))).drop("_tokens", "_around", "_x")
+    measured = given.withColumn("_x", F.transform("_around", lambda a: F.struct(a["token"].alias("token"), *[c.alias(n) for n, c in features(a["token"], a["before"], a["after"], known).items()])))
+    return measured.withColumn("_found", F.transform("_x", lambda a: F.struct(a["token"].alias("token"), forest(trees, a, names).alias("score")))).drop("_tokens", "_around", "_x")
 
 
-def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def findings(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, n_candidates and found (token, score) of every document."""
-    out = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labelled)
     return out.select("doc_id", F.size("_found").cast("long").alias("n_candidates"), F.filter("_found", lambda f: f["score"] >= threshold).alias("found"))
 
 
-def masked(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def masked(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with every secret replaced by a mark; n_chars follows the text."""
-    out = scanned(packed(docs, "text"))
+    out = scanned(packed(docs, "text"), labelled)
     hit = F.exists("_found", lambda f: f["score"] >= threshold)
     shown = F.concat(F.transform("_found", lambda f: F.when(f["score"] >= threshold, MARK).otherwise(f["token"])), F.array(F.lit("")))
     text = F.array_join(F.flatten(F.zip_with("_pieces", shown, lambda p, s: F.array(p, s))), "")
