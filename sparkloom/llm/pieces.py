@@ -2,11 +2,12 @@
 
 A text gets the pieces of a model's vocabulary with the highest sum of scores,
 ties to the longer last piece; a character no piece has becomes its UTF-8 bytes.
-The search reads a text once and keeps the positions from which a piece can still
-start, at most the longest piece's length back, and what lies between them and the
-last boundary that all surviving backpointer paths share; up to that boundary ids
-are committed. Where no piece can span two characters the paths always converge,
-so texts are cut there and equal cuts are remembered in a table of bounded size.
+The search reads a text once, from each place forward as far as a piece can begin
+there, at most the longest piece's length. It keeps the places pieces have reached and
+what lies between them and the last boundary that all their backpointer paths share;
+up to that boundary ids are committed. Where no piece can span two characters the
+paths always converge, so texts are cut there. One search serves cuts of every length;
+what it found for short ones is remembered in a table of bounded size.
 
 For a model of merges these are the best-scoring pieces, which need not be those
 that replaying the merges gives. Decoding is the exact inverse.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +58,10 @@ class Pieces:
         within = "".join(sorted(map(re.escape, inner - {" "})))
         self.cuts = re.compile(r"(?s).+" if spans or not within else rf"(?s) *[{within}]+| +|.")
         self.memo: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # cuts that do not decode to themselves
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "odd": set()}
 
     @classmethod
     def load(cls, model_path: str) -> Pieces:
@@ -74,32 +76,45 @@ class Pieces:
 
     def search(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, in the parts in which they are committed."""
-        get, longest, n = self.vocabulary.get, self.longest, len(text)
+        get, longest, n, low = self.beginnings.get, self.longest, len(text), -float("inf")
         base, check = 0, 4 * longest
-        best, width, piece = array("d", [0.0]), array("i", [0]), array("i", [-1])  # of the boundaries from base on
-        for end in range(1, n + 1):
-            top, w, k = -float("inf"), 1, -1
-            for size in range(min(longest, end - base), 0, -1):
-                found = get(text[end - size : end])
-                if found is not None and best[end - size - base] + found[0] > top:
-                    top, w, k = best[end - size - base] + found[0], size, found[1]
-            if k < 0 or (w > 1 and text[end - 1] not in self.vocabulary and best[end - 1 - base] + self.fallback > top):
-                top, w, k = best[end - 1 - base] + self.fallback, 1, -1
-            best.append(top)
-            width.append(w)
-            piece.append(k)
-            if end - base >= check and end < n:
-                at = self._shared(width, end - base)
-                if at:
-                    yield self._path(text, base, width, piece, at)
-                    del best[:at], width[:at], piece[:at]
-                    base += at
-                check = max(4 * longest, 2 * (end - base))
+        best, width, piece = [0.0], [0], [-1]  # of the boundaries from base on
+        for start in range(n):
+            at = start - base
+            own = best[at]
+            for end in range(start + 1, min(n, start + longest) + 1):
+                found = get(text[start:end], low)
+                if found is None:  # a piece's beginning, but no piece
+                    continue
+                if found is low:
+                    break
+                self._grow(end - base, best, width, piece)
+                if own + found[0] > best[end - base]:
+                    best[end - base], width[end - base], piece[end - base] = own + found[0], end - start, found[1]
+            self._grow(at + 1, best, width, piece)
+            if own + self.fallback > best[at + 1] and text[start] not in self.vocabulary:
+                best[at + 1], width[at + 1], piece[at + 1] = own + self.fallback, 1, -1
+            if at + 1 >= check and start + 1 < n:
+                shared = self._shared(best, width, at + 1)
+                if shared:
+                    yield self._path(text, base, width, piece, shared)
+                    del best[:shared], width[:shared], piece[:shared]
+                    base += shared
+                check = max(4 * longest, 2 * (start + 1 - base))
         yield self._path(text, base, width, piece, n - base)
 
-    def _shared(self, width: array, end: int) -> int:
-        """The last boundary on every path to a boundary from which a piece can still start."""
-        live = set(range(max(0, end - self.longest + 1), end + 1))
+    @staticmethod
+    def _grow(end: int, best: list, width: list, piece: list) -> None:
+        more = end + 1 - len(best)
+        if more > 0:
+            best += [-float("inf")] * more
+            width += [1] * more
+            piece += [-1] * more
+
+    @staticmethod
+    def _shared(best: list, width: list, first: int) -> int:
+        """The last boundary on every path to the boundaries from ``first`` on that pieces have reached."""
+        live = {k for k in range(first, len(best)) if best[k] > -float("inf")}
         while len(live) > 1:
             last = max(live)
             live.discard(last)
@@ -119,43 +134,35 @@ class Pieces:
         return out[::-1]
 
     def _cut(self, part: str) -> bytes:
-        if len(part) > CUT:
-            return b"".join(array("i", ids).tobytes() for ids in self.search(part))
-        if len(self.memo) >= REMEMBERED:
-            self.memo.clear()
-        ids = self.memo[part] = self._short(part)
-        return ids
-
-    def _short(self, part: str) -> bytes:
-        """The same search for a cut shorter than a window, from each start forward."""
-        n, get = len(part), self.beginnings.get
-        low = -float("inf")
-        best, width, piece = [low] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
-        for start in range(n):
-            own = best[start]
-            for end in range(start + 1, n + 1):
-                found = get(part[start:end], low)
-                if found is None:
-                    continue
-                if found is low:
-                    break
-                if own + found[0] > best[end]:
-                    best[end], width[end], piece[end] = own + found[0], end - start, found[1]
-            if own + self.fallback > best[start + 1] and part[start] not in self.vocabulary:
-                best[start + 1], width[start + 1], piece[start + 1] = own + self.fallback, 1, -1
-        return array("i", self._path(part, 0, width, piece, n)).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text, 4 bytes each."""
+        ids = array("i", (k for found in self.search(part) for k in found))
+        if self.decoded(ids) != part:
+            self.odd.add(part)
+        data = ids.tobytes()
+        if len(part) <= CUT:
+            if len(self.memo) >= REMEMBERED:
+                self.memo.clear()
+                self.odd.clear()
+            self.memo[part] = data
+        return data
+
+    def encode(self, text: str | None) -> tuple[bytes, bool]:
+        """The ids of a whole text, 4 bytes each, and whether decoding them gives the text.
+
+        Decoding joins what ids stand for, so it does if it does for each cut.
+        """
         if not text:
-            return b""
-        get, cut = self.memo.get, self._cut
-        return b"".join([get(part) or cut(part) for part in self.cuts.findall(" " + text)])
+            return b"", True
+        get, cut, parts = self.memo.get, self._cut, self.cuts.findall(" " + text)
+        ids = b"".join([get(part) or cut(part) for part in parts])
+        return ids, not self.odd or self.odd.isdisjoint(parts)
+
+    def decoded(self, ids: Iterable[int]) -> str:
+        """What ids stand for, with the space that encoding put before the text."""
+        return b"".join(map(self.data.__getitem__, ids)).decode("utf-8", "replace")
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids."""
-        return b"".join(map(self.data.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.decoded(ids)[1:]
 
 
 def encoded(model_path: str) -> Column:
@@ -167,9 +174,9 @@ def encoded(model_path: str) -> Column:
         for texts in batches:
             parts, same = [], []
             for text in texts.to_pylist():
-                ids = pieces.encode(text)
+                ids, whole = pieces.encode(text)
                 parts.append(ids)
-                same.append(pieces.decode(np.frombuffer(ids, np.int32).tolist()) == (text or ""))
+                same.append(whole)
             ends = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(parts), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)

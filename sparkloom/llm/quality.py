@@ -5,8 +5,12 @@ kind. A small network is fitted to the non-negative unbiased risk
 
     prior * R(positives as 1) + max(0, R(unlabelled as 0) - prior * R(positives as 0))
 
-with the prior estimated from the labelled share; where the bracket turns negative
-its gradient is walked back. Scores are then calibrated on the labelled rows.
+where the bracket turns negative its gradient is walked back. The prior is estimated
+from positives and unlabelled rows alone: a first network tells them apart, and on rows
+it was not fitted to, the share of unlabelled rows above a threshold over that of
+positives is at least the prior and nearest to it where others are few; its least value
+over all thresholds that a fifth of the positives pass is taken. Negatives are used for
+nothing but the calibration of scores on the labelled rows.
 
 Only the fit sees a sample: at most ``sample`` labelled and ``sample`` unlabelled
 documents, those with the smallest hashes of doc_id. Scoring reads every whole
@@ -93,6 +97,25 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(theta: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The unbiased risk's bracket, and the gradient to follow: of the whole risk, or backwards of the bracket where it is negative."""
+
+    def parts(x, slope):
+        """Mean over rows of the logistic loss as 0, and the gradient of slope(logit) / rows by the network's parts."""
+        h = np.tanh(x @ theta[0] + theta[1])
+        z = h @ theta[2] + theta[3]
+        d = slope(z) / len(x)
+        back = np.outer(d, theta[2]) * (1 - h * h)
+        return np.logaddexp(0, z).mean(), [x.T @ back, back.sum(0), h.T @ d, d.sum()]
+
+    loss_u, grad_u = parts(u, _sigmoid)
+    loss_p, grad_p = parts(p, _sigmoid)
+    rest, minus = loss_u - prior * loss_p, [a - prior * b for a, b in zip(grad_u, grad_p, strict=True)]
+    if rest < 0:
+        return rest, [-b for b in minus]
+    return rest, [prior * a + b for a, b in zip(parts(p, lambda z: _sigmoid(z) - 1)[1], minus, strict=True)]
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, hidden: int = 16, batch: int = 512, seed: int = 7) -> Model:
     """Minimise the non-negative risk of the logistic loss with Adam."""
     rng = np.random.default_rng(seed)
@@ -100,23 +123,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     theta = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(())]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-
-    def grads(x, weight):
-        """Gradients of sum(weight(logit)) by the network's parts."""
-        h = np.tanh(x @ theta[0] + theta[1])
-        d = weight(h @ theta[2] + theta[3])
-        back = np.outer(d, theta[2]) * (1 - h * h)
-        return [x.T @ back, back.sum(0), h.T @ d, d.sum()]
-
     for k in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
-        zp, zu = (np.tanh(x @ theta[0] + theta[1]) @ theta[2] + theta[3] for x in (xp, xu))
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        minus = [a - prior * b for a, b in zip(grads(xu, lambda z: _sigmoid(z) / batch), grads(xp, lambda z: _sigmoid(z) / batch), strict=True)]
-        if rest >= 0:
-            g = [prior * a + b for a, b in zip(grads(xp, lambda z: (_sigmoid(z) - 1) / batch), minus, strict=True)]
-        else:
-            g = [-b for b in minus]
+        _, g = risk(theta, p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)], prior)
         for i, own in enumerate(g):
             own = own + 1e-4 * theta[i]
             m[i] = 0.9 * m[i] + 0.1 * own
@@ -125,6 +133,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, *theta)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
+    """The share of positives among the unlabelled rows, from 0.05 to 0.95."""
+    ranking = fit(positive[::2], unlabelled[::2], 0.5, steps=500)
+    p, u = (np.sort(ranking.logit(x)) if len(x) else np.zeros(1) for x in (positive[1::2], unlabelled[1::2]))
+    cuts = p[: max(1, int((1 - least) * len(p)))]
+    above = lambda x: 1 - np.searchsorted(x, cuts) / len(x)
+    return float(np.clip((above(u) / above(p)).min(), 0.05, 0.95))
+
+
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
     """Slope and shift of the logit by Newton's method on the labelled rows."""
     z = model.logit(x)
@@ -155,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[], Column], sa
         return None
     x, y = np.stack(rows["x"]), rows["_label"].to_numpy()
     y_known = y[known].astype(float)
-    prior = float(np.clip((y_known.sum() + 1) / (len(y_known) + 2), 0.05, 0.95))
-    model = fit(x[y == 1], x[~known], prior)
+    positive, unlabelled = x[y == 1], x[~known]
+    model = fit(positive, unlabelled, estimated_prior(positive, unlabelled))
     if (y_known == 0).any():
         calibrate(model, x[known], y_known)
     return model

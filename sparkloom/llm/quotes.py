@@ -17,8 +17,9 @@ ranges, so that a conversation with most of the rows spans many tasks.
 
 Null or empty texts have no own text and no quotes; a line of attribution before a
 quote belongs to the quote. Rows with a null conv_id or turn link to nothing.
-Repeated rows come out once each. Texts are read whole. A message whose text is
-quotes only keeps an empty text.
+Repeated rows come out once each. Texts, lines and lines of attribution are read
+whole, whatever their length. A message whose text is quotes only keeps an empty text.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .shared import written
 
 QUOTE = re.compile(r"^\s{0,3}((?:>[ \t]?)+)(.*)$")
 # What mail programs write before a quote.
-ATTRIBUTION = re.compile(r"^\s*(?:On\b.{0,200}\bwrote|Am\b.{0,200}\bschrieb\b.{0,100}|Le\b.{0,200}\ba écrit|El\b.{0,200}\bescribió)\s*:\s*$")
+ATTRIBUTION = re.compile(r"^\s*(?:On\b.*\bwrote|Am\b.*\bschrieb\b.*|Le\b.*\ba écrit|El\b.*\bescribió)\s*:\s*$")
 PARSED = "own string, passages array<string>, quotes array<struct<level:int,passage:string>>"
 
 
