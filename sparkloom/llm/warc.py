@@ -35,7 +35,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import shared_dir, written
@@ -60,9 +60,10 @@ def marked(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, float]:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html").cast("binary"))})
     heads = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.first("bytes").alias("bytes"))
-    heads = written(heads)
-    mean = heads.agg((F.sum(F.col("bytes") * F.col("n")) / F.sum("n")).alias("m")).first().m or 0.0
-    shared = heads.where((F.col("bytes") >= min_bytes) & (F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    seen = Observation()
+    heads = heads.observe(seen, F.sum(F.col("bytes") * F.col("n")).alias("bytes"), F.sum("n").alias("n"))
+    shared = written(heads.where((F.col("bytes") >= min_bytes) & (F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first"))
+    mean = (seen.get.get("bytes") or 0) / max(1, seen.get.get("n") or 0)
     own = F.col("first").eqNullSafe(F.col("page_id"))
     linked = rows.join(shared, "digest", "left")
     ids = {"own_id": record_id(F.col("page_id").cast("string"), F.col("digest")), "first_id": F.when(F.col("first").isNotNull() & ~own, record_id(F.col("first").cast("string"), F.col("digest")))}
