@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +47,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MODEL = public_tokenizers.path("piece_bpe_32k.model")
+def model_path() -> str:
+    """The vocabulary file of the queries; the package that knows its place is needed by nothing else."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+try:
+    MODEL = model_path()
+except ImportError:
+    MODEL = ""
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document and whether they decode to its text."""
-    return pieces.tokenised(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), MODEL)
+    return pieces.tokenised(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_path())
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +97,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20

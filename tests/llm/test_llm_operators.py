@@ -53,12 +53,19 @@ def test_topk_matches_brute_force(spark, scale):
     base[50:90] = base[50]  # ties
     rows = [(int(k), [float(x) for x in v], 1) for k, v in enumerate(base)]
     bad = [(1000, None, 1), (1020, [1.0, None], 1), (1040, [float("nan")] * 8, 1), (1060, [float("inf")] * 8, 1), (None, [1.0] * 8, 1)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int")
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int").withColumns({c: F.lit(2) for c in ("shard", "part", "floor", "v")})
     got = topk.top_k(df, F.col("vec_id") % 20 == 0, 20, shard_rows=100, part_rows=7).collect()
     want = brute_top([(k, [int(np.floor(64 * x)) for x in v]) for k, v, _ in rows], 20)
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_topk_of_repeated_ids(spark):
+    """Repeated rows are candidates each; queries of one id are one query."""
+    rows = [(0, [1.0]), (0, [1.0]), (7, [2.0]), (7, [2.0]), (8, [3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 20, shard_rows=2, part_rows=1).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 8, 64 * 192), (0, 2, 7, 64 * 128), (0, 3, 7, 64 * 128)]
+
+
 def test_topk_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -69,8 +76,10 @@ def test_topk_prunes():
     ids = np.arange(640)
     high = x.reshape(10, 64, 4).max(1)
     q = np.ones(4)
-    _, score, scored = topk.search(x, ids, high, high, q, -1, high @ q, 5)
+    _, score, scored = topk.search(x, ids, q, -1, high @ q, 5)
     assert list(score) == [36] * 5 and scored < 10
+    assert topk.search(x, ids, q, -1, high @ q, 5, 37.0)[2] == 0  # no block reaches another shard's kth score
+    assert len(topk.search(x, ids, q, -1, high @ q, 5, 36.0)[0]) == 5  # ties are kept
 
 
 # -- 2 ------------------------------------------------------------------------------
