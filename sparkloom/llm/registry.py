@@ -54,12 +54,6 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-try:
-    MODEL = model_path()
-except ImportError:
-    MODEL = ""
-
-
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document and whether they decode to its text."""
     return pieces.tokenised(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_path())
