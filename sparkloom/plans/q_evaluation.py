@@ -68,12 +68,20 @@ def rouge12(spark, d):
     return r6(E.rouge(pairs(spark, d), 1, 2))
 
 
-@query("rouge_l")
+@query("rouge_l", f"""WITH t AS (SELECT {w('lower(answer)')} AS p, {w('lower(question)')} AS r FROM v_qa),
+l AS (SELECT len(p) AS np, len(r) AS nr, list_reduce(p, lambda row, x: list_reduce(range(1, len(r) + 1), lambda acc, j: list_append(acc, CASE WHEN x = r[j] THEN row[j] + 1 ELSE greatest(acc[-1], row[j + 1]) END), [0]), list_transform(range(0, len(r) + 1), lambda i: 0))[-1] AS m FROM t),
+f AS (SELECT CASE WHEN np > 0 THEN m::DOUBLE / np ELSE 0 END AS p, CASE WHEN nr > 0 THEN m::DOUBLE / nr ELSE 0 END AS r FROM l),
+h AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM f)
+SELECT round(avg(p), 6) AS "rougeL_p", round(avg(r), 6) AS "rougeL_r", round(avg(f), 6) AS "rougeL_f" FROM h""")
 def rouge_l(spark, d):
     return r6(E.rouge_l(pairs(spark, d)))
 
 
-@query("meteor_exact")
+@query("meteor_exact", f"""WITH t AS (SELECT {w('lower(answer)')} AS p, {w('lower(question)')} AS r FROM v_qa),
+a AS (SELECT len(p) AS np, len(r) AS nr, list_transform(range(1, len(p) + 1), lambda i: list_filter(range(1, len(r) + 1), lambda j: r[j] = p[i])[len(list_filter(p[1:i], lambda x: x = p[i]))]) AS hits FROM t),
+c AS (SELECT np, nr, len(list_filter(hits, lambda x: x IS NOT NULL)) AS m, len(list_filter(range(1, np + 1), lambda i: hits[i] IS NOT NULL AND (i = 1 OR hits[i - 1] IS NULL OR hits[i - 1] + 1 <> hits[i]))) AS chunks FROM a),
+s AS (SELECT CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE 10 * (m::DOUBLE / np) * (m::DOUBLE / nr) / (m::DOUBLE / nr + 9 * (m::DOUBLE / np)) * (1 - 0.5::DOUBLE * pow(chunks::DOUBLE / m, 3)) END AS s FROM c)
+SELECT round(avg(s), 6) AS meteor FROM s""")
 def meteor_exact(spark, d):
     return r6(E.meteor_exact(pairs(spark, d)))
 

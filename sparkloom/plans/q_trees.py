@@ -119,7 +119,15 @@ def positional_sample(spark, d):
     return S.positional(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", "doc_id", 9)
 
 
-@query("diversity_sample")
+JACCARD = "len(list_intersect(ws[{0}], ws[{1}]))::DOUBLE / greatest(1, len(list_distinct(list_concat(ws[{0}], ws[{1}]))))"
+
+
+@query("diversity_sample", f"""WITH r AS (SELECT source, doc_id, list_distinct({w('lower(text)')}) AS w, row_number() OVER (PARTITION BY source ORDER BY {H.format('doc_id', 42)}, doc_id) AS k FROM documents),
+g AS (SELECT source, list(doc_id ORDER BY k) AS ids, list(w ORDER BY k) AS ws, count(*) AS n FROM r WHERE k <= 50 GROUP BY source),
+c AS (SELECT source, ids, list_reduce(range(1, least(5, n)), lambda a, step: list_transform([list_sort(list_transform(list_filter(range(1, n + 1), lambda i: NOT list_contains(a.chosen, i)), lambda i: {{'v': a.near[i], 'i': i}}))[1].i],
+ lambda b: {{'chosen': list_append(a.chosen, b), 'near': list_transform(range(1, n + 1), lambda i: greatest(a.near[i], {JACCARD.format('b', 'i')}))}})[1],
+ {{'chosen': [CAST(1 AS BIGINT)], 'near': list_transform(range(1, n + 1), lambda i: {JACCARD.format('1', 'i')})}}).chosen AS chosen FROM g)
+SELECT source, ids[chosen[k]] AS doc_id, CAST(k AS INT) AS pick FROM (SELECT *, unnest(range(1, len(chosen) + 1)) AS k FROM c)""")
 def diversity_sample(spark, d):
     return S.diverse(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text", 5)
 
