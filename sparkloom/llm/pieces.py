@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,24 +77,25 @@ class Pieces:
 
     def search(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, in the parts in which they are committed."""
-        get, longest, n, low = self.beginnings.get, self.longest, len(text), -float("inf")
+        get, longest, n, low, fallback = self.beginnings.get, self.longest, len(text), -float("inf"), self.fallback
         base, check = 0, 4 * longest
-        best, width, piece = [0.0], [0], [-1]  # of the boundaries from base on
+        room = min(n, check + longest) + 1
+        best, width, piece = [low] * room, [1] * room, [-1] * room  # of the boundaries from base on
+        best[0] = 0.0
         for start in range(n):
             at = start - base
             own = best[at]
-            for end in range(start + 1, min(n, start + longest) + 1):
+            for end in range(start + 1, n + 1):
                 found = get(text[start:end], low)
                 if found is None:  # a piece's beginning, but no piece
                     continue
                 if found is low:
                     break
-                self._grow(end - base, best, width, piece)
-                if own + found[0] > best[end - base]:
-                    best[end - base], width[end - base], piece[end - base] = own + found[0], end - start, found[1]
-            self._grow(at + 1, best, width, piece)
-            if own + self.fallback > best[at + 1] and text[start] not in self.vocabulary:
-                best[at + 1], width[at + 1], piece[at + 1] = own + self.fallback, 1, -1
+                score, to = own + found[0], end - base
+                if score > best[to]:
+                    best[to], width[to], piece[to] = score, end - start, found[1]
+            if own + fallback > best[at + 1] and text[start] not in self.vocabulary:
+                best[at + 1], width[at + 1], piece[at + 1] = own + fallback, 1, -1
             if at + 1 >= check and start + 1 < n:
                 shared = self._shared(best, width, at + 1)
                 if shared:
@@ -101,16 +103,13 @@ class Pieces:
                     del best[:shared], width[:shared], piece[:shared]
                     base += shared
                 check = max(4 * longest, 2 * (start + 1 - base))
+                more = min(n - base, check + longest) + 1 - len(best)
+                if more > 0:
+                    best += [low] * more
+                    width += [1] * more
+                    piece += [-1] * more
         yield self._path(text, base, width, piece, n - base)
 
-    @staticmethod
-    def _grow(end: int, best: list, width: list, piece: list) -> None:
-        more = end + 1 - len(best)
-        if more > 0:
-            best += [-float("inf")] * more
-            width += [1] * more
-            piece += [-1] * more
-
     @staticmethod
     def _shared(best: list, width: list, first: int) -> int:
         """The last boundary on every path to the boundaries from ``first`` on that pieces have reached."""
@@ -134,10 +133,11 @@ class Pieces:
         return out[::-1]
 
     def _cut(self, part: str) -> bytes:
-        ids = array("i", (k for found in self.search(part) for k in found))
+        found = list(self.search(part))
+        ids = found[0] if len(found) == 1 else list(chain.from_iterable(found))
         if self.decoded(ids) != part:
             self.odd.add(part)
-        data = ids.tobytes()
+        data = array("i", ids).tobytes()
         if len(part) <= CUT:
             if len(self.memo) >= REMEMBERED:
                 self.memo.clear()
