@@ -10,12 +10,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Sequence
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .models import Model, apply
 
 
 # -- classification ---------------------------------------------------------------
@@ -110,6 +112,26 @@ def task_scores(pairs: DataFrame) -> DataFrame:
     return out.select("task", "n", "accuracy", f1.alias("f1"), matthews().alias("mcc"))
 
 
+class Suite(Protocol):
+    """A benchmark: its tasks, their rows of text and label, and how a reply names a class."""
+
+    tasks: Sequence[str]
+
+    def load(self, spark: SparkSession, task: str) -> DataFrame: ...
+
+    def parse(self, reply: Column, task: str) -> Column: ...
+
+
+def evaluated(spark: SparkSession, suite: Suite, model: Model) -> DataFrame:
+    """Scores of a model on all tasks of a suite; replies that fail count as wrong."""
+    pairs = None
+    for task in suite.tasks:
+        rows = apply(suite.load(spark, task), F.col("text"), model)
+        one = rows.select(F.lit(task).alias("task"), F.coalesce(suite.parse(F.col("reply"), task), F.lit(-1)).alias("prediction"), "label")
+        pairs = one if pairs is None else pairs.unionByName(one)
+    return task_scores(pairs)
+
+
 def merged_metrics(results: DataFrame) -> DataFrame:
     """benchmark, task, metric and value of several results: of one metric the last written."""
     return results.groupBy("benchmark", "task", "metric").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))

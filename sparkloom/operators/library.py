@@ -111,6 +111,13 @@ def schema_problems(df: DataFrame, wanted: Mapping[str, str]) -> list[str]:
     return [f"no column {c}" if c not in kinds else f"{c} is {kinds[c]}, not {t}" for c, t in wanted.items() if kinds.get(c) != t]
 
 
+def manifests(files: DataFrame) -> DataFrame:
+    """document_id, total_files, total_length and files (in order, as a list) of documents parsed to several files."""
+    rows = F.array_sort(F.collect_list(F.struct("file_seq", "file_path")))
+    out = files.groupBy("document_id").agg(F.count("*").alias("total_files"), F.sum("content_length").alias("total_length"), rows.alias("_f"))
+    return out.select("document_id", "total_files", "total_length", F.transform("_f", lambda x: x["file_path"]).alias("files"))
+
+
 def history(versions: DataFrame, changes: DataFrame) -> DataFrame:
     """Versions of each dataset in order with their changes as one text."""
     own = changes.groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_list("change")), ",").alias("changes"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
@@ -103,19 +103,46 @@ def requests_in_window(events: DataFrame, by: str, ts: str, seconds: int = 60) -
 # -- question templates -----------------------------------------------------------
 
 
+# Question templates of domains, as (source category, target category, question, answer).
+TEMPLATE_PACKS = {
+    "medical": (
+        ("symptoms", "disease_names", "A patient presents with {source_entity}. What is the most likely diagnosis?", "The patient likely has {target_entity} based on the presenting symptom of {source_entity}."),
+        ("medications", "disease_names", "What condition is {source_entity} typically used to treat?", "{source_entity} is commonly used to treat {target_entity}."),
+    ),
+    "business": (
+        ("products", "features", "What are the key features of {source_entity}?", "{source_entity} includes features such as {target_entity}."),
+        ("companies", "products", "What products does {source_entity} offer?", "{source_entity} offers products including {target_entity}."),
+    ),
+}
+
+
+def template_pack(spark: SparkSession, name: str, first_id: int = 1) -> DataFrame:
+    """A domain's templates as rows: template_id, category, target_category, question and answer."""
+    rows = [(first_id + k, *t) for k, t in enumerate(TEMPLATE_PACKS[name])]
+    return spark.createDataFrame(rows, "template_id int, category string, target_category string, question string, answer string")
+
+
 def expand_templates(relations: DataFrame, templates: DataFrame, most: int = 3) -> DataFrame:
     """question and answer of each relation by the first ``most`` templates that apply to its category.
 
-    Templates are rows (template_id, category or null for any, question, answer) and
-    few; their categories meet the relations in an equi-join, those for any in another.
+    Templates are rows (template_id, category or null for any, question, answer, and
+    target_category where that matters too). Those of a category are one row that an
+    equi-join finds, those for any are one row in all. Rows that share a key are one
+    relation, so that a window has at most ``most`` times as many rows as a key.
     """
-    keyed = relations.join(F.broadcast(templates.where("category IS NOT NULL")), F.col("source_category") == F.col("category"))
-    free = relations.crossJoin(F.broadcast(templates.where("category IS NULL")))  # a handful of fixed rows
-    both = keyed.unionByName(free)
-    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("template_id"))
-    fill = lambda c: F.replace(F.replace(F.col(c), F.lit("{source}"), F.col("source_entity")), F.lit("{target}"), F.col("target_entity"))
-    chosen = both.withColumn("_r", rank).where(F.col("_r") <= most)
-    return chosen.select("l_orderkey", "l_linenumber", "template_id", fill("question").alias("question"), fill("answer").alias("answer"), "confidence")
+    if "target_category" not in templates.columns:
+        templates = templates.withColumn("target_category", F.lit(None).cast("string"))
+    listed = F.array_sort(F.collect_list(F.struct("template_id", "target_category", "question", "answer")))
+    own = templates.where("category IS NOT NULL").groupBy("category").agg(listed.alias("_own"))
+    free = templates.where("category IS NULL").agg(listed.alias("_free"))
+    both = relations.join(own, F.col("source_category") == F.col("category"), "left").crossJoin(F.broadcast(free))  # one row
+    every = F.array_sort(F.concat(F.coalesce("_own", F.slice("_free", 1, 0)), "_free"))
+    fits = F.filter(every, lambda t: t["target_category"].isNull() | F.coalesce(t["target_category"] == F.col("target_category"), F.lit(False)))
+    fill = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("{source}"), F.col("source_entity")), F.lit("{target}"), F.col("target_entity")), F.lit("{source_entity}"), F.col("source_entity")), F.lit("{target_entity}"), F.col("target_entity"))
+    chosen = both.select("l_orderkey", "l_linenumber", "source_entity", "target_entity", "confidence", F.explode(F.slice(fits, 1, most)).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("t.template_id"))
+    chosen = chosen.withColumn("_r", rank).where(F.col("_r") <= most)
+    return chosen.select("l_orderkey", "l_linenumber", "t.template_id", fill(F.col("t.question")).alias("question"), fill(F.col("t.answer")).alias("answer"), "confidence")
 
 
 def dedup_answers(pairs: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -53,6 +53,24 @@ def load(spark: SparkSession, text: str | dict) -> DataFrame:
     return spark.createDataFrame(list(nodes(tree.get("taxonomy", tree))), NODE)
 
 
+def marked(tree: DataFrame, source: str) -> DataFrame:
+    """``tree`` whose nodes say where they come from, unless they do already."""
+    own = F.coalesce("source", F.lit(source)) if "source" in tree.columns else F.lit(source)
+    return tree.withColumn("source", own)
+
+
+def to_dict(tree: DataFrame) -> list[dict]:
+    """The roots of a tree as nested dictionaries, children in the order of their names; a tree is small by nature."""
+    found: dict[str, dict] = {}
+    roots = []
+    for row in sorted(tree.collect(), key=lambda r: r["path"].split(ARROW)):
+        node = {k: v for k, v in row.asDict(recursive=True).items() if k not in ("path", "ord", "depth", "parent_key") and v is not None} | {"children": []}
+        found[row["path"]] = node
+        above = found.get(row["path"].rpartition(ARROW)[0])
+        (roots if above is None else above["children"]).append(node)
+    return roots
+
+
 def levels(tree: DataFrame) -> DataFrame:
     """Nodes and mean threshold per depth."""
     return tree.groupBy("depth").agg(F.count("*").alias("n_nodes"), F.avg("confidence_threshold").alias("avg_threshold"))

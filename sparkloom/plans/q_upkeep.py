@@ -7,6 +7,7 @@ from ..operators import evaluation as E
 from ..operators import library as L
 from ..operators import models as M
 from ..operators import quality as Q
+from ..operators import records as R
 from ..operators import sampling as S
 from ..operators import search as X
 from ..operators import taxonomy as T
@@ -121,6 +122,43 @@ def hooked_entries(spark, d):
     return L.hooks(table(spark, d, "labels").select("doc_id", "quality"), [before], [after])
 
 
+@query("taxonomy_marked", "SELECT path, CASE WHEN depth = 0 THEN 'given' ELSE 'ai' END AS source FROM v_tax_b")
+def taxonomy_marked(spark, d):
+    tree = view(spark, d, "v_tax_b").select("path", F.when(F.col("depth") == 0, "given").alias("source"))
+    return T.marked(tree, "ai")
+
+
+@query("file_manifests", "SELECT source AS document_id, count(*) AS total_files, CAST(sum(n_chars) AS BIGINT) AS total_length, string_agg('f_' || doc_id || '.json', ',' ORDER BY doc_id) AS files FROM documents GROUP BY source")
+def file_manifests(spark, d):
+    files = table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("file_seq"), F.concat(F.lit("f_"), F.col("doc_id").cast("string"), F.lit(".json")).alias("file_path"), F.col("n_chars").alias("content_length"))
+    return L.manifests(files).withColumn("files", F.array_join("files", ","))
+
+
+@query("pack_questions", """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 3 = 0 THEN 2 ELSE 1 END AS INT) AS template_id, CASE WHEN l_linenumber % 3 = 0 THEN 'What products does ' || source_entity || ' offer?' ELSE 'What are the key features of ' || source_entity || '?' END AS question,
+ CASE WHEN l_linenumber % 3 = 0 THEN source_entity || ' offers products including ' || target_entity || '.' ELSE source_entity || ' includes features such as ' || target_entity || '.' END AS answer, confidence FROM v_relationships WHERE l_linenumber % 3 < 2""")
+def pack_questions(spark, d):
+    """The business pack over relations of companies, products and others."""
+    k = F.col("l_linenumber") % 3
+    rows = view(spark, d, "v_relationships").withColumns({"source_category": F.when(k == 0, "companies").when(k == 1, "products").otherwise("products"), "target_category": F.when(k == 0, "products").when(k == 1, "features").otherwise("companies")})
+    return R.expand_templates(rows, R.template_pack(spark, "business"), 1000)
+
+
+@query("suite_scores", "SELECT 'acceptable' AS task, count(*) AS n, round(avg(quality), 6) AS accuracy, round(2.0::DOUBLE * sum(quality) / (count(*) + sum(quality)), 6) AS f1, 0.0::DOUBLE AS mcc FROM labels")
+def suite_scores(spark, d):
+    """A suite of one task, and the stand-in model, whose reply is always yes."""
+
+    class Labels:
+        tasks = ("acceptable",)
+
+        def load(self, spark, task):
+            return table(spark, d, "labels").select(F.lit("acceptable").alias("text"), F.col("quality").cast("int").alias("label"))
+
+        def parse(self, reply, task):
+            return E.parse_answer(reply, "cola")
+
+    return r6(E.evaluated(spark, Labels(), M.echo))
+
+
 @query("chunk_token_bpe")
 def chunk_token_bpe(spark, d):
     """Windows of a public byte-level vocabulary's tokens."""

@@ -312,3 +312,20 @@ def test_registered_metric(spark):
         assert "length score 0.250 is below the threshold 0.50" in {r.issue for r in quality.issues(quality.report(entries)).collect()}
     finally:
         del quality.METRICS["length"]
+
+
+def test_tree_as_dictionary(spark):
+    tree = {"name": "a", "confidence_threshold": 0.5, "children": [{"name": "b", "children": [{"name": "c"}]}, {"name": "d"}]}
+    rows = Y.marked(Y.load(spark, tree), "ai")
+    (root,) = Y.to_dict(rows)
+    assert root["name"] == "a" and root["source"] == "ai" and [c["name"] for c in root["children"]] == ["b", "d"] and root["children"][0]["children"][0]["name"] == "c"
+    assert Y.to_dict(rows.limit(0)) == []
+
+
+def test_templates_without_categories(spark):
+    """Relations without a fitting template give no question; templates for any category come with those of one."""
+    rows = spark.createDataFrame([(1, 1, "x", "y", "s {target}", "t", 0.5), (1, 2, None, None, None, "t", 0.5)], "l_orderkey int, l_linenumber int, source_category string, target_category string, source_entity string, target_entity string, confidence double")
+    some = spark.createDataFrame([(2, "x", "own {source}", "a"), (1, None, "any {source}", "b"), (3, "z", "never", "c")], "template_id int, category string, question string, answer string")
+    got = sorted((r.l_linenumber, r.template_id) for r in R.expand_templates(rows, some, 2).collect())
+    assert got == [(1, 1), (1, 2), (2, 1)]
+    assert R.expand_templates(rows, some.where("category = 'z'"), 2).count() == 0
