@@ -30,7 +30,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import packed, with_text
+from .shared import packed, with_text, written
 
 # Names that stand before a secret, names that stand before a harmless token.
 SECRET_NAMES = "password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|auth"
@@ -57,7 +57,8 @@ def dictionary(docs: DataFrame, words: int = 2000) -> list[str]:
     """The most frequent words of 3 to 20 letters of whole texts, at most ``words``, ties in their order."""
     runs = F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"(?<![\p{L}0-9_])\p{L}{3,20}(?![\p{L}0-9_])"), F.lit(0)))
     counts = docs.select(runs.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return sorted(r.w for r in counts.orderBy(F.col("n").desc(), "w").limit(words).collect())
+    top = written(counts.orderBy(F.col("n").desc(), "w").limit(words))  # or each task would send the driver its own
+    return sorted(r.w for r in top.collect())
 
 
 def features(token: Column, left: Column, right: Column, known: list[str] = ()) -> dict[str, Column]:
