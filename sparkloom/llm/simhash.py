@@ -30,13 +30,13 @@ of ``similarity`` or more are near copies; one of each class of them stays.
   words are one node, with the smallest doc_id.
 * A pair of similarity s differs in about acos(2s/(1+s))/pi of the bits. A node goes
   into one bucket for each of some sets of bits, drawn once; how many sets of how many
-  bits follows from the number of nodes, so that a bucket of unlike nodes has about 64
+  bits follows from the number of nodes, so that a bucket of unlike nodes has 128 to 256
   and that a pair just at ``similarity`` shares one with probability ``recall``; more
   similar pairs do with more. In a bucket the trie walk leaves pairs of more than
   ``errors`` differing bits. A bucket of more than ``bucket_rows`` nodes is cut into
   blocks, and each two blocks meet in a task of their own, so no pair is left out.
 * Only nodes with a partner in their bucket meet their shingles (32 bits each), and
-  only once. A task then checks the pairs by exact Jaccard similarity, nearest first
+  only once; up to ``SENT`` of their ids go to the texts in a broadcast, more by a join. A task then checks the pairs by exact Jaccard similarity, nearest first
   and none whose nodes have already been joined, and emits classes, never pairs.
 
 There, null and wordless texts are copies of each other; fewer than five words are
@@ -60,6 +60,7 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 BATCH = 60_000  # fingerprints whose buckets are walked together
 PAIRS = 4000  # pairs that are checked before labels are looked at again; nodes with shingles that are held together
+SENT = 2_000_000  # ids that a broadcast may have
 LEAVES = 64  # pairs of rows that are compared without going deeper
 
 
@@ -343,7 +344,7 @@ def _sets(width: int):
 def banding(nodes: int, similarity: float, recall: float, seed: int = 3) -> list[tuple[int, int]]:
     """The sets of bits on which buckets agree, as masks of the two halves."""
     agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = max(8, int(np.ceil(np.log2(max(1, nodes) / 64))))
+    bits = max(8, int(np.ceil(np.log2(max(1, nodes) / 256))))
     bands = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits))))
     rng = np.random.default_rng(seed)
     out = []
@@ -375,7 +376,7 @@ def _partnered(errors: int):
         own = order[np.unique(np.concatenate(trie_pairs(fp[order], key[order], errors)))]
         return pd.DataFrame({"key": key[own], "id": id_[own], "high": fp[own, 0].view(np.int64), "low": fp[own, 1].view(np.int64)})
 
-    return _whole_buckets(walk, BATCH)
+    return _whole_buckets(walk, BATCH // 4)
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -421,7 +422,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors
     nodes = written(rows.select("doc_id", _nodes(words)("text").alias("n")).select("doc_id", "n.*").groupBy("high", "low", "same").agg(F.min("doc_id").alias("id")))
     found = near_buckets(nodes, banding(nodes.count(), similarity, recall), bucket_rows)
     found = written(found.repartition("key").sortWithinPartitions("key").mapInPandas(_partnered(errors), "key long, id long, high long, low long"))
-    sets = rows.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    asked = written(found.select(F.col("id").alias("doc_id")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= SENT else asked  # or all texts would be shuffled for a few
+    sets = rows.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = written(sets.select(F.col("doc_id").alias("id"), _sets(words)("text").alias("shingles")))
     found = found.join(sets, "id").repartition("key").sortWithinPartitions("key")
     found = found.mapInPandas(_verified(errors, similarity), "node long, key long, root long")
