@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pieces, quality, quotes, secrets, simhash, topk, warc, wrappers
+from . import decontaminate, langid, phrases, pieces, quality, quotes, secrets, simhash, topk, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two or three words of every language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_wrappers": op2_wrappers,
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_quotes": op8_quotes,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL = {
@@ -118,5 +124,21 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(lis
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op13_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS v FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT lang, k, phrase, a, v, j, array_to_string(v[1:j], ' ') AS x, array_to_string(v[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.*, fx.a AS l, fy.a AS r, CAST((CAST(1000000 AS HUGEINT) * cut.a * cut.a) // (CAST(fx.a AS HUGEINT) * fy.a) AS BIGINT) AS score
+      FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nr FROM s) WHERE nr = 1),
+inner2 AS (SELECT lang, array_to_string(v[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(v[2:3], ' '), a FROM c WHERE k = 3),
+kept AS (SELECT * FROM one o WHERE k = 3 OR NOT EXISTS (SELECT 1 FROM inner2 i WHERE i.lang = o.lang AND i.phrase = o.phrase AND 100 * i.a >= 50 * o.a)),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """,
 }
