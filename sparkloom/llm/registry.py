@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, phrases, pieces, quality, quotes, secrets, simhash, topk, warc, wrappers
+from . import decontaminate, langid, phrases, pieces, quality, quotes, secrets, simhash, topk, variants, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and neighbours of every word of the documents; one document word in 97 lacks a letter."""
+    return variants.grouped(variants.word_counts(_table(spark, sf_dir, "documents"), every=97))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of two or three words of every language."""
     return phrases.collocations(_table(spark, sf_dir, "documents"))
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_quotes": op8_quotes,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op11_variants": op11_variants,
     "op13_phrases": op13_phrases,
 }
 
@@ -124,6 +130,20 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(lis
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op11_variants": r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, r, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) GROUP BY ALL),
+hex AS (SELECT r, m, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', r))) AS x FROM runs),
+h AS (SELECT r, m, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM hex, crc),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM (SELECT m, CASE WHEN h % 97 = 0 THEN substr(r, 1, h % len(r)) || substr(r, h % len(r) + 2) ELSE r END AS word FROM h) WHERE len(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+cut AS (SELECT word, n, k, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS gap, substr(word, 1, k - 1) || substr(word, k + 1) AS less FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS k FROM w)),
+shorter AS (SELECT DISTINCT c.word AS a, s.word AS b FROM cut c JOIN w s ON s.word = c.less),
+near AS (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.gap = y.gap AND x.word <> y.word UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n FROM near JOIN w ON w.word = b GROUP BY a),
+linked AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM w LEFT JOIN best ON best.a = w.word),
+walk AS (SELECT word, word AS root, form AS ahead FROM linked UNION ALL SELECT walk.word, l.word, l.form FROM walk JOIN linked l ON l.word = walk.ahead)
+SELECT l.word, l.form, walk.root, l.n, l.n_near, l.form_n FROM linked l JOIN walk ON walk.word = l.word AND walk.ahead IS NULL
 """,
     "op13_phrases": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
