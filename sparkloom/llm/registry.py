@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, phrases, pieces, quality, quotes, secrets, simhash, topk, variants, warc, wrappers
+from . import decontaminate, langid, phrases, pieces, pii, quality, quotes, secrets, simhash, topk, variants, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.grouped(variants.word_counts(_table(spark, sf_dir, "documents"), every=97))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts of strict spans, their digest, and all spans."""
+    found = pii.findings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of two or three words of every language."""
     return phrases.collocations(_table(spark, sf_dir, "documents"))
@@ -98,6 +104,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
     "op11_variants": op11_variants,
+    "op12_pii": op12_pii,
     "op13_phrases": op13_phrases,
 }
 
