@@ -62,7 +62,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     letters = letters + ((letters >= 65) & (letters <= 90)).astype(np.uint8) * np.uint8(32)
     bounds = np.concatenate([[0], np.cumsum(ends - starts)])
     found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
     at = np.arange(len(starts)) + np.cumsum(np.diff(piece, prepend=piece[0]) != 0)
     seq = np.zeros(at[-1] + 2, np.int64)
     seq[at] = found.indices.to_numpy() + 1
@@ -213,7 +213,7 @@ def filter_of(frequent: DataFrame, length: int, bits: int) -> bytes:
     return slots.astype("<i8").tobytes()
 
 
-def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, shard_bytes: int = 8 << 20, bits: int = 1 << 26) -> tuple[list[DataFrame], DataFrame]:
+def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, shard_bytes: int = 4 << 20, bits: int = 1 << 26) -> tuple[list[DataFrame], DataFrame]:
     """Tables (lang, phrase, n) of the phrases with ``least`` occurrences, one for each length up to 2 or 3 words,
     and the words of each language in all (lang, total). ``bits`` is a multiple of 64.
     """
