@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -109,11 +110,10 @@ def updated_index(index: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def pages(results: DataFrame, size: int = 100) -> Iterator[list[Row]]:
-    """Results in id order, a page at a time as a caller asks: each page starts after the last one's end."""
-    last = None
-    while rows := (results if last is None else results.where(F.col("id") > last)).orderBy("id").limit(size).collect():
-        yield rows
-        last = rows[-1]["id"]
+    """Results in id order, a page at a time as a caller asks: one sort by ranges, of which the driver holds one."""
+    rows = results.orderBy("id").toLocalIterator()
+    while page := list(islice(rows, size)):
+        yield page
 
 
 def expired(results: DataFrame, now, days: int = 30) -> Column:

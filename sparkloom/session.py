@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +42,22 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register the named tables as temporary views."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def scratch(spark: SparkSession, what: str = "scratch") -> str:
+    """A new folder below ``spark.checkpoint.dir``; in local sessions without that setting a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="sparkloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        root = f"file://{root}"
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once and read again: its lineage ends there."""
+    path = scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

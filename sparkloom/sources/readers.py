@@ -44,7 +44,7 @@ def documents(spark: SparkSession, path: str, reader: str | None = None) -> Data
 
 def parsed_files(spark: SparkSession, path: str) -> DataFrame:
     """path and main_content: that field of a JSON file, else the text as it is."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     return text.select("path", main_content(F.col("value")).alias("main_content"))
 
 
@@ -55,7 +55,7 @@ def main_content(c):
 
 def json_entries(spark: SparkSession, path: str) -> DataFrame:
     """entry, one JSON object as text each: from lists, single objects, lists of JSON strings, lines with or without commas."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return entries(text.select(F.col("value").alias("text")))
 
 
@@ -94,9 +94,11 @@ def project_chunks(chunks: DataFrame, docs: DataFrame, project, most: int | None
 
 
 def first_match(spark: SparkSession, pattern: str) -> DataFrame:
-    """path and value of the first file, in order of paths, that a glob names."""
-    files = spark.read.option("wholetext", "true").text(pattern).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.join(F.broadcast(files.agg(F.min("path").alias("path"))), "path")  # one row
+    """path and value of the first file, in order of paths, that a glob names; the others are listed, not read."""
+    first = spark.read.format("binaryFile").load(pattern).agg(F.min("path")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "path string, value string")
+    return spark.read.text(first, wholetext=True).select(F.lit(first).alias("path"), "value")
 
 
 def directory_statistics(spark: SparkSession, path: str) -> DataFrame:

@@ -6,11 +6,6 @@ over what there is now and gives the result as a batch frame.
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import scratch
+
 
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet folder or file as a stream of its present schema; ts as a timestamp.
@@ -81,14 +78,7 @@ def job_states(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a stream over all present input, kept as Parquet in the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="sparkloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        root = f"file://{root}"
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         if mode == "complete":
