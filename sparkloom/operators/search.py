@@ -13,6 +13,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.nested import flattened
 from ..functions.text import like_escaped, tokens
 
 # Words an index leaves out.
@@ -45,6 +46,13 @@ def _has(name: str) -> Column:
     return F.exists("categories", lambda c: _like(c, name))
 
 
+def searchable(results: DataFrame) -> DataFrame:
+    """id and text of results: their categories and all values of their data at any depth, in lower case."""
+    values = flattened(results, "id", "extracted_data")
+    own = results.select("id", F.concat_ws(" ", "categories").alias("_c")).join(values, "id", "left")
+    return own.select("id", F.lower(F.concat_ws(" ", "_c", "text")).alias("text"))
+
+
 def page(results: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page by confidence, then newest, then id."""
     return results.orderBy(F.col("confidence").desc(), F.col("created_at").desc(), "id").offset(offset).limit(limit)

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 ARROW = " → "
 
 
@@ -53,6 +56,39 @@ def load(spark: SparkSession, text: str | dict) -> DataFrame:
     return spark.createDataFrame(list(nodes(tree.get("taxonomy", tree))), NODE)
 
 
+def nodes_of(trees: DataFrame, content: str = "taxonomy") -> DataFrame:
+    """The rows' other columns with the nodes of their trees as JSON, at any depth, a level after another.
+
+    A tree may be wrapped in ``taxonomy``. Missing names are ``Unknown``, thresholds 0.5, sources ``unknown``.
+    """
+    rest = [c for c in trees.columns if c != content]
+    get = lambda v, p, t: F.try_variant_get(v, p, t)
+
+    def named(v: Column, above: Column, ordinals: Column) -> list[Column]:
+        name = F.coalesce(get(v, "$.name", "string"), F.lit("Unknown"))
+        return [
+            *rest, F.when(above == "", name).otherwise(F.concat(above, F.lit(ARROW), name)).alias("path"), ordinals.alias("ord"), name.alias("name"), get(v, "$.description", "string").alias("description"),
+            F.coalesce(get(v, "$.confidence_threshold", "double"), F.lit(0.5)).alias("confidence_threshold"), F.coalesce(get(v, "$.source", "string"), F.lit("unknown")).alias("source"),
+            F.coalesce(get(v, "$.merged_from", "array<string>"), F.array().cast("array<string>")).alias("merged_from"), get(v, "$.children", "variant").alias("_children"),
+        ]
+
+    whole = F.try_parse_json(F.col(content).cast("string"))
+    tops = trees.select(*rest, F.coalesce(get(whole, "$.taxonomy", "variant"), whole).alias("_v")).where("_v IS NOT NULL")
+    level, found = kept(tops.select(*named(F.col("_v"), F.lit(""), F.array().cast("array<int>")))), []
+    while True:
+        found.append(level)
+        below = level.where("_children IS NOT NULL").select(*rest, F.col("path").alias("_above"), F.col("ord").alias("_ord"), "_children")
+        each = below.lateralJoin(trees.sparkSession.tvf.variant_explode(F.col("_children").outer()))
+        level = kept(each.select(*named(F.col("value"), F.col("_above"), F.concat("_ord", F.array("pos")))))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found).withColumn("depth", F.size("ord")).drop("_children")
+
+
+def merge_raw(primary: DataFrame, secondary: DataFrame, label: str = "refinement") -> DataFrame:
+    """Nodes of two trees given as JSON, one row each, merged by path."""
+    return merge(nodes_of(primary).drop("merged_from"), nodes_of(secondary).drop("merged_from"), label)
+
+
 def marked(tree: DataFrame, source: str) -> DataFrame:
     """``tree`` whose nodes say where they come from, unless they do already."""
     own = F.coalesce("source", F.lit(source)) if "source" in tree.columns else F.lit(source)
