@@ -75,6 +75,9 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(_moved, JOB, "status string, accepted long, refused long", "update", GroupStateTimeout.NoTimeout)
 
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a stream over all present input, kept as Parquet in the shared folder."""
     spark = stream.sparkSession
@@ -86,6 +89,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
         else:
             batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/part={number}")
 
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # timers and maps need it
     query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.parquet(f"{path}/out")
