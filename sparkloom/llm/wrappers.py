@@ -5,30 +5,30 @@ regular expression: neighbouring equal elements, or equal rows of up to three
 elements, become a repeated group, and text becomes a slot. The expressions of a
 host are aligned one after another: what matches is merged, what one of them lacks
 becomes optional, what one repeats becomes repeated. The result is the host's
-wrapper. Every page is then matched against its host's wrapper, and the strings at
-each of the wrapper's places are aligned too: a place where pages differ is a slot of
-changing text, one where all pages agree is template.
+wrapper. Every page is then matched against its host's wrapper.
 
 What an element is decides first: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, comments and lists of links are no content, told by tags, roles and
-whole class names or ids, and never for headings. Weak names (share, social, related,
-widget) count only for elements without paragraphs. Of the rest, text that ``SURE`` or
-more different pages of a host share at one place is template too, if other places
-change; headings are not. Text is taken block by block; if elements matched in the
-page are articles, only what they hold is. Pages of a host with fewer different pages,
-or copies of one page, keep all their text.
+whole class names or ids, and never for headings. A form around a page's parts, an article
+or several paragraphs is only a frame: its controls go and the rest stays. Weak names
+(share, social, related, widget) count only for elements without paragraphs. Text is taken
+block by block; if elements matched in the page are articles, only what they hold is, and
+all of it. In pages without an article a whole block is template too if ``SHARE`` of the
+host's different pages, and no fewer than ``SURE`` of them, have a block at its place and
+all of these the same text; headings are not. Words inside a block never go.
 
 Pages of a host share few expressions: only distinct ones are shuffled. A host with
 more than ``FOLDED`` of them is folded in parts, then the parts' results again: the
 parts follow from the host's own expressions alone, so that no host changes another.
-Strings are compared by the least and greatest hash at a place, an aggregate that tasks
+Blocks are compared by the least and greatest hash at a place, an aggregate that tasks
 begin before anything is shuffled. Wrappers meet the pages in a join that Spark
 broadcasts if the written wrappers are small enough and else splits where a host is hot.
 
 Null html is empty and gives empty text; a null url or one without a host belongs
 to the host ''. White space is Unicode's. Repeated rows come out once each; no text
 is cut. Unclosed elements end with what holds them. Elements nested deeper than
-``DEEPEST`` follow the one at that depth, still as menus and the like if they lie in one.
+``DEEPEST`` follow the one at that depth with all their text, still as menus and the like
+if they lie in one.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ import html as entities
 import json
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count, repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,6 +57,7 @@ ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\
 # Kinds of elements, and names that mark elements which are not content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+CONTROLS = frozenset("label legend datalist output progress meter".split())  # of a form, beside those that are never content
 FOREIGN = frozenset("svg math".split())  # what may close itself
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -70,14 +73,15 @@ LAYOUTS = frozenset("has hide no with without".split())
 MASTHEADS = frozenset("header masthead topbar".split())
 DEEPEST = 1000
 FOLDED = 500  # expressions of a host that one task folds
-SURE = 3  # different pages that must agree on a text before it is template
+SURE = 20  # different pages that must agree on a block before it is template
+SHARE = 0.9  # of the host's different pages that must have it
+
 
 def deep() -> None:
     """Room for functions that call themselves once for each level of a page."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
 
 
-
 class Element:
     __slots__ = ("children", "label", "tag")
 
@@ -105,7 +109,13 @@ def label_of(token: str, tag: str) -> str:
 def parse(page: str | None) -> Element:
     """The nested elements of a page; texts are strings among the children."""
     root = Element("", "")
-    stack = [root]
+    stack, gone, opened = [root], [False], Counter()  # gone: below DEEPEST, whether an element lies in one that is no content
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:], gone[k:]
+
     for m in TOKEN.finditer(page or ""):
         token = m[0]
         if token[0] != "<" or len(token) == 1:
@@ -116,35 +126,35 @@ def parse(page: str | None) -> Element:
         t = TAG.match(token)
         tag = t[2].lower()
         if t[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("article", "body", "td", "table") and tag in ("p", "li", "b", "i", "a", "span"):
                     break
             continue
         if tag in BLOCKS and stack[-1].tag == "head":
-            stack.pop()
+            close(len(stack) - 1)
         if tag in BLOCKS:  # a block ends an open paragraph, with what is still open in it
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened["p"] > 0 else ():
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCKS:
                     break
         if tag in CLOSED_BY and stack[-1].tag in CLOSED_BY[tag]:
-            stack.pop()
+            close(len(stack) - 1)
             if tag == "tr" and stack[-1].tag == "tr":
-                stack.pop()
+                close(len(stack) - 1)
         e = Element(tag, label_of(token, tag))
-        if len(stack) < DEEPEST:
-            stack[-1].children.append(e)
-        else:
-            if any("@hidden" in x.label or not_content(x.label, True) for x in stack[DEEPEST:]):
-                e.label += ".@hidden"
-            stack[DEEPEST - 1].children.append(e)
-        if tag not in VOID and not (token.endswith("/>") and (tag in FOREIGN or any(x.tag in FOREIGN for x in stack))):
+        low = len(stack) >= DEEPEST
+        hidden = gone[-1] or (low and not_content(e.label, True))
+        if not hidden:
+            stack[DEEPEST - 1 if low else -1].children.append(e)
+        if tag not in VOID and not (token.endswith("/>") and (tag in FOREIGN or any(opened[x] > 0 for x in FOREIGN))):
             stack.append(e)
+            gone.append(hidden)
+            opened[tag] += 1
     return root
 
 
@@ -251,52 +261,92 @@ def is_article(label: str) -> bool:
     return label.split(".")[0] in ("article", "main") or "@main" in label or "@article" in label
 
 
-def only_links(part: list) -> bool:
-    """Whether all slots below are in links, and there is more than one link."""
+FRAMED = frozenset("article main header nav footer".split())
+INPUTS = frozenset("input select textarea button label".split())
+
 
-    def slots(p: list, linked: bool) -> list[tuple[bool, bool]]:
-        linked = linked or p[0].split(".")[0] == "a"
-        return [(linked, False)] if p[0] == "#" else [(k, m or p[1] in ("+", "*")) for c in p[2] for k, m in slots(c, linked)]
+class Seen:
+    """What lies below each part of a wrapper, found once from the leaves up."""
 
-    found = slots(part, False)
-    return bool(found) and all(k for k, _ in found) and (len(found) > 1 or any(m for _, m in found))
+    def __init__(self, part: list):
+        self.of: dict[int, tuple[bool, int, bool, bool]] = {}
+        self.look(part)
 
+    def look(self, part: list) -> tuple[bool, int, bool, bool]:
+        """Slots outside links?, slots in links (2 for more), paragraphs?, a frame's parts: articles, page areas or several paragraphs?"""
+        bare, linked, paragraphs, frame = part[0] == "#", 0, False, False
+        tag, many = part[0].split(".")[0], part[1] in ("+", "*")
+        for c in part[2]:
+            b, n, p, f = self.look(c)
+            bare, linked, paragraphs, frame = bare or b, min(2, linked + n), paragraphs or p, frame or f
+        if tag == "a":
+            bare, linked = False, min(2, linked + bare)
+        if many:
+            linked *= 2
+        paragraphs = paragraphs or tag == "p"
+        frame = frame or tag in FRAMED or is_article(part[0]) or (many and tag == "p") or (many and tag == "()" and paragraphs)
+        self.of[id(part)] = bare, linked, paragraphs, frame
+        return self.of[id(part)]
 
-def has_paragraphs(part: list) -> bool:
-    return part[0].split(".")[0] == "p" or any(map(has_paragraphs, part[2]))
+    def only_links(self, part: list) -> bool:
+        """Whether all slots below are in links, and there is more than one link."""
+        bare, linked, _, _ = self.of[id(part)]
+        return not bare and linked > 1
 
+    def paragraphs(self, part: list) -> bool:
+        return self.of[id(part)][2]
 
-def mark(wrapper: list) -> list:
-    """[label, content?, parts, in an article?, place] of a wrapper, groups dissolved: what a page is matched against."""
-    places = iter(range(1 << 62))
+    def frame(self, part: list) -> bool:
+        return self.of[id(part)][3]
+
+
+def mark(wrapper: list, inside: bool = False, form: bool = False, place: int | None = None) -> list:
+    """[label, content?, parts, in an article?, place, in a form?] of a wrapper, groups dissolved: what a page is matched against.
+
+    With a ``place`` all parts have that one.
+    """
+    places, seen = count() if place is None else repeat(place), Seen(wrapper)
 
     def dissolved(parts: list) -> list:
         return [d for c in parts for d in (dissolved(c[2]) if c[0] == "()" else [c])]
 
-    def walk(p: list, inside: bool) -> list:
-        inside, place = inside or is_article(p[0]), next(places)
+    def walk(p: list, inside: bool, form: bool) -> list:
+        inside, own = inside or is_article(p[0]), next(places)
         tag = p[0].split(".")[0]
-        if p[0] not in ("", "#", "()") and (
+        framing = tag == "form" and seen.frame(p) and not not_content(".".join(["div", *p[0].split(".")[1:]]), inside)
+        if p[0] not in ("", "#", "()") and not framing and (
             not_content(p[0], inside)
-            or (tag not in HEADINGS and tag not in ("html", "body", "article", "main") and named(p[0], WEAK_NAMES) and not has_paragraphs(p))
-            or (not inside and tag in ("ul", "ol", "div", "table", "p", "section") and only_links(p))
+            or (form and tag in CONTROLS)
+            or (tag not in HEADINGS and tag not in ("html", "body", "article", "main") and named(p[0], WEAK_NAMES) and not seen.paragraphs(p))
+            or (not inside and tag in ("ul", "ol", "div", "table", "p", "section") and seen.only_links(p))
         ):
-            return [p[0], False, [], inside, place]
-        return [p[0], True, [walk(c, inside) for c in dissolved(p[2]) if c[0] != "#"], inside, place]
+            return [p[0], False, [], inside, own, form]
+        form = form or tag == "form"
+        return [p[0], True, [walk(c, inside, form) for c in dissolved(p[2]) if c[0] != "#"], inside, own, form]
+
+    return walk(wrapper, inside, form)
 
-    return walk(wrapper, False)
 
+def frames(form: Element) -> bool:
+    """Whether a form holds an article, areas of a page, or several paragraphs without controls."""
+    below, paragraphs = [form], 0
+    while below:
+        e = below.pop()
+        if e is not form and (e.tag in FRAMED or is_article(e.label)):
+            return True
+        own = [c for c in e.children if not isinstance(c, str)]
+        paragraphs += e.tag == "p" and not any(c.tag in INPUTS for c in own)
+        below += own
+    return paragraphs > 1
 
-def matched(page: str | None, marked: list) -> tuple[list[int], list[int], list[str]]:
-    """The texts of a page at its wrapper's content places, in order: their places, blocks and strings.
 
-    A place is negative in headings, which are never template. Of a page that has an
-    article, only texts in articles.
+def matched(page: str | None, marked: list) -> tuple[list[int], list[str]]:
+    """The blocks of a page's texts at its wrapper's content places, in order: their places and texts.
+
+    A place is negative for blocks that are never template: with headings, or in a page
+    that has an article. Of such a page, only texts in articles.
     """
-    places: list[int] = []
-    blocks: list[int] = []
-    texts: list[str] = []
-    within: list[bool] = []
+    said: dict[int, list[tuple[bool, bool, int, str]]] = {}
     block, articles = 0, False
 
     def walk(e: Element, own: list, heading: bool) -> None:
@@ -304,45 +354,37 @@ def matched(page: str | None, marked: list) -> tuple[list[int], list[int], list[
         at, parts = 0, own[2]
         articles = articles or own[3]
         heading = heading or e.tag in HEADINGS
-
-        def said(text: str) -> None:
-            places.append(~own[4] if heading else own[4])
-            blocks.append(block)
-            texts.append(text)
-            within.append(own[3])
-
         for c in e.children:
             if isinstance(c, str):
-                said(c)
+                said.setdefault(block, []).append((own[3], heading, own[4], c))
                 continue
             if c.tag == "br" or c.tag in ("td", "th"):
-                said(" ")
-            found = next((k for k in (*range(at, len(parts)), *range(at)) if parts[k][0] == c.label), None)
-            if found is None or not parts[found][1]:
+                said.setdefault(block, []).append((own[3], heading, own[4], " "))
+            if c.tag == "form" and not frames(c):
                 continue
-            at = found
-            block += c.tag in BLOCKS
-            walk(c, parts[found], heading)
-            block += c.tag in BLOCKS
+            found = next((k for k in (*range(at, len(parts)), *range(at)) if parts[k][0] == c.label), None)
+            at = at if found is None else found
+            # what the wrapper has elsewhere only is judged by itself
+            part = parts[found] if found is not None else mark(expression(c), own[3], own[5], own[4])
+            if part[1]:
+                block += c.tag in BLOCKS
+                walk(c, part, heading)
+                block += c.tag in BLOCKS
 
     walk(parse(page), marked, False)
-    keep = [k for k in range(len(texts)) if within[k] or not articles]
-    return [places[k] for k in keep], [blocks[k] for k in keep], [texts[k] for k in keep]
-
-
-def assembled(places, blocks, texts, template=()) -> str:
-    """Blocks of text, one to a line, without what stands at places of the template."""
-    gone, lines = set(template), {}
-    for place, block, text in zip(places, blocks, texts, strict=True):
-        if place not in gone or text == " ":
-            lines.setdefault(block, []).append(text)
-    joined = (" ".join("".join(x).split()) for x in lines.values())
-    return "\n".join(t for t in joined if t)
+    places, texts = [], []
+    for strings in said.values():
+        kept = [x for x in strings if x[0] or not articles]
+        if text := " ".join("".join(x[3] for x in kept).split()):
+            place = next(x[2] for x in kept if not x[3].isspace())
+            places.append(~place if articles or any(x[1] for x in kept) else place)
+            texts.append(text)
+    return places, texts
 
 
 def extract(page: str | None, marked: list) -> str:
     """The text of a page at the content places of its wrapper."""
-    return assembled(*matched(page, marked))
+    return "\n".join(matched(page, marked)[1])
 
 
 def _expressions(pages: pd.Series) -> pd.Series:
@@ -357,7 +399,7 @@ def _folded(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(whole, separators=(",", ":"), ensure_ascii=False)]})
 
 
-PARTS = "places array<int>, blocks array<int>, texts array<string>"
+PARTS = "places array<int>, texts array<string>"
 
 
 def _matched(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -371,12 +413,7 @@ def _matched(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
                     known.clear()
                 known[wrapper] = mark(json.loads(wrapper))
             out.append(matched(page, known[wrapper]))
-        yield pd.DataFrame(out, columns=["places", "blocks", "texts"])
-
-
-def _assembled(places: pd.Series, blocks: pd.Series, texts: pd.Series, template: pd.Series) -> pd.Series:
-    rows = zip(places, blocks, texts, template, strict=True)
-    return pd.Series([assembled(p.tolist(), b.tolist(), t, () if g is None else g.tolist()) for p, b, t, g in rows], dtype=object)
+        yield pd.DataFrame(out, columns=["places", "texts"])
 
 
 def host(pages: DataFrame) -> DataFrame:
@@ -396,17 +433,17 @@ def infer(pages: DataFrame, folded: int = FOLDED) -> DataFrame:
             return rows
 
 
-def templates(found: DataFrame, sure: int = SURE) -> DataFrame:
-    """host and template: the places where at least ``sure`` different pages all have the same text, while they differ at others.
+def templates(found: DataFrame, sure: int = SURE, share: float = SHARE) -> DataFrame:
+    """host and template: the places where nearly all of its different pages have a block, all the same.
 
-    found: host, page (a hash of the html), places, blocks and texts.
+    found: host, page (a hash of the html), places and texts.
     """
-    strings = F.arrays_zip("places", "texts")
-    said = F.explode(F.filter(strings, lambda x: (x["places"] >= 0) & (F.trim(x["texts"]) != ""))).alias("x")
-    rows = found.select("host", "page", said).select("host", "page", F.col("x.places").alias("place"), F.xxhash64(F.trim(F.regexp_replace("x.texts", r"\s+", " "))).alias("h"))
-    places = rows.groupBy("host", "place").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page", 0.01).alias("pages"))
-    same = F.col("low") == F.col("high")
-    return places.groupBy("host").agg(F.collect_list(F.when(same & (F.col("pages") >= sure), F.col("place"))).alias("template"), F.bool_or(~same).alias("changes")).where("changes AND size(template) > 0").select("host", "template")
+    pages = found.groupBy("host").agg(F.approx_count_distinct("page", 0.01).alias("all"))
+    said = F.explode(F.filter(F.arrays_zip("places", "texts"), lambda x: x["places"] >= 0)).alias("x")
+    rows = found.select("host", "page", said).select("host", "page", F.col("x.places").alias("place"), F.xxhash64("x.texts").alias("h"))
+    places = rows.groupBy("host", "place").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("page", 0.01).alias("pages")).where("low = high")
+    shared = places.join(pages, "host").where((F.col("pages") >= sure) & (F.col("pages") >= share * F.col("all")))
+    return shared.groupBy("host").agg(F.collect_list("place").alias("template"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -415,6 +452,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     wrappers = infer(rows)
     found = rows.join(wrappers, "host").select("page_id", "url", "host", F.xxhash64("html").alias("page"), F.pandas_udf(_matched, PARTS)("html", "wrapper").alias("p"))
     found = written(found.select("page_id", "url", "host", "page", "p.*"))
-    text = F.pandas_udf(_assembled, "string")("places", "blocks", "texts", "template")
     out = found.join(written(templates(found)), "host", "left")
-    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    kept = F.filter(F.arrays_zip("places", "texts"), lambda x: ~F.array_contains(F.coalesce("template", F.array().cast("array<int>")), x["places"]))
+    return out.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["texts"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

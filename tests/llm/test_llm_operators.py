@@ -151,13 +151,97 @@ def test_headings_and_sections_are_not_judged_by_parts_of_names(spark):
     assert main_texts(spark, dropped) == ["one"]
 
 
-def test_text_that_all_pages_share_is_template(spark):
-    """The same words at one place of three different pages are template; where a page differs they are content."""
-    page = lambda k, meta: f"<article><h2>Notes</h2><div class=x>{meta}</div><p>text {k}</p><p>more {k}</p></article>"
-    assert main_texts(spark, *[page(k, "Posted in: News") for k in range(4)]) == [f"Notes\ntext {k}\nmore {k}" for k in range(4)]
-    assert main_texts(spark, *[page(k, f"Posted in: {k % 2}") for k in range(4)]) == [f"Notes\nPosted in: {k % 2}\ntext {k}\nmore {k}" for k in range(4)]
-    same = [page(1, "Posted in: News")] * 5  # copies of one page tell nothing
-    assert main_texts(spark, *same) == ["Notes\nPosted in: News\ntext 1\nmore 1"] * 5
+def test_blocks_that_nearly_all_pages_share_are_template(spark):
+    """Whole equal blocks outside articles that nearly all of many pages have; never words, headings or what lies in articles."""
+    page = lambda k, meta, box="div": f"<{box}><h2>Notes</h2><div class=x>{meta}</div><p>text {k} <b>Note:</b> end</p></{box}>"
+    kept = lambda k, meta: f"Notes\n{meta}\ntext {k} Note: end"
+    n = wrappers.SURE + 4
+    assert sorted(main_texts(spark, *[page(k, "Posted") for k in range(n)])) == sorted(f"Notes\ntext {k} Note: end" for k in range(n))
+    for bodies in ([page(k, "Posted", "article") for k in range(n)], [page(k, "Posted") for k in range(n - 5)], [page(1, "Posted")] * n):  # articles; too few pages; copies of one
+        assert all("\nPosted\n" in t for t in main_texts(spark, *bodies))
+    half = [page(k, "Posted").replace("<div class=x>Posted</div>", "" if k % 2 else "<div class=x>Posted</div>") for k in range(2 * n)]  # half the pages have it
+    assert sum("Posted" in t for t in main_texts(spark, *half)) == n
+    assert sorted(main_texts(spark, *[page(k, f"Posted {k % 2}") for k in range(n)])) == sorted(kept(k, f"Posted {k % 2}") for k in range(n))
+
+
+@pytest.mark.parametrize("pages", [1, 2, 3, 6, 40])
+def test_constant_words_and_quotes_stay(spark, pages):
+    """However many pages a host has, equal inline words and a quote that some of them share are text."""
+    bodies = [f"<p>alpha {k} <strong>Note:</strong> do not {k}</p><p>Smith <em>et al.</em> wrote {k}</p>" + "<blockquote>Same quote.</blockquote>" * (k < max(3, pages // 2)) for k in range(pages)]
+    want = [f"alpha {k} Note: do not {k}\nSmith et al. wrote {k}" + "\nSame quote." * (k < max(3, pages // 2)) for k in range(pages)]
+    assert sorted(main_texts(spark, *bodies)) == sorted(want)
+
+
+def test_forms_around_pages_are_frames(spark):
+    page = "<form id=aspnet action=/><header>Site</header><nav><a>1</a><a>2</a></nav><article><h1>Head</h1><p>one</p></article><label>Mail</label><input><button>Go</button></form>"
+    assert main_texts(spark, page) == ["Head\none"]
+    assert main_texts(spark, "<form><p>one</p><p>two</p><label>Name</label><select><option>x</option></select></form><form><p>your mail</p><input></form>") == ["one\ntwo"]
+    assert main_texts(spark, "<article><p>one</p><form class='comment-form'><p>name</p><p>mail</p><input></form></article>") == ["one"]
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    wrappers.deep()
+    for page in ("<div>" * 3000 + "<p>one</p>", "<div>" * 3000 + "</span>" * 20000 + "<p>one</p>", "<b>" * 20000 + "<p>one", "<div><p>" * 2000 + "one", "<svg/>" * 20000 + "<div>" * 2000 + "<p>one</p>"):
+        began = time.time()
+        whole = wrappers.expression(wrappers.parse(page))
+        assert wrappers.extract(page, wrappers.mark(whole)) == "one" and time.time() - began < 1.5
+
+
+class Plain:
+    """A second extractor: the standard library's parser, and a list of elements that are no content."""
+
+    GONE = {"nav", "header", "footer", "aside", "script", "style", "form", "noscript", "template", "svg", "head", "title", "button", "select"}
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "sup", "sub", "u", "small", "mark", "abbr", "cite", "q", "time"}
+
+    def text(self, page):
+        from html.parser import HTMLParser
+
+        found, state = [[]], {"gone": [], "article": 0, "any": False}
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag in ("br", "img", "hr", "input", "td", "th"):
+                    found[-1].append(" ") if tag != "img" else None
+                    return
+                if state["gone"]:
+                    state["gone"].append(tag) if tag == state["gone"][0] else None
+                elif tag in Plain.GONE or any(k == "class" and v in ("comments", "share", "ad") for k, v in attrs):
+                    state["gone"].append(tag)
+                elif tag not in Plain.INLINE:
+                    found.append([])
+
+            def handle_endtag(self, tag):
+                if state["gone"]:
+                    state["gone"].pop() if tag == state["gone"][0] else None
+                elif tag not in Plain.INLINE and tag not in ("td", "th"):
+                    found.append([])
+
+            def handle_data(self, data):
+                found[-1].append("" if state["gone"] else data)
+
+        inner = re.search(r"<article\b[^>]*>(.*)</article>", page, re.S)
+        reader = Reader(convert_charrefs=True)
+        reader.feed(inner[1] if inner else page)
+        reader.close()
+        return "\n".join(t for t in (" ".join("".join(x).split()) for x in found) if t)
+
+
+HARD = [
+    "<article><h1>A &amp; B</h1><p>x <b>bold</b> y<sup>2</sup>, z&nbsp;w</p><table><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table></article>",
+    "<nav><a>n</a><a>m</a></nav><article><p>one<br>two</p><blockquote><p>quoted <em>text</em></p></blockquote><pre>code  here</pre><ul><li>i1</li><li>i2 <a href=x>link</a></li></ul></article><footer>f</footer>",
+    "<article><section><h2>Part</h2><p>a</p></section><section><h2>Part</h2><p>b &lt;c&gt; &#233;</p></section><aside>no</aside><div class='comments'><p>no</p></div></article>",
+    "<div><p>no article</p><div><div>deep <span>er</span></div></div><p>end</p></div><script>var x = '<p>no</p>';</script>",
+    "<article><dl><dt>t1</dt><dd>d1</dd><dt>t2</dt><dd>d2</dd></dl><figure><img src=x><figcaption>cap</figcaption></figure><p></p><p> </p><p>last</p></article><aside>x</aside>",
+    "<header><p>top</p></header><article><p>first</p><form><p>mail</p><input></form><p>after <i>form</i></p><noscript>no</noscript></article>",
+]
+
+
+def test_hard_pages_by_a_second_extractor(spark):
+    bodies = [h.replace("</p>", f" v{k}</p>", 1) for h in HARD for k in range(4)]
+    got = main_texts(spark, *bodies)
+    assert sorted(got) == sorted(Plain().text(f"<html><body>{b}</body></html>") for b in bodies)
 
 
 def test_elements_that_close_themselves_or_never(spark):
@@ -821,3 +905,28 @@ def test_pipeline_against_brute_force(spark):
     assert {d for d, t in third.items() if t != rows[d]} == {d for d in third if hits[d][1]}
     whole = P.run(spark, SF)
     assert {r.doc_id for r in whole.collect()} == set(third) and whole.where("NOT round_trip").count() == 0
+
+
+# -- lines, vectors and archives that once ended or stalled a job ---------------------
+
+
+def test_attributions_take_linear_time():
+    import time
+
+    for line in ("Am " + "schrieb " * 200_000, "Am " + "schrieb " * 200_000 + ":", "On " + "wrote " * 200_000 + "x:", "On" + " " * 1_000_000 + ":", "El" + "escribió" * 100_000):
+        began = time.time()
+        quotes.attribution(line)
+        assert time.time() - began < 1
+    yes = ["On Monday Bob wrote:", "  Am 3. Mai schrieb Eva <e@x.de> : ", "Le lundi Luc a écrit :", "El lunes Ana escribió:", "On wrote:", "Am schrieb:"]
+    no = ["On Monday Bob wrote", "Once he wrote:", "On Monday he rewrote:", "Am Montag schriebe er:", "wrote:", ":", "", "El lunes Ana escribió a Luis:", "Amen schrieb:"]
+    assert [quotes.attribution(x) for x in yes] == [True] * len(yes) and [quotes.attribution(x) for x in no] == [False] * len(no)
+
+
+def test_topk_of_components_past_doubles(spark):
+    """floor(64 x) of finite components is exact where 64 x is no double."""
+    rows = [(0, [1e307, 1.0]), (1, [1e-3, 2.0]), (2, [-1e307, 0.5]), (3, [1e308, -3.0]), (4, [0.0, 1e-300]), (20, [0.25, 0.5]), (40, [1e307])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, shard_rows=3, part_rows=2).collect()
+    v = {k: [int(x * 64) if abs(x) > 1e300 and abs(x) < 1e306 else (int(x) * 64 if abs(x) >= 1e300 else int(np.floor(64 * x))) for x in (*e, 0.0)[:2]] for k, e in rows}
+    limit = lambda s: max(min(s, 2**63 - 1), -(2**63))
+    want = {(q, d): limit(sum(a * b for a, b in zip(v[q], v[d]))) for q in (0, 20, 40) for d in v if d != q}
+    assert {(r.query_id, r.vec_id): r.score for r in got} == want
