@@ -33,11 +33,26 @@ from pyspark.sql import functions as F
 from .shared import written
 
 QUOTE = re.compile(r"^\s{0,3}((?:>[ \t]?)+)(.*)$")
-# What mail programs write before a quote.
-ATTRIBUTION = re.compile(r"^\s*(?:On\b.*\bwrote|Am\b.*\bschrieb\b.*|Le\b.*\ba écrit|El\b.*\bescribió)\s*:\s*$")
+# First and last words of the lines that mail programs write before a quote; what may follow the last.
+ATTRIBUTIONS = (("On", "wrote", False), ("Am", "schrieb", True), ("Le", "a écrit", False), ("El", "escribió", False))
 PARSED = "own string, passages array<string>, quotes array<struct<level:int,passage:string>>"
 
 
+def attribution(line: str) -> bool:
+    """Whether a line names who wrote the quote below: it ends in a colon, starts with one word and has another behind."""
+    said = line.strip()
+    if not said.endswith(":"):
+        return False
+    said = said[:-1].rstrip()
+    for first, last, more in ATTRIBUTIONS:
+        rest = said.removeprefix(first)
+        if rest is said or len(rest) == len(said) or re.match(r"\w", rest):
+            continue
+        if more and re.search(rf"\b{last}\b", rest) or rest.endswith(last) and not re.match(r"\w", rest[-len(last) - 1 :]):
+            return True
+    return False
+
+
 def normalised(lines: list[str]) -> str:
     return " ".join(" ".join(lines).lower().split())
 
@@ -68,9 +83,9 @@ def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
             own.append(line)
         else:
             if not before:
-                while own and not own[-1].strip() and len(own) > 1 and ATTRIBUTION.match(own[-2]):
+                while own and not own[-1].strip() and len(own) > 1 and attribution(own[-2]):
                     own.pop()
-                if own and ATTRIBUTION.match(own[-1]):
+                if own and attribution(own[-1]):
                     own.pop()
             if before != level:
                 runs.append((level, []))

@@ -25,6 +25,8 @@ past the range of a long stay at its end. Other columns are ignored.
 from __future__ import annotations
 
 import io
+import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -46,19 +48,36 @@ def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def whole(vectors, scale: float) -> np.ndarray:
-    """Rows of floor(scale * x), zero where a vector ends early; objects where doubles would not be exact."""
+    """Rows of floor(scale * x), zero where a vector ends early; Python's integers if a product is past the range of doubles."""
     width = max((len(v) for v in vectors), default=0)
     out = np.zeros((len(vectors), width))
     for k, v in enumerate(vectors):
         out[k, : len(v)] = v
-    return np.floor(out * scale)
+    with np.errstate(over="ignore"):
+        found = np.floor(out * scale)
+    if np.isfinite(found).all():
+        return found
+    exactly = [[int(n) if math.isfinite(n) else math.floor(Fraction(v) * Fraction(scale)) for v, n in zip(*rows)] for rows in zip(out.tolist(), found.tolist())]
+    return np.array(exactly, object).reshape(out.shape)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether all inner products of the rows fit a double exactly."""
+    if a.dtype == object or b.dtype == object:
+        return False
     return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) < 2.0**53
 
 
+def padded(a: np.ndarray, width: int) -> np.ndarray:
+    """``a`` with columns of zeros up to ``width``, as doubles or Python's integers."""
+    return np.pad(a if a.dtype == object else a.astype(float), ((0, 0), (0, width - a.shape[1])))
+
+
+def packable(x: np.ndarray) -> np.ndarray:
+    """``x`` as numbers of 16 bits where they fit."""
+    return x.astype(np.int16) if x.dtype != object and np.abs(x).max(initial=0) < 2**15 else x
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -71,14 +90,15 @@ def _indexed(scale: float):
         x, ids = whole(list(rows["v"]), scale), rows["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
-        length = np.sqrt((x * x).sum(1, keepdims=True)) + 1e-9
-        pivots = (x / length)[np.linspace(0, len(x) - 1, min(PIVOTS, len(x))).astype(int)]
-        near = (x / length) @ pivots.T
+        largest = max(1, np.abs(x).max(initial=0))
+        unit = (x / largest).astype(float)  # neighbours need directions only
+        unit = unit / (np.sqrt((unit * unit).sum(1, keepdims=True)) + 1e-300)
+        pivots = unit[np.linspace(0, len(x) - 1, min(PIVOTS, len(x))).astype(int)]
+        near = unit @ pivots.T
         order = np.lexsort((-near.max(1), near.argmax(1)))
         x, ids = x[order], ids[order]
         edges = np.arange(0, len(x), BLOCK)
-        small = np.abs(x).max(initial=0) < 2**15
-        packed = _pack(x=x.astype(np.int16) if small else x, ids=ids, high=np.maximum.reduceat(x, edges, 0), low=np.minimum.reduceat(x, edges, 0))
+        packed = _pack(x=packable(x), ids=ids, high=np.maximum.reduceat(x, edges, 0), low=np.minimum.reduceat(x, edges, 0))
         return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "index": [packed]})
 
     return build
@@ -87,8 +107,7 @@ def _indexed(scale: float):
 def _packed_queries(scale: float):
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         x = whole(list(rows["v"]), scale)
-        small = np.abs(x).max(initial=0) < 2**15
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "queries": [_pack(x=x.astype(np.int16) if small else x, ids=rows["vec_id"].to_numpy(), floor=rows["floor"].to_numpy(float), floored=rows["floor"].notna().to_numpy())]})
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "queries": [_pack(x=packable(x), ids=rows["vec_id"].to_numpy(), floor=rows["floor"].to_numpy(float), floored=rows["floor"].notna().to_numpy())]})
 
     return build
 
@@ -120,11 +139,11 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_id: int, bounds: np.
 
 def _searched(k: int):
     def run(pair: pd.DataFrame) -> pd.DataFrame:
-        index, queries = (np.load(io.BytesIO(pair[c].iloc[0])) for c in ("index", "queries"))
+        index, queries = (np.load(io.BytesIO(pair[c].iloc[0]), allow_pickle=True) for c in ("index", "queries"))
         x, ids, high, low = (index[c] for c in ("x", "ids", "high", "low"))
         q, q_ids, floor, floored = (queries[c] for c in ("x", "ids", "floor", "floored"))
         width = max(x.shape[1], q.shape[1])
-        x, high, low, q = (np.pad(a.astype(float), ((0, 0), (0, width - a.shape[1]))) for a in (x, high, low, q))
+        x, high, low, q = (padded(a, width) for a in (x, high, low, q))
         if not exact(x, q):
             x, high, low, q = (np.array([[int(v) for v in row] for row in a], object).reshape(a.shape) for a in (x, high, low, q))
         bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
