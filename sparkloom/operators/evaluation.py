@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.stemming import stem
 from .models import Model, apply
 
 
@@ -223,6 +224,105 @@ def meteor_exact(pairs: DataFrame) -> DataFrame:
     return pairs.select(score("prediction", "reference").alias("s")).agg(F.avg("s").alias("meteor"))
 
 
+NOT_WORD = re.compile("[^a-z0-9]+")
+
+
+def stemmed(text: str | None) -> list[str]:
+    """Runs of a-z and digits in lower case; those of more than three characters as their stems."""
+    return [stem(x) if len(x) > 3 else x for x in NOT_WORD.sub(" ", (text or "").lower()).split()]
+
+
+def rouge_stemmed(pairs: DataFrame, orders: Sequence[int] = (1, 2)) -> DataFrame:
+    """Mean precision, recall and F of shared n-grams and of longest common subsequences over stems.
+
+    The mean F of subsequences is the primary score.
+    """
+    fields = [f"n{n}" for n in orders] + ["nL"]
+    kind = ", ".join(f"{f} {OVERLAP.removesuffix('>')}>" for f in fields)
+
+    def count(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [(stemmed(x), stemmed(y)) for x, y in zip(a, b, strict=True)]
+        names = ("matches", "in_prediction", "in_reference")
+        found = {f"n{n}": pd.DataFrame([_overlap(x, y, n) for x, y in rows], columns=names, dtype="int64") for n in orders}
+        found["nL"] = pd.DataFrame([(lcs(x, y), len(x), len(y)) for x, y in rows], columns=names, dtype="int64")
+        return pd.DataFrame({f: found[f].to_dict("records") for f in fields})
+
+    rows = pairs.select(F.pandas_udf(count, kind)("prediction", "reference").alias("o")).select("o.*")
+    means = []
+    for f in fields:
+        p, r = _ratio(F.col(f)["matches"], F.col(f)["in_prediction"]), _ratio(F.col(f)["matches"], F.col(f)["in_reference"])
+        means += [F.avg(c).alias(f"rouge{f[1:]}_{name}") for name, c in (("p", p), ("r", r), ("f", _ratio(2 * p * r, p + r)))]
+    return rows.agg(*means)
+
+
+def _paired(hyp: Sequence[tuple[int, str]], ref: Sequence[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Places with equal values: the last of one side with the last of the other, and so on."""
+    where: dict[str, list[int]] = {}
+    for k, x in ref:
+        where.setdefault(x, []).append(k)
+    return [(i, where[x].pop()) for i, x in reversed(hyp) if where.get(x)]
+
+
+def _chunks(pairs: Sequence[tuple[int, int]]) -> int:
+    """Runs of pairs that go on by one on both sides."""
+    ordered = sorted(pairs)
+    return sum(k == 0 or (i, j) != (ordered[k - 1][0] + 1, ordered[k - 1][1] + 1) for k, (i, j) in enumerate(ordered))
+
+
+def _fewest(hyp: Sequence[tuple[int, str]], ref: Sequence[tuple[int, str]], fixed: Sequence[tuple[int, int]], beam: int) -> list[tuple[int, int]]:
+    """As many pairs as any alignment has, in few chunks: a search from left to right that keeps the ``beam`` best so far."""
+    where: dict[str, list[int]] = {}
+    for k, x in ref:
+        where.setdefault(x, []).append(k)
+    left = Counter(x for _, x in hyp)
+    known, states = dict(fixed), [(0, (), frozenset())]  # chunks, pairs, places used
+    for i in sorted([*known, *(i for i, _ in hyp)]):
+        x = dict(hyp).get(i) if i not in known else None
+        if i not in known:
+            left[x] -= 1
+        new = {}
+        for chunks, pairs, used in states:
+            options = [known[i]] if i in known else [j for j in where.get(x, ()) if j not in used]
+            if i not in known and len(options) <= left[x]:  # another of the same may take its place
+                options = [*options, None]
+            for j in options or [None]:
+                if j is None:
+                    new.setdefault(used, (chunks, pairs, used))
+                    continue
+                more = not pairs or pairs[-1] != (i - 1, j - 1)
+                state = (chunks + more, (*pairs, (i, j)), used | {j})
+                key = (state[2], j)
+                new[key] = min(new.get(key, state), state, key=lambda s: (-len(s[1]), s[0]))
+        states = sorted(new.values(), key=lambda s: (s[0] - len(s[1]), s[0]))[:beam]
+    best = min(states, key=lambda s: (-len(s[1]), s[0]))[1]
+    return [p for p in best if p[0] not in known]
+
+
+def meteor_score(prediction: str | None, reference: str | None, fewest: bool = False, beam: int = 40) -> float:
+    """METEOR of a pair of texts: words aligned where they are equal, then the others where their stems are.
+
+    Of equal words the last are paired first; with ``fewest`` they are paired for few chunks.
+    """
+    hyp, ref = (prediction or "").lower().split(), (reference or "").lower().split()
+    left, right, pairs = list(enumerate(hyp)), list(enumerate(ref)), []
+    for value in (str, stem):
+        sides = [(k, value(x)) for k, x in left], [(k, value(x)) for k, x in right]
+        pairs += _fewest(*sides, pairs, beam) if fewest else _paired(*sides)
+        taken, used = {i for i, _ in pairs}, {j for _, j in pairs}
+        left, right = [x for x in left if x[0] not in taken], [x for x in right if x[0] not in used]
+    if not pairs:
+        return 0.0
+    m = len(pairs)
+    p, r = m / len(hyp), m / len(ref)
+    return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (_chunks(pairs) / m) ** 3)
+
+
+def meteor(pairs: DataFrame, fewest: bool = False) -> DataFrame:
+    """Mean METEOR with stages for equal words and equal stems."""
+    score = F.pandas_udf(lambda a, b: pd.Series([meteor_score(x, y, fewest) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
+    return pairs.select(score("prediction", "reference").alias("s")).agg(F.avg("s").alias("meteor"))
+
+
 # -- runs over time ---------------------------------------------------------------
 
 RUN = ["model_name", "benchmark", "metric"]

@@ -86,6 +86,95 @@ def meteor_exact(spark, d):
     return r6(E.meteor_exact(pairs(spark, d)))
 
 
+#: Porter's steps in SQL, spelled out: suffixes in the order in which they are tried.
+CON, VOW = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+M0, M1, ONLY = f"'^({CON})?{VOW}{CON}'", f"'^({CON})?{VOW}{CON}{VOW}{CON}'", f"'^({CON})?{VOW}{CON}({VOW})?$'"
+CVC = f"'^{CON}[aeiouy][^aeiouwxy]$|^[aeiou][^aeiou]$'"
+OPEN = "'[aeiou]$|[^aeiouy]y$|^y$'"
+SUFFIX2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble fulli:ful"
+SUFFIX3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+SUFFIX4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+
+
+def suffixes(rules, least, extra=""):
+    cases = []
+    for rule in rules.split():
+        old, _, new = rule.partition(":")
+        base = f"left(w, len(w) - {len(old)})"
+        more = " AND regexp_matches(left(w, len(w) - 3), '[st]$')" if old == "ion" else ""
+        cases.append(f"WHEN ends_with(w, '{old}') THEN CASE WHEN regexp_matches({base}, {least}){more} THEN {base} || '{new}' ELSE w END")
+    return f"CASE {extra} {' '.join(cases)} ELSE w END"
+
+
+def stems(words):
+    """CTEs up to ``stems`` (word, stem) of a relation of words."""
+    cut = lambda n: f"left(w, len(w) - {n})"
+    double = f"len(w) > 1 AND right(w, 1) = w[-2] AND NOT regexp_matches(w, {OPEN})"
+    return f"""st0 AS (SELECT word, CASE WHEN starts_with(word, 'y') THEN 'Y' || substr(word, 2) ELSE word END AS w FROM {words}),
+st1 AS (SELECT word, CASE WHEN ends_with(w, 'ies') THEN CASE WHEN len(w) = 4 THEN {cut(1)} ELSE {cut(2)} END WHEN ends_with(w, 'sses') THEN {cut(2)} WHEN ends_with(w, 'ss') THEN w WHEN ends_with(w, 's') THEN {cut(1)} ELSE w END AS w FROM st0),
+st2 AS (SELECT word, CASE WHEN ends_with(w, 'ied') THEN 'no' WHEN ends_with(w, 'eed') THEN 'no' WHEN ends_with(w, 'ed') AND regexp_matches({cut(2)}, '^({CON})?[aeiouy]') THEN 'yes' WHEN ends_with(w, 'ing') AND regexp_matches({cut(3)}, '^({CON})?[aeiouy]') THEN 'yes' ELSE 'no' END AS past,
+ CASE WHEN ends_with(w, 'ied') THEN CASE WHEN len(w) = 4 THEN {cut(1)} ELSE {cut(2)} END WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches({cut(3)}, {M0}) THEN {cut(1)} ELSE w END
+      WHEN ends_with(w, 'ed') AND regexp_matches({cut(2)}, '^({CON})?[aeiouy]') THEN {cut(2)} WHEN ends_with(w, 'ing') AND regexp_matches({cut(3)}, '^({CON})?[aeiouy]') THEN {cut(3)} ELSE w END AS w FROM st1),
+st3 AS (SELECT word, CASE WHEN past = 'no' THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN {double} THEN CASE WHEN right(w, 1) IN ('l', 's', 'z') THEN w ELSE {cut(1)} END WHEN regexp_matches(w, {ONLY}) AND regexp_matches(w, {CVC}) THEN w || 'e' ELSE w END AS w FROM st2),
+st4 AS (SELECT word, CASE WHEN ends_with(w, 'y') AND len(w) > 2 AND NOT regexp_matches({cut(1)}, {OPEN}) THEN {cut(1)} || 'i' ELSE w END AS w FROM st3),
+st5 AS (SELECT word, CASE WHEN ends_with(w, 'alli') AND regexp_matches({cut(4)}, {M0}) THEN {cut(2)} ELSE w END AS w FROM st4),
+st6 AS (SELECT word, {suffixes(SUFFIX2, M0, f"WHEN ends_with(w, 'logi') THEN CASE WHEN regexp_matches({cut(3)}, {M0}) THEN {cut(1)} ELSE w END")} AS w FROM st5),
+st7 AS (SELECT word, {suffixes(SUFFIX3, M0)} AS w FROM st6), st8 AS (SELECT word, {suffixes(SUFFIX4, M1)} AS w FROM st7),
+st9 AS (SELECT word, CASE WHEN ends_with(w, 'e') AND (regexp_matches({cut(1)}, {M1}) OR regexp_matches({cut(1)}, {ONLY}) AND NOT regexp_matches({cut(1)}, {CVC})) THEN {cut(1)} ELSE w END AS w FROM st8),
+stems AS (SELECT word, CASE WHEN len(word) < 3 THEN word WHEN word IN ('sky', 'skies') THEN 'sky' WHEN word IN ('dying', 'lying', 'tying') THEN left(word, 1) || 'ie' WHEN word IN ('news', 'howe', 'proceed', 'exceed', 'succeed') THEN word
+ WHEN regexp_matches(word, '^(inn|out|cann)ings?$') THEN rtrim(word, 's') WHEN ends_with(w, 'll') AND regexp_matches({cut(1)}, {M1}) THEN replace({cut(1)}, 'Y', 'y') ELSE replace(w, 'Y', 'y') END AS stem FROM st9)"""
+
+
+ENGLISH = "CASE qa_id % 6 WHEN 0 THEN ' Running dogs and happy ponies' WHEN 1 THEN ' The relational generalization failed; troubled callousness agreed' WHEN 2 THEN ' ran hopefully, hopping electricity controlling' WHEN 3 THEN ' A run of conditional agreements was troubling' WHEN 4 THEN ' Ponies: happily sized digitizers, adoption' ELSE ' yes, yellow replacements' END"
+ROUGE_TEXTS = f"SELECT qa_id, answer || {ENGLISH} || {ENGLISH.replace('qa_id', '(qa_id + 1)')} AS p, question || {ENGLISH.replace('qa_id', '(qa_id + 3)')} || {ENGLISH} AS r FROM v_qa"
+
+
+def english(spark, d):
+    """Pairs of the conversations with some English behind, so that there are stems to share."""
+    rows = pairs(spark, d)
+    text = lambda k: F.expr(ENGLISH.replace("qa_id", f"(qa_id + {k})"))
+    return rows.select("qa_id", F.concat("prediction", text(0), text(1)).alias("prediction"), F.concat("reference", text(3), text(0)).alias("reference"))
+
+
+STEMMED = f"""x AS ({ROUGE_TEXTS}), z AS (SELECT qa_id, list_filter(regexp_split_to_array(lower(p), '[^a-z0-9]+'), lambda x: x <> '') AS p, list_filter(regexp_split_to_array(lower(r), '[^a-z0-9]+'), lambda x: x <> '') AS r FROM x),
+tok AS (SELECT qa_id, 'p' AS side, unnest(p) AS word, generate_subscripts(p, 1) AS k FROM z UNION ALL SELECT qa_id, 'r', unnest(r), generate_subscripts(r, 1) FROM z),
+words AS (SELECT DISTINCT word FROM tok WHERE len(word) > 3), {stems('words')},
+st AS (SELECT qa_id, side, list(coalesce(stem, word) ORDER BY k) AS t FROM tok LEFT JOIN stems USING (word) GROUP BY ALL),
+tp AS (SELECT z.qa_id, coalesce(a.t, []) AS p, coalesce(b.t, []) AS r FROM z LEFT JOIN st a ON a.qa_id = z.qa_id AND a.side = 'p' LEFT JOIN st b ON b.qa_id = z.qa_id AND b.side = 'r')"""
+
+
+def stem_grams(n):
+    side = lambda c: f"SELECT qa_id, array_to_string({c}[k:k + {n - 1}], ' ') AS g, count(*) AS n FROM (SELECT qa_id, {c}, unnest(range(1, len({c}) - {n} + 2)) AS k FROM tp) GROUP BY ALL"
+    return f"""z{n} AS (SELECT {n} AS n, tp.qa_id, coalesce(m, 0) AS m, greatest(0, len(p) - {n - 1}) AS np, greatest(0, len(r) - {n - 1}) AS nr FROM tp LEFT JOIN
+ (SELECT a.qa_id, sum(least(a.n, b.n)) AS m FROM ({side('p')}) a JOIN ({side('r')}) b ON a.qa_id = b.qa_id AND a.g = b.g GROUP BY a.qa_id) USING (qa_id))"""
+
+
+@query("rouge_stemmed", f"""WITH {STEMMED}, {stem_grams(1)}, {stem_grams(2)},
+zl AS (SELECT 3 AS n, qa_id, list_reduce(list_prepend(list_transform(range(0, len(r) + 1), lambda i: 0), list_transform(range(1, len(p) + 1), lambda i: [i])), lambda row, x: list_reduce(list_prepend([0], list_transform(range(1, len(r) + 1), lambda j: [j])), lambda acc, j: list_append(acc, CASE WHEN p[x[1]] = r[j[1]] THEN row[j[1]] + 1 ELSE greatest(acc[-1], row[j[1] + 1]) END)))[-1] AS m, len(p) AS np, len(r) AS nr FROM tp),
+f AS (SELECT n, CASE WHEN np > 0 THEN m::DOUBLE / np ELSE 0 END AS p, CASE WHEN nr > 0 THEN m::DOUBLE / nr ELSE 0 END AS r FROM (SELECT * FROM z1 UNION ALL SELECT * FROM z2 UNION ALL SELECT * FROM zl)),
+h AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM f)
+SELECT {', '.join(f'round(avg({c}) FILTER (n = {n}), 6) AS "rouge{k}_{c}"' for n, k in ((1, '1'), (2, '2'), (3, 'L')) for c in 'prf')} FROM h""")
+def rouge_stemmed(spark, d):
+    """ROUGE over stems."""
+    return r6(E.rouge_stemmed(english(spark, d)))
+
+
+@query("meteor", f"""WITH x AS ({ROUGE_TEXTS}), z AS (SELECT qa_id, {w('lower(p)')} AS p, {w('lower(r)')} AS r FROM x),
+tok AS (SELECT qa_id, 'p' AS side, unnest(p) AS word, generate_subscripts(p, 1) AS k FROM z UNION ALL SELECT qa_id, 'r', unnest(r), generate_subscripts(r, 1) FROM z),
+words AS (SELECT DISTINCT word FROM tok), {stems('words')},
+e1 AS (SELECT *, row_number() OVER (PARTITION BY qa_id, side, word ORDER BY k DESC) AS nth FROM tok),
+m1 AS (SELECT a.qa_id, a.k AS i, b.k AS j FROM e1 a JOIN e1 b ON a.qa_id = b.qa_id AND a.word = b.word AND a.nth = b.nth AND a.side = 'p' AND b.side = 'r'),
+rest AS (SELECT t.qa_id, side, k, stem FROM tok t JOIN stems USING (word) WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.qa_id = t.qa_id AND (side = 'p' AND i = k OR side = 'r' AND j = k))),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY qa_id, side, stem ORDER BY k DESC) AS nth FROM rest),
+m AS (SELECT * FROM m1 UNION ALL SELECT a.qa_id, a.k, b.k FROM e2 a JOIN e2 b ON a.qa_id = b.qa_id AND a.stem = b.stem AND a.nth = b.nth AND a.side = 'p' AND b.side = 'r'),
+c AS (SELECT qa_id, count(*) AS m, count(*) FILTER (WHERE pi IS NULL OR pi + 1 <> i OR pj + 1 <> j) AS chunks FROM (SELECT *, lag(i) OVER (PARTITION BY qa_id ORDER BY i) AS pi, lag(j) OVER (PARTITION BY qa_id ORDER BY i) AS pj FROM m) GROUP BY qa_id),
+s AS (SELECT CASE WHEN c.m IS NULL THEN 0.0::DOUBLE ELSE 10 * (m::DOUBLE / len(p)) * (m::DOUBLE / len(r)) / (m::DOUBLE / len(r) + 9 * (m::DOUBLE / len(p))) * (1 - 0.5::DOUBLE * pow(chunks::DOUBLE / m, 3)) END AS s FROM z LEFT JOIN c USING (qa_id))
+SELECT round(avg(s), 6) AS meteor FROM s""")
+def meteor(spark, d):
+    """METEOR by stages: equal words, then equal stems."""
+    return r6(E.meteor(english(spark, d)))
+
+
 TREND = "t AS (SELECT model_name, benchmark, metric, count(*) AS n, arg_min(value, (ts, seq)) AS first_value, arg_max(value, (ts, seq)) AS last_value FROM v_runs GROUP BY ALL HAVING count(*) > 1)"
 
 
