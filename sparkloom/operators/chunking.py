@@ -1,8 +1,8 @@
 """Chunkers: one row per text to one row per chunk.
 
 A strategy is a small validated description that compiles to an array column, so
-that chunking is a projection and never shuffles. Only the fold over the files of a
-document (``cross_file``) needs rows in order.
+that chunking is a projection and never shuffles. Only for chunks that span a document's
+files (``cross_file``) lengths or last chunks of files meet in order, never whole texts.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import kept
 
 MAX_BYTES = 10 * 1024 * 1024
 PREVIEW = 200
@@ -246,39 +247,105 @@ def sliding(files: DataFrame, strategy: Strategy, marker: str = "[OVERLAP]") ->
     return found.where(~F.col("chunk").startswith(marker)).groupBy("document_id", "chunk").agg(F.min("file_seq").alias("first_file"))
 
 
-def _spaced(carry: str, main: str) -> str:
-    return carry + main if not carry or carry[-1:].isspace() or main[:1].isspace() else f"{carry} {main}"
+WHITE = " \t\n"  # what parts two texts without a space between them
 
 
-def cross_file(files: DataFrame, size: int = 1000, share: float = 0.8) -> DataFrame:
-    """document_id, chunk_index and chunk by a fold over a document's files in order.
+def cross_file(files: DataFrame, strategy: Strategy | int = 1000) -> DataFrame:
+    """document_id, chunk_index (from 1) and chunk of documents that lie in several files, in the order of file_seq.
 
-    A last chunk shorter than ``share`` of ``size`` goes in front of the next file.
-    Rows stream through in order with only that carry held; a document's files are
-    one sequence by definition, so that a document is not split over tasks.
+    A file's last chunk, if the strategy calls it unfinished, goes in front of the next
+    file's text (behind a space if neither side has white space there); the last file's
+    stays. Documents and files are chunked in parallel, one huge document too: windows of
+    characters or words follow from lengths alone, which are all that is read in order;
+    for the others files are chunked as if nothing came before, and those to which
+    something does again, until nothing changes.
     """
+    strategy = Character(strategy) if isinstance(strategy, int) else strategy
+    rows = files.select("document_id", "file_seq", X.text(F.col("main_content")).alias("t"))
+    return _by_length(rows, strategy) if isinstance(strategy, (Character, Token)) else _by_rounds(rows, strategy)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        document, carry, n, started = None, "", 0, False
-        for b in batches:
-            out = []
-            for d, t in zip(b["document_id"], b["main_content"], strict=True):
-                if not started or d != document:
-                    if carry:
-                        out.append((document, n + 1, carry))
-                    document, carry, n, started = d, "", 0, True
-                own = _spaced(carry, t or "")
-                chunks = [own[k : k + size] for k in range(0, len(own), size)] if own.strip() else []
-                carry = chunks.pop() if chunks and len(chunks[-1]) < share * size else ""
-                for c in chunks:
-                    n += 1
-                    out.append((d, n, c))
-            yield pd.DataFrame(out, columns=["document_id", "chunk_index", "chunk"])
-        if carry:
-            yield pd.DataFrame([(document, n + 1, carry)], columns=["document_id", "chunk_index", "chunk"])
-
-    ordered = files.select("document_id", "file_seq", "main_content").repartition("document_id").sortWithinPartitions("document_id", "file_seq")
-    return ordered.mapInPandas(fold, f"document_id {files.schema['document_id'].dataType.simpleString()}, chunk_index int, chunk string")
+
+def _carried(batches: Iterator[pd.DataFrame], size: int, step: int, spaced: bool) -> Iterator[pd.DataFrame]:
+    """Per file: what comes in (units), whether a space does, the index of its first chunk, its windows, and whether the last is carried on.
+
+    dropped counts the times that white space carried on met nothing else and went.
+    """
+    document, carry, white, behind, n, dropped, started = None, 0, True, 0, 0, 0, False
+    for b in batches:
+        out = []
+        for d, units, first, last, blank, tail, final in zip(*(b[c] for c in ("document_id", "units", "first", "last", "blank", "tail", "final")), strict=True):
+            if not started or d != document:
+                document, carry, white, behind, n, dropped, started = d, 0, True, 0, 0, 0, True
+            gap = int(spaced and carry > 0 and units > 0 and not white and not first)
+            own = carry + gap + units
+            if spaced and blank and carry <= behind:  # nothing but white space
+                own, dropped = 0, dropped + (carry > 0)
+            windows = -(-own // step) if own else 0
+            rest = own - (windows - 1) * step if windows else 0
+            on = bool(windows and rest < 0.8 * size and not final)
+            out.append((carry, gap, n, windows, on, dropped))
+            n += windows - on
+            if units:
+                white, behind = last, behind + gap + units if blank else tail
+            carry = rest if on else 0
+        yield pd.concat([b[["document_id", "file_seq"]], pd.DataFrame(out, columns=["carry", "gap", "base", "windows", "on", "dropped"])], axis=1)
+
+
+def _by_length(rows: DataFrame, strategy: Character | Token) -> DataFrame:
+    words = isinstance(strategy, Token)
+    size, step = strategy.size, strategy.size - strategy.overlap
+    t = F.col("t")
+    units = F.size(X.words(t)) if words else F.length(t)
+    starts = F.length(t) - F.length(F.regexp_replace(t, r"(?U)\s+$", ""))
+    end = F.max("file_seq").alias("_end")
+    sizes = rows.select(
+        "document_id", "file_seq", units.alias("units"), F.substring(t, 1, 1).isin(*WHITE).alias("first"), F.right(t, F.lit(1)).isin(*WHITE).alias("last"), (_strip(t) == "").alias("blank"), starts.alias("tail"),
+    ).join(rows.groupBy("document_id").agg(end), "document_id").withColumn("final", F.col("file_seq") == F.col("_end")).drop("_end")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("document_id", "file_seq"))
+    ordered = sizes.repartition("document_id").sortWithinPartitions("document_id", "file_seq")
+    placed = ordered.mapInPandas(lambda b: _carried(b, size, step, not words), f"{kinds}, carry int, gap int, base long, windows int, on boolean, dropped int")
+    both = rows.join(placed, ["document_id", "file_seq"])
+    # what a file has of each of its windows: from where the window, or the file's own part, begins
+    own, at = (X.words(t) if words else F.concat(F.repeat(F.lit(" "), F.col("gap")), t)), F.col("k") * step - F.col("carry")
+    each = both.where("windows > 0").select("document_id", "file_seq", "carry", "base", "dropped", (F.col("windows") - F.col("on").cast("int")).alias("whole"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"))
+    low, high = F.greatest(at, F.lit(0)), at + size
+    part = F.array_join(F.slice("own", low + 1, F.greatest(high - low, F.lit(0))), " ") if words else F.substring("own", low + 1, F.greatest(high - low, F.lit(0)))
+    parts = each.where((high > 0) | (F.col("k") < F.col("whole"))).select("document_id", (F.col("base") + F.col("k") + 1).cast("int").alias("chunk_index"), "dropped", "file_seq", part.alias("part"), (F.col("k") < F.col("whole")).alias("whole")).where("part <> '' OR whole")
+    joined = F.transform(F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("file_seq", "part")))), lambda x: x["part"])
+    chunks = parts.groupBy("document_id", "chunk_index", "dropped").agg(F.array_join(joined, " " if words else "").alias("chunk"), F.bool_or("whole").alias("whole"))
+    return chunks.where("whole").select("document_id", "chunk_index", "chunk")
+
+
+def _by_rounds(rows: DataFrame, strategy: Strategy) -> DataFrame:
+    keys = ["document_id", "file_seq"]
+    order = Window.partitionBy("document_id").orderBy("file_seq")
+    near = kept(rows.select(*keys, F.lag("file_seq").over(order).alias("before"), (F.lead("file_seq").over(order)).isNull().alias("final")))
+
+    def chunked(some: DataFrame) -> DataFrame:
+        """``some`` (keys, t, final, carry) with its chunks and what goes on to the next file."""
+        white = lambda c: c.isin(*WHITE)
+        gap = F.when((F.col("carry") != "") & (F.col("t") != "") & ~white(F.right("carry", F.lit(1))) & ~white(F.substring("t", 1, 1)), " ").otherwise("")
+        found = some.withColumn("chunks", strategy.column(F.concat("carry", gap, "t")))
+        last = F.coalesce(F.try_element_at("chunks", F.lit(-1)), F.lit(""))
+        unfinished = (F.size("chunks") > 0) & ~F.col("final") & strategy.unfinished(last)
+        return found.withColumn("on", F.when(unfinished, last).otherwise("")).select(*keys, "carry", "chunks", "on")
+
+    whole = rows.join(near, keys)
+    state = kept(chunked(whole.withColumn("carry", F.lit(""))))
+    while True:
+        ahead = state.select("document_id", F.col("file_seq").alias("before"), F.col("on").alias("new"))
+        changed = state.select(*keys, F.col("carry").alias("old")).join(near, keys).join(ahead, ["document_id", "before"]).where("new <> old").select(*keys, F.col("new").alias("carry"))
+        changed = kept(changed)
+        if changed.isEmpty():
+            break
+        again = chunked(whole.join(changed, keys))
+        state = kept(state.join(changed.select(*keys), keys, "left_anti").unionByName(again))
+    done = F.when(F.col("on") == "", F.col("chunks")).otherwise(F.slice("chunks", 1, F.size("chunks") - 1))
+    counted = state.select(*keys, done.alias("chunks")).withColumn("n", F.size("chunks"))
+    base = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counted.select(*keys, "n").select(*keys, base.alias("base"))
+    out = counted.join(bases, keys).select("document_id", "base", F.posexplode("chunks").alias("k", "chunk"))
+    return out.select("document_id", (F.col("base") + F.col("k") + 1).cast("int").alias("chunk_index"), "chunk")
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:

@@ -101,6 +101,39 @@ def chunk_cross_file(spark, d):
     return C.cross_file(view(spark, d, "v_files"), 1000)
 
 
+def cross_fold(cut, unfinished):
+    """SQL of the fold over a document's files: how texts are cut, and when the last chunk goes on to the next file."""
+    glue = "CASE WHEN a.carry = '' OR v.t = '' OR regexp_matches(a.carry, '[ \\t\\n]$') OR regexp_matches(v.t, '^[ \\t\\n]') THEN a.carry || v.t ELSE a.carry || ' ' || v.t END"
+    return f"""WITH o AS (SELECT document_id, list({{'carry': '', 't': main_content, 'last': file_seq = m, 'chunks': []::VARCHAR[]}} ORDER BY file_seq) AS x FROM (SELECT *, max(file_seq) OVER (PARTITION BY document_id) AS m FROM v_files) GROUP BY document_id),
+f AS (SELECT document_id, list_reduce(list_prepend({{'carry': '', 't': '', 'last': FALSE, 'chunks': []::VARCHAR[]}}, x), lambda a, v: list_transform([list_transform([{glue}], lambda own: {cut})[1]], lambda c:
+ CASE WHEN len(c) > 0 AND NOT v.last AND {unfinished('c[-1]')} THEN {{'carry': c[-1], 't': '', 'last': FALSE, 'chunks': list_concat(a.chunks, c[:len(c) - 1])}} ELSE {{'carry': '', 't': '', 'last': FALSE, 'chunks': list_concat(a.chunks, c)}} END)[1]).chunks AS c FROM o)
+SELECT document_id, CAST(k AS INT) AS chunk_index, c[k] AS chunk FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM f)"""
+
+
+@query("chunk_cross_file_overlap", cross_fold("CASE WHEN regexp_matches(own, '\\S') THEN list_transform(range(0, length(own), 450), lambda i: substring(own, i + 1, 500)) ELSE [] END", lambda c: f"length({c}) < 400"))
+def chunk_cross_file_overlap(spark, d):
+    """Windows of characters that overlap."""
+    return C.cross_file(view(spark, d, "v_files"), C.Character(500, 50))
+
+
+@query("chunk_cross_file_token", cross_fold(f"list_transform([{w('own')}], lambda ws: list_transform(range(0, len(ws), 56), lambda i: array_to_string(ws[i + 1:i + 64], ' ')))[1]", lambda c: f"len({w(c)}) < 0.8::DOUBLE * 64"))
+def chunk_cross_file_token(spark, d):
+    """Windows of words that overlap."""
+    return C.cross_file(view(spark, d, "v_files"), C.Token(64, 8))
+
+
+@query("chunk_cross_file_delimiter", cross_fold(f"list_filter(list_transform(string_split(own, '.' || chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '')", lambda c: f"NOT ends_with({c}, '.' || chr(10))"))
+def chunk_cross_file_delimiter(spark, d):
+    """Parts between delimiters: a file's last part goes on to the next."""
+    return C.cross_file(view(spark, d, "v_files"), C.Delimiter(".\n"))
+
+
+@query("chunk_cross_file_schema", cross_fold(f"list_filter(list_transform(string_split(regexp_replace(own, '(?m)(^[A-Z][a-z]+ )', chr(1) || '\\1', 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')", lambda c: f"(regexp_matches({c}, '^[A-Z][a-z]+ ') AND len(regexp_extract_all({c}, '(?m)^[A-Z][a-z]+ ')) <= 1)"))
+def chunk_cross_file_schema(spark, d):
+    """Sections that begin with a line of a pattern."""
+    return C.cross_file(view(spark, d, "v_files"), C.Schema((C.Rule("pattern", "^[A-Z][a-z]+ ", True),)))
+
+
 @query("chunk_unfinished", """
 SELECT document_id, file_seq, n < 0.8::DOUBLE * 512 AS unfinished_character, length(main_content) < 200 OR NOT regexp_matches(main_content, '[.!?"]\\s*$') AS unfinished_semantic
 FROM (SELECT *, length(main_content) - 462 * ((length(main_content) - 1) // 462) AS n FROM v_files WHERE main_content <> '')""")
