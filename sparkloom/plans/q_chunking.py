@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import content as V
 from ..functions import text as X
 from ..operators import chunking as C
 from ..session import table
@@ -66,20 +67,24 @@ def chunk_token_ws(spark, d):
     return out.withColumn("n_tokens", F.size(X.words(F.col("chunk"))))
 
 
-SCHEMA = chunks_sql(
-    f"list_filter(list_transform(string_split(regexp_replace(text, '([.]\\n)', '\\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')",
-    "doc_id, CAST(k AS INT) AS chunk_index, parts[k] AS chunk")
+def schema_sql(marked):
+    return chunks_sql(f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')", "doc_id, CAST(k AS INT) AS chunk_index, parts[k] AS chunk")
 
 
-@query("chunk_schema_any", SCHEMA)
+SCHEMA_ANY = schema_sql("replace(regexp_replace(text, '([.]\\n)', '\\1' || chr(1), 'g'), ', ', ', ' || chr(1))")
+SCHEMA_ALL = schema_sql("regexp_replace(text, '(e\\s)', '\\1' || chr(1), 'g')")
+
+
+@query("chunk_schema_any", SCHEMA_ANY)
 def chunk_schema_any(spark, d):
-    return C.chunk(table(spark, d, "documents").select("doc_id", "text"), C.Schema((C.Rule("pattern", "[.]\\n"),)))
+    """Cuts where a full stop ends a line, and behind each comma with a space: rules that never meet."""
+    return C.chunk(table(spark, d, "documents").select("doc_id", "text"), C.Schema((C.Rule("pattern", "[.]\\n"), C.Rule("delimiter", ", "))))
 
 
-@query("chunk_schema_all", SCHEMA)
+@query("chunk_schema_all", SCHEMA_ALL)
 def chunk_schema_all(spark, d):
-    """Cuts only where a full stop at a line's end and a line end agree."""
-    return C.chunk(table(spark, d, "documents").select("doc_id", "text"), C.Schema((C.Rule("pattern", "[.]\\n"), C.Rule("delimiter", "\n")), "all"))
+    """Cuts behind ``e`` or a full stop with a white space, and behind ``e`` or a comma with one: only ``e`` has both."""
+    return C.chunk(table(spark, d, "documents").select("doc_id", "text"), C.Schema((C.Rule("pattern", "[e.]\\s"), C.Rule("pattern", "[e,]\\s")), "all"))
 
 
 @query("chunk_sliding_dedup", f"""
@@ -213,6 +218,42 @@ def content_sample(spark, d):
     return table(spark, d, "documents").where(F.length("text") > 10000).select("doc_id", F.substring(t, F.lit(1), n).alias("head"), F.substring(t, half, n).alias("middle"), F.right(t, n).alias("tail"))
 
 
+EXAMPLES = ["Plain line\nThe of, and\nno", "  @example  "]
+SECTION = """l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+h AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda k: contains(lower(l[k]), 'the of, and') OR contains(lower(l[k]), '@example') OR (upper(trim(l[k])) = trim(l[k]) AND lower(l[k]) <> l[k])) AS hits FROM l)"""
+
+
+@query("pattern_contexts", f"""WITH {SECTION}, s AS (SELECT doc_id, list_transform(hits, lambda k: array_to_string(l[greatest(k - 2, 1):k + 2], chr(10))) AS s FROM h)
+SELECT doc_id, CAST(len(list_distinct(s)) AS INT) AS sections, sha256(array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), chr(10) || '--' || chr(10))) AS digest FROM s""")
+def pattern_contexts(spark, d):
+    """Lines within two of those that a user's examples, or capitals, point at."""
+    own = V.contexts(F.col("text"), V.patterns(EXAMPLES))
+    return table(spark, d, "documents").select("doc_id", F.size(own).alias("sections"), F.sha2(F.array_join(own, "\n--\n"), 256).alias("digest"))
+
+
+@query("pattern_intervals", f"""WITH {SECTION}, w AS (SELECT doc_id, l, unnest(hits) AS k FROM h), b AS (SELECT DISTINCT doc_id, unnest(range(greatest(k - 2, 1), least(k + 2, len(l)) + 1)) AS k FROM w),
+g AS (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b)
+SELECT doc_id, CAST(min(k) - 1 AS INT) AS first, CAST(max(k) - 1 AS INT) AS last FROM g GROUP BY doc_id, run""")
+def pattern_intervals(spark, d):
+    """The same lines as merged intervals."""
+    lines = F.split("text", "\n")
+    wanted = V.patterns(EXAMPLES)
+    hit = lambda x: F.contains(F.lower(x), F.lit(wanted[0].lower())) | F.contains(F.lower(x), F.lit(wanted[1].lower())) | V.capitals(F.trim(x))
+    hits = F.filter(F.transform(lines, lambda x, k: F.when(hit(x), k)), lambda k: k.isNotNull())
+    return table(spark, d, "documents").select("doc_id", F.explode(V.intervals(hits, F.size(lines), 2)).alias("x")).select("doc_id", "x.first", "x.last")
+
+
+@query("smart_sample_text", f"""WITH {SECTION}, s AS (SELECT doc_id, list_transform(hits, lambda k: array_to_string(l[greatest(k - 2, 1):k + 2], chr(10))) AS s, l FROM h),
+n AS (SELECT doc_id, text, CAST(least(5000, length(text) // 3) AS INT) AS n, list_filter(s, lambda x, i: list_position(s, x) = i) AS s,
+ list_filter(list_transform(l[1:100], lambda x: {STRIP.format('x')}), lambda x: starts_with(x, '#') OR (length(x) < 100 AND length(x) > 0 AND upper(left(x, 1)) = left(x, 1) AND lower(left(x, 1)) <> left(x, 1)))[1:10] AS heads FROM s JOIN documents USING (doc_id))
+SELECT doc_id, sha256(CASE WHEN length(text) <= 10000 THEN text WHEN len(s) > 0 THEN '=== RELEVANT SECTIONS MATCHING USER EXAMPLES ===' || chr(10) || array_to_string(s[1:5], chr(10))
+ ELSE '=== KEY HEADERS/TITLES ===' || chr(10) || array_to_string(heads, chr(10)) || chr(10) || chr(10) || '=== BEGINNING SECTION ===' || chr(10) || substring(text, 1, n) || chr(10) || chr(10) || '=== MIDDLE SECTION ===' || chr(10) ||
+  substring(text, length(text) // 2 - n // 2 + 1, n) || chr(10) || chr(10) || '=== END SECTION ===' || chr(10) || right(text, n) END) AS digest FROM n""")
+def smart_sample_text(spark, d):
+    """Short texts whole, long ones by sections around examples or by their parts."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(V.sample(F.col("text"), EXAMPLES), 256).alias("digest"))
+
+
 @query("normalise_markdown", """
 SELECT doc_id, sha256(array_to_string(list_transform(string_split(regexp_replace(text, '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(10)),
        lambda x: CASE WHEN contains(x, '|') THEN rtrim(x) ELSE rtrim(regexp_replace(x, ' {2,}', ' ', 'g')) END), chr(10))) AS digest FROM documents""")
