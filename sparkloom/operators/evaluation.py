@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -410,6 +410,29 @@ def with_p(found: DataFrame) -> DataFrame:
     return found.withColumn("p", p("r", "n")).withColumn("significant", F.coalesce(F.col("p") < 0.05, F.lit(False)))
 
 
+def recommendations(found: DataFrame, most: int = 5) -> DataFrame:
+    """rank, factor, metric and text of the strongest significant correlations, from rows of factor, metric, r, strength and significant.
+
+    A factor that goes with its metric is to be improved, one that goes against it to be addressed.
+    """
+    best = found.where("significant").orderBy(F.abs("r").desc(), "factor", "metric").limit(most)
+    text = F.when(F.col("r") > 0, F.format_string("Improve %s to enhance %s (%s positive correlation: %.3f)", "factor", "metric", "strength", "r")).otherwise(
+        F.format_string("Address %s issues to improve %s (strong negative correlation: %.3f)", "factor", "metric", "r")
+    )
+    ranks = Window.partitionBy(F.lit(0)).orderBy(F.abs("r").desc(), "factor", "metric")  # of ``most`` rows
+    return best.select(F.row_number().over(ranks).alias("rank"), "factor", "metric", text.alias("text"))
+
+
+def impacts(found: DataFrame, improvements: DataFrame) -> DataFrame:
+    """factor, metric, expected (improvement times r), confidence (1 - p) and priority (their product) of significant correlations.
+
+    improvements: factor and improvement.
+    """
+    both = found.where("significant").join(improvements, "factor")
+    expected, confidence = F.col("improvement") * F.col("r"), 1 - F.col("p")
+    return both.select("factor", "metric", expected.alias("expected"), confidence.alias("confidence"), F.abs("r").alias("strength"), (expected * confidence).alias("priority"))
+
+
 # -- votes ------------------------------------------------------------------------
 
 

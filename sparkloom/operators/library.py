@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
 from .records import VERSION, number, version_text
 
 
@@ -111,11 +112,25 @@ def schema_problems(df: DataFrame, wanted: Mapping[str, str]) -> list[str]:
     return [f"no column {c}" if c not in kinds else f"{c} is {kinds[c]}, not {t}" for c, t in wanted.items() if kinds.get(c) != t]
 
 
-def manifests(files: DataFrame) -> DataFrame:
-    """document_id, total_files, total_length and files (in order, as a list) of documents parsed to several files."""
-    rows = F.array_sort(F.collect_list(F.struct("file_seq", "file_path")))
-    out = files.groupBy("document_id").agg(F.count("*").alias("total_files"), F.sum("content_length").alias("total_length"), rows.alias("_f"))
-    return out.select("document_id", "total_files", "total_length", F.transform("_f", lambda x: x["file_path"]).alias("files"))
+def manifests(files: DataFrame, per_part: int = 1000) -> DataFrame:
+    """document_id, part, total_files, total_length and files (in order, as a list) of documents parsed to several files.
+
+    A manifest has ``per_part`` files a part, so that no row grows with a document.
+    """
+    numbered = ranked(files.select("document_id", "file_seq", "file_path"), [F.col("document_id")], F.floor(F.col("file_seq") / 1_000_000), ["file_seq"])
+    parts = numbered.withColumn("part", (F.floor((F.col("_rank") - 1) / per_part) + 1).cast("int"))
+    listed = parts.groupBy("document_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("file_seq", "file_path"))), lambda x: x["file_path"]).alias("files"))
+    totals = files.groupBy("document_id").agg(F.count("*").alias("total_files"), F.sum("content_length").alias("total_length"))
+    return listed.join(totals, "document_id").select("document_id", "part", "total_files", "total_length", "files")
+
+
+def split_manifests(splits: DataFrame) -> DataFrame:
+    """Files of page splits, as rows that ``manifests`` takes: file_path names the document, the split and its pages.
+
+    splits: document_id, chunk_number, start_page, end_page and content_length.
+    """
+    name = F.format_string("%s_split_%03d_p%d-%d.json", F.col("document_id").cast("string"), "chunk_number", "start_page", "end_page")
+    return splits.select("document_id", F.col("chunk_number").alias("file_seq"), name.alias("file_path"), "content_length")
 
 
 def history(versions: DataFrame, changes: DataFrame) -> DataFrame:

@@ -194,6 +194,27 @@ def resolve(tree: DataFrame, index_path: str) -> DataFrame:
     return tree.join(ids(tree, "x").where(F.col("node_id") == f"x.{want}").select("path"), "path", "left_semi")
 
 
+def resolve_all(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (a path as text) and path of the nodes that paths name; what names no node is left out.
+
+    ``cat_0_1`` and ``0_1`` are ordinals in name order below the root; others are names
+    parted by dots, from the root or from below it. The tree has one root.
+    """
+    w = F.col("wanted")
+    bare = F.regexp_replace(w, "^cat_", "")
+    by_index = bare.rlike(r"^\d+(_\d+)*$")
+    steps = F.filter(F.transform(F.split(w, r"\."), lambda x: F.trim(x)), lambda x: x != "")
+    asked = wanted.select("wanted").distinct().where(F.trim(w) != "")
+    asked = asked.select("wanted", F.when(by_index, F.array_join(F.transform(F.split(bare, "_"), lambda x: x.cast("bigint").cast("string")), ".")).alias("ordinals"), F.when(~by_index, F.array_join(steps, ARROW)).alias("names"))
+    nodes = ids(tree, "x").select("path", F.regexp_replace("node_id", r"^x\.0\.?", "").alias("ordinals"), parts(F.col("path")).alias("p"))
+    below = F.when(F.size("p") > 1, F.array_join(F.slice("p", 2, F.size("p")), ARROW))
+    named = nodes.select("path", F.explode(F.array_compact(F.array(F.col("path"), below))).alias("names"), (F.size("p")).alias("n"))
+    numbered = nodes.where("ordinals <> ''").select("path", "ordinals")
+    # a name that starts at the root goes before the same one below it
+    first = named.groupBy("names").agg(F.max_by("path", -F.col("n")).alias("path"))
+    return asked.join(numbered, "ordinals").select("wanted", "path").unionByName(asked.join(first, "names").select("wanted", "path"))
+
+
 def find_by_name(tree: DataFrame, name: str) -> DataFrame:
     """The first node in preorder whose name has ``name`` as a part, in any case."""
     hits = preorder(tree).where(F.contains(F.lower("name"), F.lit(name.lower())))

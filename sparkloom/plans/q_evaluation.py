@@ -227,9 +227,34 @@ def quality_perf_corr(spark, d):
     return r6(E.correlations(factors, metrics, ["model_name", "month"]))
 
 
-@query("quality_perf_pvalues")
+#: Two-sided p of Student's t: the tail as an integral of a power of the cosine, by Simpson's rule in 2,000 steps.
+TAIL = "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(a + i * (pi() / 2 - a) / 2000), n - 3))) * (pi() / 2 - a) / 6000"
+CORR = f"""{MONTHS}, j AS (SELECT a.benchmark AS factor, b2.benchmark AS metric, a.v AS x, b2.v AS y FROM b a JOIN b b2 ON a.model_name = b2.model_name AND a.month = b2.month),
+c AS (SELECT factor, metric, count(*) AS n, round(corr(x, y), 6) AS r FROM j GROUP BY ALL),
+q AS (SELECT *, CASE WHEN abs(r) >= 1 THEN 0.0::DOUBLE ELSE atan(abs(r) / sqrt(1 - r * r)) END AS a FROM c),
+p AS (SELECT factor, metric, n, r, CASE WHEN n < 3 THEN NULL WHEN abs(r) >= 1 THEN 0.0::DOUBLE ELSE 2 * exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE)) / sqrt(pi()) * {TAIL} END AS p FROM q)"""
+
+
+@query("quality_perf_pvalues", f"""WITH {CORR} SELECT factor, metric, n, r, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength,
+ CASE WHEN r > 0 THEN 'positive' WHEN r < 0 THEN 'negative' ELSE 'none' END AS direction, round(p, 6) AS p, coalesce(p < 0.05, FALSE) AS significant FROM p""")
 def quality_perf_pvalues(spark, d):
-    return E.with_p(quality_perf_corr(spark, d))
+    return r6(E.with_p(quality_perf_corr(spark, d)))
+
+
+@query("quality_recommendations", f"""WITH {CORR}, s AS (SELECT factor, metric, r, row_number() OVER (ORDER BY abs(r) DESC, factor, metric) AS rank FROM p WHERE p < 0.05)
+SELECT CAST(rank AS INT) AS rank, factor, metric, CASE WHEN r > 0 THEN 'Improve ' || factor || ' to enhance ' || metric || ' (' || CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'weak' END || ' positive correlation: ' || format('{{:.3f}}', r) || ')'
+ ELSE 'Address ' || factor || ' issues to improve ' || metric || ' (strong negative correlation: ' || format('{{:.3f}}', r) || ')' END AS text FROM s WHERE rank <= 5""")
+def quality_recommendations(spark, d):
+    """What to improve first, by significant correlations."""
+    return E.recommendations(E.with_p(quality_perf_corr(spark, d)))
+
+
+@query("quality_impacts", f"""WITH {CORR}, i AS (SELECT DISTINCT factor, length(factor) / 10.0::DOUBLE AS improvement FROM c)
+SELECT factor, metric, round(improvement * r, 6) AS expected, round(1 - p, 6) AS confidence, abs(r) AS strength, round(improvement * r * (1 - p), 6) AS priority FROM p JOIN i USING (factor) WHERE p < 0.05""")
+def quality_impacts(spark, d):
+    """Expected changes of metrics from improvements of factors, with their priority."""
+    found = E.with_p(quality_perf_corr(spark, d))
+    return r6(E.impacts(found, found.select("factor", (F.length("factor") / 10).alias("improvement")).distinct()))
 
 
 @query("vote_cross_validation", """SELECT chunk_id, round(avg(s), 6) AS score FROM (SELECT chunk_id, category, max(n)::DOUBLE / sum(n) AS s FROM (SELECT chunk_id, category, lower(value) AS v, count(*) AS n FROM v_votes GROUP BY ALL) GROUP BY ALL) GROUP BY chunk_id""")

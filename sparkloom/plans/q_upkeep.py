@@ -128,10 +128,42 @@ def taxonomy_marked(spark, d):
     return T.marked(tree, "ai")
 
 
-@query("file_manifests", "SELECT source AS document_id, count(*) AS total_files, CAST(sum(n_chars) AS BIGINT) AS total_length, string_agg('f_' || doc_id || '.json', ',' ORDER BY doc_id) AS files FROM documents GROUP BY source")
+@query("file_manifests", """WITH r AS (SELECT source, doc_id, n_chars, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 + 1 AS part FROM documents)
+SELECT source AS document_id, CAST(part AS INT) AS part, (SELECT count(*) FROM documents d WHERE d.source = r.source) AS total_files, CAST((SELECT sum(n_chars) FROM documents d WHERE d.source = r.source) AS BIGINT) AS total_length,
+ string_agg('f_' || doc_id || '.json', ',' ORDER BY doc_id) AS files FROM r GROUP BY source, part""")
 def file_manifests(spark, d):
+    """Manifests of 20 files a part."""
     files = table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("file_seq"), F.concat(F.lit("f_"), F.col("doc_id").cast("string"), F.lit(".json")).alias("file_path"), F.col("n_chars").alias("content_length"))
-    return L.manifests(files).withColumn("files", F.array_join("files", ","))
+    return L.manifests(files, 20).withColumn("files", F.array_join("files", ","))
+
+
+@query("split_manifests", """WITH s AS (SELECT doc_id, total_pages AS n, unnest(range(0, 1 + CAST(greatest(0, ceil((total_pages - 4) / 3.0)) AS INT))) AS k FROM v_pdf WHERE total_pages > 0),
+f AS (SELECT doc_id, k, doc_id || '_split_' || lpad(CAST(k + 1 AS VARCHAR), 3, '0') || '_p' || (k * 3 + 1) || '-' || least(k * 3 + 4, n) || '.json' AS name, 500 * (least(k * 3 + 4, n) - k * 3) AS size FROM s)
+SELECT doc_id AS document_id, CAST(1 AS INT) AS part, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_length, string_agg(name, ',' ORDER BY k) AS files FROM f GROUP BY doc_id""")
+def split_manifests(spark, d):
+    """Manifests of the page splits of each document."""
+    splits = C.page_splits(view(spark, d, "v_pdf"), "total_pages", 4, 1).withColumnRenamed("doc_id", "document_id").withColumn("content_length", (500 * (F.col("end_page") - F.col("start_page") + 1)).cast("long"))
+    return L.manifests(L.split_manifests(splits)).withColumn("files", F.array_join("files", ","))
+
+
+TREE_B = "t AS (SELECT 'World → ' || path AS path, path AS own, name, depth FROM v_tax_b WHERE string_split(path, ' → ')[1] IN (SELECT path FROM v_tax_b WHERE depth = 0))"
+
+
+@query("taxonomy_resolve_all", f"""WITH {TREE_B}, o AS (SELECT path, row_number() OVER (ORDER BY name) - 1 AS i FROM t WHERE depth = 0),
+p AS (SELECT t.path, o.i, row_number() OVER (PARTITION BY o.path ORDER BY t.name) - 1 AS j FROM t JOIN o ON starts_with(t.path, o.path || ' → ') WHERE depth = 1)
+SELECT replace(own, ' → ', '.') AS wanted, path FROM t UNION ALL SELECT 'World . ' || replace(own, ' → ', ' . '), path FROM t UNION ALL SELECT 'World', 'World' UNION ALL SELECT 'cat_' || i, path FROM o UNION ALL SELECT i || '_' || j, path FROM p""")
+def taxonomy_resolve_all(spark, d):
+    """Index paths and dotted names, with and without the root, of all nodes; unknown ones resolve to nothing."""
+    tree = view(spark, d, "v_tax_b").select("path", "name", "depth")
+    tops = tree.where("depth = 0").select(F.col("path").alias("top"))
+    tree = tree.join(tops, F.element_at(T.parts(F.col("path")), 1) == F.col("top")).select(F.concat(F.lit("World → "), "path").alias("path"), "name", (F.col("depth") + 1).alias("depth"))
+    tree = tree.unionByName(spark.createDataFrame([("World", "World", 0)], "path string, name string, depth int"))
+    below = F.expr("substring(path, 9)")
+    names = tree.select(F.replace("path", F.lit(" → "), F.lit(" . ")).alias("wanted")).unionByName(tree.where("depth > 0").select(F.replace(below, F.lit(" → "), F.lit(".")).alias("wanted")))
+    numbers = T.ids(tree, "x").select(F.replace(F.regexp_extract("node_id", r"^x\.0\.(.*)$", 1), F.lit("."), F.lit("_")).alias("i"))
+    indexes = numbers.where("i <> ''").select(F.when(F.contains("i", F.lit("_")), F.col("i")).otherwise(F.concat(F.lit("cat_"), "i")).alias("wanted")).where("wanted RLIKE '^(cat_[0-9]+|[0-9]+_[0-9]+)$'")
+    other = spark.createDataFrame([("cat_99",), ("No.Such",), (" ",), ("..",)], "wanted string")
+    return T.resolve_all(tree, names.unionByName(indexes).unionByName(other))
 
 
 @query("pack_questions", """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 3 = 0 THEN 2 ELSE 1 END AS INT) AS template_id, CASE WHEN l_linenumber % 3 = 0 THEN 'What products does ' || source_entity || ' offer?' ELSE 'What are the key features of ' || source_entity || '?' END AS question,
