@@ -48,33 +48,48 @@ def sentence_count(c: Column) -> Column:
     return F.regexp_count(text(c), F.lit(r"[^.!?\s][^.!?]*"))
 
 
+def word_count(c: Column) -> Column:
+    """How many words, without making them."""
+    return F.regexp_count(text(c), F.lit(r"\S+"))
+
+
 def syllable_count(c: Column) -> Column:
     """Vowel groups of all lower-case words, one less for a word's final e, at least one a word; none without word characters."""
-    t = F.regexp_replace(F.lower(text(c)), r"(?U)[^\w \t\n\x0B\f\r]+", "")
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    return count("[aeiouy]+") + count(r"(?<!\S)[^aeiouy\s]++(?!\S)") - count(r"[aeiouy][^aeiouy\s]\S*+(?<=e)")
+
+    def counted(t: Column) -> Column:
+        count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+        without = count(r"\S+") - count(r"[aeiouy]\S*+")
+        return count("[aeiouy]+") + without - count(r"[aeiouy][^aeiouy\s]\S*+(?<=e)")
+
+    return bound(F.regexp_replace(F.lower(text(c)), r"(?U)[^\w \t\n\x0B\f\r]+", ""), counted)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
-def flesch(c: Column) -> Column:
-    """Flesch reading ease from 0 to 100; 50 without words or sentences."""
-    n, s = F.size(words(c)), sentence_count(c)
-    score = F.lit(206.835) - F.lit(1.015) * (n / s) - F.lit(84.6) * (syllable_count(c) / n)
-    return F.when((n == 0) | (s == 0), 50.0).otherwise(clamp(score, 0.0, 100.0))
+def flesch(c: Column, syllables: Column | None = None) -> Column:
+    """Flesch reading ease from 0 to 100; 50 without words or sentences. Syllables that are known already can be given."""
+    y = syllable_count(c) if syllables is None else syllables
+
+    def ease(x: Column) -> Column:
+        score = F.lit(206.835) - F.lit(1.015) * (x["n"] / x["s"]) - F.lit(84.6) * (x["y"] / x["n"])
+        return F.when((x["n"] == 0) | (x["s"] == 0), 50.0).otherwise(clamp(score, 0.0, 100.0))
+
+    return bound(F.struct(word_count(c).alias("n"), sentence_count(c).alias("s"), y.alias("y")), ease)
 
 
 def complexity(c: Column) -> Column:
     """Word length, share of distinct words and sentence length as 0 to 1; null without words."""
-    w = words(c)
-    n = F.size(w)
-    length = F.length(F.regexp_replace(text(c), r"\s+", "")) / n
-    distinct = F.size(F.array_distinct(w)) / n
-    per_sentence = n / F.greatest(F.lit(1), sentence_count(c))
-    score = (length - 4) / F.lit(6.0) * F.lit(0.4) + distinct * F.lit(0.3) + (per_sentence - 10) / F.lit(20.0) * F.lit(0.3)
-    return F.when(n > 0, clamp(score, 0.0, 1.0))
+
+    def measured(x: Column) -> Column:
+        n = F.size(x["w"])
+        length, distinct = F.length(F.array_join(x["w"], "")) / n, F.size(F.array_distinct(x["w"])) / n
+        per_sentence = n / F.greatest(F.lit(1), x["s"])
+        score = (length - 4) / F.lit(6.0) * F.lit(0.4) + distinct * F.lit(0.3) + (per_sentence - 10) / F.lit(20.0) * F.lit(0.3)
+        return F.when(n > 0, clamp(score, 0.0, 1.0))
+
+    return bound(F.struct(words(c).alias("w"), sentence_count(c).alias("s")), measured)
 
 
 def contains_any(c: Column, names: Sequence[str]) -> Column:
@@ -117,16 +132,19 @@ def top_frequency(w: Column) -> Column:
 
 def information_density(c: Column, terms: Sequence[str] = DENSITY_TERMS) -> Column:
     """Length, distinct words, concentration and terms as one score; 0 for blank texts."""
-    w = words(c)
-    n = F.size(w)
     known = F.regexp_count(F.lower(text(c)), F.lit(rf"(?<!\S)(?:{'|'.join(map(re.escape, terms))})(?!\S)"))
-    score = (
-        F.least(F.lit(1.0), F.length(text(c)) / 1000) * F.lit(0.3)
-        + F.size(F.array_distinct(w)) / n * F.lit(0.3)
-        + (F.lit(1.0) - top_frequency(w) / n) * F.lit(0.2)
-        + known / n * F.lit(0.2)
-    )
-    return F.when(n > 0, score).otherwise(0.0)
+
+    def measured(x: Column) -> Column:
+        n = F.size(x["w"])
+        score = (
+            F.least(F.lit(1.0), x["length"] / 1000) * F.lit(0.3)
+            + F.size(F.array_distinct(x["w"])) / n * F.lit(0.3)
+            + (F.lit(1.0) - top_frequency(x["w"]) / n) * F.lit(0.2)
+            + x["known"] / n * F.lit(0.2)
+        )
+        return F.when(n > 0, score).otherwise(0.0)
+
+    return bound(F.struct(words(c).alias("w"), F.length(text(c)).alias("length"), known.alias("known")), measured)
 
 
 def jaccard(a: Column, b: Column) -> Column:

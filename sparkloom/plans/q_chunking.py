@@ -175,7 +175,8 @@ def doc_text_stats(spark, d):
 @query("readability", f"SELECT doc_id, CAST({syllables('text')} AS INT) AS syllables, round({flesch('text')}, 6) AS flesch, round({complexity('text')}, 6) AS complexity FROM documents")
 def readability(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.syllable_count(t).alias("syllables"), F.round(X.flesch(t), 6).alias("flesch"), F.round(X.complexity(t), 6).alias("complexity"))
+    counted = table(spark, d, "documents").select("doc_id", "text", X.syllable_count(t).alias("syllables"))
+    return counted.select("doc_id", "syllables", F.round(X.flesch(t, F.col("syllables")), 6).alias("flesch"), F.round(X.complexity(t), 6).alias("complexity"))
 
 
 DENSITY = ("the", "and", "der", "les", "que")
