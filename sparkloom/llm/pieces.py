@@ -6,8 +6,11 @@ The search reads a text once, from each place forward as far as a piece can begi
 there, at most the longest piece's length. It keeps the places pieces have reached and
 what lies between them and the last boundary that all their backpointer paths share;
 up to that boundary ids are committed. Where no piece can span two characters the
-paths always converge, so texts are cut there. One search serves cuts of every length;
-what it found for short ones is remembered in a table of bounded size.
+paths always converge, so texts are cut there, and a cut of up to ``CUT`` characters that
+occurs again is not searched again: the different ones of some texts go through the same
+recurrence side by side, a numpy step for each place and each length of piece, over a trie
+of the pieces; longer cuts, and those with characters that no piece has, go through the
+stream one by one. What was found for short ones is remembered, for about ``REMEMBERED``.
 
 For a model of merges these are the best-scoring pieces, which need not be those
 that replaying the merges gives. Decoding is the exact inverse.
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from .shared import packed
 
 REMEMBERED = 250_000  # cuts in a task's table
+HELD = 4_000_000  # characters of texts whose cuts are searched together
 CUT = 48  # characters of a cut that is remembered
 RESULT = "struct<ids:array<int>,round_trip:boolean>"
 
@@ -58,9 +62,23 @@ class Pieces:
         spans = any(" " in p.lstrip(" ") for p in self.vocabulary)
         within = "".join(sorted(map(re.escape, inner - {" "})))
         self.cuts = re.compile(r"(?s).+" if spans or not within else rf"(?s) *[{within}]+| +|.")
+        self._trie()
         self.memo: dict[str, bytes] = {}
         self.odd: set[str] = set()  # cuts that do not decode to themselves
 
+    def _trie(self) -> None:
+        """The pieces as arrays: sorted edges (node and letter as one number), where they lead, and each node's score and piece."""
+        letters = sorted({c for b in self.beginnings for c in b})
+        self.letters = np.array([ord(c) for c in letters], np.uint32)
+        number = {c: k for k, c in enumerate(letters)}
+        nodes = {"": 0} | {b: k for k, b in enumerate(sorted(self.beginnings, key=len), 1)}
+        edges = [(nodes[b[:-1]] * len(letters) + number[b[-1]], k) for b, k in nodes.items() if b]
+        self.edges, self.leads = (np.array(x, np.int64) for x in zip(*sorted(edges))) if edges else (np.zeros(0, np.int64),) * 2
+        self.node_score, self.node_piece = np.full(len(nodes), -np.inf), np.full(len(nodes), -1, np.int32)
+        for piece, (score, k) in self.vocabulary.items():
+            self.node_score[nodes[piece]], self.node_piece[nodes[piece]] = score, k
+        self.single = np.array([c in self.vocabulary for c in letters], bool)
+
     def __getstate__(self):
         return self.__dict__ | {"memo": {}, "odd": set()}
 
@@ -110,6 +128,55 @@ class Pieces:
                     piece += [-1] * more
         yield self._path(text, base, width, piece, n - base)
 
+    def search_all(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of many short texts, 4 bytes each; None where a character is no piece by itself."""
+        out: list[bytes | None] = [None] * len(parts)
+        if not len(self.letters):
+            return out
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        known = (self.letters[letter] == codes) & self.single[letter]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(sizes) - sizes
+        for n in np.unique(sizes[sizes > 0]):
+            own = np.flatnonzero(sizes == n)
+            places = starts[own] + np.arange(n)[:, None]
+            fine = known[places].all(0)
+            own, places = own[fine], places[:, fine]
+            if len(own):
+                flat, ends = self._side_by_side(letter[places])
+                for k, low, high in zip(own.tolist(), [0, *ends], ends):
+                    out[k] = flat[4 * low : 4 * high]
+        return out
+
+    def _side_by_side(self, letter: np.ndarray) -> tuple[bytes, list[int]]:
+        """The search over texts of one length, a column each: their ids one after another, and where each ends."""
+        n, width_of = letter.shape
+        best = np.full((n + 1, width_of), -np.inf)
+        best[0] = 0.0
+        width, piece = np.zeros((n + 1, width_of), np.int16), np.full((n + 1, width_of), -1, np.int32)
+        for start in range(n):
+            live, node = np.arange(width_of), np.zeros(width_of, np.int64)
+            for end in range(start + 1, min(start + self.longest, n) + 1):
+                key = node * len(self.letters) + letter[end - 1, live]
+                at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+                there = self.edges[at] == key
+                live, node = live[there], self.leads[at[there]]
+                if not len(live):
+                    break
+                score = best[start, live] + self.node_score[node]
+                better = score > best[end, live]
+                won = live[better]
+                best[end, won], width[end, won], piece[end, won] = score[better], end - start, self.node_piece[node[better]]
+        place, found, columns = np.full(width_of, n), [], np.arange(width_of)
+        while len(columns):
+            found.append((columns, piece[place, columns]))
+            place = place - width[place, columns]
+            columns, place = columns[place > 0], place[place > 0]
+        whose, ids = (np.concatenate(x) for x in zip(*reversed(found)))
+        order = np.argsort(whose, kind="stable")
+        return ids[order].astype("<i4").tobytes(), np.cumsum(np.bincount(whose, minlength=width_of)).tolist()
+
     @staticmethod
     def _shared(best: list, width: list, first: int) -> int:
         """The last boundary on every path to the boundaries from ``first`` on that pieces have reached."""
@@ -145,16 +212,39 @@ class Pieces:
             self.memo[part] = data
         return data
 
-    def encode(self, text: str | None) -> tuple[bytes, bool]:
-        """The ids of a whole text, 4 bytes each, and whether decoding them gives the text.
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember the ids of the short cuts of some texts."""
+        new = [p for p in set(chain.from_iterable(texts)) if len(p) <= CUT and p not in self.memo]
+        if len(self.memo) + len(new) > REMEMBERED:
+            self.memo.clear()
+            self.odd.clear()
+            new = [p for p in set(chain.from_iterable(texts)) if len(p) <= CUT]
+        self.memo.update((p, ids) for p, ids in zip(new, self.search_all(new), strict=True) if ids is not None)
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bool]]:
+        """The ids of whole texts, 4 bytes each, and whether decoding them gives the text.
 
         Decoding joins what ids stand for, so it does if it does for each cut.
         """
-        if not text:
-            return b"", True
-        get, cut, parts = self.memo.get, self._cut, self.cuts.findall(" " + text)
-        ids = b"".join([get(part) or cut(part) for part in parts])
-        return ids, not self.odd or self.odd.isdisjoint(parts)
+
+        def done(held: list[list[str]]) -> Iterator[tuple[bytes, bool]]:
+            self.learn(held)
+            get, cut = self.memo.get, self._cut
+            for parts in held:
+                ids = b"".join([get(part) or cut(part) for part in parts])
+                yield ids, not self.odd or self.odd.isdisjoint(parts)
+
+        held, size = [], 0
+        for text in texts:
+            held.append(self.cuts.findall(" " + text) if text else [])
+            size += len(text or "")
+            if size > HELD:
+                yield from done(held)
+                held, size = [], 0
+        yield from done(held)
+
+    def encode(self, text: str | None) -> tuple[bytes, bool]:
+        return next(self.encode_all([text]))
 
     def decoded(self, ids: Iterable[int]) -> str:
         """What ids stand for, with the space that encoding put before the text."""
@@ -173,8 +263,7 @@ def encoded(model_path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts, same = [], []
-            for text in texts.to_pylist():
-                ids, whole = pieces.encode(text)
+            for ids, whole in pieces.encode_all(texts.to_pylist()):
                 parts.append(ids)
                 same.append(whole)
             ends = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64))).astype(np.int32)

@@ -992,3 +992,27 @@ def test_topk_of_components_past_doubles(spark):
     limit = lambda s: max(min(s, 2**63 - 1), -(2**63))
     want = {(q, d): limit(sum(a * b for a, b in zip(v[q], v[d]))) for q in (0, 20, 40) for d in v if d != q}
     assert {(r.query_id, r.vec_id): r.score for r in got} == want
+
+
+def test_pieces_side_by_side_are_those_of_the_stream():
+    """The vectorised search gives every cut what the streaming one gives, ties and unknown characters included."""
+    from array import array
+    from itertools import chain
+
+    rng = random.Random(9)
+    own = pieces.Pieces(["a", "b", "ab", "ba", "aa", "aab", "c", "▁", "▁a", "<x>"], [-1.0, -1.5, -2.0, -2.0, -2.0, -3.0, -9.0, -1.0, -1.5, 0.0], [-1] * 256, {9}, 9)
+    for p, letters in ((own, "aabbc "), (pieces.Pieces.load(MODEL), "aehtnsi é▁😀日")):
+        cuts = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(800)]
+        got = p.search_all(cuts)
+        assert any(g is not None for g in got)
+        for c, g in zip(cuts, got):
+            assert g is None or g == array("i", chain.from_iterable(p.search(c))).tobytes(), c
+    assert own.search_all([]) == [] and own.search_all([""]) == [None] and own.search_all(["z"]) == [None]
+
+
+def test_pieces_of_batches_are_those_of_texts(monkeypatch):
+    p, q = pieces.Pieces.load(MODEL), pieces.Pieces.load(MODEL)
+    monkeypatch.setattr(pieces, "HELD", 50)
+    monkeypatch.setattr(pieces, "REMEMBERED", 5)
+    texts = ["Some words here", None, "", "x" * 200 + " é😀 " + "y" * 60, " two  spaces ", "Some words here"] * 3
+    assert list(p.encode_all(texts)) == [q.encode(t) for t in texts]
