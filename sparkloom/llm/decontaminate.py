@@ -11,9 +11,9 @@ to sampled suffix positions. Their spans are merged per document.
 The benchmark's windows are built by tasks, in blocks of about ``block_chars``
 characters, and written to the shared folder. The driver passes the written blocks on
 to a broadcast, one after another and unread; a broadcast has at most ``pass_bytes``
-of them. One function searches a text for all blocks of a broadcast. A benchmark of
-more bytes takes more passes, each one more column of hits: neither the driver nor a
-task ever holds more than a pass.
+of them. A benchmark of more bytes takes more passes: one function takes the texts of a
+batch through one broadcast after another and lets go of each before the next, so that
+neither the driver nor a task ever holds more than a pass, and texts go to Python once.
 
 Null or wordless documents have no words and no hits; null or wordless items have
 no windows; an item with a null id is known by the empty text; items of one id
@@ -276,16 +276,39 @@ def shard_hits(texts: list[str | None], blocks: list[Windows]) -> pd.DataFrame:
     return pd.DataFrame({"n_words": n_words, "spans": [[dict(zip(("s", "e", "cs", "ce"), x, strict=True)) for x in sorted(y)] for y in spans], "items": [sorted(x) for x in items]})
 
 
-def _hits(shared: Broadcast):
+def _loaded(shared: Broadcast, stays: bool) -> list[Windows]:
+    """The blocks of a broadcast; what Python keeps of it goes, unless it ``stays``."""
+    value = shared.value
+    if not stays:
+        vars(shared).pop("_value", None)
+    return [Windows.unpacked(b) for b in value]
+
+
+def _hits(shared: list[Broadcast]):
     @F.pandas_udf(HITS)
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        blocks = [Windows.unpacked(b) for b in shared.value]
+        only = _loaded(shared[0], True) if len(shared) == 1 else None
         for texts in batches:
-            yield shard_hits([t if isinstance(t, str) else None for t in texts], blocks)
+            own = [t if isinstance(t, str) else None for t in texts]
+            if only is not None:
+                yield shard_hits(own, only)
+                continue
+            found = None
+            for one in shared:
+                part = shard_hits(own, _loaded(one, False))
+                found = part if found is None else joined_hits(found, part)
+            yield found
 
     return hits.asNondeterministic()  # or a filter on the hits would search every text again
 
 
+def joined_hits(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Hits of the same texts in two passes."""
+    place = lambda x: (x["s"], x["e"], x["cs"], x["ce"])
+    spans = [sorted([*x, *y], key=place) for x, y in zip(a["spans"], b["spans"], strict=True)]
+    return pd.DataFrame({"n_words": a["n_words"], "spans": spans, "items": [sorted({*x, *y}) for x, y in zip(a["items"], b["items"], strict=True)]})
+
+
 def blocks(benchmark: DataFrame, width: int, block_chars: int) -> DataFrame:
     """A written row per block of items: its windows, ready to be searched for."""
     own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
@@ -314,15 +337,8 @@ def passes(written_blocks: DataFrame, pass_bytes: int) -> Iterator[Broadcast]:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 4_000_000, pass_bytes: int = 64_000_000) -> DataFrame:
     """``docs`` with _hits: n_words, spans (of words and characters, in order) and items."""
-    found = [_hits(shared)(F.col("text").cast("string")) for shared in passes(blocks(benchmark, width, block_chars), pass_bytes)]
-    names = [f"_hits{k}" for k in range(len(found))]
-    out = docs.withColumns(dict(zip(names, found, strict=True)))
-    merged = F.struct(
-        F.col(names[0])["n_words"].alias("n_words"),
-        F.array_sort(F.flatten(F.array(*[F.col(n)["spans"] for n in names]))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n)["items"] for n in names])))).alias("items"),
-    )
-    return out.withColumn("_hits", merged).drop(*names)
+    found = _hits(list(passes(blocks(benchmark, width, block_chars), pass_bytes)))
+    return docs.withColumn("_hits", found(F.col("text").cast("string")))
 
 
 def covered(spans: Column) -> Column:
