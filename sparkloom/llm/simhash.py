@@ -35,9 +35,10 @@ of ``similarity`` or more are near copies; one of each class of them stays.
   similar pairs do with more. In a bucket the trie walk leaves pairs of more than
   ``errors`` differing bits. A bucket of more than ``bucket_rows`` nodes is cut into
   blocks, and each two blocks meet in a task of their own, so no pair is left out.
-* Only nodes with a partner in their bucket meet their shingles (32 bits each), and
-  only once; up to ``SENT`` of their ids go to the texts in a broadcast, more by a join. A task then checks the pairs by exact Jaccard similarity, nearest first
-  and none whose nodes have already been joined, and emits classes, never pairs.
+* Only nodes with a partner in their bucket meet their shingles (64 bits each), and
+  only once; up to ``SENT`` of their ids go to the texts in a broadcast, more by a join. A
+  task then checks the pairs by exact Jaccard similarity, nearest first and none whose
+  nodes have already been joined, and emits classes, never pairs.
 
 There, null and wordless texts are copies of each other; fewer than five words are
 one shingle. Rows with a null doc_id stay. Rows that repeat a doc_id are one document.
@@ -270,7 +271,7 @@ def components(fps: DataFrame, errors: int = 3, bucket_rows: int = 2000, levels:
     for rows in buckets(fps, errors, bucket_rows, levels):
         found = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_classes(errors), "fp long, key long, root long")
         members = found if members is None else members.unionByName(found)
-    members = members.select("fp", F.xxhash64("key", "root").alias("class")).join(fps, "fp")
+    members = members.select("fp", F.struct("key", "root").alias("class")).join(fps, "fp")
     # fingerprints of null ids only come last and have no id
     node = F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("id"), F.col("fp").alias("fp"))
     label = joined(written(members.select(node.alias("node"), "class"))).select("node.fp", F.col("label.id").alias("component_id"))
@@ -336,7 +337,7 @@ def _nodes(width: int):
 def _sets(width: int):
     @F.pandas_udf("binary")
     def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(t, width)[:, 0].astype(np.uint32)).tobytes() for t in texts], dtype=object)
+        return pd.Series([shingles(t, width)[:, 0].tobytes() for t in texts], dtype=object)
 
     return sets
 
@@ -396,7 +397,7 @@ def _verified(errors: int, similarity: float):
         fp, key, id_ = rows[["high", "low"]].to_numpy().view(np.uint64), rows["key"].to_numpy(), rows["id"].to_numpy()
         order = np.lexsort((fp[:, 1], fp[:, 0], key))
         fp, key, id_ = fp[order], key[order], id_[order]
-        sets = [np.frombuffer(x, np.uint32) for x in rows["shingles"].to_numpy()[order]]
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_numpy()[order]]
         i, j = trie_pairs(fp, key, errors)
         near = np.argsort(distance(fp[i], fp[j]), kind="stable")
         i, j = i[near], j[near]
@@ -428,7 +429,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors
     sets = written(sets.select(F.col("doc_id").alias("id"), _sets(words)("text").alias("shingles")))
     found = found.join(sets, "id").repartition("key").sortWithinPartitions("key")
     found = found.mapInPandas(_verified(errors, similarity), "node long, key long, root long")
-    members = written(found.select("node", F.xxhash64("key", "root").alias("class")))
+    members = written(found.select("node", F.struct("key", "root").alias("class")))
     return nodes.select(F.col("id").alias("node")).distinct().join(joined(members), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 

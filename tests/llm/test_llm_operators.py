@@ -1016,3 +1016,30 @@ def test_pieces_of_batches_are_those_of_texts(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 5)
     texts = ["Some words here", None, "", "x" * 200 + " é😀 " + "y" * 60, " two  spaces ", "Some words here"] * 3
     assert list(p.encode_all(texts)) == [q.encode(t) for t in texts]
+
+
+def test_ten_passes_are_one_python_node(spark):
+    """A benchmark in ten passes: one node in the plan, the hits of one pass."""
+    items = [(k, prose(30)) for k in range(40)]
+    texts = [f"{prose(50)} {items[k % 40][1]} {prose(20)} {' '.join(items[(k * 7) % 40][1].split()[3:20])}" for k in range(60)] + [None, "", "word"]
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    many = decontaminate.with_hits(docs, bench, block_chars=100, pass_bytes=1)
+    assert len(list(decontaminate.passes(decontaminate.blocks(bench, 10, 100), 1))) >= 10
+    assert many._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    one = decontaminate.with_hits(docs, bench)
+    rows = lambda df: sorted((r.doc_id, r._hits.n_words, sorted({(x.s, x.e) for x in decontaminate_union(r._hits.spans)}), tuple(r._hits.items)) for r in df.collect())
+    assert rows(many) == rows(one)
+
+
+def decontaminate_union(spans):
+    """Overlapping spans as one: which window found a place first is of no account."""
+    import collections
+
+    Span = collections.namedtuple("Span", "s e")
+    out = []
+    for x in sorted(spans, key=lambda x: (x.s, x.e)):
+        if out and x.s <= out[-1].e:
+            out[-1] = Span(out[-1].s, max(out[-1].e, x.e))
+        else:
+            out.append(Span(x.s, x.e))
+    return out
