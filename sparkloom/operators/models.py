@@ -42,20 +42,27 @@ def fallback(*models: Model) -> Model:
     return call
 
 
-def apply(rows: DataFrame, prompt: Column, model: Model = echo, reply: str = "reply", tries: int = 3, base: float = 0.5) -> DataFrame:
-    """``rows`` with the model's reply; null where every try failed. Concurrency is the number of tasks."""
+def apply(rows: DataFrame, prompt: Column, model: Model = echo, reply: str = "reply", tries: int = 3, base: float = 0.5, batch: int = 64) -> DataFrame:
+    """``rows`` with the model's reply; null where every try failed. Concurrency is the number of tasks.
+
+    The model is asked for ``batch`` prompts at a time; a failure concerns these alone.
+    """
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
-            out: list[str | None] = [None] * len(prompts)
-            for k in range(tries):
-                try:
-                    out = list(model(list(prompts)))
-                    break
-                except Exception:  # a failed batch is tried again, then left null
-                    if k + 1 < tries:
-                        time.sleep(delay(k, base))
+            every, out = list(prompts), []
+            for at in range(0, len(every), batch):
+                asked = every[at : at + batch]
+                for k in range(tries):
+                    try:
+                        out += model(asked)
+                        break
+                    except Exception:  # a failed batch is tried again, then left null
+                        if k + 1 < tries:
+                            time.sleep(delay(k, base))
+                else:
+                    out += [None] * len(asked)
             yield pd.Series(out, dtype=object)
 
     return rows.withColumn(reply, ask(prompt).alias(reply))
@@ -69,11 +76,6 @@ def render(template: str, fields: Mapping[str, Column]) -> Column:
     return out
 
 
-def focus(purpose: Column, audience: Column) -> Column:
-    """A taxonomy's focus by purpose and audience."""
-    return F.when(F.contains(F.lower(purpose), F.lit("train")), "learning").when(F.contains(F.lower(audience), F.lit("expert")), "depth").otherwise("overview")
-
-
 def classify(chunks: DataFrame, models: Mapping[str, Model], prompt: Column, key: str = "chunk_id", category: str = "category") -> DataFrame:
     """chunk_id, classifier, category, value and confidence of several models' replies, for the voting operators."""
     out = None

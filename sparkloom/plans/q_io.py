@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import replies as P
+from ..operators import generation as G
 from ..operators import models as M
 from ..session import table
 from ..sources import readers as I
@@ -96,3 +97,67 @@ def metrics_long(spark, d):
 @query("text_or_scan", "SELECT doc_id, length(text) > 500 AS is_text FROM documents")
 def text_or_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", I.is_text_document(F.col("text")).alias("is_text"))
+
+
+MODE = "CASE conv_id % 7 WHEN 0 THEN 'qa' WHEN 1 THEN 'questions' WHEN 2 THEN 'answers' WHEN 3 THEN 'summary' WHEN 4 THEN 'instruction' WHEN 5 THEN 'extract' ELSE 'evaluation' END"
+LEVEL = "CASE conv_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'advanced' WHEN 2 THEN '' END"
+
+
+@query("mode_prompts", f"""WITH m AS (SELECT conv_id, turn, text, {MODE} AS mode, coalesce({LEVEL}, 'intermediate') AS level FROM conversations)
+SELECT conv_id, turn, sha256('Content: ' || text || chr(10) || chr(10) || CASE mode WHEN 'qa' THEN 'Write 3 question and answer pairs about the content' WHEN 'questions' THEN 'Write 3 questions that the content answers' WHEN 'answers' THEN 'Write 3 statements that the content supports'
+ WHEN 'summary' THEN 'Summarise the content in up to 3 summaries' WHEN 'instruction' THEN 'Write 3 instructions with the responses that the content gives' WHEN 'extract' THEN 'List up to 3 entities of the content with what it says about each' ELSE 'Write 3 test questions on the content, each with its expected answer' END
+ || CASE WHEN level IN ('auto', '') THEN '' ELSE ' with ' || level || ' complexity level' END || '.' || chr(10) || chr(10) || 'Use only what the content says. Reply with a JSON list of objects.') AS digest FROM m""")
+def mode_prompts(spark, d):
+    """Prompts of all modes with the complexity that parameters ask for."""
+    rows = G.parameters(table(spark, d, "conversations").withColumns({"mode": F.expr(MODE), "complexity_level": F.expr(LEVEL)}))
+    return rows.select("conv_id", "turn", F.sha2(G.prompts(rows, F.col("mode"), "text"), 256).alias("digest"))
+
+
+@query("taxonomy_focus", """SELECT doc_id, CASE WHEN lower(p) LIKE '%clinical%' OR lower(p) LIKE '%diagnosis%' THEN CASE WHEN lower(a) LIKE '%expert%' THEN 'clinical_diagnosis_expert' WHEN lower(a) LIKE '%novice%' OR lower(a) LIKE '%student%' THEN 'clinical_diagnosis_novice' ELSE 'clinical_diagnosis_general' END ELSE 'general' END AS focus
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Clinical use' WHEN 1 THEN 'early DIAGNOSIS' ELSE 'teaching' END AS p, CASE doc_id % 4 WHEN 0 THEN 'Experts' WHEN 1 THEN 'students' WHEN 2 THEN 'a novice' ELSE 'all' END AS a FROM labels)""")
+def taxonomy_focus(spark, d):
+    k = F.col("doc_id")
+    purpose = F.when(k % 3 == 0, "Clinical use").when(k % 3 == 1, "early DIAGNOSIS").otherwise("teaching")
+    audience = F.when(k % 4 == 0, "Experts").when(k % 4 == 1, "students").when(k % 4 == 2, "a novice").otherwise("all")
+    return table(spark, d, "labels").select("doc_id", G.focus(purpose, audience).alias("focus"))
+
+
+def said(prompts):
+    """A stand-in: entries whose names follow what a prompt asks for."""
+    out = []
+    for p in prompts:
+        content = p.split("\n\n")[0].removeprefix("Content: ")
+        n = len(content)
+        if "summaries" in p:
+            out.append('Sure: [{"title": "t%d", "summary": "s"}, {"title": "u", "summary": "",}]' % n)
+        elif "entities" in p:
+            out.append('{"entity": "e%d", "description": "d"}' % n)
+        elif "plain" in p:
+            out.append("no json %d" % n)
+        else:
+            out.append('[' + ', '.join('{"question": "q%d of %d", "answer": "a%d", "confidence_score": 0.5}' % (k, n, k) for k in range(4)) + ', {}]')
+    return out
+
+
+@query("generated_modes", """WITH c AS (SELECT item_id, length(text) AS n FROM benchmark WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%')
+SELECT item_id, 'qa' AS mode, CAST(k AS INT) AS entry_index, 'q' || k || ' of ' || n AS question, 'a' || k AS answer, 0.5::DOUBLE AS confidence FROM c, (SELECT unnest([0, 1, 2]) AS k)
+UNION ALL SELECT item_id, 'summary', 0, 't' || n, 's', 0 FROM c UNION ALL SELECT item_id, 'summary', 1, 'u', '', 0 FROM c UNION ALL SELECT item_id, 'extract', 0, 'e' || n, 'd', 0 FROM c UNION ALL SELECT item_id, 'custom', 0, '', 'no json ' || (n + 6), 0 FROM c""")
+def generated_modes(spark, d):
+    """Entries of four modes by a stand-in model: lists, broken lists, one object, plain text."""
+    chunks = table(spark, d, "benchmark").where(~F.contains("text", F.lit("\n\n"))).select("item_id", F.col("text").alias("chunk"))
+    out = None
+    for mode in ("qa", "summary", "extract", "custom"):
+        one = G.generated(chunks, mode, said, template=F.lit("plain {chunk}") if mode == "custom" else None)
+        out = one if out is None else out.unionByName(one)
+    return out.drop("reasoning")
+
+
+@query("multi_stage_votes", """WITH v AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN ['x', 'y', 'y'] WHEN doc_id % 3 = 1 THEN ['x', 'x', 'x'] ELSE ['x', 'z', 'x'] END AS v FROM labels)
+SELECT chunk_id, 'topic' AS category, CASE WHEN chunk_id % 3 = 0 THEN 'y' ELSE 'x' END AS value, CASE WHEN chunk_id % 3 = 1 THEN 3.0::DOUBLE ELSE 2.0 END AS weight, CASE WHEN chunk_id % 3 = 1 THEN 1.0::DOUBLE ELSE round(2 / 3.0::DOUBLE, 6) END AS agreement FROM v""")
+def multi_stage_votes(spark, d):
+    """Two models and a second look by the first: for a third of the chunks it joins the other, for a third it stays."""
+    chunks = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 3).cast("string").alias("k"))
+    one = lambda prompts: ["y" if p.startswith("check 0") else "x" for p in prompts]
+    two = lambda prompts: [{"0": "y", "1": "x", "2": "z"}[p[-1]] for p in prompts]
+    found = G.multi_stage(chunks, {"one": one, "two": two}, "one", F.col("k"), F.concat(F.lit("check "), "k", F.lit(" "), "best"), category="topic")
+    return r6(found)
