@@ -6,7 +6,6 @@ A memo holds the stems of the words a task has seen, so that a word is stemmed o
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 # Forms with stems of their own.
 IRREGULAR = {
@@ -66,9 +65,21 @@ def _adverb(w: str) -> str:
     return _first(w, STEP2, SOME)
 
 
-@lru_cache(1 << 17)
+REMEMBERED = 1 << 17
+_known: dict[str, str] = {}
+
+
 def stem(word: str) -> str:
     """The stem of a word."""
+    found = _known.get(word)
+    if found is None:
+        if len(_known) >= REMEMBERED:
+            _known.clear()
+        found = _known[word] = _stem(word)
+    return found
+
+
+def _stem(word: str) -> str:
     if word in IRREGULAR:
         return IRREGULAR[word]
     if len(word) <= 2:
