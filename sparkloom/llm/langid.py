@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -291,12 +292,14 @@ def calibrate(models: Models | Tables, train: DataFrame, calibration: int, rejec
     if isinstance(models, Tables):
         found = sample.join(models.scored(sample.select(F.col("doc_id").alias("row"), "text")), F.col("row") == F.col("doc_id")).select("doc_id", "lang", "h", "size")
     else:
-        shared = train.sparkSession.sparkContext.broadcast(models)
+        shared = train.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))  # with its class, which tasks may not have
 
         @F.pandas_udf("h array<double>, size double")
-        def entropies(texts: pd.Series) -> pd.DataFrame:
-            h, size = shared.value.entropies(list(texts))
-            return pd.DataFrame({"h": list(h), "size": size})
+        def entropies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            own = cloudpickle.loads(shared.value)
+            for texts in batches:
+                h, size = own.entropies(list(texts))
+                yield pd.DataFrame({"h": list(h), "size": size})
 
         found = sample.select("doc_id", "lang", entropies("text").alias("e")).select("doc_id", "lang", "e.*")
     rows = found.where("size > 0").toPandas().sort_values("doc_id")
@@ -332,11 +335,13 @@ def predictions(docs: DataFrame, models: Models | Tables) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy and rejected of every document."""
     if isinstance(models, Tables):
         return _joined(docs, models)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
 
     @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return shared.value.predict(list(texts))
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = cloudpickle.loads(shared.value)
+        for texts in batches:
+            yield own.predict(list(texts))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), by_crc().alias("held_out"), predict(F.col("text").cast("string")).alias("p")).select("doc_id", "held_out", "p.*")
 
