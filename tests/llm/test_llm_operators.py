@@ -696,9 +696,47 @@ def test_quotes_long_chain(spark):
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def plain_parse(text):
+    """Own lines joined, their passages, and quoted (level, passage), line by line and by hand."""
+    split = []
+    for line in (text or "").splitlines():
+        rest, level = line.lstrip(), 0
+        rest = rest if len(line) - len(rest) <= 3 else line
+        while rest.startswith(">"):
+            rest, level = rest[1:], level + 1
+            rest = rest[1:] if rest[:1] in (" ", "\t") else rest
+        split.append((level, rest if level else line))
+    said = lambda k: split[k][0] == 0 and split[k][1].strip().startswith("On ") and split[k][1].strip().endswith("wrote:")
+    blank = lambda k: split[k][0] == 0 and not split[k][1].strip()
+    gone = set()
+    for k in range(1, len(split)):
+        if split[k][0] and not split[k - 1][0]:
+            j = k - 1
+            while j > 0 and blank(j) and said(j - 1):
+                gone.add(j)
+                j -= 1
+            if said(j):
+                gone.add(j)
+    own = "\n".join(x for k, (level, x) in enumerate(split) if not level and k not in gone).strip().split("\n")
+
+    def parts(lines):
+        flat = lambda x: " ".join(" ".join(x).lower().split())
+        paragraphs = re.split(r"\n(?:[^\S\n]*\n)+", "\n".join(x if x.strip() else "" for x in lines).strip("\n"))
+        return {p for p in [flat(lines), *(flat([x]) for x in paragraphs), *(flat([x]) for x in lines)] if p}
+
+    quoted, k = set(), 0
+    while k < len(split):
+        j = k
+        while j < len(split) and split[j][0] == split[k][0]:
+            j += 1
+        quoted |= {(split[k][0], p) for p in parts([x for _, x in split[k:j]])} if split[k][0] else set()
+        k = j
+    return "\n".join(own), parts(own), quoted
+
+
 def plain_links(messages):
     """parent by turn, by comparing every quote with every earlier message's passages."""
-    parsed = {t: quotes.parse(text) for t, text in messages}
+    parsed = {t: plain_parse(text) for t, text in messages}
     parent = {}
     for t, (_, _, quoted) in parsed.items():
         best = None
@@ -730,14 +768,17 @@ def test_quotes_against_plain_links(spark):
     random.shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("level", "passage", "root", "depth", "parent", "quotes")})
     got = quotes.conversations(df).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and sum(r.parent_turn is not None for r in got) > 30
+    texts_of = {(conv, turn): text for conv, turn, _, text in rows}
     for r in got:
         links = threads[r.conv_id]
         assert r.parent_turn == links.get(r.turn), (r.conv_id, r.turn)
         at, n = r.turn, 0
         while at in links:
             at, n = links[at], n + 1
-        assert (r.root_turn, r.depth) == (at, n) and "wrote:" not in r.text.split("\n")[0][:3000] or r.parent_turn is None
+        assert (r.root_turn, r.depth) == (at, n), (r.conv_id, r.turn)
+        own, _, quoted = plain_parse(texts_of[r.conv_id, r.turn])
+        assert (r.text, r.n_quotes) == (own, len(quoted)), (r.conv_id, r.turn)
 
 
 def test_quotes_of_very_long_texts(spark):
