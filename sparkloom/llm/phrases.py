@@ -30,9 +30,9 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 KIND = np.zeros(256, np.uint8)  # of a byte: 0 part of a word, 1 space, 2 break
 KIND[[0x20, 0x09]] = 1
 KIND[[ord(c) for c in BREAKS]] = 2
-SLICE = 100_000  # rows of a batch handed to Spark
+SLICE = 20_000  # rows of a batch handed to Spark
 SCORE = "(1000000 * CAST(a AS DECIMAL(16,0)) * CAST(a AS DECIMAL(16,0))) div (CAST(l AS DECIMAL(16,0)) * CAST(r AS DECIMAL(16,0)))"  # counts up to 10^15
 COUNTS = "lang string, phrase string, n long"
 
@@ -112,8 +112,8 @@ def intervals(seq: np.ndarray, order: np.ndarray, lcp: np.ndarray, words: int) -
 
 def hashes(lang: str, words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word of a language; 0 stands for a break."""
-    own = pd.util.hash_array(np.array([lang], object), categorize=False)
-    found = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+    own, digest = np.uint64(xxhash.xxh64_intdigest(lang.encode())), xxhash.xxh64_intdigest
+    found = np.fromiter(map(digest, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
     return np.concatenate([np.zeros(1, np.uint64), mixed(found ^ own)])
 
 
@@ -200,14 +200,17 @@ def filter_of(frequent: DataFrame, length: int, bits: int) -> bytes:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, rows in batch.to_pandas().groupby("lang", sort=False):
-                parts = rows["phrase"].str.split(" ", expand=True) if length > 1 else rows[["phrase"]]
-                h = [hashes(lang, pa.array(parts[c], pa.large_string()))[1:] for c in parts]
-                at = (h[0] if length == 1 else paired(h[0], h[1])) % np.uint64(bits)
+            rows = pa.table(batch).sort_by("lang").combine_chunks()
+            langs = rows["lang"].to_numpy()
+            cuts = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1), len(langs)]
+            for low, high in zip(cuts, cuts[1:]) if len(langs) else ():
+                words = pc.list_flatten(pc.split_pattern(rows["phrase"].slice(low, high - low).combine_chunks(), " "))
+                h = hashes(str(langs[low]), words)[1:].reshape(-1, length)
+                at = (h[:, 0] if length == 1 else paired(h[:, 0], h[:, 1])) % np.uint64(bits)
                 yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((at & np.uint64(63)).astype(np.int32))], ["slot", "bit"])
 
     found = frequent.select("lang", "phrase").mapInArrow(places, "slot long, bit int")
-    rows = written(found.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))).toPandas()
+    rows = written(found.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))).toArrow()
     slots = np.zeros(bits // 64, np.int64)
     slots[rows["slot"].to_numpy()] = rows["mask"].to_numpy()
     return slots.astype("<i8").tobytes()
