@@ -251,7 +251,38 @@ def flatten_names(tree: DataFrame, depth: int = 3) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(parts(F.col("path")).alias("p"), "name"))), lambda x: x["name"]), ", ").alias("names"))
 
 
+def _names(tree: DataFrame, term: str) -> Column:
+    """Whether a node's name, or its description if the tree has such, has ``term`` as a part, in any case."""
+    has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(term.lower())), F.lit(False))
+    return has(F.col("name")) | has(F.col("description")) if "description" in tree.columns else has(F.col("name"))
+
+
 def search(tree: DataFrame, term: str, prune: bool = False) -> DataFrame:
-    """Nodes whose name has ``term``; with ``prune`` only where all above have it too."""
-    hit = lambda c: F.contains(F.lower(c), F.lit(term.lower()))
-    return tree.where(F.forall(parts(F.col("path")), hit) if prune else hit(F.col("name")))
+    """Nodes whose name or description has ``term``; with ``prune`` only where all above have it too.
+
+    Without descriptions the names in a path tell, also where a node above is not in the tree.
+    """
+    hits = tree.where(_names(tree, term))
+    if prune and "description" not in tree.columns:
+        return hits.where(F.forall(parts(F.col("path")), lambda c: F.contains(F.lower(c), F.lit(term.lower()))))
+    return _open(tree, hits, tree.where(~_names(tree, term)).select("path")) if prune else hits
+
+
+def _open(tree: DataFrame, rows: DataFrame, shut: DataFrame) -> DataFrame:
+    """Those of ``rows`` with none of the paths ``shut`` above them."""
+    p = parts(F.col("path"))
+    above = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda k: F.array_join(F.slice(p, F.lit(1), k), ARROW))
+    pairs = rows.where(F.size(p) > 1).select("path", F.explode(above).alias("_above"))
+    hidden = pairs.join(shut.select(F.col("path").alias("_above")).distinct(), "_above", "left_semi").select("path").distinct()
+    return rows.join(hidden, "path", "left_anti")
+
+
+def visible(tree: DataFrame, expanded: DataFrame, term: str = "", page: int = 0, size: int = 50) -> DataFrame:
+    """A page (from 0) of the nodes that a tree shows, with position (from 1): found by ``term``, under nodes that are found and expanded.
+
+    Parents come first, children in the order of their names. expanded: paths.
+    """
+    hit = _names(tree, term) if term else F.lit(True)
+    shut = tree.where(~hit).select("path").unionByName(tree.select("path").join(expanded.select("path"), "path", "left_anti"))
+    shown = preorder(_open(tree, tree.where(hit), shut))
+    return shown.where(F.col("position").between(page * size + 1, (page + 1) * size))

@@ -68,3 +68,29 @@ def taxonomy_merge_raw(spark, d):
     """Two trees as JSON merged by path."""
     merged = X.merge_raw(tree(view(spark, d, "v_tax_a"), "World"), tree(view(spark, d, "v_tax_b"), "World"))
     return merged.select("path", "confidence_threshold", "source")
+
+
+SHOWN = """t AS (SELECT 'World → ' || path AS path, name, CASE WHEN name LIKE '%A%' THEN 'first kind' ELSE 'other' END AS description FROM v_tax_b WHERE string_split(path, ' → ')[1] IN (SELECT path FROM v_tax_b WHERE depth = 0) UNION ALL SELECT 'World', 'World', 'all of the first kind'),
+h AS (SELECT *, name ILIKE '%first%' OR description ILIKE '%FIRST%' AS hit, NOT name IN ('AMERICA', 'NATION_2', 'NATION_10') AS expanded FROM t)"""
+
+
+def described(spark, d):
+    """A tree with descriptions under one root."""
+    tree = view(spark, d, "v_tax_b").select("path", "name")
+    tree = tree.join(tree.join(view(spark, d, "v_tax_b").where("depth = 0").select("path"), "path").select(F.col("path").alias("top")), F.element_at(X.parts(F.col("path")), 1) == F.col("top")).drop("top")
+    tree = tree.select(F.concat(F.lit("World → "), "path").alias("path"), "name", F.when(F.contains("name", F.lit("A")), "first kind").otherwise("other").alias("description"))
+    return tree.unionByName(spark.createDataFrame([("World", "World", "all of the first kind")], "path string, name string, description string"))
+
+
+@query("taxonomy_visible", f"""WITH {SHOWN}, v AS (SELECT path FROM h WHERE hit AND NOT EXISTS (SELECT 1 FROM h a WHERE starts_with(h.path, a.path || ' → ') AND NOT (a.hit AND a.expanded))),
+n AS (SELECT path, row_number() OVER (ORDER BY string_split(path, ' → ')) AS position FROM v) SELECT path, CAST(position AS INT) AS position FROM n WHERE position BETWEEN 11 AND 20""")
+def taxonomy_visible(spark, d):
+    """The second page of ten of what a tree shows: found by name or description, below expanded nodes."""
+    tree = described(spark, d)
+    return X.visible(tree, tree.where("name NOT IN ('AMERICA', 'NATION_2', 'NATION_10')"), "FIRST", 1, 10).select("path", "position")
+
+
+@query("taxonomy_search_pruned", f"WITH {SHOWN} SELECT path FROM h WHERE hit AND NOT EXISTS (SELECT 1 FROM h a WHERE starts_with(h.path, a.path || ' → ') AND NOT a.hit)")
+def taxonomy_search_pruned(spark, d):
+    """Nodes found by description, all above them too."""
+    return X.search(described(spark, d), "first", True).select("path")

@@ -192,6 +192,20 @@ def export_taxonomies(spark, d):
     return read_export(spark, f"{path}/taxonomies_summary.csv")
 
 
+@query("export_benchmarks", """SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderstatus AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'Unknown' ELSE 'm' || o_custkey END AS model_name, CASE WHEN o_orderkey % 3 = 0 THEN 'p, "q"' ELSE 'Unknown' END AS model_provider,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'N/A' ELSE CAST(o_custkey % 100 AS VARCHAR) END AS accuracy, 'N/A' AS f1_score FROM orders""")
+def export_benchmarks(spark, d):
+    """Benchmark results, nested as they are kept, as one flat CSV file."""
+    c, k = F.col("o_custkey").cast("string"), F.col("o_orderkey")
+    name, provider = F.when(k % 5 != 0, F.concat(F.lit("m"), c)), F.when(k % 3 == 0, 'p, "q"')
+    info = F.to_json(F.struct(name.alias("name"), provider.alias("provider")))
+    scores = F.when(k % 4 != 0, F.concat(F.lit('{"glue": {"accuracy": {"mean": '), (F.col("o_custkey") % 100).cast("string"), F.lit(', "std": 1}}, "other": {"f1": {"mean": 2}}}'))).otherwise("broken")
+    rows = table(spark, d, "orders").select(k.alias("job_id"), F.col("o_orderstatus").alias("status"), info.alias("model_info"), scores.alias("performance_data"))
+    path = scratch(spark, "export").removeprefix("file://")
+    exports.export(exports.benchmark_summary(rows), path, "benchmark_results.csv", order=("job_id",))
+    return read_export(spark, f"{path}/benchmark_results.csv")
+
+
 @query("export_filtered", "SELECT id, confidence FROM v_results WHERE confidence >= 0.8")
 def export_filtered(spark, d):
     """Results of a search as one JSON list."""
@@ -221,11 +235,12 @@ def batch_lengths(spark, d):
     return L.in_batches(table(spark, d, "documents").select("doc_id", "text"), lambda b: b.assign(n=b["text"].str.len())[["doc_id", "n"]], "doc_id long, n long")
 
 
-@query("schema_check", "SELECT 'no column answer' AS problem UNION ALL SELECT 'doc_id is bigint, not string'")
+@query("schema_check", "SELECT 'no column answer' AS problem, count(*) AS n FROM labels UNION ALL SELECT 'doc_id is bigint, not string', count(*) FROM labels")
 def schema_check(spark, d):
-    """What a table lacks of a result file's columns."""
-    found = L.schema_problems(table(spark, d, "labels"), {"doc_id": "string", "quality": "int", "answer": "string"})
-    return spark.createDataFrame([(p,) for p in found], "problem string")
+    """What a table lacks of a result file's columns, and how many rows that concerns."""
+    labels = table(spark, d, "labels")
+    found = L.schema_problems(labels, {"doc_id": "string", "quality": "int", "answer": "string"})
+    return labels.select(F.explode(F.array(*map(F.lit, found))).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @query("headings_chunks", "SELECT doc_id, CAST(k AS INT) AS chunk_index, CASE WHEN k = 1 THEN 'start ' || doc_id ELSE '# Part ' || (k - 1) || chr(10) || 'text ' || doc_id END AS chunk FROM labels, (SELECT unnest([1, 2, 3]) AS k)")

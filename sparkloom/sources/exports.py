@@ -137,6 +137,18 @@ def fixed(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*[value(column, default).alias(header) for header, column, default in HEADERS[kind]])
 
 
+def benchmark_summary(df: DataFrame, suite: str = "glue") -> DataFrame:
+    """Benchmark results without nesting: model_name and model_provider of model_info, accuracy and f1_score of performance_data, both JSON.
+
+    What is missing is ``Unknown``, or ``N/A`` for scores; other columns stay.
+    """
+    get = lambda column, path: F.try_variant_get(F.try_parse_json(F.col(column).cast("string")), path, "string")
+    rest = [c for c in df.columns if c not in ("model_info", "performance_data")]
+    named = [F.coalesce(get("model_info", f"$.{k}"), F.lit("Unknown")).alias(f"model_{k}") for k in ("name", "provider")] if "model_info" in df.columns else []
+    scores = [F.coalesce(get("performance_data", f"$.{suite}.{k}.mean"), F.lit("N/A")).alias(c) for k, c in (("accuracy", "accuracy"), ("f1", "f1_score"))] if "performance_data" in df.columns else []
+    return df.select(*rest, *named, *scores)
+
+
 def export(df: DataFrame, path: str, name: str, kind: str | None = None, order: tuple[str, ...] = (), overwrite: bool = True, rows_per_file: int = 1_000_000) -> None:
     """Rows as one file of a chosen name, or as numbered files of about ``rows_per_file`` rows each.
 
