@@ -28,7 +28,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import packed, with_text
+from .shared import packed, with_text, written
 
 KINDS = ("email", "ip", "card", "phone")  # spans that start together are listed in this order
 #: Strict formats. A match starts where a run starts or where the match before has ended.
@@ -241,7 +241,7 @@ class Model:
 def measured(candidates: DataFrame) -> DataFrame:
     """Labelled candidates with their features as columns."""
     columns = features(F.col("kind"), F.col("token"), F.col("before"), F.col("after"))
-    return candidates.select("kind", "label", *[c.alias(k) for k, c in columns.items()])
+    return candidates.select("kind", "label", *[c for c in ("rest",) if c in candidates.columns], *[c.alias(k) for k, c in columns.items()])
 
 
 def fit(candidates: DataFrame, precision: float = 0.99, trees: int = 20, depth: int = 4, seed: int = 5) -> Model:
@@ -251,9 +251,10 @@ def fit(candidates: DataFrame, precision: float = 0.99, trees: int = 20, depth:
     """
     names = list(features(F.lit(0), F.lit(""), F.lit(""), F.lit("")))
     quarter = F.pmod(F.xxhash64("before", "token", "after"), F.lit(4)) == 0
-    learn = VectorAssembler(inputCols=names, outputCol="x").transform(measured(candidates.where(~quarter))).select("label", "x")
+    rows = written(measured(candidates.withColumn("rest", quarter)))  # the trees read them again and again
+    learn = VectorAssembler(inputCols=names, outputCol="x").transform(rows.where("NOT rest")).select("label", "x")
     model = Model(GBTClassifier(labelCol="label", featuresCol="x", maxIter=trees, maxDepth=depth, minInstancesPerNode=4, stepSize=0.3, seed=seed).fit(learn), names, [2.0] * len(KINDS))
-    rest = measured(candidates.where(quarter)).select("kind", "label", F.struct(*names).alias("x")).select("kind", "label", F.round(model.score(F.col("x")), 3).alias("score"))
+    rest = rows.where("rest").select("kind", "label", F.struct(*names).alias("x")).select("kind", "label", F.round(model.score(F.col("x")), 3).alias("score"))
     levels = rest.groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect()  # 1,001 scores a kind at most
     for k in range(len(KINDS)):
         right = seen = 0
