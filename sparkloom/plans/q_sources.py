@@ -164,7 +164,7 @@ def export_qa(spark, d):
     """Question and answer pairs as one CSV file with the fixed header."""
     path = scratch(spark, "export").removeprefix("file://")
     exports.export(view(spark, d, "v_qa").withColumnRenamed("category", "qa_type"), path, "qa_dataset.csv", "qa", ("qa_id",))
-    return read_export(spark, f"{path}/qa_dataset.csv")
+    return read_export(spark, exports.files(path, "qa_dataset.csv"))
 
 
 @query("export_jobs", "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderstatus AS status, '' AS created_at, '0' AS progress_percentage, CAST(o_custkey AS VARCHAR) AS project_id, '' AS taxonomy_id, o_orderpriority AS extraction_type, '' AS extraction_mode FROM orders")
@@ -173,7 +173,7 @@ def export_jobs(spark, d):
     jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("extraction_type"))
     path = scratch(spark, "export").removeprefix("file://")
     exports.export(jobs, path, "extraction_jobs_summary.csv", "jobs", ("job_id",), rows_per_file=5000)
-    return read_export(spark, f"{path}/extraction_jobs_summary*.csv")
+    return read_export(spark, exports.files(path, "extraction_jobs_summary.csv"))
 
 
 @query("export_datasets", "SELECT CAST(version_id AS VARCHAR) AS id, dataset_name AS name, '' AS format_type, '' AS created_at, '0' AS file_size, CAST(total_entries AS VARCHAR) AS record_count, '' AS chunking_strategy, '' AS embedding_model FROM v_versions")
@@ -181,7 +181,7 @@ def export_datasets(spark, d):
     rows = view(spark, d, "v_versions").select(F.col("version_id").alias("id"), F.col("dataset_name").alias("name"), F.col("total_entries").alias("record_count"))
     path = scratch(spark, "export").removeprefix("file://")
     exports.export(rows, path, "datasets_summary.csv", "datasets", ("id",))
-    return read_export(spark, f"{path}/datasets_summary.csv")
+    return read_export(spark, exports.files(path, "datasets_summary.csv"))
 
 
 @query("export_taxonomies", "SELECT CAST(r_regionkey AS VARCHAR) AS \"ID\", r_name AS \"Name\", '' AS \"Project_ID\", CAST(count(n_nationkey) AS VARCHAR) AS \"Categories_Count\", '0.0' AS \"Confidence_Score\", 'Unknown' AS \"Created_At\" FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -189,7 +189,7 @@ def export_taxonomies(spark, d):
     rows = table(spark, d, "region").join(table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")).agg(F.count("n_nationkey").alias("categories_count"))
     path = scratch(spark, "export").removeprefix("file://")
     exports.export(rows, path, "taxonomies_summary.csv", "taxonomies", ("id",))
-    return read_export(spark, f"{path}/taxonomies_summary.csv")
+    return read_export(spark, exports.files(path, "taxonomies_summary.csv"))
 
 
 @query("export_benchmarks", """SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderstatus AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'Unknown' ELSE 'm' || o_custkey END AS model_name, CASE WHEN o_orderkey % 3 = 0 THEN 'p, "q"' ELSE 'Unknown' END AS model_provider,
@@ -203,7 +203,7 @@ def export_benchmarks(spark, d):
     rows = table(spark, d, "orders").select(k.alias("job_id"), F.col("o_orderstatus").alias("status"), info.alias("model_info"), scores.alias("performance_data"))
     path = scratch(spark, "export").removeprefix("file://")
     exports.export(exports.benchmark_summary(rows), path, "benchmark_results.csv", order=("job_id",))
-    return read_export(spark, f"{path}/benchmark_results.csv")
+    return read_export(spark, exports.files(path, "benchmark_results.csv"))
 
 
 @query("export_filtered", "SELECT id, confidence FROM v_results WHERE confidence >= 0.8")
@@ -212,7 +212,7 @@ def export_filtered(spark, d):
     rows = view(spark, d, "v_results").where(H.predicate(min_confidence=0.8)).select("id", "confidence")
     path = scratch(spark, "export").removeprefix("file://")
     exports.export(rows, path, "results.json", order=("id",))
-    return spark.read.schema("id long, confidence double").option("multiLine", "true").json(f"{path}/results.json")
+    return spark.read.schema("id long, confidence double").option("multiLine", "true").json(exports.files(path, "results.json"))
 
 
 @query("relevant_categories", "SELECT event_id, NOT lower(trim(CASE WHEN event_id % 3 = 0 THEN ' None ' WHEN event_id % 3 = 1 THEN '' ELSE event_type END)) IN ('', 'none', 'null', 'false', '0') AS relevant FROM events")

@@ -159,3 +159,9 @@ def export(df: DataFrame, path: str, name: str, kind: str | None = None, order:
     dealt = df.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else df.repartition(files)
     dealt = fixed(dealt, kind) if kind and name.endswith(".csv") else dealt
     dealt.write.format("named_export").option("path", path).option("name", name).mode("overwrite" if overwrite else "append").save()
+
+
+def files(path: str, name: str) -> str:
+    """A glob of what an export of this name left in a folder: the one file, or the numbered ones."""
+    stem, dot, suffix = name.rpartition(".")
+    return f"{path}/{stem}{{,-*-of-*}}{dot}{suffix}"

@@ -134,3 +134,13 @@ def test_failed_export_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="a.csv"):
         exports.export(spark.range(5), str(tmp_path), "a.csv", overwrite=False)
     assert os.listdir(tmp_path) == ["a.csv"] and (tmp_path / "a.csv").read_text() == before
+
+
+@pytest.mark.parametrize("name", ["export_benchmarks", "export_datasets", "export_filtered", "export_qa", "export_taxonomies"])
+def test_exports_of_several_files_are_read_whole(spark, monkeypatch, name):
+    """An export of more rows than a file takes is numbered files; the query reads them all."""
+    from sparkloom import registry
+
+    whole, export = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect(), exports.export
+    monkeypatch.setattr(exports, "export", lambda *a, **k: export(*a, **k | {"rows_per_file": 2 if name == "export_taxonomies" else 20}))
+    assert sorted(map(str, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == sorted(map(str, whole))
