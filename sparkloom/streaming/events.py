@@ -60,18 +60,20 @@ JOB = "job_id long, status string, accepted long, refused long"
 
 def _moved(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     status, accepted, refused = state.get if state.exists else (None, 0, 0)
-    for b in batches:
-        for new in b.sort_values(["ts", "event_id"])["status"]:
-            if new in MOVES.get(status, ()):
-                status, accepted = new, accepted + 1
-            else:
-                refused += 1
+    for new in pd.concat(list(batches)).sort_values(["ts", "event_id"])["status"]:  # a job's rows may come in several batches, in any order
+        if new in MOVES.get(status, ()):
+            status, accepted = new, accepted + 1
+        else:
+            refused += 1
     state.update((status, accepted, refused))
     yield pd.DataFrame({"job_id": [key[0]], "status": [status], "accepted": [accepted], "refused": [refused]})
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """The status of each job after the moves the state machine allows; three values are held per job."""
+    """The status of each job after the moves the state machine allows; three values are held per job.
+
+    A task holds the rows that one micro-batch has of one job, to take them in order.
+    """
     return events.groupBy("job_id").applyInPandasWithState(_moved, JOB, "status string, accepted long, refused long", "update", GroupStateTimeout.NoTimeout)
 
 

@@ -102,3 +102,17 @@ def test_generation_stops_after_its_time(spark, tmp_path):
 def test_null_replies_give_empty_entries(spark, tmp_path):
     rows = spark.createDataFrame([(1, "x")], "chunk_id long, chunk string")
     assert G.qa_generator(models.echo, F.col("chunk"))(rows).first().answer is not None
+
+
+def test_job_states_over_several_batches(spark, tmp_path):
+    """A job's rows that reach Python in several batches are taken in the order of their times all the same."""
+    at = datetime.datetime(2024, 1, 1)
+    moves = ["pending", "running", "failed", "retrying"] + ["running", "failed"] * 20 + ["running", "completed"]
+    rows = [(k, 1, at + datetime.timedelta(seconds=k), status) for k, status in enumerate(moves)]
+    spark.createDataFrame(rows[::-1], "event_id long, job_id long, ts timestamp, status string").coalesce(1).write.parquet(str(tmp_path / "jobs"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        stream = spark.readStream.schema("event_id long, job_id long, ts timestamp, status string").parquet(str(tmp_path / "jobs"))
+        assert [tuple(r) for r in S.drained(S.job_states(stream), "update").collect()] == [(1, "completed", len(moves), 0)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
