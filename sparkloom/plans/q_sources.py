@@ -18,10 +18,16 @@ from .views import view
 
 def files_of(df, by, path):
     """One text file below ``path``/``by``=... for each value, rows in order of their other columns' first."""
-    df.repartition(by).sortWithinPartitions(by, "at").select(by, "value").write.partitionBy(by).text(path)
+    # the second way to commit moves files in the tasks, not one by one on the driver
+    df.repartition(by).sortWithinPartitions(by, "at").select(by, "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(by).text(path)
     return path
 
 
+def file_of(doc):
+    """The name of a document's own file, in one of 1,024 folders."""
+    return F.concat(F.lit("part="), F.pmod(F.xxhash64(doc), F.lit(1024)).cast("string"), F.lit("/doc="), doc.cast("string"), F.lit(".txt"))
+
+
 PAGES = """
 WITH f AS (SELECT doc_id // 25 AS file, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents WHERE text IS NOT NULL GROUP BY 1),
 n AS (SELECT file, CAST(ceil(strlen(content) / 4096.0) AS INT) AS n FROM f),
@@ -38,7 +44,7 @@ SELECT r.file, r.split, first + 1 AS first_page, stop AS last_page, CASE WHEN r.
 
 @query("document_pages", PAGES)
 def document_pages(spark, d):
-    """Page ranges of text files, 25 documents each, by the data source: a task a range."""
+    """Page ranges of text files, 25 documents each, by the data source."""
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     path = files_of(docs.select(F.floor(F.col("doc_id") / 25).alias("file"), F.col("doc_id").alias("at"), F.col("text").alias("value")), "file", scratch(spark, "pages"))
     spark.dataSource.register(paged.document_source())
@@ -58,7 +64,7 @@ def parsed_documents(spark, d):
     words = F.array_join(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), " ")
     content = F.when(of == "plain", F.col("text")).when(of == "parsed", F.to_json(F.struct(F.col("text").alias("main_content")))).otherwise(F.concat(F.lit("<html><script>var x = 1;</script><body><p>"), words, F.lit("</p></body></html>")))
     path = scratch(spark, "parsed")
-    docs.select(of.alias("kind"), F.col("doc_id").alias("doc"), content.alias("value")).repartition("doc").sortWithinPartitions("kind", "doc").write.partitionBy("kind", "doc").text(path)
+    O.write_texts(docs.select(F.concat(F.lit("kind="), of, F.lit("/"), file_of(F.col("doc_id"))).alias("name"), content.alias("value")), path)
 
     def below(handler, kind):
         """A handler for the files of a folder."""
@@ -75,8 +81,8 @@ def parsed_files(spark, d):
     """main_content of files of JSON, a file a document; what is no JSON stays as it is."""
     doc = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("not { json "), F.col("doc_id").cast("string"))).otherwise(F.to_json(F.struct(F.col("text").alias("main_content"), "lang")))
     path = scratch(spark, "parsed")
-    table(spark, d, "documents").select(F.col("doc_id").alias("doc"), doc.alias("value")).repartition("doc").sortWithinPartitions("doc").write.partitionBy("doc").text(path)
-    return I.parsed_files(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", r"doc=(\d+)", 1).cast("long").alias("doc_id"), "main_content")
+    O.write_texts(table(spark, d, "documents").select(file_of(F.col("doc_id")).alias("name"), doc.alias("value")), path)
+    return I.parsed_files(spark, f"{path}/part=*").select(F.regexp_extract("path", r"doc=(\d+)", 1).cast("long").alias("doc_id"), "main_content")
 
 
 @query("entry_files", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality AS VARCHAR) AS quality FROM labels")

@@ -5,8 +5,10 @@
 
 Each file goes to the first handler that takes its path. A handler says how many pages a
 file of some size has, without reading it, and reads the pages of a range. The driver
-only lists files; each range is one partition and reads its own bytes. Handlers that
-cannot count pages without reading get one partition a file.
+only lists files; a range is read by its own bytes. Handlers that cannot count pages
+without reading get one range a file. Up to ``tasks`` ranges are a partition each; more are
+dealt, in order, into that many partitions of about the same work, or into more so that
+none has much over ``TASK_BYTES``.
 
 Ranges have ``pages_per_split`` pages and share ``overlap_pages`` with the one before,
 whose text comes as ``overlap``. With option ``prune`` and
@@ -33,6 +35,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 FORMAT = "document_pages"
 SCHEMA = "path string, split int, first_page int, last_page int, prev_split int, next_split int, overlap string, content string, error string"
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
+TASKS = 256
+TASK_BYTES = 32 << 20
+OPENED = 16 << 10  # bytes that could be read in the time it takes to open a file
 
 
 class Handler:
@@ -122,7 +127,7 @@ DEFAULTS: tuple[Handler, ...] = (ParsedJson(), Markup(), Handler())
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Pages of a file; ``last`` is None where the file has to be read to count them."""
 
     path: str
@@ -134,10 +139,29 @@ class Range(InputPartition):
     links: tuple[int | None, int | None] = (None, None)
     shared: int = 0
 
+
+@dataclass
+class Dealt(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: list[Range]
+
     def __post_init__(self):
         super().__init__(None)
 
 
+def dealt(found: list[tuple[Range, int]], tasks: int) -> list[Dealt]:
+    """Ranges with their bytes as partitions, in order."""
+    if len(found) <= tasks:
+        return [Dealt([r]) for r, _ in found]
+    work = sum(n + OPENED for _, n in found)
+    most, out, at = max(tasks, -(-work // TASK_BYTES)), {}, 0
+    for r, n in found:
+        out.setdefault(at * most // work, []).append(r)
+        at += n + OPENED
+    return [Dealt(x) for x in out.values()]
+
+
 def ranges(pages: int, per_split: int, overlap: int) -> list[tuple[int, int]]:
     """Windows over pages from 0, ends exclusive: each begins ``overlap`` pages before the end of the one before."""
     out, at = [], 0
@@ -169,6 +193,7 @@ class PagesReader(DataSourceReader):
         self.per_split, self.overlap = int(options.get("pages_per_split", 200)), int(options.get("overlap_pages", 1))
         if not 0 <= self.overlap < self.per_split or self.mode not in MODES:
             raise ValueError(f"need 0 <= overlap_pages < pages_per_split and a mode of {MODES}")
+        self.tasks = max(1, int(options.get("tasks", TASKS)))
         self.handlers, self.filters = handlers, []
 
     def _kept(self, r: Range) -> bool:
@@ -181,19 +206,22 @@ class PagesReader(DataSourceReader):
         for k, (first, last) in enumerate(windows, 1):
             yield Range(path, size, handler, k, first, last, (k - 1 if k > 1 else None, k + 1 if k < len(windows) else None), min(self.overlap, last - first) if k > 1 else 0)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Dealt]:
         out = []
         for path, size in listed(self.path)[1]:
             handler = next(k for k, h in enumerate(self.handlers) if h.can_handle(path))
             pages = self.handlers[handler].pages(size)
-            out += [Range(path, size, handler, 1, 0, None)] if pages is None else self._planned(path, size, handler, pages)
-        return [r for r in out if self._kept(r)] or [Range("", 0, -1, 0, 0, 0)]
+            own = [Range(path, size, handler, 1, 0, None)] if pages is None else list(self._planned(path, size, handler, pages))
+            out += [(r, size // len(own)) for r in own if self._kept(r)]
+        return dealt(out, self.tasks) or [Dealt([])]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if partition.handler < 0:
-            return
-        handler = self.handlers[partition.handler]
+    def read(self, partition: Dealt) -> Iterator[tuple]:
         system = fs.FileSystem.from_uri(self.path)[0] if re.match(r"[a-z0-9+]+:/", self.path) else fs.LocalFileSystem()
+        for r in partition.ranges:
+            yield from self._read(system, r)
+
+    def _read(self, system: fs.FileSystem, partition: Range) -> Iterator[tuple]:
+        handler = self.handlers[partition.handler]
         try:
             with system.open_input_file(partition.path) as file:
                 if partition.last is None:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import posixpath
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +55,28 @@ def write_bundle(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy(*keys).parquet(path)
 
 
+def write_texts(rows: DataFrame, path: str) -> int:
+    """A text file for each row, at its ``name`` below ``path``: its ``value`` and a line feed. Returns how many.
+
+    Tasks write them; Spark's own writer would have a folder a file, moved one by one at the end.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+]+:/", path) else (fs.LocalFileSystem(), path)
+        made = set()
+        for b in batches:
+            for name, value in zip(b["name"], b["value"], strict=True):
+                file = posixpath.join(root, name)
+                if (folder := posixpath.dirname(file)) not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(file) as out:
+                    out.write(f"{value or ''}\n".encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return rows.select("name", "value").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def result_pages(results: DataFrame, size: int = 100) -> DataFrame:
     """job_id, page, n, avg_confidence, categories, payload, checksum and next_page of pages of ``size`` results."""
     ordered = Window.partitionBy("job_id").orderBy("id")

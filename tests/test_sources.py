@@ -40,6 +40,26 @@ def test_one_task_a_range(spark, tmp_path):
     assert [r.prev_split for r in rows] == [None, 1, 2, 3, 4, 5] and [r.next_split for r in rows] == [2, 3, 4, 5, 6, None]
 
 
+def test_many_ranges_share_tasks(spark, tmp_path):
+    """More ranges, or files that are read whole, than tasks: the same rows from few partitions."""
+    (tmp_path / "a.txt").write_text("".join(f"line {k} é\n" for k in range(2000)))
+    for k in range(30):
+        (tmp_path / f"{k}.json").write_text(f'{{"main_content": "text {k}"}}')
+    options = {"page_bytes": 1000, "pages_per_split": 2, "overlap_pages": 1}
+    few, many = load(spark, tmp_path, tasks=5, **options), load(spark, tmp_path, tasks=1000, **options)
+    assert few.rdd.getNumPartitions() <= 5 and many.rdd.getNumPartitions() == many.count() > 50
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_a_file_a_row(spark, tmp_path):
+    """Files by name, without a folder a file."""
+    from sparkloom.sources import writers
+
+    rows = spark.range(100).select(F.concat(F.lit("k="), F.col("id") % 3, F.lit("/"), "id", F.lit(".txt")).alias("name"), F.concat(F.lit("é "), "id").alias("value"))
+    assert writers.write_texts(rows, f"file://{tmp_path}") == 100
+    assert sorted(os.listdir(tmp_path)) == ["k=0", "k=1", "k=2"] and (tmp_path / "k=2" / "17.txt").read_text() == "é 17\n"
+
+
 def test_handlers_by_path(spark, tmp_path):
     """A handler of a caller's own comes first; JSON, markup and empty results have their fallbacks."""
 
