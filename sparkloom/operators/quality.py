@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import kept
 
 # Keywords of demographic groups.
 DEMOGRAPHIC = {
@@ -26,6 +27,8 @@ DEMOGRAPHIC = {
 CENTRES = {"easy": 80.0, "intermediate": 45.0, "hard": 15.0}
 THRESHOLDS = {"diversity": 0.6, "bias": 0.3, "difficulty": 0.7, "consistency": 0.8}
 TILE = 1024
+DENSE = 4096  # pairs of rows with a word from which on a column of a matrix is cheaper
+MOST_TASKS = 4096
 
 
 @dataclass(frozen=True)
@@ -118,20 +121,51 @@ def difficulty(entries: DataFrame, config: Config = Config()) -> DataFrame:
     return out.withColumn("score", 1.0 - F.abs((1.0 - F.col("overall_difficulty") / 100.0) - CENTRES[config.target] / 100.0))
 
 
+def _expanded(code: np.ndarray, x: np.ndarray, y: np.ndarray, of: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of ``x`` and ``y`` with one of the codes; rows of a code lie from ``of[code]`` and ``to[code]`` on."""
+    nx, ny = of[code + 1] - of[code], to[code + 1] - to[code]
+    size = nx * ny
+    which = np.repeat(np.arange(len(code)), size)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    return x[of[code][which] + k // ny[which]], y[to[code][which] + k % ny[which]]
+
+
 def _tile(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sum of Jaccard similarities and number of pairs between two blocks of answers, or within one."""
-    ids: dict[str, int] = {}
-    coded = [np.array([ids.setdefault(x, len(ids)) for x in w], np.int64) for w in rows["w"]]
+    """Sum of Jaccard similarities and number of pairs between two blocks of answers, or within one.
+
+    Words of many pairs are counted by a product of matrices, those of few pair by pair.
+    """
     first, second = (np.flatnonzero(rows["block"].to_numpy() == b) for b in (rows["a"].iloc[0], rows["b"].iloc[0]))
-    size, times = np.array([len(c) for c in coded]), rows["times"].to_numpy().astype(float)
-    shared = np.zeros((len(first), len(second)))
-    for low in range(0, max(len(ids), 1), 8192):  # parts of the vocabulary
-        x, y = (np.zeros((len(part), 8192), np.float32) for part in (first, second))
-        for m, part in ((x, first), (y, second)):
-            for k, r in enumerate(part):
-                own = coded[r]
-                m[k, own[(own >= low) & (own < low + 8192)] - low] = 1
-        shared += x @ y.T
+    size, times = rows["w"].map(len).to_numpy(), rows["times"].to_numpy().astype(float)
+    ids, codes = np.unique(np.concatenate([np.empty(0, np.int64), *rows["w"]]).astype(np.int64), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), size)
+    sides = []
+    for part in (first, second):
+        at = np.full(len(rows), -1)
+        at[part] = np.arange(len(part))
+        own = at[row] >= 0
+        order = np.argsort(codes[own], kind="stable")
+        sides.append((at[row][own][order], codes[own][order]))
+    (x, cx), (y, cy) = sides
+    of, to = (np.concatenate(([0], np.cumsum(np.bincount(c, minlength=len(ids))))) for c in (cx, cy))
+    work = np.diff(of) * np.diff(to)
+    shared = np.zeros(len(first) * len(second))
+    light = np.flatnonzero((work > 0) & (work <= DENSE))
+    cuts = np.flatnonzero(np.diff(np.cumsum(work[light]) // (1 << 20))) + 1
+    for some in np.split(light, cuts):
+        i, j = _expanded(some, x, y, of, to)
+        shared += np.bincount(i * len(second) + j, minlength=len(shared))
+    shared = shared.reshape(len(first), len(second))
+    heavy = np.flatnonzero(work > DENSE)
+    for some in np.split(heavy, range(2048, len(heavy), 2048)):
+        place = np.full(len(ids), -1)
+        place[some] = np.arange(len(some))
+        m = []
+        for r, c, n in ((x, cx, len(first)), (y, cy, len(second))):
+            m.append(np.zeros((n, len(some)), np.float32))
+            there = place[c] >= 0
+            m[-1][r[there], place[c[there]]] = 1
+        shared += m[0] @ m[1].T
     every = size[first][:, None] + size[second][None, :] - shared
     similar = np.where(every == 0, 1.0, shared / np.maximum(every, 1))
     pairs = times[first][:, None] * times[second][None, :]
@@ -143,18 +177,22 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
 def cross_consistency(entries: DataFrame, tile: int = TILE) -> DataFrame:
     """category, n_pairs, mean_jaccard and consistency of the answers of each category.
 
-    Answers of the same words are one row with their number. Pairs are never rows: the
-    rest of a category is cut into blocks of about ``tile`` by a hash of the words, the
-    same on every try of a task, and a task sums the similarities of two blocks. The
+    Answers of the same words are one row with their number; words travel as 64-bit hashes.
+    Pairs are never rows: the rest of a category is cut into blocks of about ``tile`` by a
+    hash of the words, the same on every try of a task, and a task sums the similarities
+    of two blocks. Tiles are dealt to as many partitions as their number asks for. The
     mean over all pairs needs every pair compared: a category of n different answers
     takes n squared comparisons and sends each answer to n / ``tile`` tasks.
     """
     own = entries.where(F.trim(X.text(F.col("answer"))) != "").select(category(entries, "general").alias("category"), F.array_sort(F.array_distinct(X.tokens(F.col("answer")))).alias("w"))
-    rows = own.groupBy("category", "w").agg(F.count("*").alias("times")).withColumn("h", F.xxhash64("w"))
-    sizes = rows.groupBy("category").agg(F.count("*").alias("n"), (F.floor(F.count("*") / tile) + 1).cast("int").alias("blocks"))
+    rows = own.groupBy("category", "w").agg(F.count("*").alias("times")).select("category", F.transform("w", lambda x: F.xxhash64(x)).alias("w"), "times", F.xxhash64("w").alias("h"))
+    rows = kept(rows)
+    sizes = kept(rows.groupBy("category").agg(F.count("*").alias("n"), (F.floor(F.count("*") / tile) + 1).cast("int").alias("blocks")))
+    tiles = sizes.agg(F.sum(F.col("blocks").cast("double") * (F.col("blocks") + 1) / 2)).first()[0] or 1
     rows = rows.join(sizes, "category").withColumn("block", F.pmod("h", "blocks").cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.select("category", "w", "times", "block", others.alias("o")).select("category", "w", "times", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
+    dealt = dealt.repartition(int(min(MOST_TASKS, max(1, tiles))), "category", "a", "b")
     sums = dealt.groupBy("category", "a", "b").applyInPandas(_tile, "category string, total double, pairs long")
     found = sizes.join(sums.groupBy("category").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs")), "category")
     mean = F.col("mean_jaccard")
@@ -205,6 +243,7 @@ def report(entries: DataFrame, config: Config = Config()) -> DataFrame:
         one = metric(entries, config).select(F.lit(name).alias("metric"), F.col("score"), F.lit(config.thresholds.get(name, 0.5)).alias("threshold"), F.lit(config.weights.get(name, 1.0)).alias("weight"))
         long = one if long is None else long.unionByName(one)
     lower = F.col("metric") == "bias"
+    long = kept(long)  # a row a metric; or overall would compute every metric again
     long = long.withColumn("passed", F.when(lower, F.col("score") <= F.col("threshold")).otherwise(F.col("score") >= F.col("threshold")))
     good = F.when(lower, 1.0 - F.col("score")).otherwise(F.col("score"))
     overall = long.agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("overall"), (F.sum(good * F.col("weight")) / F.sum("weight")).alias("adjusted"))

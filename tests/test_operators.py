@@ -329,3 +329,21 @@ def test_templates_without_categories(spark):
     got = sorted((r.l_linenumber, r.template_id) for r in R.expand_templates(rows, some, 2).collect())
     assert got == [(1, 1), (1, 2), (2, 1)]
     assert R.expand_templates(rows, some.where("category = 'z'"), 2).count() == 0
+
+
+def test_tiles_count_frequent_and_rare_words(spark):
+    """Words in many pairs of a tile and words in few; the report computes each metric once."""
+    from sparkloom.operators import quality
+
+    words = [sorted({f"w{(k * j) % 97}" for j in range(1, 9)} | {"every"} | ({"half"} if k % 2 else set())) for k in range(150)]
+    rows = spark.createDataFrame([(k, "q", " ".join(w), "a") for k, w in enumerate(words)], "qa_id int, question string, answer string, category string")
+    pairs = [len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in enumerate(words) for b in words[:i]]
+    for tile in (1024, 40):
+        got = quality.cross_consistency(rows, tile).first()
+        assert got.n_pairs == len(pairs) and abs(got.mean_jaccard - sum(pairs) / len(pairs)) < 1e-12
+    quality.register_metric("counted", lambda e, c: e.agg(F.avg(F.udf(lambda x: 1.0, "double")("question")).alias("score")))
+    try:
+        plan = quality.report(rows)._jdf.queryExecution().toString()
+    finally:
+        del quality.METRICS["counted"]
+    assert "FlatMapGroupsInPandas" not in plan and "PythonUDF" not in plan
