@@ -319,33 +319,35 @@ def _by_length(rows: DataFrame, strategy: Character | Token) -> DataFrame:
 def _by_rounds(rows: DataFrame, strategy: Strategy) -> DataFrame:
     keys = ["document_id", "file_seq"]
     order = Window.partitionBy("document_id").orderBy("file_seq")
-    near = kept(rows.select(*keys, F.lag("file_seq").over(order).alias("before"), (F.lead("file_seq").over(order)).isNull().alias("final")))
+    # whole texts are dealt and written once; rounds then hold what goes on to the next file, never chunks
+    whole = kept(rows.withColumns({"before": F.lag("file_seq").over(order), "final": F.lead("file_seq").over(order).isNull()}))
 
     def chunked(some: DataFrame) -> DataFrame:
-        """``some`` (keys, t, final, carry) with its chunks and what goes on to the next file."""
+        """``some`` (keys, t, before, final, carry) with its chunks, and what goes on to the next file."""
         white = lambda c: c.isin(*WHITE)
         gap = F.when((F.col("carry") != "") & (F.col("t") != "") & ~white(F.right("carry", F.lit(1))) & ~white(F.substring("t", 1, 1)), " ").otherwise("")
         found = some.withColumn("chunks", strategy.column(F.concat("carry", gap, "t")))
         last = F.coalesce(F.try_element_at("chunks", F.lit(-1)), F.lit(""))
         unfinished = (F.size("chunks") > 0) & ~F.col("final") & strategy.unfinished(last)
-        return found.withColumn("on", F.when(unfinished, last).otherwise("")).select(*keys, "carry", "chunks", "on")
+        return found.withColumn("on", F.when(unfinished, last).otherwise(""))
 
-    whole = rows.join(near, keys)
-    state = kept(chunked(whole.withColumn("carry", F.lit(""))))
+    def carried(some: DataFrame) -> DataFrame:
+        return chunked(some).select(*keys, "before", "carry", "on", (F.size("chunks") - (F.col("on") != "").cast("int")).alias("n"))
+
+    state = kept(carried(whole.withColumn("carry", F.lit(""))))
     while True:
-        ahead = state.select("document_id", F.col("file_seq").alias("before"), F.col("on").alias("new"))
-        changed = state.select(*keys, F.col("carry").alias("old")).join(near, keys).join(ahead, ["document_id", "before"]).where("new <> old").select(*keys, F.col("new").alias("carry"))
-        changed = kept(changed)
+        ahead = state.where("`on` <> ''").select("document_id", F.col("file_seq").alias("before"), F.col("on").alias("new"))
+        changed = state.select(*keys, "before", F.col("carry").alias("old")).join(ahead, ["document_id", "before"], "left")
+        changed = kept(changed.withColumn("new", F.coalesce("new", F.lit(""))).where("new <> old").select(*keys, F.col("new").alias("carry")))
         if changed.isEmpty():
             break
-        again = chunked(whole.join(changed, keys))
+        again = carried(whole.join(changed, keys))
         state = kept(state.join(changed.select(*keys), keys, "left_anti").unionByName(again))
-    done = F.when(F.col("on") == "", F.col("chunks")).otherwise(F.slice("chunks", 1, F.size("chunks") - 1))
-    counted = state.select(*keys, done.alias("chunks")).withColumn("n", F.size("chunks"))
     base = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = counted.select(*keys, "n").select(*keys, base.alias("base"))
-    out = counted.join(bases, keys).select("document_id", "base", F.posexplode("chunks").alias("k", "chunk"))
-    return out.select("document_id", (F.col("base") + F.col("k") + 1).cast("int").alias("chunk_index"), "chunk")
+    counted = state.select(*keys, "n").withColumn("base", base).select(*keys, "base")
+    placed = state.select(*keys, "carry").join(counted, keys)
+    out = chunked(whole.join(placed, keys)).withColumn("done", F.when(F.col("on") == "", F.col("chunks")).otherwise(F.slice("chunks", 1, F.size("chunks") - 1)))
+    return out.select("document_id", "base", F.posexplode("done").alias("k", "chunk")).select("document_id", (F.col("base") + F.col("k") + 1).cast("int").alias("chunk_index"), "chunk")
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:

@@ -62,3 +62,15 @@ def test_one_document_of_many_files(spark):
     got = [r.chunk for r in sorted(C.cross_file(files, C.Character(100)).collect(), key=lambda r: r.chunk_index)]
     assert got == fold(texts, windows(100, 0), lambda c: len(c) < 80)
     assert C.cross_file(files.limit(0), C.Character(100)).count() == C.cross_file(files.limit(0), C.Delimiter()).count() == 0
+
+
+def test_rounds_write_texts_once_and_no_chunks(spark, monkeypatch):
+    """What is written between rounds are ends of files, not the chunks of all of them."""
+    from sparkloom.operators import chunking
+
+    seen, kept = [], chunking.kept
+    monkeypatch.setattr(chunking, "kept", lambda df: (seen.append(df.columns), kept(df))[1])
+    rows = spark.createDataFrame([("d", k, f"part {k}.\nrest {k}") for k in range(6)], "document_id string, file_seq int, main_content string")
+    got = chunking.cross_file(rows, chunking.Delimiter(".\n")).orderBy("chunk_index").collect()
+    assert [r.chunk for r in got] == ["part 0", *[f"rest {k - 1} part {k}" for k in range(1, 6)], "rest 5"]
+    assert sum("t" in c for c in seen) == 1 and not any("chunks" in c for c in seen)
