@@ -39,6 +39,14 @@ of ``similarity`` or more are near copies; one of each class of them stays.
   only once; up to ``SENT`` of their ids go to the texts in a broadcast, more by a join. A
   task then checks the pairs by exact Jaccard similarity, nearest first and none whose
   nodes have already been joined, and emits classes, never pairs.
+* That finds most pairs cheaply, not all. The rest are found exactly: two sets of this
+  similarity share one of the first ``n - ceil(similarity * n) + 1`` shingles of each, in
+  any one order. Shingles of such prefixes that occur in one class only are left, which
+  are nearly all; documents of different classes that share one are pairs if their sizes,
+  the parities of their shingles by hash value and the number of shared prefix shingles
+  allow the similarity (upper bounds, so no pair is lost). These are checked by exact
+  Jaccard similarity and join the classes. Common shingles, known from a sample, come
+  last in the order; a shingle of more than ``bucket_rows`` documents is cut into blocks.
 
 There, null and wordless texts are copies of each other; fewer than five words are
 one shingle. Rows with a null doc_id stay. Rows that repeat a doc_id are one document.
@@ -62,6 +70,9 @@ BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 BATCH = 60_000  # fingerprints whose buckets are walked together
 PAIRS = 4000  # pairs that are checked before labels are looked at again; nodes with shingles that are held together
 SENT = 2_000_000  # ids that a broadcast may have
+ORDERED = 8192  # documents from which common shingles are known
+COMMON = 1 << 17  # common shingles that go to tasks
+MET = 1 << 20  # pairs of a bucket that are looked at together
 LEAVES = 64  # pairs of rows that are compared without going deeper
 
 
@@ -355,6 +366,13 @@ def banding(nodes: int, similarity: float, recall: float, seed: int = 3) -> list
     return out
 
 
+def _tiles(blocks: Column) -> Column:
+    """Keys under which a row of a bucket of ``blocks`` blocks meets each of them, and its block there (-1: it meets its own); null is one block."""
+    block = F.pmod(F.xxhash64("id"), blocks)
+    tile = lambda o: F.struct(F.xxhash64("key", F.least(block, o), F.greatest(block, o)).alias("key"), F.when(block == o, F.lit(-1).cast("long")).otherwise(block).alias("side"))
+    return F.when(blocks.isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), tile)).otherwise(F.array(F.struct(F.col("key").alias("key"), F.lit(-1).cast("long").alias("side"))))
+
+
 def near_buckets(nodes: DataFrame, masks: list[tuple[int, int]], bucket_rows: int) -> DataFrame:
     """key, id, high and low: nodes by bucket, and by two blocks of it where it is large."""
     bands = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, (a, b) in enumerate(masks)])
@@ -363,10 +381,7 @@ def near_buckets(nodes: DataFrame, masks: list[tuple[int, int]], bucket_rows: in
     large = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).alias("blocks")))
     if large.isEmpty():
         return rows.select("key", "id", "high", "low")
-    rows = rows.join(large, "key", "left")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    tiles = F.when(F.col("blocks").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(block, o), F.greatest(block, o)))).otherwise(F.array("key"))
-    return rows.select(F.explode(tiles).alias("key"), "id", "high", "low")
+    return rows.join(large, "key", "left").select(F.explode(_tiles(F.col("blocks"))).alias("t"), "id", "high", "low").select("t.key", "id", "high", "low")
 
 
 def _partnered(errors: int):
@@ -417,20 +432,125 @@ def _verified(errors: int, similarity: float):
     return _whole_buckets(walk, PAIRS)
 
 
+def _prefix_size(n, similarity: float):
+    """How many of a set's ``n`` shingles, in any one order, must hold one of each set that is alike."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def _prefixes(width: int, similarity: float, common: np.ndarray):
+    order = np.argsort(common)
+    known = common[order]
+
+    @F.pandas_udf("size long, odd array<long>, prefix array<long>")
+    def prefixes(texts: pd.Series) -> pd.DataFrame:
+        """By text: its distinct shingles, the parity of their number for each of 128 hash values, and its first shingles, common ones last."""
+        out = []
+        for text in texts:
+            h = shingles(text, width)[:, 0]
+            at = np.searchsorted(known, h)
+            late = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h) if len(known) else np.zeros(len(h), bool)
+            h = np.concatenate((h[~late], h[late][np.argsort(order[at[late]])]))
+            odd = np.packbits((np.bincount((h & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).view(np.int64)
+            out.append((len(h), odd, h[: _prefix_size(len(h), similarity)].view(np.int64)))
+        return pd.DataFrame(out, columns=["size", "odd", "prefix"])
+
+    return prefixes
+
+
+def common_shingles(rows: DataFrame, width: int, nodes: int) -> np.ndarray:
+    """Shingles of at least 3 of some ``ORDERED`` documents, rarest first.
+
+    They come last in the order from which prefixes are taken. Any order finds every
+    pair, so that the sample changes the cost, never the result.
+    """
+
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width)[:, 0].view(np.int64) for t in texts], dtype=object)
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, nodes // ORDERED))) == 0)
+    counts = some.select(F.explode(sets("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    return found["h"].to_numpy(np.int64)[::-1].view(np.uint64)
+
+
+def _sharing(similarity: float):
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of other classes in a bucket that may be alike, and how many shingles their prefixes must share."""
+        key, id_, label, side, size = (rows[c].to_numpy() for c in ("key", "id", "label", "side", "size"))
+        odd = rows[["odd0", "odd1"]].to_numpy().view(np.uint64)
+        edge = np.flatnonzero(np.diff(key)) + 1
+        lo, hi = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+        behind = np.repeat(hi, hi - lo) - np.arange(len(key)) - 1  # a row meets those behind it
+        rest = size - _prefix_size(size, similarity)
+        out, ends, at = [], np.cumsum(behind), 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET, "right")))
+            i, j = _expand(np.arange(at, to), np.ones(to - at, np.int64), np.arange(at, to) + 1, behind[at:to])
+            total = size[i] + size[j]
+            least = np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)  # shingles that both have
+            may = (label[i] != label[j]) & ((side[i] == -1) | (side[i] != side[j])) & (np.minimum(size[i], size[j]) >= least)
+            i, j, total, least = i[may], j[may], total[may], least[may]
+            may = distance(odd[i], odd[j]) <= total - 2 * least
+            i, j, least = i[may], j[may], least[may]
+            out.append(pd.DataFrame({"a": np.minimum(id_[i], id_[j]), "b": np.maximum(id_[i], id_[j]), "need": least - np.maximum(rest[i], rest[j])}))
+            at = to
+        return pd.concat(out)
+
+    return _whole_buckets(walk, PAIRS)
+
+
+def _sets_of(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id and shingles of the documents ``ids`` (doc_id)."""
+    asked = written(ids.distinct())
+    asked = F.broadcast(asked) if asked.count() <= SENT else asked  # or all texts would be shuffled for a few
+    texts = rows.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return written(texts.select(F.col("doc_id").alias("id"), _sets(words)("text").alias("shingles")))
+
+
+def missed(rows: DataFrame, label: DataFrame, nodes: int, words: int, similarity: float, bucket_rows: int = 500) -> DataFrame:
+    """a and b: all pairs of documents that are alike but in different classes of ``label`` (node, label)."""
+    texts = rows.join(F.broadcast(label) if nodes <= SENT else label, F.col("doc_id") == F.col("node")).select(F.col("node").alias("id"), "label", "text")
+    heads = texts.select("id", "label", _prefixes(words, similarity, common_shingles(rows, words, nodes))("text").alias("p"))
+    heads = written(heads.select("id", "label", "p.size", F.col("p.odd")[0].alias("odd0"), F.col("p.odd")[1].alias("odd1"), "p.prefix"))
+    keys = heads.select("label", F.explode("prefix").alias("key")).groupBy("key")
+    shared = keys.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = written(shared.select("key", F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") / bucket_rows)).alias("blocks")))
+    shared = F.broadcast(shared) if shared.count() <= SENT else shared
+    met = heads.select("id", "label", "size", "odd0", "odd1", F.explode("prefix").alias("key")).join(shared, "key")
+    met = met.select(F.explode(_tiles(F.col("blocks"))).alias("t"), "id", "label", "size", "odd0", "odd1").select("t.key", "t.side", "id", "label", "size", "odd0", "odd1")
+    met = met.repartition("key").sortWithinPartitions("key").mapInPandas(_sharing(similarity), "a long, b long, need long")
+    pairs = written(met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
+    sets = _sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
+
+    @F.pandas_udf("boolean")
+    def same(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), similarity) for s, t in zip(x, y, strict=True)], dtype=bool)
+
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.where(same("x", "y")).select("a", "b")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 28, recall: float = 0.95, bucket_rows: int = 2000) -> DataFrame:
-    """node and label of documents that stand for all with the same words, and have near copies: doc_id, and the smallest of the class."""
+    """node and label of documents that stand for all with the same words: doc_id, and the smallest of its class of near copies."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = written(rows.select("doc_id", _nodes(words)("text").alias("n")).select("doc_id", "n.*").groupBy("high", "low", "same").agg(F.min("doc_id").alias("id")))
-    found = near_buckets(nodes, banding(nodes.count(), similarity, recall), bucket_rows)
+    count = nodes.count()
+    found = near_buckets(nodes, banding(count, similarity, recall), bucket_rows)
     found = written(found.repartition("key").sortWithinPartitions("key").mapInPandas(_partnered(errors), "key long, id long, high long, low long"))
-    asked = written(found.select(F.col("id").alias("doc_id")).distinct())
-    asked = F.broadcast(asked) if asked.count() <= SENT else asked  # or all texts would be shuffled for a few
-    sets = rows.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = written(sets.select(F.col("doc_id").alias("id"), _sets(words)("text").alias("shingles")))
+    sets = _sets_of(rows, found.select(F.col("id").alias("doc_id")), words)
     found = found.join(sets, "id").repartition("key").sortWithinPartitions("key")
     found = found.mapInPandas(_verified(errors, similarity), "node long, key long, root long")
     members = written(found.select("node", F.struct("key", "root").alias("class")))
-    return nodes.select(F.col("id").alias("node")).distinct().join(joined(members), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    label = written(nodes.select(F.col("id").alias("node")).distinct().join(joined(members), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    links = written(missed(rows, label, count, words, similarity))
+    if links.isEmpty():
+        return label
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    links = links.join(of("a"), "a").join(of("b"), "b").select("a_label", "b_label").distinct()
+    members = written(links.select(F.explode(F.array("a_label", "b_label")).alias("node"), F.struct("a_label", "b_label").alias("class")))
+    top = joined(members).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return label.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

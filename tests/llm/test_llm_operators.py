@@ -399,6 +399,30 @@ def test_near_copies(spark, bucket_rows):
     assert len(lost) <= 0.05 * sum(want[d] != d for d in pure)
 
 
+@pytest.mark.parametrize(("errors", "recall", "block"), [(28, 0.95, 500), (0, 0.01, 500), (0, 0.01, 3)])
+def test_near_copies_lose_none(spark, monkeypatch, errors, recall, block):
+    """Every pair of 0.8 or more links, also those that no bucket of bits has; chains, a line that all share and short texts too."""
+    monkeypatch.setattr(simhash.missed, "__defaults__", (block,))
+    random.seed(5)
+    vocabulary = ["".join(random.choices("abcdefgh", k=5)) for _ in range(3000)]
+    line = " ".join(random.choices(vocabulary, k=12))
+    rows = {}
+    for k in range(150):
+        base = random.choices(vocabulary, k=random.choice([5, 9, 14, 25, 60, 200]))
+        for n in range(3):
+            rows[3 * k + n] = " ".join(base) + f"\n{line}" * (k % 3 == 0)
+            at = random.randrange(len(base))
+            base = base[:at] + [random.choice(vocabulary)] * random.randint(0, 1) + base[at + random.randint(0, 1) :]
+            if len(base) >= 60:  # as far as 0.8 and a little more
+                for _ in range(len(base) * random.choice([4, 5, 6]) // 250):
+                    base[random.randrange(len(base))] = random.choice(vocabulary)
+    rows |= {1000: None, 1001: "", 1003: "a b", 1004: "a b a b a b a", 1005: "a b a b a b a b a"}
+    want = plain_near_classes(rows)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {d: want[d] for d in rows} | {r.node: r.label for r in simhash.near_copies(docs, errors=errors, recall=recall).collect()}
+    assert got == want and sum(want[d] != d for d in rows) > 100
+
+
 # -- 4 ------------------------------------------------------------------------------
 
 
