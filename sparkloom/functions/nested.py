@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import kept
 
+LEVELS = 6  # levels of a text that are opened before it is written
+
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, VOID or the name of a number's type."""
@@ -48,13 +50,40 @@ def text_of(value: Column, kind: Column) -> Column:
     return F.when(kind == "VOID", "none").otherwise(F.try_variant_get(value, "$", "string"))
 
 
+def _inside(values: Column) -> Column:
+    """An array of variants with each object and list replaced by what it holds, in place."""
+    fields = lambda v: F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.flatten(F.transform(values, lambda v: F.coalesce(fields(v), F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+
+
+def texts(rows: DataFrame, content: str) -> DataFrame:
+    """The rows' other columns with text: all values of a row's JSON in order, parted by spaces; null without values.
+
+    Nothing is shuffled: a row's values stay in it. ``LEVELS`` levels are opened at once
+    and written; rows that go deeper do so again.
+    """
+    rest = [c for c in rows.columns if c != content]
+    if clash := {"text", "_values"} & set(rest):
+        raise ValueError(f"columns are taken: {sorted(clash)}")
+    left = rows.select(*rest, F.filter(F.array(F.try_parse_json(F.col(content).cast("string"))), lambda v: v.isNotNull()).alias("_values"))
+    found, v = [], F.col("_values")
+    deep = F.exists(v, lambda x: F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"))
+    text = F.when(F.size(v) > 0, F.array_join(F.transform(v, lambda x: F.when(F.is_variant_null(x), "none").otherwise(F.try_variant_get(x, "$", "string"))), " "))
+    while True:
+        opened = left.select(*rest, reduce(lambda x, _: _inside(x), range(LEVELS), v).alias("_values"))
+        opened = kept(opened.select(*rest, F.when(deep, v).alias("_values"), F.when(~deep, text).alias("text")))
+        found.append(opened.where("_values IS NULL").drop("_values"))
+        left = opened.where("_values IS NOT NULL").drop("text")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def flattened(rows: DataFrame, key: str, content: str) -> DataFrame:
     """key and text: all values of a row's JSON in order, parted by spaces; rows without values have none.
 
     ``key`` tells rows apart.
     """
-    values = leaves(rows.select(key, content), content).select(key, "place", text_of(F.col("value"), F.col("kind")).alias("t"))
-    return values.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), " ").alias("text"))
+    return texts(rows.select(key, content), content).where("text IS NOT NULL")
 
 
 def numbers(rows: DataFrame, content: str) -> DataFrame:

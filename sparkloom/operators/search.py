@@ -13,7 +13,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.nested import flattened
+from ..functions.nested import texts
 from ..functions.text import like_escaped, tokens
 
 # Words an index leaves out.
@@ -48,8 +48,7 @@ def _has(name: str) -> Column:
 
 def searchable(results: DataFrame) -> DataFrame:
     """id and text of results: their categories and all values of their data at any depth, in lower case."""
-    values = flattened(results, "id", "extracted_data")
-    own = results.select("id", F.concat_ws(" ", "categories").alias("_c")).join(values, "id", "left")
+    own = texts(results.select("id", F.concat_ws(" ", "categories").alias("_c"), "extracted_data"), "extracted_data")
     return own.select("id", F.lower(F.concat_ws(" ", "_c", "text")).alias("text"))
 
 

@@ -48,6 +48,22 @@ def test_flattened_and_numbers(spark):
         nested.leaves(rows.withColumnRenamed("id", "path"), "j")
 
 
+@pytest.mark.parametrize("levels", [1, 3, 6])
+def test_texts_stay_in_their_rows(spark, monkeypatch, levels):
+    """The values of JSON of any depth in order, as leaves give them, with nothing shuffled."""
+    monkeypatch.setattr(nested, "LEVELS", levels)
+    rng = random.Random(9)
+    docs = [made(rng, 8) for _ in range(150)] + [{}, [], 5, "bare", "", None, [[[[[[[[["deep"]]]]]]]]], {"b": 1e20, "a": [0.10, 12345678901234567890123, 2.0]}]
+    rows = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)] + [(900, None), (901, "{broken"), (902, "")], "id int, j string")
+    want = {}
+    for r in nested.leaves(rows, "j").select("id", "place", nested.text_of(nested.F.col("value"), nested.F.col("kind")).alias("t")).collect():
+        want.setdefault(r.id, []).append((r.place, r.t))
+    out = nested.texts(rows, "j")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.text for r in out.collect()} == {k: None for k in [*range(len(docs)), 900, 901, 902]} | {k: " ".join(t for _, t in sorted(v, key=lambda x: x[0])) for k, v in want.items()}
+    assert {r.id for r in nested.flattened(rows, "id", "j").collect()} == set(want)
+
+
 def test_trees_of_any_depth(spark):
     tree = {"name": "n0", "children": []}
     at = tree
