@@ -295,25 +295,36 @@ def _by_length(rows: DataFrame, strategy: Character | Token) -> DataFrame:
     words = isinstance(strategy, Token)
     size, step = strategy.size, strategy.size - strategy.overlap
     t = F.col("t")
-    units = F.size(X.words(t)) if words else F.length(t)
+    units = X.word_count(t) if words else F.length(t)
     starts = F.length(t) - F.length(F.regexp_replace(t, r"(?U)\s+$", ""))
-    end = F.max("file_seq").alias("_end")
     sizes = rows.select(
         "document_id", "file_seq", units.alias("units"), F.substring(t, 1, 1).isin(*WHITE).alias("first"), F.right(t, F.lit(1)).isin(*WHITE).alias("last"), (_strip(t) == "").alias("blank"), starts.alias("tail"),
-    ).join(rows.groupBy("document_id").agg(end), "document_id").withColumn("final", F.col("file_seq") == F.col("_end")).drop("_end")
+    )
+    sizes = sizes.repartition("document_id").withColumn("final", F.lead(F.lit(1)).over(Window.partitionBy("document_id").orderBy("file_seq")).isNull())
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("document_id", "file_seq"))
-    ordered = sizes.repartition("document_id").sortWithinPartitions("document_id", "file_seq")
+    ordered = sizes.where("document_id IS NOT NULL").sortWithinPartitions("document_id", "file_seq")
     placed = ordered.mapInPandas(lambda b: _carried(b, size, step, not words), f"{kinds}, carry int, gap int, base long, windows int, on boolean, dropped int")
-    both = rows.join(placed, ["document_id", "file_seq"])
-    # what a file has of each of its windows: from where the window, or the file's own part, begins
-    own, at = (X.words(t) if words else F.concat(F.repeat(F.lit(" "), F.col("gap")), t)), F.col("k") * step - F.col("carry")
-    each = both.where("windows > 0").select("document_id", "file_seq", "carry", "base", "dropped", (F.col("windows") - F.col("on").cast("int")).alias("whole"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"))
-    low, high = F.greatest(at, F.lit(0)), at + size
-    part = F.array_join(F.slice("own", low + 1, F.greatest(high - low, F.lit(0))), " ") if words else F.substring("own", low + 1, F.greatest(high - low, F.lit(0)))
-    parts = each.where((high > 0) | (F.col("k") < F.col("whole"))).select("document_id", (F.col("base") + F.col("k") + 1).cast("int").alias("chunk_index"), "dropped", "file_seq", part.alias("part"), (F.col("k") < F.col("whole")).alias("whole")).where("part <> '' OR whole")
-    joined = F.transform(F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("file_seq", "part")))), lambda x: x["part"])
-    chunks = parts.groupBy("document_id", "chunk_index", "dropped").agg(F.array_join(joined, " " if words else "").alias("chunk"), F.bool_or("whole").alias("whole"))
-    return chunks.where("whole").select("document_id", "chunk_index", "chunk")
+    both = rows.join(placed, ["document_id", "file_seq"]).where("windows > 0")
+    # what a file has of each of its windows, from where the window, or the file's own part, begins; its text is cut once for all
+    own = X.words(t) if words else F.concat(F.repeat(F.lit(" "), F.col("gap")), t)
+
+    def part(own: Column, k: Column) -> Column:
+        at = k * step - F.col("carry")
+        low, n = F.greatest(at, F.lit(0)), at + size - F.greatest(at, F.lit(0))
+        return F.array_join(F.slice(own, low + 1, F.greatest(n, F.lit(0))), " ") if words else F.substring(own, low + 1, F.greatest(n, F.lit(0)))
+
+    def windows_of(ks: Column) -> DataFrame:
+        cut = X.bound(own, lambda o: F.transform(ks, lambda k: F.struct(k.alias("k"), part(o, k).alias("chunk"))))
+        each = both.where(F.size(ks) > 0).select("document_id", "file_seq", "base", "dropped", whole.alias("whole"), F.explode(cut).alias("w"))
+        return each.select("document_id", (F.col("base") + F.col("w.k") + 1).cast("int").alias("chunk_index"), "dropped", "file_seq", "w.chunk", (F.col("w.k") < F.col("whole")).alias("whole"))
+
+    # windows that begin and end in a file are chunks; only its first behind what was carried, and its last that goes on, meet others
+    whole, behind = F.col("windows") - F.col("on").cast("int"), (F.col("carry") > 0).cast("int")
+    alone = windows_of(F.when(whole > behind, F.sequence(behind, whole - 1)).otherwise(F.array().cast("array<int>")))
+    parts = windows_of(F.array_distinct(F.array_compact(F.array(F.when(F.col("carry") > 0, 0), F.when(F.col("on"), F.col("windows") - 1))))).where("chunk <> '' OR whole")
+    joined = F.transform(F.array_sort(F.collect_list(F.when(F.col("chunk") != "", F.struct("file_seq", "chunk")))), lambda x: x["chunk"])
+    chunks = parts.groupBy("document_id", "chunk_index", "dropped").agg(F.array_join(joined, " " if words else "").alias("chunk"), F.bool_or("whole").alias("whole")).where("whole")
+    return alone.select("document_id", "chunk_index", "chunk").unionByName(chunks.select("document_id", "chunk_index", "chunk"))
 
 
 def _by_rounds(rows: DataFrame, strategy: Strategy) -> DataFrame:

@@ -103,7 +103,18 @@ f AS (SELECT document_id, list_reduce(x, lambda a, t: list_transform([CASE WHEN
 c AS (SELECT document_id, CASE WHEN r.carry <> '' THEN list_append(r.chunks, r.carry) ELSE r.chunks END AS c FROM f)
 SELECT document_id, CAST(k AS INT) AS chunk_index, c[k] AS chunk FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM c)""")
 def chunk_cross_file(spark, d):
-    return C.cross_file(view(spark, d, "v_files"), 1000)
+    return C.cross_file(files_in_order(spark, d), 1000)
+
+
+def files_in_order(spark, d):
+    """Files by source as ``v_files`` orders them, their ids as file_seq: no window then moves texts. Where ids repeat, the view itself."""
+    docs = table(spark, d, "documents")
+    if not docs.groupBy("source", "doc_id").count().where("count > 1").isEmpty():
+        return view(spark, d, "v_files")
+    first = F.lit(-(2**63)).cast("long")  # a null id is the first, as in the view
+    if not docs.where(F.col("doc_id") == first).isEmpty():
+        return view(spark, d, "v_files")
+    return docs.select(F.col("source").alias("document_id"), F.coalesce(F.col("doc_id").cast("long"), first).alias("file_seq"), F.col("text").alias("main_content"))
 
 
 def cross_fold(cut, unfinished):
@@ -118,13 +129,13 @@ SELECT document_id, CAST(k AS INT) AS chunk_index, c[k] AS chunk FROM (SELECT *,
 @query("chunk_cross_file_overlap", cross_fold("CASE WHEN regexp_matches(own, '\\S') THEN list_transform(range(0, length(own), 450), lambda i: substring(own, i + 1, 500)) ELSE [] END", lambda c: f"length({c}) < 400"))
 def chunk_cross_file_overlap(spark, d):
     """Windows of characters that overlap."""
-    return C.cross_file(view(spark, d, "v_files"), C.Character(500, 50))
+    return C.cross_file(files_in_order(spark, d), C.Character(500, 50))
 
 
 @query("chunk_cross_file_token", cross_fold(f"list_transform([{w('own')}], lambda ws: list_transform(range(0, len(ws), 56), lambda i: array_to_string(ws[i + 1:i + 64], ' ')))[1]", lambda c: f"len({w(c)}) < 0.8::DOUBLE * 64"))
 def chunk_cross_file_token(spark, d):
     """Windows of words that overlap."""
-    return C.cross_file(view(spark, d, "v_files"), C.Token(64, 8))
+    return C.cross_file(files_in_order(spark, d), C.Token(64, 8))
 
 
 @query("chunk_cross_file_delimiter", cross_fold(f"list_filter(list_transform(string_split(own, '.' || chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '')", lambda c: f"NOT ends_with({c}, '.' || chr(10))"))

@@ -74,3 +74,20 @@ def test_rounds_write_texts_once_and_no_chunks(spark, monkeypatch):
     got = chunking.cross_file(rows, chunking.Delimiter(".\n")).orderBy("chunk_index").collect()
     assert [r.chunk for r in got] == ["part 0", *[f"rest {k - 1} part {k}" for k in range(1, 6)], "rest 5"]
     assert sum("t" in c for c in seen) == 1 and not any("chunks" in c for c in seen)
+
+
+def test_no_window_moves_texts(spark, tmp_path):
+    """Documents are ordered by id without numbering whole texts; ids that repeat or are null lose nothing."""
+    from sparkloom.plans import q_chunking
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        return f"{tmp_path}/{name}"
+
+    rows = [(None, "s", "a b c"), (2, "s", "d " * 150), (1, "s", "x " * 70), (2, "r", "y")]
+    found = q_chunking.chunk_cross_file_token(spark, put("plain", rows))
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [("r", 1, "y")] + [("s", k, c) for k, c in enumerate(fold(["a b c", "x " * 70, "d " * 150], words(64, 8), lambda c: len(c.split()) < 51.2), 1)]
+    twice = q_chunking.chunk_cross_file_token(spark, put("twice", [(2, "r", "y"), (2, "r", "y"), (3, "r", "z")])).collect()
+    assert [tuple(r) for r in twice] == [("r", 1, "y y z")]
