@@ -46,7 +46,13 @@ of ``similarity`` or more are near copies; one of each class of them stays.
   the parities of their shingles by hash value and the number of shared prefix shingles
   allow the similarity (upper bounds, so no pair is lost). These are checked by exact
   Jaccard similarity and join the classes. Common shingles, known from a sample, come
-  last in the order; a shingle of more than ``bucket_rows`` documents is cut into blocks.
+  last in the order.
+* Only shingles of at most ``FEW`` documents make rows of pairs, so at most (FEW - 1) / 2
+  for a document and shingle. Documents of the others, families of copies that differ
+  more, meet in one group for all shingles with the same smallest class, so mostly once;
+  a group of more than ``bucket_rows`` documents is cut into blocks as above. Those that
+  may be alike by size and parities (as many as a document has shingles) get theirs,
+  are compared in the task, and only links that join two classes come out.
 
 There, null and wordless texts are copies of each other; fewer than five words are
 one shingle. Rows with a null doc_id stay. Rows that repeat a doc_id are one document.
@@ -73,6 +79,7 @@ SENT = 2_000_000  # ids that a broadcast may have
 ORDERED = 8192  # documents from which common shingles are known
 COMMON = 1 << 17  # common shingles that go to tasks
 MET = 1 << 20  # pairs of a bucket that are looked at together
+FEW = 8  # documents of a shingle whose pairs are rows
 LEAVES = 64  # pairs of rows that are compared without going deeper
 
 
@@ -437,22 +444,31 @@ def _prefix_size(n, similarity: float):
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
+def parities(h: np.ndarray, width: int) -> np.ndarray:
+    """Whether the number of hashes of each remainder by ``width``, a power of two, is odd, as bits.
+
+    Two sets differ in at least as many elements as bits. Halves xored are those of half the width.
+    """
+    return np.packbits((np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def _prefixes(width: int, similarity: float, common: np.ndarray):
     order = np.argsort(common)
     known = common[order]
 
-    @F.pandas_udf("size long, odd array<long>, prefix array<long>")
+    @F.pandas_udf("size long, odd array<long>, parity binary, prefix array<long>")
     def prefixes(texts: pd.Series) -> pd.DataFrame:
-        """By text: its distinct shingles, the parity of their number for each of 128 hash values, and its first shingles, common ones last."""
+        """By text: its distinct shingles, the parity of their number for each of 128 hash values and of many, and its first shingles, common ones last."""
         out = []
         for text in texts:
             h = shingles(text, width)[:, 0]
             at = np.searchsorted(known, h)
             late = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h) if len(known) else np.zeros(len(h), bool)
             h = np.concatenate((h[~late], h[late][np.argsort(order[at[late]])]))
-            odd = np.packbits((np.bincount((h & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).view(np.int64)
-            out.append((len(h), odd, h[: _prefix_size(len(h), similarity)].view(np.int64)))
-        return pd.DataFrame(out, columns=["size", "odd", "prefix"])
+            odd = parities(h, 128).view(np.int64)
+            wide = parities(h, max(128, 1 << (len(h) | 1).bit_length() - 1))
+            out.append((len(h), odd, wide.tobytes(), h[: _prefix_size(len(h), similarity)].view(np.int64)))
+        return pd.DataFrame(out, columns=["size", "odd", "parity", "prefix"])
 
     return prefixes
 
@@ -474,32 +490,102 @@ def common_shingles(rows: DataFrame, width: int, nodes: int) -> np.ndarray:
     return found["h"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 
+def _met(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs of rows with one key, some at a time; rows are sorted by it."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    lo, hi = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+    behind = np.repeat(hi, hi - lo) - np.arange(len(key)) - 1  # a row meets those behind it
+    ends, at = np.cumsum(behind), 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET, "right")))
+        yield _expand(np.arange(at, to), np.ones(to - at, np.int64), np.arange(at, to) + 1, behind[at:to])
+        at = to
+
+
+def _least(total: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that two sets of ``total`` together must both have to be alike."""
+    return np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
+
+
 def _sharing(similarity: float):
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of other classes in a bucket that may be alike, and how many shingles their prefixes must share."""
-        key, id_, label, side, size = (rows[c].to_numpy() for c in ("key", "id", "label", "side", "size"))
+        """Pairs of other classes in a small bucket that may be alike, and how many shingles their prefixes must share."""
+        key, id_, label, size = (rows[c].to_numpy() for c in ("key", "id", "label", "size"))
         odd = rows[["odd0", "odd1"]].to_numpy().view(np.uint64)
-        edge = np.flatnonzero(np.diff(key)) + 1
-        lo, hi = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
-        behind = np.repeat(hi, hi - lo) - np.arange(len(key)) - 1  # a row meets those behind it
         rest = size - _prefix_size(size, similarity)
-        out, ends, at = [], np.cumsum(behind), 0
-        while at < len(key):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET, "right")))
-            i, j = _expand(np.arange(at, to), np.ones(to - at, np.int64), np.arange(at, to) + 1, behind[at:to])
+        out = []
+        for i, j in _met(key):
             total = size[i] + size[j]
-            least = np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)  # shingles that both have
-            may = (label[i] != label[j]) & ((side[i] == -1) | (side[i] != side[j])) & (np.minimum(size[i], size[j]) >= least)
+            least = _least(total, similarity)
+            may = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= least)
             i, j, total, least = i[may], j[may], total[may], least[may]
             may = distance(odd[i], odd[j]) <= total - 2 * least
             i, j, least = i[may], j[may], least[may]
             out.append(pd.DataFrame({"a": np.minimum(id_[i], id_[j]), "b": np.maximum(id_[i], id_[j]), "need": least - np.maximum(rest[i], rest[j])}))
-            at = to
         return pd.concat(out)
 
     return _whole_buckets(walk, PAIRS)
 
 
+def _may_be_alike(rows: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of other classes in a group that sizes and parities allow to be alike, nearest first."""
+    key, label, side, size = (rows[c].to_numpy() for c in ("key", "label", "side", "size"))
+    parity = rows["parity"].to_numpy()
+    width = np.array([len(p) // 8 for p in parity])
+    same = {}
+    for w in np.unique(width).tolist():  # parities of this width, and wider ones folded to it
+        same[w] = np.zeros((len(rows), w), np.uint64)
+        for n in (w, 2 * w):
+            at = np.flatnonzero(width == n)
+            bits = np.frombuffer(b"".join(parity[at]), np.uint64).reshape(len(at), n)
+            same[w][at] = bits if n == w else bits[:, :w] ^ bits[:, w:]
+    left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in _met(key):
+        total = size[i] + size[j]
+        most = total - 2 * _least(total, similarity)  # elements that one of them may have alone
+        may = (label[i] != label[j]) & ((side[i] == -1) | (side[i] != side[j])) & (np.abs(size[i] - size[j]) <= most)
+        i, j, most = i[may], j[may], most[may]
+        narrow = np.minimum(width[i], width[j])  # sizes of which one is at least 0.5 of the other: widths of which one is
+        for w in np.unique(narrow).tolist():
+            own = np.flatnonzero(narrow == w)
+            for part in np.array_split(own, len(own) * w // MET + 1):
+                d = distance(same[w][i[part]], same[w][j[part]])
+                near = d <= most[part]
+                left.append(i[part][near])
+                right.append(j[part][near])
+                far.append(d[near])
+    order = np.argsort(np.concatenate(far), kind="stable")
+    return np.concatenate(left)[order], np.concatenate(right)[order]
+
+
+def _in_groups(similarity: float):
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows that may be alike with another of their group."""
+        return rows.iloc[np.unique(np.concatenate(_may_be_alike(rows, similarity)))]
+
+    return _whole_buckets(walk, PAIRS)
+
+
+def _linked(similarity: float):
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of classes that rows of a group link, none that others have joined already."""
+        i, j = _may_be_alike(rows, similarity)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        label = rows["label"].to_numpy()
+        own, left, right = np.unique(label, return_inverse=True)[1], [], []
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            open_ = own[a] != own[b]
+            for x, y in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+                if own[x] != own[y] and alike(sets[x], sets[y], similarity):
+                    own[own == max(own[x], own[y])] = min(own[x], own[y])
+                    left.append(x)
+                    right.append(y)
+        return pd.DataFrame({"a_label": label[left], "b_label": label[right]}, dtype=np.int64)
+
+    return _whole_buckets(walk, PAIRS // 8)
+
+
 def _sets_of(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """id and shingles of the documents ``ids`` (doc_id)."""
     asked = written(ids.distinct())
@@ -509,26 +595,36 @@ def _sets_of(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def missed(rows: DataFrame, label: DataFrame, nodes: int, words: int, similarity: float, bucket_rows: int = 500) -> DataFrame:
-    """a and b: all pairs of documents that are alike but in different classes of ``label`` (node, label)."""
+    """a_label and b_label: links between all classes of ``label`` (node, label) that have documents which are alike."""
     texts = rows.join(F.broadcast(label) if nodes <= SENT else label, F.col("doc_id") == F.col("node")).select(F.col("node").alias("id"), "label", "text")
     heads = texts.select("id", "label", _prefixes(words, similarity, common_shingles(rows, words, nodes))("text").alias("p"))
-    heads = written(heads.select("id", "label", "p.size", F.col("p.odd")[0].alias("odd0"), F.col("p.odd")[1].alias("odd1"), "p.prefix"))
+    heads = written(heads.select("id", "label", "p.size", F.col("p.odd")[0].alias("odd0"), F.col("p.odd")[1].alias("odd1"), "p.parity", "p.prefix"))
     keys = heads.select("label", F.explode("prefix").alias("key")).groupBy("key")
     shared = keys.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-    shared = written(shared.select("key", F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") / bucket_rows)).alias("blocks")))
+    shared = written(shared.select("key", F.when(F.col("n") > FEW, F.col("low")).alias("group")))
     shared = F.broadcast(shared) if shared.count() <= SENT else shared
-    met = heads.select("id", "label", "size", "odd0", "odd1", F.explode("prefix").alias("key")).join(shared, "key")
-    met = met.select(F.explode(_tiles(F.col("blocks"))).alias("t"), "id", "label", "size", "odd0", "odd1").select("t.key", "t.side", "id", "label", "size", "odd0", "odd1")
+
+    met = heads.select("id", "label", "size", "odd0", "odd1", F.explode("prefix").alias("key")).join(shared.where(F.col("group").isNull()), "key")
     met = met.repartition("key").sortWithinPartitions("key").mapInPandas(_sharing(similarity), "a long, b long, need long")
     pairs = written(met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
-    sets = _sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
+
+    grouped = written(heads.select("id", F.explode("prefix").alias("key")).join(shared.where(F.col("group").isNotNull()), "key").select("id", F.col("group").alias("key")).distinct())
+    large = grouped.groupBy("key").agg(F.count("*").alias("n")).select("key", F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") / bucket_rows)).alias("blocks"))
+    grouped = grouped.join(large, "key").join(heads.select("id", "label", "size", "parity"), "id")
+    grouped = grouped.select(F.explode(_tiles(F.col("blocks"))).alias("t"), "id", "label", "size", "parity").select("t.key", "t.side", "id", "label", "size", "parity")
+    grouped = written(grouped.repartition("key").sortWithinPartitions("key").mapInPandas(_in_groups(similarity), grouped.schema))
+
+    sets = _sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(grouped.select(F.col("id").alias("doc_id"))), words)
 
     @F.pandas_udf("boolean")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), similarity) for s, t in zip(x, y, strict=True)], dtype=bool)
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(same("x", "y")).select("a", "b")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    links = both.where(same("x", "y")).select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a_label", "b_label")
+    grouped = grouped.join(sets, "id").repartition("key").sortWithinPartitions("key")
+    return links.unionByName(grouped.mapInPandas(_linked(similarity), "a_label long, b_label long")).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 28, recall: float = 0.95, bucket_rows: int = 2000) -> DataFrame:
@@ -546,8 +642,6 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors
     links = written(missed(rows, label, count, words, similarity))
     if links.isEmpty():
         return label
-    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    links = links.join(of("a"), "a").join(of("b"), "b").select("a_label", "b_label").distinct()
     members = written(links.select(F.explode(F.array("a_label", "b_label")).alias("node"), F.struct("a_label", "b_label").alias("class")))
     top = joined(members).select(F.col("node").alias("label"), F.col("label").alias("top"))
     return label.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))

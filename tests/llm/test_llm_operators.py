@@ -423,6 +423,34 @@ def test_near_copies_lose_none(spark, monkeypatch, errors, recall, block):
     assert got == want and sum(want[d] != d for d in rows) > 100
 
 
+@pytest.mark.parametrize("block", [500, 7])
+def test_near_copies_make_no_pairs_of_families(spark, monkeypatch, block):
+    """A family of copies around 0.8, sizes on both sides of 256: right classes, and twice the copies make about twice the rows."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    made, real = [], DataFrame.mapInPandas
+    spied = lambda self, *args, **named: made.append(real(self, *args, **named)) or made[-1]
+    monkeypatch.setattr(DataFrame, "mapInPandas", spied)
+    monkeypatch.setattr(simhash.missed, "__defaults__", (block,))
+    random.seed(11)
+    vocabulary = ["".join(random.choices("abcdefgh", k=5)) for _ in range(3000)]
+    base, rows, sizes = random.choices(vocabulary, k=262), {}, {}
+    for k in range(80):
+        copy = list(base)
+        for _ in range(random.randint(1, 7)):
+            at = random.randrange(len(copy))
+            copy[at : at + 1] = [random.choice(vocabulary)] * random.randint(0, 1)
+        rows[k] = " ".join(copy)
+    for n in (40, 80):
+        some, made[:] = {k: rows[k] for k in range(n)}, []
+        want = plain_near_classes(some)
+        docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+        got = {r.node: r.label for r in simhash.near_copies(docs, errors=0, recall=0.01).collect()}
+        assert got == want and 1 < len(set(want.values())) < n
+        sizes[n] = sum(df.count() for df in made)
+    assert sizes[80] <= 2.5 * sizes[40] if block == 500 else sizes[80] < 80 * 79 / 2
+
+
 # -- 4 ------------------------------------------------------------------------------
 
 
