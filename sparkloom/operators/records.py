@@ -122,13 +122,14 @@ def template_pack(spark: SparkSession, name: str, first_id: int = 1) -> DataFram
     return spark.createDataFrame(rows, "template_id int, category string, target_category string, question string, answer string")
 
 
-def expand_templates(relations: DataFrame, templates: DataFrame, most: int = 3) -> DataFrame:
+def expand_templates(relations: DataFrame, templates: DataFrame, most: int = 3, order: Sequence[str] = ()) -> DataFrame:
     """question and answer of each relation by the first ``most`` templates that apply to its category.
 
     Templates are rows (template_id, category or null for any, question, answer, and
     target_category where that matters too). Those of a category are one row that an
     equi-join finds, those for any are one row in all. Rows that share a key are one
-    relation, so that a window has at most ``most`` times as many rows as a key.
+    relation, so that a window has at most ``most`` times as many rows as a key; its
+    questions of one template come in the order of the columns ``order``.
     """
     if "target_category" not in templates.columns:
         templates = templates.withColumn("target_category", F.lit(None).cast("string"))
@@ -139,8 +140,8 @@ def expand_templates(relations: DataFrame, templates: DataFrame, most: int = 3)
     every = F.array_sort(F.concat(F.coalesce("_own", F.slice("_free", 1, 0)), "_free"))
     fits = F.filter(every, lambda t: t["target_category"].isNull() | F.coalesce(t["target_category"] == F.col("target_category"), F.lit(False)))
     fill = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("{source}"), F.col("source_entity")), F.lit("{target}"), F.col("target_entity")), F.lit("{source_entity}"), F.col("source_entity")), F.lit("{target_entity}"), F.col("target_entity"))
-    chosen = both.select("l_orderkey", "l_linenumber", "source_entity", "target_entity", "confidence", F.explode(F.slice(fits, 1, most)).alias("t"))
-    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("t.template_id"))
+    chosen = both.select("l_orderkey", "l_linenumber", "source_entity", "target_entity", "confidence", *order, F.explode(F.slice(fits, 1, most)).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("t.template_id", *order))
     chosen = chosen.withColumn("_r", rank).where(F.col("_r") <= most)
     return chosen.select("l_orderkey", "l_linenumber", "t.template_id", fill(F.col("t.question")).alias("question"), fill(F.col("t.answer")).alias("answer"), "confidence")
 

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import TABLES, table
+from ..session import TABLES, placed, table
 
 VIEWS = {
     "v_qa": """
@@ -59,11 +59,14 @@ def _text(name: str, engine: dict[str, str]) -> str:
     return out
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables of a folder."""
+def view(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """A view over the tables of a folder; one of a single SELECT may have ``place``, where rows of the table ``by`` are."""
     sql = _text(name, SPARK)
     source = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
-    return spark.sql(source.sub(r"\1 {\2}", sql), **{t: table(spark, sf_dir, t) for t in {m[2] for m in source.finditer(sql)}})
+    tables = {t: table(spark, sf_dir, t) for t in {m[2] for m in source.finditer(sql)}}
+    if by:
+        sql, tables[by] = sql.replace("SELECT ", "SELECT place, ", 1), placed(tables[by])
+    return spark.sql(source.sub(r"\1 {\2}", sql), **tables)
 
 
 def oracle(sql: str) -> str:

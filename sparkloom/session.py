@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -38,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df``, as read from Parquet files, with ``place``: its rows in the order in which they lie there."""
+    return df.withColumn("place", F.struct("_metadata.file_path", "_metadata.row_index"))
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register the named tables as temporary views."""
     for name in names:

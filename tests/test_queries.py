@@ -51,3 +51,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["qa_dedup"])
+def test_ties_in_table_order(spark, duck, name):
+    """Lines of one key come in the order of the table, also where joins have sorted them otherwise."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_query(spark, duck, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
