@@ -53,7 +53,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["qa_dedup", "qa_stats"])
+@pytest.mark.parametrize("name", ["qa_dedup", "qa_stats", "qa_templates"])
 def test_ties_in_table_order(spark, duck, name):
     """Lines of one key come in the order of the table, also where joins have sorted them otherwise."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
