@@ -1,20 +1,25 @@
 """Readers: files of many shapes to rows of text.
 
-Everything is read by Spark's own sources, so that paths may be of any file system;
-parsers of binary formats are functions of bytes that a registry holds.
+Everything but folders of many small files is read by Spark's own sources, so that paths
+may be of any file system; parsers of binary formats are functions of bytes that a registry holds.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Parser = Callable[[bytes], str]
 PARSERS: dict[str, Parser] = {}
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BATCH_BYTES, BATCH_FILES = 4 << 20, 1000  # of texts that leave a task at once
 
 
 def register_parser(suffix: str, parser: Parser) -> None:
@@ -44,8 +49,63 @@ def documents(spark: SparkSession, path: str, reader: str | None = None) -> Data
 
 def parsed_files(spark: SparkSession, path: str) -> DataFrame:
     """path and main_content: that field of a JSON file, else the text as it is."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    return text.select("path", main_content(F.col("value")).alias("main_content"))
+    return small_files(spark, path).select("path", main_content(F.col("value")).alias("main_content"))
+
+
+def small_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and value of the files, each whole, that Spark's text source would read at a path or glob.
+
+    That source keeps the status of every file on the driver and puts some 30 small files into a
+    task. Here the driver finds what the path names, folders in general; tasks list them, and
+    files are dealt by their paths to a fixed number of tasks, each of which reads its own one by one.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = [(re.sub(r"^file:/+", "file:/", x.getPath().toUri().toString()), x.isDirectory()) for x in system.globStatus(hadoop) or []]
+    if not named:
+        raise FileNotFoundError(path)
+    n = spark.sparkContext.defaultParallelism
+    found = spark.createDataFrame(named, "uri string, folder boolean").repartition(min(len(named), 4 * n), "uri").mapInPandas(_below, "path string, file string")
+    return found.repartition(4 * n, "file").mapInArrow(_contents, "path string, value binary").select("path", F.col("value").cast("string").alias("value"))
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Hadoop writes it, and the path there."""
+    return fs.FileSystem.from_uri(re.sub(r"[^\x00-\x7f]+", lambda m: quote(m[0]), re.sub(r"^file:/+", "file:///", uri)))
+
+
+def _below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files in folders and in their key=value folders, but hidden and empty ones: as Hadoop writes them, and below their file system."""
+    escaped = lambda x: re.sub(r"[\x00-\x20\"#%<>?\[\\\]^`{|}\x7f]", lambda m: f"%{ord(m[0]):02X}", x)
+    for b in batches:
+        for uri, folder in zip(b["uri"], b["folder"], strict=True):
+            system, where = _opened(uri)
+            todo = [fs.FileSelector(where) if folder else [where]]
+            while todo:
+                seen = [f for f in system.get_file_info(todo.pop()) if not re.match(r"\.|_[^=]*$", f.base_name)]
+                todo += [fs.FileSelector(f.path) for f in seen if f.type == fs.FileType.Directory and "=" in f.base_name]
+                files = [f.path for f in seen if f.type == fs.FileType.File and f.size]
+                yield pd.DataFrame({"path": [uri + escaped(f[len(where) :]) for f in files], "file": files}, dtype="object")
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path and bytes of files, some at a time."""
+    systems, paths, texts, size = {}, [], [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["path", "value"])
+    for b in batches:
+        for path, file in zip(b["path"].to_pylist(), b["file"].to_pylist(), strict=True):
+            root = re.match(r"[^:/]+:(//[^/]*)?", path)[0]
+            if root not in systems:
+                systems[root] = _opened(f"{root}/")[0]
+            with systems[root].open_input_stream(file) as f:  # by its suffix, a compressed one is opened as such
+                texts.append(f.read())
+            paths.append(path)
+            size += len(texts[-1])
+            if size >= BATCH_BYTES or len(texts) >= BATCH_FILES:
+                yield out()
+                paths, texts, size = [], [], 0
+    if texts:
+        yield out()
 
 
 def main_content(c):

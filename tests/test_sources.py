@@ -60,6 +60,37 @@ def test_a_file_a_row(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["k=0", "k=1", "k=2"] and (tmp_path / "k=2" / "17.txt").read_text() == "é 17\n"
 
 
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    """The files, paths and texts of Spark's text source, in tasks whose number does not grow with that of the files."""
+    import gzip
+
+    import pyarrow as pa
+
+    from sparkloom.sources import readers
+
+    files = {f"part={k % 7}/doc={k}.txt": f"text {k}\r\né".encode() for k in range(40)}
+    files |= {"part=1/a b%20c+d#.json": b'{"main_content": "m"}', "part=2/z.txt.gz": gzip.compress(b"zipped"), "other/k=v/é.txt": b"\xef\xbb\xbfbom", "part=4/empty.txt": b"", "part=4/.no": b"x", "part=4/_no": b"x", "part=4/_k=v": b"yes"}
+    for name, content in files.items():
+        (tmp_path / "of é" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "of é" / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # as if there were very many
+    try:
+        for path in ("part=1", "part=2", "other", "part=4", "part=*/doc=?.txt", "part=1/doc=1.txt"):
+            whole = spark.read.text(f"{tmp_path}/of é/{path}", wholetext=True).select(F.col("_metadata.file_path").alias("path"), readers.main_content(F.col("value")))
+            found = readers.parsed_files(spark, f"{tmp_path}/of é/{path}")
+            assert sorted(found.collect()) == sorted(whole.collect()) != []
+        every = readers.parsed_files(spark, f"{tmp_path}/of é/part=*")
+        assert every.count() == 43 and every.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(FileNotFoundError):
+        readers.parsed_files(spark, f"{tmp_path}/none")
+    monkeypatch.setattr(readers, "BATCH_FILES", 3)
+    own = [f"{tmp_path}/of é/part=0/doc={k}.txt" for k in (0, 7, 14, 21, 28)]
+    batches = list(readers._contents([pa.RecordBatch.from_pydict({"path": [f"file:{x}" for x in own], "file": own})]))
+    assert [len(b) for b in batches] == [3, 2] and batches[1]["value"].to_pylist() == [f"text {k}\r\né".encode() for k in (21, 28)]
+
+
 def test_handlers_by_path(spark, tmp_path):
     """A handler of a caller's own comes first; JSON, markup and empty results have their fallbacks."""
 
