@@ -244,7 +244,7 @@ e AS (SELECT l_orderkey, l_linenumber, template_id, replace(replace(q, '{{source
 
 
 def expanded(spark, d):
-    """Questions of relations; lines of one key in the order of the table, which the SQL's ORDER BY leaves open and its engine keeps."""
+    """Questions of relations; lines of one key, whose order the SQL leaves open, in that of the table, which its engine keeps as a rule."""
     templates = spark.sql(f"SELECT * FROM VALUES {TEMPLATES.replace('{s}', 'STRING')} AS t(template_id, category, question, answer)")
     return R.expand_templates(view(spark, d, "v_relationships", "lineitem"), templates, 2, ["place"])
 
